@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tempfile
 import uuid
 
@@ -72,23 +74,57 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: How the tokenizer file states its pre-tokeniser, and the parts of words for which that is done here:
+#: runs of lower-case Latin letters, single digits, and runs of ASCII signs without ' and < (contractions, control strings).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PARTS = re.compile(r"[a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĵķĺļľłńņňōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž]+|[0-9]|[!-&(-/:;=-@[-`{-~]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes stand for themselves, the others
+    get the code points from 256 on in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class WordTokenizer:
     """Subword ids of whole texts from ids of their words.
 
     For a tokenizer whose normaliser and pre-tokeniser never join what ASCII white space parts (the white space itself
-    is dropped), the ids of a text are the ids of its words in order. The words' ids are kept, up to `most` words."""
+    is dropped), the ids of a text are the ids of its words in order. Ids of words, and of parts of words where the
+    tokenizer splits as PARTS does, are kept, up to `most` of each."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode, self.most, self.known = Tokenizer.from_file(path).encode, most, {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model, self.most = tokenizer.encode, tokenizer.model, most
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        steps = (json.loads(tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.splits = steps[0].get("pattern", {}).get("Regex") == SPLIT
+        self.letters = byte_letters()
+
+    def part(self, part: str) -> bytes:
+        text = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
+        if len(self.parts) < self.most:
+            self.parts[part] = ids
+        return ids
 
-    def word(self, word: bytes) -> bytes:
-        """Ids of a word as little-endian unsigned 32-bit numbers."""
-        import numpy as np
+    def fresh(self, word: bytes) -> bytes:
+        """Ids of a word as little-endian unsigned 32-bit numbers; only those of its parts are kept."""
+        text = word.decode("utf-8", "replace")
+        small = text.lower()
+        if self.splits and len(small) == sum(map(len, parts := PARTS.findall(small))):
+            get, part = self.parts.get, self.part
+            return b"".join([get(p) or part(p) for p in parts])
+        return b"".join([i.to_bytes(4, "little") for i in self.encode(text, add_special_tokens=False).ids])
 
-        ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+    def word(self, word: bytes) -> bytes:
+        ids = self.fresh(word)
         if len(self.known) < self.most:
             self.known[word] = ids
         return ids
