@@ -2,5 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, **views: str) -> Callable:
+    """Registers a function (spark, sf_dir) -> DataFrame under its name. views are put before the SQL as CTEs."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            heads = ", ".join(f"{k} as ({v})" for k, v in views.items())
+            ORACLES[f.__name__] = f"with {heads} {sql}" if heads else sql
+        return f
+
+    return add
+
+
+from . import labels, meshes, points, streams, trials, viewsets  # noqa: E402, F401
