@@ -1 +1,286 @@
+"""Queries over points: cuts, radius matches, distances, selections."""
 
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import select as K
+from ..operators import spatial as S
+from .registry import query
+
+POINTS = """
+select event_id as pid, event_type as grp, user_id % 5 as unit, cast(user_id % 100 as double) as x,
+  (cast(floor(epoch(ts)) as bigint) % 86400) / 864.0e0 as y,
+  cast(regexp_extract(props, '([0-9]+)', 1) as double) as z, value as val, 8.0e0 + user_id % 5 as r from events"""
+GT = "select * from points where grp = 'error' and val >= (select quantile_cont(val, 0.9) from points where grp = 'error')"
+ANCHORS = "select * from points where grp <> 'error'"
+P = {"points": POINTS}
+G = P | {"gt": GT, "anchors": ANCHORS}
+D2 = "(a.x - g.x) * (a.x - g.x) + (a.y - g.y) * (a.y - g.y) + (a.z - g.z) * (a.z - g.z)"
+
+
+def points(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    c = F.col
+    seconds = F.unix_timestamp(c("ts").cast("timestamp"))
+    return e.select(
+        c("event_id").alias("pid"), c("event_type").alias("grp"), (c("user_id") % 5).alias("unit"), (c("user_id") % 100).cast("double").alias("x"),
+        ((seconds % 86400) / 864.0).alias("y"), F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("z"), c("value").alias("val"), (8.0 + c("user_id") % 5).cast("double").alias("r"),
+    )
+
+
+def truth(p: DataFrame) -> DataFrame:
+    return S.percentile_cut(p.where("grp = 'error'"), [], "val", 0.9)
+
+
+def anchors(p: DataFrame) -> DataFrame:
+    return p.where("grp <> 'error'")
+
+
+def r6(x, name: str):
+    return F.round(x, 6).alias(name)
+
+
+@query("select unit, count(*) as n, round(sum(val), 4) as s from (select *, 'SP(' || cast(pid as varchar) as t from points) group by 1", **P)
+def parse_points(spark, d):
+    """Points written as scored-point text and read back."""
+    from ..sources.files import parse_points as parse
+    from ..sources.files import point_lines
+
+    lines = points(spark, d).select(F.col("unit"), point_lines("x", "y", "z", "val").alias("value"))
+    return parse(lines, "value").groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("val"), 4).alias("s"))
+
+
+@query("select pid, unit from (select *, min(y) over w as lo, max(y) over w as hi, min(x) over w as lx, max(x) over w as hx from points window w as (partition by unit)) where case when grp in ('view', 'signup') then x > lx + 0.02 * (hx - lx) and x < hx - 0.02 * (hx - lx) and y < hi - 0.02 * (hi - lo) else y > lo + 0.02 * (hi - lo) and y < hi - 0.02 * (hi - lo) end", **P)
+def boundary_trim(spark, d):
+    return S.boundary_trim(points(spark, d), ["unit"], "grp", 0.02, ["view", "signup"]).select("pid", "unit")
+
+
+@query("select p.pid, p.unit from points p join (select unit, quantile_cont(val, 0.99) as c from points group by 1) using (unit) where val >= c", **P)
+def percentile_cut(spark, d):
+    return S.percentile_cut(points(spark, d), ["unit"], "val", 0.99).select("pid", "unit")
+
+
+@query(f"select grp, count(*) as n, count(*) filter (where exists (select 1 from gt g where {D2} <= 100)) as hits from anchors a group by grp", **G)
+def radius_match(spark, d):
+    p = points(spark, d)
+    a, hits = anchors(p), S.within_radius(anchors(p), truth(p), [], 10.0)
+    n = a.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(hits.groupBy("grp").agg(F.count(F.lit(1)).alias("hits")), "grp", "left").fillna(0)
+
+
+@query(f"select a.pid from anchors a where not exists (select 1 from gt g where g.unit = a.unit and {D2} <= a.r * a.r)", **G)
+def radius_anti(spark, d):
+    p = points(spark, d)
+    return S.within_radius(anchors(p), truth(p), ["unit"], "r", anti=True).select("pid")
+
+
+COUNTS = f"""select grp, unit, count(*) as n_a, count(*) filter (where exists (select 1 from gt g where g.unit = a.unit and {D2} <= a.r * a.r)) as m_a,
+  (select count(*) from gt g where g.unit = a.unit) as n_g,
+  (select count(*) from gt g where g.unit = a.unit and exists (select 1 from anchors b where b.grp = a.grp and b.unit = g.unit and (b.x - g.x) * (b.x - g.x) + (b.y - g.y) * (b.y - g.y) + (b.z - g.z) * (b.z - g.z) <= b.r * b.r)) as m_g
+  from anchors a group by grp, unit"""
+
+
+def match_counts(spark, d) -> DataFrame:
+    """(grp, unit, n_a, m_a, n_g, m_g): anchors, those that match, hot points, those that are matched. Groups without a
+    match stay."""
+    p = points(spark, d)
+    gt, a = truth(p), anchors(p)
+    count = lambda df, keys, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    found_a = S.within_radius(a, gt, ["unit"], "r")
+    # each group asks for all hot points of its unit, so hot points are dealt per group first
+    per = gt.join(a.select("grp", "unit").distinct().withColumnRenamed("grp", "of"), "unit")
+    found_g = S.within_radius(per.drop("grp").withColumnRenamed("of", "grp"), a, ["grp", "unit"], "r")
+    out = count(a, ["grp", "unit"], "n_a").join(count(found_a, ["grp", "unit"], "m_a"), ["grp", "unit"], "left").join(count(gt, ["unit"], "n_g"), "unit", "left").join(count(found_g, ["grp", "unit"], "m_g"), ["grp", "unit"], "left")
+    return out.fillna(0)
+
+
+@query("select grp, p, r, case when p + r > 0 then round(2 * p * r / (p + r), 6) else 0 end as f1 from (select grp, round(sum(m_a) / sum(n_a), 6) as p, round(sum(m_g) / sum(n_g), 6) as r from counts group by 1)".replace("round(sum(m_a) / sum(n_a), 6)", "sum(m_a) / sum(n_a)").replace("round(sum(m_g) / sum(n_g), 6)", "sum(m_g) / sum(n_g)").replace("select grp, p, r, case", "select grp, round(p, 6) as p, round(r, 6) as r, case"), **G, counts=COUNTS)
+def micro_prf(spark, d):
+    s = match_counts(spark, d).groupBy("grp").agg(*[F.sum(c).alias(c) for c in ("n_a", "m_a", "n_g", "m_g")])
+    p, r, f = S.prf(F.col("m_a"), F.col("n_a"), F.col("m_g"), F.col("n_g"))
+    return s.select("grp", r6(p, "p"), r6(r, "r"), r6(f, "f1"))
+
+
+@query("select grp, count(*) as n, round(avg(p), 6) as p, round(avg(r), 6) as r, round(avg(case when p + r > 0 then 2 * p * r / (p + r) else 0 end), 6) as f1 from (select grp, unit, m_a / n_a as p, case when n_g > 0 then m_g / n_g else 0 end as r from counts) group by 1", **G, counts=COUNTS)
+def macro_prf(spark, d):
+    p, r, f = S.prf(F.col("m_a"), F.col("n_a"), F.col("m_g"), F.col("n_g"))
+    return match_counts(spark, d).select("grp", p.alias("p"), r.alias("r"), f.alias("f")).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("p"), "p"), r6(F.avg("r"), "r"), r6(F.avg("f"), "f1"))
+
+
+@query(f"select grp, count(*) as n_crit, round(sum(val * z), 4) as energy, round(sum(z), 4) as volume, round(quantile_cont(val, 0.99), 6) as p99, max(val) as top from anchors a where exists (select 1 from gt g where g.unit = a.unit and {D2} <= a.r * a.r) group by 1", **G)
+def region_qoi(spark, d):
+    p = points(spark, d)
+    hit = S.within_radius(anchors(p), truth(p), ["unit"], "r")
+    return hit.groupBy("grp").agg(F.count(F.lit(1)).alias("n_crit"), F.round(F.sum(F.col("val") * F.col("z")), 4).alias("energy"), F.round(F.sum("z"), 4).alias("volume"), r6(F.percentile("val", F.lit(0.99)), "p99"), F.max("val").alias("top"))
+
+
+@query(f"select a.unit as own, o.unit as other, count(*) as n, count(*) filter (where exists (select 1 from gt g where g.unit = o.unit and {D2} <= 100)) as hits from anchors a cross join (select distinct unit from gt) o where a.unit <> o.unit and a.grp = 'view' group by 1, 2", **G)
+def load_discrimination(spark, d):
+    """Anchors of one unit against the hot points of each other unit."""
+    p = points(spark, d)
+    gt, a = truth(p), anchors(p).where("grp = 'view'")
+    others = F.broadcast(gt.select(F.col("unit").alias("other")).distinct())  # five units
+    pairs = a.withColumnRenamed("unit", "own").join(others, F.col("own") != F.col("other"))
+    hits = S.within_radius(pairs, gt.withColumnRenamed("unit", "other"), ["other"], 10.0)
+    n = pairs.groupBy("own", "other").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(hits.groupBy("own", "other").agg(F.count(F.lit(1)).alias("hits")), ["own", "other"], "left").fillna(0)
+
+
+NEAR_A = f"select g.unit, g.pid, (select min(sqrt({D2})) from anchors a where a.unit = g.unit) as dist from gt g"
+
+
+@query("select unit, count(*) as n, round(quantile_cont(dist, 0.5), 6) as median, round(quantile_cont(dist, 0.9), 6) as p90, round(max(dist), 6) as worst, round(avg(case when dist <= 4 then 1.0 else 0.0 end), 6) as within from near group by 1", **G, near=NEAR_A)
+def coverage_distance(spark, d):
+    p = points(spark, d)
+    n = S.nearest(truth(p), anchors(p), "unit")
+    return n.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), r6(F.percentile("dist", F.lit(0.5)), "median"), r6(F.percentile("dist", F.lit(0.9)), "p90"), r6(F.max("dist"), "worst"), r6(F.avg(F.when(F.col("dist") <= 4, 1.0).otherwise(0.0)), "within"))
+
+
+NEAR_G = f"select a.unit, a.pid, (select min(sqrt({D2})) from gt g where a.unit = g.unit) as dist from anchors a"
+
+
+@query("select unit, round(f.a + b.a, 6) as chamfer, round((f.a + b.a) / 2, 6) as half, round(greatest(f.m, b.m), 6) as hausdorff from (select unit, avg(dist) as a, max(dist) as m from near group by 1) f join (select unit, avg(dist) as a, max(dist) as m from back group by 1) b using (unit)", **G, near=NEAR_A, back=NEAR_G)
+def chamfer(spark, d):
+    p = points(spark, d)
+    gt, a = truth(p), anchors(p)
+    f, b = (n.groupBy("unit").agg(F.avg("dist").alias(f"a{i}"), F.max("dist").alias(f"m{i}")) for i, n in enumerate((S.nearest(gt, a, "unit"), S.nearest(a, gt, "unit"))))
+    return f.join(b, "unit").select("unit", r6(F.col("a0") + F.col("a1"), "chamfer"), r6((F.col("a0") + F.col("a1")) / 2, "half"), r6(F.greatest("m0", "m1"), "hausdorff"))
+
+
+@query("select unit, round(avg(dist), 6) as spacing from (select g.unit, (select min(sqrt((a.x - g.x) * (a.x - g.x) + (a.y - g.y) * (a.y - g.y) + (a.z - g.z) * (a.z - g.z))) from gt a where a.unit = g.unit and a.pid <> g.pid) as dist from gt g) group by 1", **G)
+def nn_spacing(spark, d):
+    gt = truth(points(spark, d))
+    return S.nearest(gt, gt, "unit").groupBy("unit").agg(r6(F.avg("dist"), "spacing"))
+
+
+LAYERS = 2.5
+
+
+@query("select pid, cast(floor(y / 2.5 + 0.5) as bigint) as layer, round(abs(y - 2.5 * floor(y / 2.5 + 0.5)), 6) as gap from points where y / 2.5 - floor(y / 2.5) <> 0.5", **P)
+def nearest_layer(spark, d):
+    """Layers lie at a known pitch, so the nearest one is arithmetic; points half way between two are left out here."""
+    y = F.col("y") / LAYERS
+    layer = F.floor(y + 0.5)
+    return points(spark, d).where(y - F.floor(y) != 0.5).select("pid", layer.cast("long").alias("layer"), r6(F.abs(F.col("y") - LAYERS * layer), "gap"))
+
+
+@query("select unit, layer, count(*) as area, round(avg(x), 6) as cx, round(avg(z), 6) as cz, round(var_pop(z) * count(*), 4) as iz, round((var_pop(x) + var_pop(z)) * count(*), 4) as j from (select *, cast(floor(y / 10) as bigint) as layer from points) group by 1, 2", **P)
+def section_properties(spark, d):
+    n = F.count(F.lit(1))
+    return points(spark, d).groupBy("unit", F.floor(F.col("y") / 10).cast("long").alias("layer")).agg(n.alias("area"), r6(F.avg("x"), "cx"), r6(F.avg("z"), "cz"), F.round(F.var_pop("z") * n, 4).alias("iz"), F.round((F.var_pop("x") + F.var_pop("z")) * n, 4).alias("j"))
+
+
+WEIGHT = "select pid, unit, case when grp = 'click' then 1.0 / a when grp = 'error' then abs(z - cz) / (iz + 1e-12) else sqrt((x - cx) * (x - cx) + (z - cz) * (z - cz)) / (j + 1e-12) end as w from (select *, cast(floor(y / 10) as bigint) as layer from points) join (select unit, cast(floor(y / 10) as bigint) as layer, count(*) as a, avg(x) as cx, avg(z) as cz, var_pop(z) * count(*) as iz, (var_pop(x) + var_pop(z)) * count(*) as j from points group by 1, 2) using (unit, layer)"
+
+
+@query("select pid, round((w - min(w) over (partition by unit)) / nullif(max(w) over (partition by unit) - min(w) over (partition by unit), 0), 6) as weight from weights", **P, weights=WEIGHT)
+def nominal_stress_weight(spark, d):
+    p = points(spark, d).withColumn("layer", F.floor(F.col("y") / 10))
+    n = F.count(F.lit(1))
+    s = p.groupBy("unit", "layer").agg(n.alias("a"), F.avg("x").alias("cx"), F.avg("z").alias("cz"), (F.var_pop("z") * n).alias("iz"), ((F.var_pop("x") + F.var_pop("z")) * n).alias("j"))
+    dx, dz = F.col("x") - F.col("cx"), F.col("z") - F.col("cz")
+    w = F.when(F.col("grp") == "click", 1.0 / F.col("a")).when(F.col("grp") == "error", F.abs(dz) / (F.col("iz") + 1e-12)).otherwise(F.sqrt(dx * dx + dz * dz) / (F.col("j") + 1e-12))
+    return S.min_max(p.join(s, ["unit", "layer"]).withColumn("w", w), ["unit"], "w", "weight").select("pid", r6(F.col("weight"), "weight"))
+
+
+@query("select unit, least(9, cast(floor((x - lx) / (hx - lx) * 10) as bigint)) as i, least(9, cast(floor((y - ly) / (hy - ly) * 10) as bigint)) as j, count(*) as n, round(avg(val), 6) as heat from points join (select unit, min(x) lx, max(x) hx, min(y) ly, max(y) hy from points group by 1) using (unit) where val > 50 group by 1, 2, 3", **P)
+def hotspot_voxels(spark, d):
+    p = points(spark, d)
+    b = p.join(S.bounds(p, ["unit"]), "unit")
+    cell = lambda k: F.least(F.lit(9), F.floor((F.col(k) - F.col(f"lo_{k}")) / (F.col(f"hi_{k}") - F.col(f"lo_{k}")) * 10)).cast("long")
+    return b.where("val > 50").groupBy("unit", cell("x").alias("i"), cell("y").alias("j")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("val"), "heat"))
+
+
+@query("select distinct unit, round(x, 4) as x, round(y, 4) as y, round(z, 4) as z from points", **P)
+def point_dedup(spark, d):
+    return points(spark, d).select("unit", *[F.round(k, 4).alias(k) for k in "xyz"]).distinct()
+
+
+@query("select pid from (select *, sum(case when inside then 1 else 0 end) over (partition by unit, grp) as n from (select *, y > min(y) over (partition by unit) + 2 * r and y < max(y) over (partition by unit) - 2 * r as inside from points)) where inside or n < 10", **P)
+def band_exclusion(spark, d):
+    w, g = Window.partitionBy("unit"), Window.partitionBy("unit", "grp")
+    inside = (F.col("y") > F.min("y").over(w) + 2 * F.col("r")) & (F.col("y") < F.max("y").over(w) - 2 * F.col("r"))
+    return points(spark, d).withColumn("inside", inside).withColumn("n", F.count_if("inside").over(g)).where("inside or n < 10").select("pid")
+
+
+@query("select pid, round((val - min(val) over w) / (max(val) over w - min(val) over w), 6) as scaled from points window w as (partition by unit)", **P)
+def minmax_normalise(spark, d):
+    return S.min_max(points(spark, d), ["unit"], "val", "scaled").select("pid", r6(F.col("scaled"), "scaled"))
+
+
+@query("select pid, unit from (select *, row_number() over (partition by unit order by val desc, pid) as place from points where grp <> 'error') join (select unit, count(*) as n from gt group by 1) using (unit) where place <= n", **G)
+def topn_matched(spark, d):
+    """As many anchors of each unit, the hottest first, as it has hot points."""
+    p = points(spark, d)
+    n = truth(p).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("unit").orderBy(F.desc("val"), "pid")
+    return anchors(p).withColumn("r", F.row_number().over(w)).join(n, "unit").where("r <= n").select("pid", "unit")
+
+
+@query("select g, v from (select g, var_pop(pow(val / m, g)) as v from (select val, max(val) over () as m from points) cross join (values (0.5), (1.0), (2.0), (3.0)) t(g) group by 1) order by v desc limit 1".replace("select g, v from", "select g, round(v, 9) as v from"), **P)
+def contrast_gamma(spark, d):
+    p = points(spark, d)
+    top = p.agg(F.max("val").alias("m"))
+    x = p.select("val").join(F.broadcast(top)).select(F.explode(F.array(*[F.lit(g) for g in (0.5, 1.0, 2.0, 3.0)])).alias("g"), (F.col("val") / F.col("m")).alias("s"))
+    return x.groupBy("g").agg(F.var_pop(F.pow("s", "g")).alias("v")).orderBy(F.desc("v")).limit(1).select("g", F.round("v", 9).alias("v"))
+
+
+@query()
+def density_thinning(spark, d):
+    p = points(spark, d).select("unit", "pid", "x", "y", "z")
+    return K.per_group(p, ["unit"], ["pid"], lambda g: K.greedy_spread(g[["x", "y", "z"]].to_numpy(), 5.0))
+
+
+@query()
+def spread_selection(spark, d):
+    p = points(spark, d).select("unit", "pid", "x", "y", "z", "val")
+    return K.per_group(p, ["unit"], ["-val", "pid"], lambda g: K.greedy_spread(g[["x", "y", "z"]].to_numpy(), 8.0, 50))
+
+
+@query()
+def farthest_points(spark, d):
+    gt = truth(points(spark, d)).select("unit", "pid", "x", "y", "z")
+    return K.per_group(gt, ["unit"], ["pid"], lambda g: K.farthest_points(g[["x", "y", "z"]].to_numpy(), 20))
+
+
+@query()
+def voxel_clusters(spark, d):
+    hot = points(spark, d).where("val > 100").select("unit", *[F.floor(F.col(k) / 12.5).cast("long").alias(k) for k in "xyz"])
+    cells = hot.groupBy("unit", "x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
+
+    def label(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["x", "y", "z"]).reset_index(drop=True)
+        return g.assign(cluster=K.voxel_clusters(g[["x", "y", "z"]].to_numpy()))
+
+    # at most 9 x 8 x 8 voxels per unit
+    return cells.groupBy("unit").applyInPandas(label, "unit long, x long, y long, z long, n long, cluster long").groupBy("unit", "cluster").agg(F.sum("n").alias("points"), F.count(F.lit(1)).alias("voxels"))
+
+
+@query()
+def pixel_clusters(spark, d):
+    pixels = points(spark, d).where("val > 120").select("unit", F.floor("x").cast("double").alias("px"), F.floor("y").cast("double").alias("py")).distinct()
+
+    def label(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["px", "py"]).reset_index(drop=True)
+        return g.assign(cluster=K.density_clusters(g[["px", "py"]].to_numpy(), 6.0, 3))
+
+    return pixels.groupBy("unit").applyInPandas(label, "unit long, px double, py double, cluster long").where("cluster >= 0").groupBy("unit", "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("px").alias("cx"), F.avg("py").alias("cy"))
+
+
+@query()
+def assignment_match(spark, d):
+    p = points(spark, d)
+    both = p.where("grp in ('error', 'click') and val > 80").select("unit", "grp", "pid", "x", "y", "z")
+
+    def match(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("pid")
+        a, b = (g[g.grp == k][["x", "y", "z"]].to_numpy() for k in ("click", "error"))
+        m = K.greedy_matching(a, b, 10.0)
+        dist = np.array([x[2] for x in m])
+        return pd.DataFrame({"unit": [g["unit"].iloc[0]], "tp": [len(m)], "fp": [len(a) - len(m)], "fn": [len(b) - len(m)], "mean": [dist.mean() if m else None], "rmse": [float(np.sqrt((dist**2).mean())) if m else None]})
+
+    return both.groupBy("unit").applyInPandas(match, "unit long, tp long, fp long, fn long, mean double, rmse double")
