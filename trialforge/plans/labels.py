@@ -1 +1,109 @@
+"""Queries over labels, logs and responses."""
 
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import parsing as X
+from .registry import query
+from .trials import TRIALS, trials
+
+CANDIDATES = """select *, 'refined_mesh/' || candidate || case when h_scale = 1.0 then '' when h_scale = 2.0 then '_hs2' else '_hs' || cast(h_scale as varchar) end || case when seq % 2 = 0 then '_fine2_mesh' else '' end || '_refined.msh' as candidate_msh from (
+  select *, case when seq % 31 = 0 then 'unknown_label' when method = 'grefem_max' then load_case || '_gemini-3_geo_maxprompt_ortho_5views_11grid_1run'
+    when method = 'heuristic_sub' then 'heuristic_baseline_DENSE_dihedral30.0deg_sub' when method = 'mech_sub' then 'heuristic_mech_dihedral30.0deg_' || load_case || '_sub' else method end as candidate from trials)"""
+C1 = {"trials": TRIALS, "candidates": CANDIDATES}
+LOGS = """select seq, seq % 8 as worker, case when seq % 5 = 0 then 'noise ' || object when seq % 5 = 1 then '[DONE] ' || object when seq % 5 = 2 then '[progress] ' || cast(seq % 97 as varchar) || '/97 objects done'
+  else '[SUCCESS] ' || object || ' | ' || load_case || '_gemini-3_geo_maxprompt_ortho_' || cast(1 + seq % 7 as varchar) || 'views_11grid_1run | Result: {''coarse'': {''rel_L2'': ' || cast(seq % 100 as varchar) || '.5, ''rel_energy'': ' || cast(seq % 10 as varchar) || '.25}, ''refined'': {''rel_L2'': ' || cast(seq % 50 as varchar) || '.5, ''rel_energy'': 0.5}}' end as line from trials"""
+L1 = {"trials": TRIALS, "logs": LOGS}
+REPLY = "select seq, object, 'intro ***I.C.E: ' || cast(seq % 121 as varchar) || ', x, ' || cast(seq % 7 as varchar) || '*** then ***C.H: ' || case when seq % 3 = 0 then 'NONE' else cast(seq % 11 as varchar) end || '***' as reply from trials"
+R1 = {"trials": TRIALS, "replies": REPLY}
+
+
+def view(spark, d, sql: str) -> DataFrame:
+    """A view's rows; these make input text, so the same SQL serves both engines."""
+    trials(spark, d).createOrReplaceTempView("__trials")
+    return spark.sql(re.sub(r"''(\w+)''", r"\'\1\'", sql.replace("from trials", "from __trials")).replace("varchar", "string"))
+
+
+@query("select seq, case when candidate in ('coarse', 'zz_coarse', 'zz_oracle') then candidate when candidate like 'heuristic_baseline_DENSE_%_sub' then 'heuristic_sub' when candidate like 'heuristic_mech_%_sub' then 'mech_sub' when candidate like load_case || '\\_gemini%\\_geo\\_maxprompt\\_ortho\\_5views%' escape '\\' then 'grefem_max' end as family from candidates", **C1)
+def canonical_method(spark, d):
+    c = view(spark, d, CANDIDATES)
+    return c.select("seq", X.method_of(F.col("candidate"), F.col("load_case")).alias("family"))
+
+
+@query("select h_scale as level, count(*) as n from candidates group by 1", **C1)
+def level_from_name(spark, d):
+    return view(spark, d, CANDIDATES).groupBy(X.level_of_name(F.col("candidate_msh")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select seq, case when contains(candidate, 'gemini') then 'gemini' when contains(candidate, 'mech') then 'mech' when contains(candidate, 'heuristic') then 'blind' end as backend, regexp_replace(candidate, '_[0-9]+run$', '') as family from candidates", **C1)
+def backend_labels(spark, d):
+    table = [("gemini", "gemini"), ("mech", "mech"), ("heuristic", "blind")]
+    return view(spark, d, CANDIDATES).select("seq", X.first_label(F.col("candidate"), table).alias("backend"), F.regexp_replace("candidate", r"_\d+run$", "").alias("family"))
+
+
+@query("select load_case, 'gemini-3_geo' as model, 'max' as prompt, 'ortho' as view_type, cast(5 as int) as k, cast(11 as int) as grid, count(*) as n from candidates where candidate like '%1run' group by 1", **C1)
+def parse_experiment(spark, d):
+    c = view(spark, d, CANDIDATES).withColumns({f"p_{k}": v for k, v in X.experiment_parts(F.col("candidate")).items()}).where("p_load_case <> ''")
+    return c.groupBy(*[F.col(f"p_{k}").alias(k) for k in ("load_case", "model", "prompt", "view_type")], F.col("p_k").cast("int").alias("k"), F.col("p_grid").cast("int").alias("grid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select object, load_case || '_gemini-3_geo_maxprompt_ortho_' || cast(1 + seq % 7 as varchar) || 'views_11grid_1run' as experiment, seq % 100 + 0.5 as coarse, round((seq % 50 + 0.5) / (seq % 100 + 0.5), 6) as ratio from trials where seq % 5 > 2", **L1)
+def parse_success_log(spark, d):
+    lines = view(spark, d, LOGS).where(F.col("line").startswith("[SUCCESS] "))
+    obj, exp, res = X.success_parts(F.col("line"))
+    return lines.select(obj.alias("object"), exp.alias("experiment"), res.alias("res")).select("object", "experiment", F.col("res.coarse.rel_L2").alias("coarse"), F.round(X.guarded_ratio(F.col("res.refined.rel_L2"), F.col("res.coarse.rel_L2")), 6).alias("ratio"))
+
+
+@query("select distinct object as id, 'DONE' as status from trials where seq % 5 = 1", **L1)
+def status_ids(spark, d):
+    pattern = r"^\[(DONE|SKIP|TIMEOUT|ERROR)\] (\S+)"
+    lines = view(spark, d, LOGS).where(F.col("line").rlike(pattern))
+    return lines.select(F.regexp_extract("line", pattern, 2).alias("id"), F.regexp_extract("line", pattern, 1).alias("status")).distinct()
+
+
+@query("select object from (select distinct object from trials) where object not in (select object from trials where seq % 5 = 1)", **L1)
+def pending_from_logs(spark, d):
+    """Objects that no [DONE] line names."""
+    done = view(spark, d, LOGS).select(F.regexp_extract("line", r"^\[DONE\] (\S+)", 1).alias("object")).where("object <> ''")
+    return trials(spark, d).select("object").distinct().join(done.distinct(), "object", "left_anti")
+
+
+@query("select worker, max_by(cast(regexp_extract(line, '([0-9]+)/', 1) as int), seq) as done, 97 as total from logs where line like '[progress]%' group by 1", **L1)
+def progress_by_worker(spark, d):
+    pattern = r"^\[progress\] ([0-9]+)/([0-9]+)"
+    p = view(spark, d, LOGS).where(F.col("line").rlike(pattern))
+    last = lambda i: F.max_by(F.regexp_extract("line", pattern, i).cast("int"), "seq")
+    return p.groupBy("worker").agg(last(1).alias("done"), last(2).alias("total"))
+
+
+@query("select seq, array_to_string([cast(seq % 121 as varchar), cast(seq % 7 as varchar)], ',') as ice, case when seq % 3 = 0 then '' else cast(seq % 11 as varchar) end as ch, (case when seq % 3 = 0 then 2 else 3 end) as total from replies", **R1)
+def response_cells(spark, d):
+    ice, ch = X.block_numbers(F.col("reply"), r"I\.C\.E"), X.block_numbers(F.col("reply"), r"C\.H")
+    text = lambda a: F.array_join(F.transform(a, lambda v: v.cast("string")), ",")
+    return view(spark, d, REPLY).select("seq", text(ice).alias("ice"), text(ch).alias("ch"), (F.size(ice) + F.size(ch)).alias("total"))
+
+
+@query("select object, round(avg(case when seq % 3 = 0 then 2 else 3 end), 6) as per_view from replies group by 1", **R1)
+def cells_per_view(spark, d):
+    n = F.size(X.block_numbers(F.col("reply"), r"I\.C\.E")) + F.size(X.block_numbers(F.col("reply"), r"C\.H"))
+    return view(spark, d, REPLY).groupBy("object").agg(F.round(F.avg(n), 6).alias("per_view"))
+
+
+@query("select name, n from (select l.load_case || '_gemini_' || p || 'prompt_ortho_' || cast(k as varchar) || 'views_11grid_1run' as name, l.load_case as lc, p, k from (select distinct load_case from trials) l cross join (values ('max'), ('mid'), ('none')) t(p) cross join range(1, 11) r(k)) left join (select load_case as lc, 1 + seq % 7 as k, count(*) as n from trials group by 1, 2) using (lc, k)", trials=TRIALS)
+def experiment_grid(spark, d):
+    """All experiments of the grid with the number of their rows, null where there is none."""
+    t = trials(spark, d)
+    dims = t.select("load_case").distinct().select("load_case", F.explode(F.array(*[F.lit(p) for p in ("max", "mid", "none")])).alias("p")).select("load_case", "p", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k"))
+    got = t.groupBy("load_case", (1 + F.col("seq") % 7).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    one = F.lit(1)
+    name = X.experiment_name(F.col("load_case"), F.lit("gemini"), F.col("p"), F.lit("ortho"), F.col("k"), F.lit(11), one)
+    return dims.join(got, ["load_case", "k"], "left").select(name.alias("name"), "n")
+
+
+@query("select doc_id, len(regexp_extract_all(text, '[0-9]+')) as numbers from documents")
+def digits_in_text(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)).alias("numbers"))

@@ -1 +1,131 @@
+"""Queries over tetrahedra and triangle meshes."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .registry import query
+
+TETS = "select vec_id, label as object, c, " + ", ".join(f"cast(embedding[12 * c + {3 * n + k + 1}] as double) as {a}{n}" for n in range(4) for k, a in enumerate("xyz")) + " from embeddings cross join range(0, 5) t(c)"
+DET = "((x1 - x0) * ((y2 - y0) * (z3 - z0) - (z2 - z0) * (y3 - y0)) - (y1 - y0) * ((x2 - x0) * (z3 - z0) - (z2 - z0) * (x3 - x0)) + (z1 - z0) * ((x2 - x0) * (y3 - y0) - (y2 - y0) * (x3 - x0)))"
+GEO = f"select vec_id, object, c, (x0 + x1 + x2 + x3) / 4 as cx, (y0 + y1 + y2 + y3) / 4 as cy, (z0 + z1 + z2 + z3) / 4 as cz, abs({DET}) / 6 as volume from tets"
+T1 = {"tets": TETS, "geo": GEO}
+VERTICES = "select vec_id as i, generate_subscripts(embedding, 1) - 1 as j, cast(unnest(embedding) as double) as z from embeddings"
+FACES = """select cast(floor(i / 50) as bigint) as object, 2 * (i * 64 + j) as face, i * 64 + j as a, (i + 1) * 64 + j as b, i * 64 + j + 1 as c from grid union all
+ select cast(floor(i / 50) as bigint), 2 * (i * 64 + j) + 1, (i + 1) * 64 + j, (i + 1) * 64 + j + 1, i * 64 + j + 1 from grid"""
+GRID = "select i, j from vertices where j < 63 and i < (select max(i) from vertices)"
+EDGES = "select object, face, least(u, v) as u, greatest(u, v) as v from (select object, face, a as u, b as v from faces union all select object, face, b, c from faces union all select object, face, c, a from faces)"
+M1 = {"vertices": VERTICES, "grid": GRID, "faces": FACES, "edges": EDGES}
+CORNER = "select f.object, f.face, " + ", ".join(f"{p}.i as {p}_x, {p}.j as {p}_y, {p}.z as {p}_z" for p in "abc") + " from faces f join vertices a on a.i * 64 + a.j = f.a join vertices b on b.i * 64 + b.j = f.b join vertices c on c.i * 64 + c.j = f.c"
+NORMAL = "select object, face, (a_x + b_x + c_x) / 3.0 as mx, (a_y + b_y + c_y) / 3.0 as my, (a_z + b_z + c_z) / 3.0 as mz, nx / l as nx, ny / l as ny, nz / l as nz from (select *, sqrt(nx * nx + ny * ny + nz * nz) as l from (select *, (b_y - a_y) * (c_z - a_z) - (b_z - a_z) * (c_y - a_y) as nx, (b_z - a_z) * (c_x - a_x) - (b_x - a_x) * (c_z - a_z) as ny, (b_x - a_x) * (c_y - a_y) - (b_y - a_y) * (c_x - a_x) as nz from corner))"
+HINGE = "select e.object, e.f1, e.f2, n1.nx * n2.nx + n1.ny * n2.ny + n1.nz * n2.nz as cosine, (n2.mx - n1.mx) * n1.nx + (n2.my - n1.my) * n1.ny + (n2.mz - n1.mz) * n1.nz as inward from (select object, min(face) as f1, max(face) as f2 from edges group by object, u, v having count(*) = 2) e join normals n1 on n1.face = e.f1 join normals n2 on n2.face = e.f2"
+N1 = M1 | {"corner": CORNER, "normals": NORMAL, "hinges": HINGE}
+
+
+def tets(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("label").alias("object"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("c"))
+    x = [F.get("embedding", 12 * F.col("c") + i).cast("double").alias(f"{'xyz'[i % 3]}{i // 3}") for i in range(12)]
+    return e.select("vec_id", "object", "c", *x)
+
+
+def geometry(t: DataFrame) -> DataFrame:
+    """Centroid and volume of tetrahedra, by column algebra."""
+    side = {f"{a}{n}": F.col(f"{a}{n}") - F.col(f"{a}0") for a in "xyz" for n in (1, 2, 3)}
+    minor = lambda a, b: side[f"{a}2"] * side[f"{b}3"] - side[f"{b}2"] * side[f"{a}3"]
+    det = side["x1"] * minor("y", "z") - side["y1"] * minor("x", "z") + side["z1"] * minor("x", "y")
+    centre = {f"c{a}": sum((F.col(f"{a}{n}") for n in (1, 2, 3)), F.col(f"{a}0")) / 4 for a in "xyz"}
+    return t.select("vec_id", "object", "c", *[v.alias(k) for k, v in centre.items()], (F.abs(det) / 6).alias("volume"))
+
+
+def vertices(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "z")).withColumn("z", F.col("z").cast("double"))
+
+
+def faces(v: DataFrame) -> DataFrame:
+    last = F.broadcast(v.agg(F.max("i").alias("last")))
+    g = v.where("j < 63").join(last, F.col("i") < F.col("last")).withColumn("n", F.col("i") * 64 + F.col("j"))
+    n = F.col("n")
+    two = F.array(F.struct((2 * n).alias("face"), n.alias("a"), (n + 64).alias("b"), (n + 1).alias("c")), F.struct((2 * n + 1).alias("face"), (n + 64).alias("a"), (n + 65).alias("b"), (n + 1).alias("c")))
+    return g.select(F.floor(F.col("i") / 50).cast("long").alias("object"), F.explode(two).alias("f")).select("object", "f.*")
+
+
+def adjacency(f: DataFrame) -> DataFrame:
+    """(object, u, v, f1, f2): edges that two faces of an object share."""
+    edge = lambda p, q: F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"))
+    e = f.select("object", "face", F.explode(F.array(edge("a", "b"), edge("b", "c"), edge("c", "a"))).alias("e")).select("object", "face", "e.*")
+    return e.groupBy("object", "u", "v").agg(F.min("face").alias("f1"), F.max("face").alias("f2"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
+
+
+def hinges(spark, d) -> DataFrame:
+    """Adjacent faces with the cosine between their normals and how far the second one's centre lies before the first."""
+    v = vertices(spark, d)
+    f = faces(v)
+    at = v.select((F.col("i") * 64 + F.col("j")).alias("id"), F.struct(F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), "z").alias("p"))
+    corners = f.select("face", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("id")) for k in "abc"])).alias("q")).select("face", "q.k", "q.id").join(at, "id")
+    n = corners.groupBy("face").agg(*[F.max(F.when(F.col("k") == k, F.col("p"))).alias(k) for k in "abc"])
+    s = lambda k, a: F.col(k)[a] - F.col("a")[a]
+    cross = {"x": s("b", "y") * s("c", "z") - s("b", "z") * s("c", "y"), "y": s("b", "z") * s("c", "x") - s("b", "x") * s("c", "z"), "z": s("b", "x") * s("c", "y") - s("b", "y") * s("c", "x")}
+    n = n.select("face", *[((F.col("a")[a] + F.col("b")[a] + F.col("c")[a]) / 3).alias(f"m{a}") for a in "xyz"], *[c.alias(f"n{a}") for a, c in cross.items()])
+    size = F.sqrt(sum((F.col(f"n{a}") * F.col(f"n{a}") for a in "xyz"), F.lit(0.0)))
+    n = n.withColumn("l", size).withColumns({f"n{a}": F.col(f"n{a}") / F.col("l") for a in "xyz"}).drop("l")
+    side = lambda i: n.select(*[F.col(c).alias(f"{c}{i}") for c in n.columns])
+    j = adjacency(f).join(side(1), F.col("f1") == F.col("face1")).join(side(2), F.col("f2") == F.col("face2"))
+    dot = lambda p, q: sum((p(a) * q(a) for a in "xyz"), F.lit(0.0))
+    return j.select("object", "f1", "f2", dot(lambda a: F.col(f"n{a}1"), lambda a: F.col(f"n{a}2")).alias("cosine"), dot(lambda a: F.col(f"m{a}2") - F.col(f"m{a}1"), lambda a: F.col(f"n{a}1")).alias("inward"))
+
+
+def angle(low: float, high: float) -> Column:
+    """Angles over `low` and up to `high` degrees, by cosine."""
+    import math
+
+    return (F.col("cosine") < math.cos(math.radians(low))) & (F.col("cosine") >= math.cos(math.radians(high)))
+
+
+@query("select object, count(*) as n, round(sum(volume), 6) as volume, round(avg(cbrt(volume)), 6) as size, round(avg(cx), 6) as cx from geo group by 1", **T1)
+def tet_geometry(spark, d):
+    return geometry(tets(spark, d)).groupBy("object").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("volume"), 6).alias("volume"), F.round(F.avg(F.cbrt("volume")), 6).alias("size"), F.round(F.avg("cx"), 6).alias("cx"))
+
+
+@query("select object, round(quantile_cont(case when cx > 0.1 then cbrt(volume) end, 0.5), 6) as h_loc, round(quantile_cont(cbrt(volume), 0.5), 6) as h_glob, count(*) filter (where cx > 0.1) as n_loc, count(*) as n_tot from geo group by 1", **T1)
+def hotspot_elemsize(spark, d):
+    g = geometry(tets(spark, d)).withColumn("h", F.cbrt("volume"))
+    near = F.col("cx") > 0.1
+    return g.groupBy("object").agg(F.round(F.percentile(F.when(near, F.col("h")), F.lit(0.5)), 6).alias("h_loc"), F.round(F.percentile("h", F.lit(0.5)), 6).alias("h_glob"), F.count_if(near).alias("n_loc"), F.count(F.lit(1)).alias("n_tot"))
+
+
+@query("select object, n_fine, case when n_fine > 0 then round(m / n_fine, 6) end as prec from (select object, count(*) filter (where cbrt(volume) <= 0.05) as n_fine, count(*) filter (where cbrt(volume) <= 0.05 and exists (select 1 from geo g where g.object = a.object and g.vec_id % 50 = 0 and g.c = 0 and (g.cx - a.cx) * (g.cx - a.cx) + (g.cy - a.cy) * (g.cy - a.cy) + (g.cz - a.cz) * (g.cz - a.cz) <= 0.01)) as m from geo a group by 1)", **T1)
+def element_prf(spark, d):
+    """Share of fine elements near a marked one; null without fine elements."""
+    from ..operators.spatial import within_radius
+
+    g = geometry(tets(spark, d)).select("object", "vec_id", "c", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), F.cbrt("volume").alias("h"))
+    fine, marked = g.where("h <= 0.05"), g.where("vec_id % 50 = 0 and c = 0")
+    hit = within_radius(fine, marked, ["object"], 0.1).groupBy("object").agg(F.count(F.lit(1)).alias("m"))
+    n = g.groupBy("object").agg(F.count_if(F.col("h") <= 0.05).alias("n_fine")).join(hit, "object", "left")
+    return n.select("object", "n_fine", F.when(F.col("n_fine") > 0, F.round(F.coalesce("m", F.lit(0)) / F.col("n_fine"), 6)).alias("prec"))
+
+
+@query("select object, count(*) as n, sum(f1) as s1, sum(f2) as s2 from (select object, min(face) as f1, max(face) as f2 from edges group by object, u, v having count(*) = 2) group by 1", **M1)
+def face_adjacency(spark, d):
+    a = adjacency(faces(vertices(spark, d)))
+    return a.groupBy("object").agg(F.count(F.lit(1)).alias("n"), F.sum("f1").alias("s1"), F.sum("f2").alias("s2"))
+
+
+@query("select object, count(*) as n, round(avg(cosine), 6) as mean_cosine from hinges where cosine < cos(radians(5)) and inward > 0 group by 1", **N1)
+def concave_edges(spark, d):
+    return hinges(spark, d).where(angle(5.0, 180.0) & (F.col("inward") > 0)).groupBy("object").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cosine"), 6).alias("mean_cosine"))
+
+
+@query("select object, count(distinct f) as n from (select object, unnest([f1, f2]) as f from hinges where cosine < cos(radians(1)) and cosine >= cos(radians(5)) and inward > 0) group by 1", **N1)
+def concave_faces(spark, d):
+    h = hinges(spark, d).where(angle(1.0, 5.0) & (F.col("inward") > 0))
+    return h.select("object", F.explode(F.array("f1", "f2")).alias("f")).groupBy("object").agg(F.count_distinct("f").alias("n"))
+
+
+@query("select v.i, v.j from vertices v where v.i * 64 + v.j not in (select u from edges where face % 7 <> 0 union select v from edges where face % 7 <> 0)", **M1)
+def mesh_integrity(spark, d):
+    """Vertices that no face uses once every seventh face is gone."""
+    v = vertices(spark, d)
+    used = faces(v).where("face % 7 <> 0").select(F.explode(F.array("a", "b", "c")).alias("id")).distinct()
+    return v.withColumn("id", F.col("i") * 64 + F.col("j")).join(used, "id", "left_anti").select("i", "j")

@@ -1 +1,36 @@
+"""Queries that run a stream over the given tables to its end."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..sources.tables import cut
+from ..streaming import shards
+from .registry import query
+
+
+def folder(spark) -> str:
+    cut(spark.range(1))  # sets the shared folder where there is none
+    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by 1")
+def stream_shards(spark, d):
+    """Totals by event type, by micro-batches over the table's files."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    at = folder(spark)
+    source = at + "/in"
+    e.repartition(4, "event_id").write.parquet(source)
+    stream = shards.read_shards(spark, source, e.schema, files_per_batch=2)
+    shards.refresh(stream, ["event_type"], "value", at + "/out", at + "/state").awaitTermination()
+    out = spark.read.parquet(at + "/out")
+    return out.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+
+
+@query("select user_id, count(*) as n from events where event_type <> 'error' and user_id not in (select user_id from events where event_type = 'purchase' and event_id % 3 = 0) group by 1")
+def resume_pending(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    done = e.where("event_type = 'purchase' and event_id % 3 = 0").select("user_id", F.lit("ok").alias("status"))
+    return shards.pending(e.where("event_type <> 'error'"), done, ["user_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))

@@ -1 +1,195 @@
+"""Queries over views of objects and over the grid of view counts."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import select as K
+from .registry import query
+from .trials import TRIALS, trials
+
+ELEVATIONS = [-90, -72, -54, -36, -18, 0, 18, 36, 54, 72, 90]
+VIEWS = "select vec_id as view, label as object, cast(embedding[1] as double) as score, 30 * (vec_id % 12) as az, ([" + ", ".join(map(str, ELEVATIONS)) + "])[cast(floor(vec_id / 12.0) as bigint) % 11 + 1] as el from embeddings"
+W = {"views": VIEWS}
+GRID = """select user_id % 40 as mesh, event_type as load, event_id % 4 as model, cast(floor(event_id / 4.0) as bigint) % 3 as prompt, event_id % 2 as view_type,
+  1 + cast(regexp_extract(props, '([0-9]+)', 1) as bigint) % 10 as k, case when event_id % 23 = 0 then null else value / 500 end as precision,
+  cast(regexp_extract(props, '([0-9]+)', 1) as double) / 100 as recall, cast(floor(value) as bigint) as n_points, cast(floor(value / 3) as bigint) as n_matched from events"""
+R = {"grid": GRID}
+
+
+def views(spark, d) -> DataFrame:
+    e, v = spark.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id")
+    return e.select(v.alias("view"), F.col("label").alias("object"), F.get("embedding", F.lit(0)).cast("double").alias("score"), (30 * (v % 12)).alias("az"), F.get(F.array(*[F.lit(x) for x in ELEVATIONS]), (F.floor(v / 12.0) % 11).cast("int")).alias("el"), "embedding")
+
+
+def grid(spark, d) -> DataFrame:
+    c, e = F.col, spark.read.parquet(f"{d}/events.parquet")
+    z = F.regexp_extract("props", "([0-9]+)", 1)
+    return e.select(
+        (c("user_id") % 40).alias("mesh"), c("event_type").alias("load"), (c("event_id") % 4).alias("model"), (F.floor(c("event_id") / 4.0) % 3).alias("prompt"), (c("event_id") % 2).alias("view_type"), (1 + z.cast("long") % 10).alias("k"),
+        F.when(c("event_id") % 23 != 0, c("value") / 500).alias("precision"), (z.cast("double") / 100).alias("recall"), F.floor("value").cast("long").alias("n_points"), F.floor(c("value") / 3).cast("long").alias("n_matched"),
+    )
+
+
+def direction(az: Column, el: Column) -> list[Column]:
+    """The unit vector towards a view."""
+    a, e = F.radians(az), F.radians(el)
+    return [F.cos(e) * F.cos(a), F.cos(e) * F.sin(a), F.sin(e)]
+
+
+def r6(x, name: str):
+    return F.round(x, 6).alias(name)
+
+
+def unit_vectors(g) -> np.ndarray:
+    a, e = np.radians(g["az"].to_numpy(float)), np.radians(g["el"].to_numpy(float))
+    return np.stack([np.cos(e) * np.cos(a), np.cos(e) * np.sin(a), np.sin(e)], axis=1)
+
+
+def top_views(spark, d, most: int = 110) -> DataFrame:
+    """The most highly scored views of each object, as many as an object's set of views has: what the greedy helpers see
+    is bounded."""
+    w = Window.partitionBy("object").orderBy(F.desc("score"), "view")
+    return views(spark, d).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place")
+
+
+def suppress(df: DataFrame, vectors, similar, last_only: bool = False) -> DataFrame:
+    return K.per_group(df, ["object"], ["-score", "view"], lambda g: K.similar_suppressed(vectors(g), similar, last_only))
+
+
+@query()
+def angle_nms(spark, d):
+    least = np.cos(np.radians(30.0))
+    return suppress(top_views(spark, d).drop("embedding"), unit_vectors, lambda a, x: a @ x > least)
+
+
+@query()
+def last_kept_nms(spark, d):
+    return suppress(top_views(spark, d).drop("embedding"), unit_vectors, lambda a, x: a @ x > 1e-9, last_only=True)
+
+
+@query()
+def cosine_nms(spark, d):
+    def vectors(g):
+        m = np.stack(g["embedding"].to_list()).astype(float)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    return suppress(top_views(spark, d), vectors, lambda a, x: a @ x >= 0.3).drop("embedding")
+
+
+@query()
+def diverse_views(spark, d):
+    """Views whose rotation lies at least 1.5 radians from those of all views kept before, by quaternions."""
+
+    def quaternions(g):
+        a, e = np.radians(g["az"].to_numpy(float)) / 2, np.radians(g["el"].to_numpy(float)) / 2
+        return np.stack([np.cos(a) * np.cos(e), -np.sin(a) * np.sin(e), np.cos(a) * np.sin(e), np.sin(a) * np.cos(e)], axis=1)
+
+    return suppress(top_views(spark, d).drop("embedding"), quaternions, lambda a, x: 2 * np.arccos(np.clip(np.abs(a @ x), 0, 1)) < 1.5)
+
+
+@query("select object, view, row_number() over (partition by object order by score desc, view) as place from views qualify place <= 20", **W)
+def rank_views(spark, d):
+    w = Window.partitionBy("object").orderBy(F.desc("score"), "view")
+    return views(spark, d).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 20").select("object", "view", "place")
+
+
+@query("select object, el, az, coalesce(s, 0) as score from (select distinct object from views) cross join (select unnest([" + ", ".join(map(str, ELEVATIONS)) + "]) as el) cross join (select 30 * r as az from range(0, 12) t(r)) left join (select object, el, az, round(max(score), 6) as s from views group by 1, 2, 3) using (object, el, az)", **W)
+def label_vectors(spark, d):
+    """A score for each object and place of the grid of views, 0 where there is no label."""
+    v = views(spark, d)
+    g = v.select("object").distinct().select("object", F.explode(F.array(*[F.lit(e) for e in ELEVATIONS])).alias("el")).select("object", "el", F.explode(F.sequence(F.lit(0), F.lit(330), F.lit(30))).alias("az"))
+    s = v.groupBy("object", "el", "az").agg(r6(F.max("score"), "s"))
+    return g.join(s, ["object", "el", "az"], "left").select("object", "el", "az", F.coalesce("s", F.lit(0.0)).alias("score"))
+
+
+@query("select view, round(-sin(radians(az)) * score + cos(radians(az)) * 0.5, 6) as u, round(-sin(radians(el)) * cos(radians(az)) * score - sin(radians(el)) * sin(radians(az)) * 0.5 + cos(radians(el)) * 0.25, 6) as v from views", **W)
+def world_to_pixel(spark, d):
+    """The point (score, 0.5, 0.25) in each view's image plane, orthographic."""
+    a, e = F.radians("az"), F.radians("el")
+    p = [F.col("score"), F.lit(0.5), F.lit(0.25)]
+    right, up = [-F.sin(a), F.cos(a), F.lit(0.0)], [-F.sin(e) * F.cos(a), -F.sin(e) * F.sin(a), F.cos(e)]
+    dot = lambda q: sum((x * y for x, y in zip(p, q, strict=True)), F.lit(0.0))
+    return views(spark, d).select("view", r6(dot(right), "u"), r6(dot(up), "v"))
+
+
+@query("select object, avg(hit) as share from (select object, case when degrees(acos(greatest(-1, least(1, cos(radians(el)) * cos(radians(az)))))) < 90 then 1.0 else 0.0 end as hit from views) group by 1".replace("avg(hit) as share", "round(avg(hit), 6) as share").replace("< 90", "< 89.9"), **W)
+def view_angles(spark, d):
+    """Share of an object's views that lie within 89.9 degrees of the x axis."""
+    x = direction(F.col("az"), F.col("el"))[0]
+    near = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))) < 89.9
+    return views(spark, d).groupBy("object").agg(r6(F.avg(F.when(near, 1.0).otherwise(0.0)), "share"))
+
+
+@query("select object, view, row_number() over (partition by object order by n, view) as place from (select object, view, sum(case when h is null then 2 when h < p - 1e-4 then 1 else 0 end) as n from (select object, view, unnest(generate_series(0, 7)) as k, case when unnest(generate_series(0, 7)) % 3 = 0 then null else cast(embedding[unnest(generate_series(0, 7)) + 1] as double) end as h, 0.0 as p from (select vec_id as view, label as object, embedding from embeddings)) group by 1, 2)")
+def occlusion_rank(spark, d):
+    """Views by how many of their points are hidden (1 each) or missed (2 each), least first."""
+    p = views(spark, d).select("object", "view", F.posexplode(F.slice("embedding", 1, 8)).alias("k", "h"))
+    hit = F.when(F.col("k") % 3 != 0, F.col("h").cast("double"))
+    n = p.groupBy("object", "view").agg(F.sum(F.when(hit.isNull(), 2).when(hit < -1e-4, 1).otherwise(0)).alias("n"))
+    return n.select("object", "view", F.row_number().over(Window.partitionBy("object").orderBy("n", "view")).cast("long").alias("place"))
+
+
+DIMS = ["model", "prompt", "view_type"]
+
+
+@query(" union all ".join(f"select '{c}' as dim, {c} as level, round(avg(precision), 6) as mean, round(stddev_samp(precision), 6) as sd, count(precision) as n from grid group by {c}" for c in DIMS), **R)
+def marginal_std(spark, d):
+    flat = grid(spark, d).select("precision", F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).alias("level")) for c in DIMS])).alias("x")).select("x.dim", "x.level", "precision")
+    return flat.groupBy("dim", "level").agg(r6(F.avg("precision"), "mean"), r6(F.stddev_samp("precision"), "sd"), F.count("precision").alias("n"))
+
+
+@query("select round(avg(sd), 6) as sensitivity, count(sd) as n_held, sum(n) as n_values from (select load, prompt, stddev_samp(m) as sd, count(*) as n from (select load, prompt, model, avg(precision) as m from grid group by 1, 2, 3) group by 1, 2)".replace("sum(n) as n_values", "cast(sum(n) as bigint) as n_values"), **R)
+def heldout_sensitivity(spark, d):
+    """Spread over models with load and prompt held, on the mean."""
+    m = grid(spark, d).groupBy("load", "prompt", "model").agg(F.avg("precision").alias("m"))
+    s = m.groupBy("load", "prompt").agg(F.stddev_samp("m").alias("sd"), F.count(F.lit(1)).alias("n"))
+    return s.agg(r6(F.avg("sd"), "sensitivity"), F.count("sd").alias("n_held"), F.sum("n").alias("n_values"))
+
+
+@query("select model, round(avg(sd), 6) as stability from (select model, load, mesh, stddev_samp(recall) as sd from grid group by 1, 2, 3) group by 1", **R)
+def stability(spark, d):
+    return grid(spark, d).groupBy("model", "load", "mesh").agg(F.stddev_samp("recall").alias("sd")).groupBy("model").agg(r6(F.avg("sd"), "stability"))
+
+
+@query("select c.model, c.load, round(c.p, 6) as mean_p, round(c.p5, 6) as p_at_5, round(c.r, 6) as mean_r, b.meshes from (select model, load, avg(p) as p, max(case when k = 5 then p end) as p5, avg(r) as r from (select model, load, k, avg(precision) as p, avg(recall) as r from grid group by 1, 2, 3) group by 1, 2) c join (select model, load, count(distinct mesh) as meshes from grid group by 1, 2) b on c.model = b.model and c.load = b.load", **R)
+def curve_summary(spark, d):
+    g, keys = grid(spark, d), ["model", "load"]
+    by_k = g.groupBy(*keys, "k").agg(F.avg("precision").alias("p"), F.avg("recall").alias("r"))
+    c = by_k.groupBy(*keys).agg(r6(F.avg("p"), "mean_p"), r6(F.max(F.when(F.col("k") == 5, F.col("p"))), "p_at_5"), r6(F.avg("r"), "mean_r"))
+    return c.join(g.groupBy(*keys).agg(F.count_distinct("mesh").alias("meshes")), keys)
+
+
+@query("select count(*) filter (where s = 2 and nulls = 0) as kept, count(*) as total from (select mesh, model, prompt, k, count(distinct view_type) as s, count(*) filter (where precision is null) as nulls from (select mesh, model % 2 as model, prompt, k, view_type, precision from (select *, cast(floor(model / 2.0) as bigint) as half from grid)) group by 1, 2, 3, 4)".replace("model % 2 as model", "cast(floor(model / 2.0) as bigint) as model"), **R)
+def paired_valid_keys(spark, d):
+    from ..operators.cohort import paired_valid_keys as valid
+
+    g = grid(spark, d).withColumn("model", F.floor(F.col("model") / 2.0))
+    return valid(g, ["mesh", "model", "prompt", "k"], "view_type", "precision").agg(F.count_if("valid").alias("kept"), F.count(F.lit(1)).alias("total"))
+
+
+@query("select model, prompt, cast(sum(n_matched) as bigint) as matched, cast(sum(n_points) as bigint) as points, round(sum(n_matched) / sum(n_points), 6) as precision from grid group by 1, 2", **R)
+def micro_by_model(spark, d):
+    return grid(spark, d).groupBy("model", "prompt").agg(F.sum("n_matched").alias("matched"), F.sum("n_points").alias("points"), r6(F.sum("n_matched") / F.sum("n_points"), "precision"))
+
+
+@query("select k, round(avg(case when view_type = 0 then recall end), 6) as ortho, round(avg(case when view_type = 1 then recall end), 6) as random from grid group by 1", **R)
+def view_curve(spark, d):
+    g = grid(spark, d).groupBy("k").pivot("view_type", [0, 1]).agg(r6(F.avg("recall"), "m"))
+    return g.select("k", F.col("0").alias("ortho"), F.col("1").alias("random"))
+
+
+@query("select max(delta) as most, count(*) as matched from (select abs(a.m - b.m) as delta from (select model, avg(precision) as m from grid group by 1) a join (select model, sum(precision) / count(precision) as m from grid group by 1) b using (model))".replace("max(delta) as most", "round(max(delta), 9) as most"), **R)
+def regression_check(spark, d):
+    """The largest difference between two ways to one table, and how many rows they share."""
+    g = grid(spark, d)
+    a, b = g.groupBy("model").agg(F.avg("precision").alias("a")), g.groupBy("model").agg((F.sum("precision") / F.count("precision")).alias("b"))
+    return a.join(b, "model").agg(F.round(F.max(F.abs(F.col("a") - F.col("b"))), 9).alias("most"), F.count(F.lit(1)).alias("matched"))
+
+
+@query("select object, load_case, round(log10(greatest(max(en), 1e-12)), 6) as size, array_to_string([cast(case when load_case = l then 1 else 0 end as varchar) for l in ['bending', 'compression', 'torsion']], '') as one_hot from trials group by object, load_case", trials=TRIALS)
+def unit_features(spark, d):
+    hot = F.concat(*[F.when(F.col("load_case") == x, "1").otherwise("0") for x in ("bending", "compression", "torsion")])
+    return trials(spark, d).groupBy("object", "load_case").agg(r6(F.log10(F.greatest(F.max("en"), F.lit(1e-12))), "size")).withColumn("one_hot", hot)
