@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import WHITE, WHITE_CHARS, cut
 
 SYMBOLS = "[#*$%&|<>]"
+#: Verdicts of up to so many hosts (some 20 MB) are broadcast.
+BROADCAST_HOSTS = 200_000
 
 
 def with_text_measures(docs: DataFrame, window: int = 5) -> DataFrame:
@@ -87,7 +89,9 @@ def judge(docs: DataFrame, host: str = "source", most_failures: float = 0.5, car
     if carry is not None:
         measured = measured.select(*dict.fromkeys([*carry, host, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]))
     measured = cut(measured)  # else each text is measured twice
-    verdicts = host_verdicts(measured, host, most_failures).select(F.col(host).alias("__host"), "host_rate", "host_ok")
+    verdicts = cut(host_verdicts(measured, host, most_failures).select(F.col(host).alias("__host"), "host_rate", "host_ok"))
+    if verdicts.count() <= BROADCAST_HOSTS:  # else rows meet their host's verdict in a shuffle, in which Spark splits hot hosts
+        verdicts = F.broadcast(verdicts)
     judged = measured.join(verdicts, measured[host].eqNullSafe(F.col("__host")), "left").drop("__host")
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).drop("host_ok")
 
