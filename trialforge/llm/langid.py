@@ -25,6 +25,8 @@ def gram_buckets(text: str) -> np.ndarray:
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n rows of +1/-1. Up to 5 classes get the exhaustive code (each split of the classes is a bit), more get a dense
     random code of which no bit is constant and no two rows are equal."""
+    if n < 2:
+        return np.zeros((n, 0), np.float32)
     if n <= 5:
         cols = [[1] + [1 if (c >> i) & 1 else -1 for i in range(n - 1)] for c in range(2 ** max(0, n - 1) - 1)]
         return np.array(cols, np.float32).reshape(-1, n).T

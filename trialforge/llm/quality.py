@@ -83,11 +83,13 @@ def host_verdicts(measured: DataFrame, host: str = "source", most_failures: floa
 
 
 def judge(docs: DataFrame, host: str = "source", most_failures: float = 0.5, carry: list[str] | None = None) -> DataFrame:
-    """docs(doc_id, text, host, ...) -> a row for each row with `carry` (else all) columns, the measures, base_failed,
-    host_rate and kept = not base_failed and the host is accepted. Repeated rows are judged one by one."""
-    measured = with_text_measures(docs)
-    if carry is not None:
-        measured = measured.select(*dict.fromkeys([*carry, host, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]))
+    """docs(doc_id, text, host, ...) -> a row for each row with the columns in `carry` (doc_id), the measures, base_failed,
+    host_rate and kept = not base_failed and the host is accepted. Repeated rows are judged one by one; other columns of
+    docs are left out, so their names can't clash. No rows give no rows."""
+    carry = ["doc_id"] if carry is None else carry
+    names = list(dict.fromkeys([*carry, host]))
+    measured = with_text_measures(docs.select(*dict.fromkeys([*names, "text"])))
+    measured = measured.select(*names, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
     measured = cut(measured)  # else each text is measured twice
     verdicts = cut(host_verdicts(measured, host, most_failures).select(F.col(host).alias("__host"), "host_rate", "host_ok"))
     if verdicts.count() <= BROADCAST_HOSTS:  # else rows meet their host's verdict in a shuffle, in which Spark splits hot hosts
