@@ -129,3 +129,52 @@ def mesh_integrity(spark, d):
     v = vertices(spark, d)
     used = faces(v).where("face % 7 <> 0").select(F.explode(F.array("a", "b", "c")).alias("id")).distinct()
     return v.withColumn("id", F.col("i") * 64 + F.col("j")).join(used, "id", "left_anti").select("i", "j")
+
+
+@query("select object, round(h, 6) as h_max, round(h / 5, 6) as h_min, round(4 * h / 5, 6) as radius, round(pow(8.485 * v / n, 1.0 / 3), 6) as floor_size from (select object, sum(volume) as v, count(*) as n, case when object = 3 then 2.5 else 20 * pow(sum(volume) / 268, 0.4) end as h from geo group by 1)", **T1)
+def size_law(spark, d):
+    """Sizes by a power law of an object's volume, unless a table of overrides has one; the radius is four least sizes."""
+    own = spark.createDataFrame([(3, 2.5)], "object int, own double")
+    g = geometry(tets(spark, d)).groupBy("object").agg(F.sum("volume").alias("v"), F.count(F.lit(1)).alias("n"))
+    h = F.coalesce("own", 20 * F.pow(F.col("v") / 268, F.lit(0.4)))
+    s = g.join(F.broadcast(own), "object", "left").withColumn("h", h)
+    return s.select("object", F.round("h", 6).alias("h_max"), F.round(F.col("h") / 5, 6).alias("h_min"), F.round(4 * F.col("h") / 5, 6).alias("radius"), F.round(F.pow(8.485 * F.col("v") / F.col("n"), F.lit(1.0 / 3)), 6).alias("floor_size"))
+
+
+@query("select cast(floor(i / 50) as bigint) as object from vertices group by 1 having count(*) >= 200 and max(z) - min(z) > 0 and (max(i) - min(i)) / (max(z) - min(z)) <= 200 and max(z) - min(z) < 1000", **M1)
+def shape_validity(spark, d):
+    """Objects with enough vertices, some extent and no extreme aspect."""
+    x, z = F.max("i") - F.min("i"), F.max("z") - F.min("z")
+    g = vertices(spark, d).groupBy(F.floor(F.col("i") / 50).cast("long").alias("object")).agg(F.count(F.lit(1)).alias("n"), x.alias("x"), z.alias("z"))
+    return g.where("n >= 200 and z > 0 and x / z <= 200 and z < 1000").select("object")
+
+
+@query("select object, sum(greatest(2, cast(ceil(sqrt((ai - bi) * (ai - bi) + (aj - bj) * (aj - bj) + (az - bz) * (az - bz)) / 0.5) as bigint))) as samples from (select e.object, p.i as ai, p.j as aj, p.z as az, q.i as bi, q.j as bj, q.z as bz from (select object, u, v from edges group by 1, 2, 3 having count(*) = 2) e join vertices p on p.i * 64 + p.j = e.u join vertices q on q.i * 64 + q.j = e.v) group by 1".replace("sum(greatest", "cast(sum(greatest").replace("as bigint))) as samples", "as bigint))) as bigint) as samples"), **M1)
+def edge_samples(spark, d):
+    """Points along shared edges, max(2, length / spacing) on each."""
+    v = vertices(spark, d)
+    at = lambda n: v.select((F.col("i") * 64 + F.col("j")).alias(n), F.struct(F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), "z").alias(f"p{n}"))
+    e = adjacency(faces(v)).join(at("u"), "u").join(at("v"), "v")
+    length = F.sqrt(sum(((F.col("pu")[a] - F.col("pv")[a]) * (F.col("pu")[a] - F.col("pv")[a]) for a in "xyz"), F.lit(0.0)))
+    n = F.greatest(F.lit(2), F.ceil(length / 0.5).cast("int"))
+    part = F.explode(F.sequence(F.lit(0), n - 1)).alias("k")
+    points = e.select("object", "pu", "pv", n.alias("n"), part).select("object", *[(F.col("pu")[a] + (F.col("pv")[a] - F.col("pu")[a]) * F.col("k") / (F.col("n") - 1)).alias(a) for a in "xyz"])
+    return points.groupBy("object").agg(F.count(F.lit(1)).alias("samples"))
+
+
+@query()
+def area_samples(spark, d):
+    """Random points on triangles, ceil(area / spacing ** 2) each, by barycentric weights from a seeded hash of the face."""
+    v = vertices(spark, d)
+    at = v.select((F.col("i") * 64 + F.col("j")).alias("id"), F.array(F.col("i").cast("double"), F.col("j").cast("double"), F.col("z")).alias("p"))
+    f = faces(v)
+    for k in "abc":
+        f = f.join(at.select(F.col("id").alias(k), F.col("p").alias(f"p{k}")), k)
+    s = lambda k, n: F.col(f"p{k}")[n] - F.col("pa")[n]
+    cross = [s("b", (n + 1) % 3) * s("c", (n + 2) % 3) - s("b", (n + 2) % 3) * s("c", (n + 1) % 3) for n in range(3)]
+    area = F.sqrt(sum((c * c for c in cross), F.lit(0.0))) / 2
+    g = f.select("object", "face", "pa", "pb", "pc", F.explode(F.sequence(F.lit(1), F.ceil(area / 0.25).cast("int"))).alias("k"))
+    u = lambda seed: F.pmod(F.xxhash64("face", "k", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    r = g.withColumn("r", F.sqrt(u(1))).withColumn("t", u(2))
+    w = {"a": 1 - F.col("r"), "b": F.col("r") * (1 - F.col("t")), "c": F.col("r") * F.col("t")}
+    return r.select("object", "face", "k", *[sum((w[q] * F.col(f"p{q}")[n] for q in "abc"), F.lit(0.0)).alias("xyz"[n]) for n in range(3)])

@@ -193,3 +193,26 @@ def regression_check(spark, d):
 def unit_features(spark, d):
     hot = F.concat(*[F.when(F.col("load_case") == x, "1").otherwise("0") for x in ("bending", "compression", "torsion")])
     return trials(spark, d).groupBy("object", "load_case").agg(r6(F.log10(F.greatest(F.max("en"), F.lit(1e-12))), "size")).withColumn("one_hot", hot)
+
+
+@query("select object, view from (select object, view, row_number() over (partition by object order by md5('5|' || cast(view as varchar)), view) as r from views where view % 11 <> 0) where r <= 4", **W)
+def random_views(spark, d):
+    """Four views of each object in random order that doesn't change, without those ruled out."""
+    v = views(spark, d).select("object", "view")
+    out = v.where("view % 11 = 0")
+    w = Window.partitionBy("object").orderBy(K.hash_order("view", seed=5), "view")
+    return v.join(out, ["object", "view"], "left_anti").withColumn("r", F.row_number().over(w)).where("r <= 4").select("object", "view")
+
+
+@query("select cast(floor(score * 4) as bigint) as col, cast(floor((az % 90) / 30) as bigint) as row, count(*) as n from views where (cast(floor(score * 4) as bigint) + cast(floor((az % 90) / 30) as bigint)) % 3 <> 0 group by 1, 2", **W)
+def rejected_cells(spark, d):
+    """Points whose grid cell isn't among the rejected ones: cell numbers by arithmetic, then an anti join."""
+    p = views(spark, d).select("view", F.floor(F.col("score") * 4).cast("long").alias("col"), F.floor((F.col("az") % 90) / 30).cast("long").alias("row"))
+    bad = p.where((F.col("col") + F.col("row")) % 3 == 0).select("col", "row").distinct()
+    return p.join(bad, ["col", "row"], "left_anti").groupBy("col", "row").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select mesh, cast(sum(n_points) as bigint) as points, sum(n_points) > 2000 as dense from grid group by 1", **R)
+def density_screen(spark, d):
+    """Objects whose number of anchors is over a threshold, before any of them is worked on."""
+    return grid(spark, d).groupBy("mesh").agg(F.sum("n_points").alias("points")).withColumn("dense", F.col("points") > 2000)
