@@ -335,3 +335,14 @@ def test_pipeline(spark, docs):
             assert ids == {i for i, r in zip(data, roots, strict=True) if data[r] != i}
     packed = p.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_class_shares_add_up():
+    rng = np.random.default_rng(6)
+    size = 300
+    class_of, final = rng.integers(0, attention.END, size).astype(np.uint8), rng.integers(0, 2, size)
+    s = lm.class_shares([rng.integers(0, size, 50) for _ in range(20)], class_of, final)
+    for context in (0, 5, attention.END):
+        logs = [s.pairs.get(context * size + i, s.plain[i] + s.back[context][class_of[i]]) for i in range(size)]
+        sums = np.bincount(class_of, weights=np.exp(logs), minlength=attention.CLASSES)
+        assert np.allclose(sums[np.bincount(class_of, minlength=attention.CLASSES) > 0], 1)
