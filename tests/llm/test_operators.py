@@ -340,9 +340,20 @@ def test_pipeline(spark, docs):
 def test_class_shares_add_up():
     rng = np.random.default_rng(6)
     size = 300
-    class_of, final = rng.integers(0, attention.END, size).astype(np.uint8), rng.integers(0, 2, size)
-    s = lm.class_shares([rng.integers(0, size, 50) for _ in range(20)], class_of, final)
-    for context in (0, 5, attention.END):
-        logs = [s.pairs.get(context * size + i, s.plain[i] + s.back[context][class_of[i]]) for i in range(size)]
-        sums = np.bincount(class_of, weights=np.exp(logs), minlength=attention.CLASSES)
-        assert np.allclose(sums[np.bincount(class_of, minlength=attention.CLASSES) > 0], 1)
+    class_of, final = rng.integers(0, attention.LAST, size).astype(np.uint8), rng.integers(0, 2, size)
+    words = {bytes([65 + k]): rng.integers(0, size, rng.integers(0, 6)).astype("<u4").tobytes() for k in range(60)}
+    s = lm.class_shares({w: k + 1 for k, w in enumerate(words)}, words.get, class_of, final)
+    sums = np.bincount(class_of, weights=np.exp(s.first), minlength=attention.CLASSES)
+    assert np.allclose(sums[np.bincount(class_of, minlength=attention.CLASSES) > 0], 1)
+    pasts = [w[: 4 * k] for w in words.values() for k in (1, 2, 3) if len(w) > 4 * k] + [np.array([size - 1, 0], "<u4").tobytes()]
+    for past in pasts:
+        assert np.isclose(sum(s.inside(past, i.to_bytes(4, "little")) for i in range(size)), 1)
+
+
+def test_codes_tell_beginnings_from_what_is_inside_words():
+    class_of, final = np.array([4, 5, 6], np.uint8), np.array([0, 1, 0])
+    ids = np.array([0, 2, 1, 1, 0, 1])
+    assert lm.coded(ids, class_of, final).tolist() == [4, attention.INSIDE, attention.LAST, 5, 4, attention.LAST]
+    assert [len(p) // 4 for p in lm.word_parts(ids.astype("<u4").tobytes(), final.tolist())] == [3, 1, 2]
+    _, targets, _ = attention.windows([lm.coded(ids, class_of, final).tobytes()])
+    assert targets[0, :6].tolist() == [4, attention.INSIDE, attention.INSIDE, 5, 4, attention.INSIDE]
