@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,3 +70,83 @@ def block_numbers(text: Column, name: str) -> Column:
 def guarded_ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0 or missing."""
     return F.when(b != 0, a / b)
+
+
+#: How names end that carry a variant and a level, and what the codes mean.
+VARIANTS = {"amberfd": "dense", "amberf": "fine"}
+LEVEL_CODES = {"100": 1.0, "125": 1.25, "160": 1.6, "200": 2.0}
+
+
+def code_label(code: Column, labels: dict) -> Column:
+    """The label of a code; null for unknown ones."""
+    return F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[code]
+
+
+def suffix_codes(name: Column) -> tuple[Column, Column]:
+    """(variant, level) of a name that ends in a variant and a level code; null where it doesn't."""
+    at = lambda i: F.regexp_extract(name, r"_(amberfd|amberf)_h([0-9]{3})$", i)
+    return code_label(at(1), VARIANTS), code_label(at(2), LEVEL_CODES)
+
+
+def object_and_load(name: Column) -> tuple[Column, Column]:
+    """(object, load case) of a name object_loadcase: the longest load case that ends the name. Empty where none does."""
+    pattern = rf"^(.+?)_{LOAD}$"
+    return F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
+
+
+def belongs_to_load(label: Column, load: str) -> Column:
+    """Whether a label is one of a load case and not of a combined one that begins with it."""
+    inside = label.startswith(load + "_") | (label == load)
+    for other in LOADS:
+        if other.startswith(load + "_"):
+            inside = inside & ~label.startswith(other)
+    return inside
+
+
+def matches_glob(text: Column, pattern: str) -> Column:
+    """Whether a whole text fits a shell pattern (*, ?, [...])."""
+    return text.rlike("^" + fnmatch.translate(pattern))
+
+
+def path_parts(path: Column) -> tuple[Column, Column, Column]:
+    """(directory, file, file without its last extension) of a path."""
+    file = F.substring_index(path, "/", -1)
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1), file, F.regexp_replace(file, r"\.[^.]*$", "")
+
+
+def view_of_name(name: Column) -> tuple[Column, Column]:
+    """(elevation, azimuth) of a view's name; null where it isn't one."""
+    at = lambda i: F.nullif(F.regexp_extract(name, r"^view_e(-?[0-9]+)_a(-?[0-9]+)", i), F.lit("")).cast("int")
+    return at(1), at(2)
+
+
+def labelled_value(line: Column) -> tuple[Column, Column]:
+    """(key, value) of a line `key: value`; null where the value isn't a number."""
+    at = lambda i: F.regexp_extract(line, r"^\s*(.*?)\s*:\s*([-+0-9.eE]+)\s*$", i)
+    return F.nullif(at(1), F.lit("")), F.nullif(at(2), F.lit("")).try_cast("double")
+
+
+def before(text: Column, marker: str) -> Column:
+    """What stands before the first marker, the whole text where there is none."""
+    return F.substring_index(text, marker, 1)
+
+
+def count_in_blocks(text: Column) -> Column:
+    """How many integers stand inside ***...*** blocks of any name."""
+    blocks = F.regexp_extract_all(text, F.lit(r"\*\*\*(.*?)\*\*\*"), 1)
+    return F.aggregate(F.transform(blocks, lambda b: F.regexp_count(b, F.lit(r"\b[0-9]+\b"))), F.lit(0), lambda a, n: a + n)
+
+
+def identified_cells(text: Column, first_only: Column) -> Column:
+    """How many cells a dictionary of lists after `Identified cell numbers:` names, or its first list only; null where
+    there is none."""
+    found = F.regexp_replace(F.nullif(F.regexp_extract(text, r"Identified cell numbers: (\{[^}]*\})", 1), F.lit("")), "'", '"')
+    sizes = F.transform(F.map_values(F.from_json(found, "map<string, array<int>>")), lambda c: F.size(c))
+    return F.when(first_only, F.coalesce(F.get(sizes, F.lit(0)), F.when(sizes.isNotNull(), 0))).otherwise(F.aggregate(sizes, F.lit(0), lambda a, n: a + n))
+
+
+def region_words(x: Column, y: Column, z: Column, edge: float = 0.15) -> Column:
+    """Where a centroid lies relative to the whole, in words."""
+    side = lambda c, up, down: F.when(c > edge, up).when(c < -edge, down)
+    words = F.concat_ws("-", side(x, "right", "left"), side(z, "front", "behind"), side(y, "top", "bottom"))
+    return F.when(words == "", "center").otherwise(words)

@@ -25,6 +25,17 @@ def complete_units(df: DataFrame, n_methods: int, unit: list[str] = UNIT, method
     return df.groupBy(*unit).agg(F.count_distinct(method).alias("n")).where(F.col("n") >= n_methods).drop("n")
 
 
+def units_with_exactly(df: DataFrame, n_methods: int, unit: list[str] = UNIT, method: str = "method") -> DataFrame:
+    """Units that have n_methods distinct methods, no more."""
+    return df.groupBy(*unit).agg(F.count_distinct(method).alias("n")).where(F.col("n") == n_methods).drop("n")
+
+
+def capped(df: DataFrame, sizes: DataFrame, on: list[str], size: str, most: float) -> DataFrame:
+    """Rows whose size is known, over 0 and at most `most`; a missing size counts as infinite."""
+    s = F.coalesce(size, F.lit(float("inf")))
+    return df.join(sizes, on, "left").withColumn(size, s).where((F.col(size) > 0) & (F.col(size) <= most))
+
+
 def units_with(df: DataFrame, needed: list[str], unit: list[str] = UNIT, method: str = "method") -> DataFrame:
     """Units that have all methods of a named set."""
     return complete_units(df.where(F.col(method).isin(*needed)), len(needed), unit, method)

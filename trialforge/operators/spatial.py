@@ -55,6 +55,17 @@ def percentile_cut(df: DataFrame, unit: Sequence[str], value: str, share: float)
     return joined.where(F.col(value) >= F.col("__cut")).drop("__cut")
 
 
+def top_share(df: DataFrame, unit: Sequence[str], value: str, share: float, least: int, tie: str) -> DataFrame:
+    """Rows at or over the percentile 1 - share of their unit; where these are fewer than `least`, the `least` largest rows.
+
+    Only units with fewer rows over their cut than `least` are ranked; the ranks below `least` are cut off early."""
+    kept = percentile_cut(df, unit, value, 1 - share)
+    small = df.select(*unit).distinct().join(kept.groupBy(*unit).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least), list(unit), "left_anti")
+    w = Window.partitionBy(*unit).orderBy(F.desc(value), tie)
+    ranked = df.join(small, list(unit), "left_semi").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= least).drop("__r")
+    return kept.join(small, list(unit), "left_anti").unionByName(ranked)
+
+
 def prf(tp_a: Column, n_a: Column, tp_b: Column, n_b: Column) -> tuple[Column, Column, Column]:
     """(precision, recall, F1) of counts; 0 where a count is 0."""
     p = F.when(n_a > 0, tp_a / n_a).otherwise(0.0)

@@ -21,4 +21,4 @@ def query(sql: str | None = None, **views: str) -> Callable:
     return add
 
 
-from . import labels, meshes, points, streams, trials, viewsets  # noqa: E402, F401
+from . import comparisons, labels, meshes, names, points, streams, trials, viewsets  # noqa: E402, F401
