@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,21 +28,56 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, bands: int = 32)
     return ranked.select(*keys, value, "same", (F.col("inside") + F.col("offset")).alias("below"), "total")
 
 
-def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, share: float = 0.05, name: str = "trimmed") -> DataFrame:
-    """(keys, name): the mean without int(share * n) rows at either end; nulls don't count."""
+def _trimmed(value: str, share: float) -> Column:
+    """Of value_ranks' rows: the mean without int(share * n) rows at either end."""
     k = F.floor(F.lit(share) * F.col("total"))
     used = F.greatest(F.lit(0), F.least(F.col("below") + F.col("same"), F.col("total") - k) - F.greatest(F.col("below"), k))
-    ranks = value_ranks(df, keys, value).withColumn("used", used)
-    return ranks.groupBy(*keys).agg((F.sum(F.col(value) * F.col("used")) / F.sum("used")).alias(name))
+    return F.sum(F.col(value) * used) / F.sum(used)
+
+
+def _quantile(value: str, share: float) -> Column:
+    """Of value_ranks' rows: the value at share * (n - 1), linear between two rows."""
+    at = F.lit(share) * (F.col("total") - 1)
+    pick = lambda i: F.max(F.when((F.col("below") <= i) & (i < F.col("below") + F.col("same")), F.col(value)))
+    low, high = pick(F.floor(at)), pick(F.ceil(at))
+    return low + (high - low) * F.max(at - F.floor(at))
+
+
+def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, share: float = 0.05, name: str = "trimmed") -> DataFrame:
+    """(keys, name): the mean without int(share * n) rows at either end; nulls don't count."""
+    return value_ranks(df, keys, value).groupBy(*keys).agg(_trimmed(value, share).alias(name))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], trim: dict[str, float] | None = None) -> DataFrame:
+    """(keys, names): exact linear quantiles, and trimmed means by name and share; nulls don't count.
+
+    From ranks, so that no task holds all values of a group, as the built-in percentile does. Groups without a value
+    have no row, but where keys is empty there is always one."""
+    r = value_ranks(df, keys, value)
+    return r.groupBy(*keys).agg(*[_quantile(value, q).alias(n) for n, q in shares.items()], *[_trimmed(value, t).alias(n) for n, t in (trim or {}).items()])
+
+
+def top_n(df: DataFrame, keys: Sequence[str], value: str, tie: str, n: DataFrame) -> DataFrame:
+    """Rows of df among the n largest values of their group; n is a table (keys, n). Ties at the limit go by `tie`.
+
+    Values over the limit are found from ranks; only rows that tie at the limit are ordered."""
+    keys = list(keys)
+    larger = F.col("total") - F.col("below") - F.col("same")
+    r = value_ranks(df, keys, value).join(n, keys).where(larger < F.col("n"))
+    r = r.select(*keys, value, (F.col("n") - larger).alias("__room"), (larger + F.col("same") > F.col("n")).alias("__tied"))
+    rows = df.join(r, [*keys, value])
+    place = F.row_number().over(Window.partitionBy(*keys, value).orderBy(tie))
+    tied = rows.where("__tied").withColumn("__place", place).where("__place <= __room").drop("__place")
+    return rows.where("not __tied").unionByName(tied).drop("__room", "__tied").select(*df.columns)
 
 
 def leaderboard(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n, vm_trimmed, vm_median, en_trimmed, en_median, cells_mean, cells_median) of trials."""
-    plain = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("vm", F.lit(0.5)).alias("vm_median"), F.percentile("en", F.lit(0.5)).alias("en_median"), F.avg("n_cells").alias("cells_mean"), F.percentile("n_cells", F.lit(0.5)).alias("cells_median")
-    )
     keys = list(keys)
-    return plain.join(trimmed_mean(df, keys, "vm", name="vm_trimmed"), keys, "left").join(trimmed_mean(df, keys, "en", name="en_trimmed"), keys, "left")
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("n_cells").alias("cells_mean"))
+    for v in ("vm", "en"):
+        out = out.join(quantiles(df, keys, v, {f"{v}_median": 0.5}, {f"{v}_trimmed": 0.05}), keys, "left")
+    return out.join(quantiles(df, keys, "n_cells", {"cells_median": 0.5}), keys, "left")
 
 
 def signed_rank(diffs: DataFrame, keys: Sequence[str], diff: str = "d") -> DataFrame:

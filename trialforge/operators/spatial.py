@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
+from .robust import quantiles
 
 XYZ = ("x", "y", "z")
 
@@ -50,7 +51,7 @@ def boundary_trim(df: DataFrame, unit: Sequence[str], load: str, share: float =
 
 def percentile_cut(df: DataFrame, unit: Sequence[str], value: str, share: float) -> DataFrame:
     """Rows at or over the exact linear percentile of their unit."""
-    cut = df.groupBy(*unit).agg(F.percentile(value, F.lit(share)).alias("__cut"))
+    cut = quantiles(df, unit, value, {"__cut": share})
     joined = df.join(cut, list(unit)) if unit else df.join(F.broadcast(cut))
     return joined.where(F.col(value) >= F.col("__cut")).drop("__cut")
 
@@ -104,6 +105,8 @@ def nearest(queries: DataFrame, targets: DataFrame, unit: str, first_radius: flo
 
 
 def min_max(df: DataFrame, unit: Sequence[str], value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*unit)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(name, F.when(hi > lo, (F.col(value) - lo) / (hi - lo)).otherwise(0.0))
+    """Adds value scaled to 0..1 in its unit, 0 where the unit is flat. Limits are aggregated and joined: no unit is
+    gathered in a task."""
+    limits = df.groupBy(*unit).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    lo, hi = F.col("__lo"), F.col("__hi")
+    return df.join(limits, list(unit)).withColumn(name, F.when(hi > lo, (F.col(value) - lo) / (hi - lo)).otherwise(0.0)).drop("__lo", "__hi")

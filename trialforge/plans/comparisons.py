@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cohort as C
@@ -88,14 +88,12 @@ def coverage_tiers(spark, d):
     """Distances in sizes from the hottest points to the nearest anchor, for two tiers: the first 20, and one in 100 (20 at least)."""
     p = points(spark, d)
     hot = p.where("grp = 'error'")
-    n = hot.groupBy("unit").agg(F.greatest(F.lit(20), F.ceil(F.count(F.lit(1)) / 100.0)).alias("most"))
-    # what can't be among the hottest 2 of 100 or 40 rows needs no rank
-    likely = S.top_share(hot, ["unit"], "val", 0.02, 40, "pid")
-    w = Window.partitionBy("unit").orderBy(F.desc("val"), "pid")
-    ranked = likely.withColumn("place", F.row_number().over(w)).join(n, "unit").where("place <= most")
-    dist = S.nearest(ranked, anchors(p), "unit").select("unit", "pid", "dist")
-    tier = F.array_compact(F.array(F.when(F.col("place") <= 20, "top20"), F.lit("share")))
-    t = ranked.join(dist, ["unit", "pid"]).select("unit", F.explode(tier).alias("tier"), (F.col("dist") / F.col("r")).alias("dist"))
+    n = hot.groupBy("unit").agg(F.greatest(F.lit(20), F.ceil(F.count(F.lit(1)) / 100.0)).alias("n"))
+    share = R.top_n(hot, ["unit"], "val", "pid", n)
+    first = F.broadcast(R.top_n(hot, ["unit"], "val", "pid", n.withColumn("n", F.lit(20))).select("unit", "pid", F.lit("top20").alias("first")))  # 20 a unit
+    dist = S.nearest(share, anchors(p), "unit").select("unit", "pid", "dist")
+    tier = F.array_compact(F.array("first", F.lit("share")))
+    t = share.join(dist, ["unit", "pid"]).join(first, ["unit", "pid"], "left").select("unit", F.explode(tier).alias("tier"), (F.col("dist") / F.col("r")).alias("dist"))
     within = [r6(F.avg(F.when(F.col("dist") <= k, 1.0).otherwise(0.0)), f"within{k}") for k in (1, 2, 4)]
     return t.groupBy("unit", "tier").agg(F.count(F.lit(1)).alias("n"), r6(F.percentile("dist", F.lit(0.5)), "median"), r6(F.percentile("dist", F.lit(0.9)), "p90"), r6(F.max("dist"), "worst"), *within)
 

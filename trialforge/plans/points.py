@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import robust as R
 from ..operators import select as K
 from ..operators import spatial as S
 from .registry import query
@@ -27,7 +28,7 @@ def points(spark, d) -> DataFrame:
     c = F.col
     seconds = F.unix_timestamp(c("ts").cast("timestamp"))
     return e.select(
-        c("event_id").alias("pid"), c("event_type").alias("grp"), (c("user_id") % 5).alias("unit"), (c("user_id") % 100).cast("double").alias("x"),
+        c("event_id").alias("pid"), c("user_id").alias("object"), c("event_type").alias("grp"), (c("user_id") % 5).alias("unit"), (c("user_id") % 100).cast("double").alias("x"),
         ((seconds % 86400) / 864.0).alias("y"), F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("z"), c("value").alias("val"), (8.0 + c("user_id") % 5).cast("double").alias("r"),
     )
 
@@ -202,9 +203,11 @@ def point_dedup(spark, d):
 
 @query("select pid from (select *, sum(case when inside then 1 else 0 end) over (partition by unit, grp) as n from (select *, y > min(y) over (partition by unit) + 2 * r and y < max(y) over (partition by unit) - 2 * r as inside from points)) where inside or n < 10", **P)
 def band_exclusion(spark, d):
-    w, g = Window.partitionBy("unit"), Window.partitionBy("unit", "grp")
-    inside = (F.col("y") > F.min("y").over(w) + 2 * F.col("r")) & (F.col("y") < F.max("y").over(w) - 2 * F.col("r"))
-    return points(spark, d).withColumn("inside", inside).withColumn("n", F.count_if("inside").over(g)).where("inside or n < 10").select("pid")
+    p = points(spark, d)
+    inside = (F.col("y") > F.col("lo_y") + 2 * F.col("r")) & (F.col("y") < F.col("hi_y") - 2 * F.col("r"))
+    p = p.join(S.bounds(p, ["unit"]), "unit").withColumn("inside", inside)
+    n = p.groupBy("unit", "grp").agg(F.count_if("inside").alias("n"))
+    return p.join(n, ["unit", "grp"]).where("inside or n < 10").select("pid")
 
 
 @query("select pid, round((val - min(val) over w) / (max(val) over w - min(val) over w), 6) as scaled from points window w as (partition by unit)", **P)
@@ -217,8 +220,7 @@ def topn_matched(spark, d):
     """As many anchors of each unit, the hottest first, as it has hot points."""
     p = points(spark, d)
     n = truth(p).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("unit").orderBy(F.desc("val"), "pid")
-    return anchors(p).withColumn("r", F.row_number().over(w)).join(n, "unit").where("r <= n").select("pid", "unit")
+    return R.top_n(anchors(p), ["unit"], "val", "pid", n).select("pid", "unit")
 
 
 @query("select g, v from (select g, var_pop(pow(val / m, g)) as v from (select val, max(val) over () as m from points) cross join (values (0.5), (1.0), (2.0), (3.0)) t(g) group by 1) order by v desc limit 1".replace("select g, v from", "select g, round(v, 9) as v from"), **P)
@@ -231,20 +233,21 @@ def contrast_gamma(spark, d):
 
 @query()
 def density_thinning(spark, d):
-    p = points(spark, d).select("unit", "pid", "x", "y", "z")
-    return K.per_group(p, ["unit"], ["pid"], lambda g: K.greedy_spread(g[["x", "y", "z"]].to_numpy(), 5.0))
+    """By object: what a task orders is one object's points."""
+    p = points(spark, d).select("object", "pid", "x", "y", "z")
+    return K.per_group(p, ["object"], ["pid"], lambda g: K.greedy_spread(g[["x", "y", "z"]].to_numpy(), 5.0))
 
 
 @query()
 def spread_selection(spark, d):
-    p = points(spark, d).select("unit", "pid", "x", "y", "z", "val")
-    return K.per_group(p, ["unit"], ["-val", "pid"], lambda g: K.greedy_spread(g[["x", "y", "z"]].to_numpy(), 8.0, 50))
+    p = points(spark, d).select("object", "pid", "x", "y", "z", "val")
+    return K.per_group(p, ["object"], ["-val", "pid"], lambda g: K.greedy_spread(g[["x", "y", "z"]].to_numpy(), 8.0, 50))
 
 
 @query()
 def farthest_points(spark, d):
-    gt = truth(points(spark, d)).select("unit", "pid", "x", "y", "z")
-    return K.per_group(gt, ["unit"], ["pid"], lambda g: K.farthest_points(g[["x", "y", "z"]].to_numpy(), 20))
+    hot = points(spark, d).where("val > 50").select("object", "pid", "x", "y", "z")
+    return K.per_group(hot, ["object"], ["pid"], lambda g: K.farthest_points(g[["x", "y", "z"]].to_numpy(), 20))
 
 
 @query()
@@ -274,13 +277,13 @@ def pixel_clusters(spark, d):
 @query()
 def assignment_match(spark, d):
     p = points(spark, d)
-    both = p.where("grp in ('error', 'click') and val > 80").select("unit", "grp", "pid", "x", "y", "z")
+    both = p.where("grp in ('error', 'click') and val > 80").select("object", "grp", "pid", "x", "y", "z")
 
     def match(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("pid")
         a, b = (g[g.grp == k][["x", "y", "z"]].to_numpy() for k in ("click", "error"))
         m = K.greedy_matching(a, b, 10.0)
         dist = np.array([x[2] for x in m])
-        return pd.DataFrame({"unit": [g["unit"].iloc[0]], "tp": [len(m)], "fp": [len(a) - len(m)], "fn": [len(b) - len(m)], "mean": [dist.mean() if m else None], "rmse": [float(np.sqrt((dist**2).mean())) if m else None]})
+        return pd.DataFrame({"object": [g["object"].iloc[0]], "tp": [len(m)], "fp": [len(a) - len(m)], "fn": [len(b) - len(m)], "mean": [dist.mean() if m else None], "rmse": [float(np.sqrt((dist**2).mean())) if m else None]})
 
-    return both.groupBy("unit").applyInPandas(match, "unit long, tp long, fp long, fn long, mean double, rmse double")
+    return both.groupBy("object").applyInPandas(match, "object long, tp long, fp long, fn long, mean double, rmse double")

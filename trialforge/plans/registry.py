@@ -19,6 +19,3 @@ def query(sql: str | None = None, **views: str) -> Callable:
         return f
 
     return add
-
-
-from . import comparisons, labels, meshes, names, points, streams, trials, viewsets  # noqa: E402, F401
