@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, bands: int = 32) -> DataFrame:
     """(keys, value, same, below, total): for each distinct value of a group, how many rows have it, how many are
@@ -74,6 +76,7 @@ def top_n(df: DataFrame, keys: Sequence[str], value: str, tie: str, n: DataFrame
 def leaderboard(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n, vm_trimmed, vm_median, en_trimmed, en_median, cells_mean, cells_median) of trials."""
     keys = list(keys)
+    df = cut(df.select(*keys, "vm", "en", "n_cells"))  # else what df rests on is worked out for each statistic
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("n_cells").alias("cells_mean"))
     for v in ("vm", "en"):
         out = out.join(quantiles(df, keys, v, {f"{v}_median": 0.5}, {f"{v}_trimmed": 0.05}), keys, "left")
