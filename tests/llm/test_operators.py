@@ -107,6 +107,14 @@ def test_near_duplicates_of_hard_rows(hard, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_keeps_a_row_of_each_group(spark):
+    a, b, c, d = ("alpha beta gamma delta epsilon " * 9, "one two three four five six " * 9, "red green blue white black grey " * 9, "north south east west up down " * 9)
+    rows = [(None, a, 1), (None, b, 2), (None, a, 3), (7, c, 4), (7, d, 5), (7, d, 6), (8, d, 7), (None, c, 8)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3))
+    assert kept.columns == ["doc_id", "text", "n"]
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == sorted([(0, a), (0, b), (7, c), (7, d)])
+
+
 def test_language_of_held_out_documents(docs, hard, none):
     got = {r["doc_id"]: r for r in rows_of(langid.identify(docs))}
     held = [r for r in docs.select("doc_id", "lang").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]

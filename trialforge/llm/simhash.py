@@ -194,8 +194,11 @@ def hex_of(column: str) -> Column:
 
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4) -> DataFrame:
-    """docs without all but one document of each near-duplicate group: the one with the smallest doc_id stays. All
-    columns stay as they are. Of several rows with that id, one stays; a null id stays only where its group has no other."""
-    found = near_duplicates(docs.select("doc_id", "text"), words_per_shingle, radius)
-    kept = found.select(F.col("component_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    """docs with one row of each near-duplicate group: that of the smallest doc_id, and of several texts of that id the one
+    of the least hash. All columns stay as they are. A null id stays only where its group has no other; one id may stay in
+    several groups."""
+    # a row is known by its id and text: its group hangs on the text alone, so that groups never share a key
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary")))
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key.alias("row")).alias("doc_id"), "text")
+    kept = near_duplicates(rows, words_per_shingle, radius).select(F.col("component_id.row").alias("__row")).distinct()
+    return docs.withColumn("__row", key).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
