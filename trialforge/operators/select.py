@@ -4,11 +4,12 @@ Each is a small numpy helper on one group (a unit's or object's candidates), app
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -114,6 +115,43 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], choose: Callable
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def suppressed(df: DataFrame, key: str, order: list[Column], vectors: Callable[[pd.DataFrame], np.ndarray], similar: Callable[[np.ndarray, np.ndarray], np.ndarray], last_only: bool = False, block: int = 256) -> DataFrame:
+    """Rows of each group that similar_suppressed keeps of all its rows, with seq. Rows come in order and are met in blocks:
+    a task holds a block and the vectors kept so far, however large a group is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # kept grows by doubling, so that a row more costs no copy of all before
+        now, kept, n, seq = None, np.zeros((0, 0)), 0, 0
+        for whole in batches:
+            for a in range(0, whole.num_rows, block):
+                batch = whole.slice(a, block)
+                g = batch.to_pandas()
+                x, keys, at, numbers = vectors(g), batch.column(key).to_pylist(), [], []
+                starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+                for i, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+                    if seq == 0 or keys[i] != now:
+                        now, kept, n, seq = keys[i], np.zeros((64, x.shape[1])), 0, 0
+                    free = np.arange(i, end)
+                    if n and not last_only:
+                        free = free[~similar(kept[:n], x[i:end].T).any(0)]
+                    first = n
+                    for j in free.tolist():
+                        against = kept[max(0, n - 1) : n] if last_only else kept[first:n]
+                        if len(against) and similar(against, x[j]).any():
+                            continue
+                        if n == len(kept) and not last_only:
+                            kept = np.concatenate((kept, np.zeros_like(kept)))
+                        n = 1 if last_only else n + 1
+                        kept[n - 1] = x[j]
+                        seq += 1
+                        at.append(j)
+                        numbers.append(seq)
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "seq"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", seq long"
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def hash_order(*columns: str, seed: int = 0):
     """A key of random order that any engine can repeat: md5 of the seed and the columns."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))

@@ -48,26 +48,33 @@ def unit_vectors(g) -> np.ndarray:
     return np.stack([np.cos(e) * np.cos(a), np.cos(e) * np.sin(a), np.sin(e)], axis=1)
 
 
-def top_views(spark, d, most: int = 110) -> DataFrame:
-    """The most highly scored views of each object, as many as an object's set of views has: what the greedy helpers see
-    is bounded."""
-    w = Window.partitionBy("object").orderBy(F.desc("score"), "view")
-    return views(spark, d).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place")
+def ranked() -> Column:
+    """Views are ranked by score, those without one last, then by number."""
+    return F.when(~F.isnan("score"), F.col("score"))
+
+
+def best_at_places(spark, d) -> DataFrame:
+    """The first view of each object at each place of the grid of views. What is similar to one view is similar to all at
+    its place, so those after it are suppressed with it or by it."""
+    v = views(spark, d).drop("embedding")
+    best = v.groupBy("object", "el", "az").agg(F.min_by(F.struct("view", "score"), F.struct(ranked().isNull(), -ranked(), "view")).alias("b"))
+    return best.select("b.view", "object", "b.score", "az", "el")
 
 
 def suppress(df: DataFrame, vectors, similar, last_only: bool = False) -> DataFrame:
-    return K.per_group(df, ["object"], ["-score", "view"], lambda g: K.similar_suppressed(vectors(g), similar, last_only))
+    return K.suppressed(df, "object", [ranked().desc_nulls_last(), F.col("view")], vectors, similar, last_only)
 
 
 @query()
 def angle_nms(spark, d):
     least = np.cos(np.radians(30.0))
-    return suppress(top_views(spark, d).drop("embedding"), unit_vectors, lambda a, x: a @ x > least)
+    return suppress(best_at_places(spark, d), unit_vectors, lambda a, x: a @ x > least)
 
 
 @query()
 def last_kept_nms(spark, d):
-    return suppress(top_views(spark, d).drop("embedding"), unit_vectors, lambda a, x: a @ x > 1e-9, last_only=True)
+    """A place may be kept again once another one was kept, so all views are met."""
+    return suppress(views(spark, d).drop("embedding"), unit_vectors, lambda a, x: a @ x > 1e-9, last_only=True)
 
 
 @query()
@@ -76,7 +83,7 @@ def cosine_nms(spark, d):
         m = np.stack(g["embedding"].to_list()).astype(float)
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
-    return suppress(top_views(spark, d), vectors, lambda a, x: a @ x >= 0.3).drop("embedding")
+    return suppress(views(spark, d), vectors, lambda a, x: a @ x >= 0.3).drop("embedding")
 
 
 @query()
@@ -87,7 +94,7 @@ def diverse_views(spark, d):
         a, e = np.radians(g["az"].to_numpy(float)) / 2, np.radians(g["el"].to_numpy(float)) / 2
         return np.stack([np.cos(a) * np.cos(e), -np.sin(a) * np.sin(e), np.cos(a) * np.sin(e), np.sin(a) * np.cos(e)], axis=1)
 
-    return suppress(top_views(spark, d).drop("embedding"), quaternions, lambda a, x: 2 * np.arccos(np.clip(np.abs(a @ x), 0, 1)) < 1.5)
+    return suppress(best_at_places(spark, d), quaternions, lambda a, x: 2 * np.arccos(np.clip(np.abs(a @ x), 0, 1)) < 1.5)
 
 
 @query("select object, view, row_number() over (partition by object order by score desc, view) as place from views qualify place <= 20", **W)
