@@ -234,6 +234,19 @@ def test_attention_is_causal_and_sums_to_one():
         assert abs((values[0] - values[1]) / 2e-5 - g[k][at]) < 1e-5
 
 
+def test_leaks_of_short_items_between_other_words(spark):
+    """9 of an item's 16 words among 15 others: benchmark words hold under 0.4 of each window's weight."""
+    items = [(i, " ".join(f"q{i}x{j}" for j in range(12)) + ". " + " ".join(f"r{i}x{j}" for j in range(4)) + ".") for i in range(20)]
+    fill = lambda i, n: [f"z{i}x{j}" for j in range(n)]
+    kept = lambda i: [items[i][1].split()[j] for j in (0, 2, 4, 6, 9, 12, 13, 14, 15)]
+    mixed = lambda i: [x for pair in zip(kept(i), fill(i, 9), strict=True) for x in pair]
+    rows = [(i, " ".join(fill(50 + i, 60) + mixed(i) + fill(100 + i, 66))) for i in range(10)] + [(200 + i, " ".join(fill(200 + i, 150))) for i in range(50)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    # at 24 words a window the 9 words hold 9 / 24
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()} == {(i, i) for i in range(10)}
+    assert decontam.keep_clean(df, bench).count() == 50
+
+
 def test_leaks(spark, docs, hard, none):
     rng = np.random.default_rng(4)
     items = [(i, " ".join(f"q{rng.integers(3000)}" for _ in range(25)) + ". The answer is " + " ".join(f"r{rng.integers(500)}" for _ in range(4)) + ".") for i in range(30)]

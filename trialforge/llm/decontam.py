@@ -52,6 +52,11 @@ class Benchmark:
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the last is that of all other words
     basis: np.ndarray = field(default_factory=lambda: np.zeros(0))  # words x rank, scaled by idf
     vectors: np.ndarray = field(default_factory=lambda: np.zeros(0))  # passages x rank
+    #: by word from first[word] to first[word + 1]: items that it tells and how often; by item: how many words tell it
+    first: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    tells: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    times: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    lengths: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def numbers(self, text: bytes | None) -> np.ndarray:
         words = words_of(text)
@@ -65,8 +70,7 @@ class Benchmark:
         return np.append(np.arange(0, n - self.window, step), n - self.window)
 
     def near(self, w: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, lengths) of windows of which words of the benchmark hold at least `least` of the TF-IDF weight; no
-        window below that can have a cosine of its square root or more with any passage."""
+        """(starts, lengths) of windows that have words of the benchmark, which hold at least `least` of the TF-IDF weight."""
         starts = self.windows(len(w))
         weight = self.idf[w] ** 2
         known = np.concatenate(([0.0], np.cumsum(np.where(w >= 0, weight, 0.0))))
@@ -76,6 +80,27 @@ class Benchmark:
         keep = (inside > 0) & (inside >= least * (total[ends] - total[starts]))
         return starts[keep], (ends - starts)[keep]
 
+    def telling(self, item: int) -> np.ndarray:
+        """The words that tell an item: its content words, or all where there are under three."""
+        words = self.words[item]
+        return words[self.content[words]] if self.content[words].sum() >= 3 else words
+
+    def index(self) -> None:
+        """Which items each word tells and how often it stands there, for covered()."""
+        told = [self.telling(i) for i in range(len(self.words))]
+        self.lengths = np.array([len(t) for t in told])
+        each = np.concatenate(told).astype(np.int64) * len(told) + np.repeat(np.arange(len(told)), self.lengths)
+        each, self.times = np.unique(each, return_counts=True)
+        self.tells = each % len(told)
+        self.first = np.searchsorted(each // len(told), np.arange(len(self.vocabulary) + 1))
+
+    def covered(self, w: np.ndarray, least: float) -> np.ndarray:
+        """Items of which at least `least` of the telling words stand in a text; a common subsequence has no more."""
+        u = np.unique(w[w >= 0])
+        a, n = self.first[u], self.first[u + 1] - self.first[u]
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.flatnonzero(np.bincount(self.tells[at], self.times[at], len(self.lengths)) / self.lengths >= least)
+
 
 def load_block(rows: list, window: int) -> Benchmark:
     vocabulary: dict[bytes, int] = {}
@@ -110,12 +135,13 @@ def sketch_rows(b: Benchmark, rows: list[np.ndarray], omega: np.ndarray, out: np
     out[words[words >= 0]] += sums[words >= 0]
 
 
-def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, seed: int = 11) -> DataFrame:
-    """Fits the block and returns (doc_id, words) of the documents that have a window near some passage.
+def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, likely: float, seed: int = 11) -> DataFrame:
+    """Fits the block and returns (doc_id, words) of the documents that hold `likely` of the telling words of some item;
+    no other can pass the subsequence check.
 
     IDF counts all documents. Then one round of a randomised SVD: A'(A omega) is summed over the passages of the
-    benchmark and the windows of all documents that lie near it (others can't be candidates), and an orthonormal basis
-    of its range spans the latent space (a rotation to the singular vectors would change no cosine). What reaches the
+    benchmark and the windows of all documents that lie near it (which fits the basis and rules out no candidate), and an
+    orthonormal basis of its range spans the latent space (a rotation to the singular vectors would change no cosine). What reaches the
     driver is words x rank sums, of the block's words only. Texts are read once; their word numbers are kept."""
     spark, size, kind = docs.sparkSession, len(block.vocabulary), docs.schema["doc_id"].dataType.simpleString()
     held = spark.sparkContext.broadcast(block)
@@ -142,6 +168,7 @@ def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, seed:
         df[r.word] = r.n
     block.idf = np.log((df[size] + 1) / (df + 1)) + 0.05
     block.content = block.idf[:size] > 1.0
+    block.index()
     # of other words only this is known: they are as rare as words of the benchmark are on the mean
     block.idf[size] = block.idf[:size].mean()
     rank = min(rank, size)
@@ -155,9 +182,10 @@ def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, seed:
             keep, rows = [], []
             for k, t in enumerate(batch.column(1)):
                 w = np.frombuffer(t.as_py(), np.int32)
+                if len(b.covered(w, likely)):
+                    keep.append(k)
                 starts, sizes = b.near(w, share)
                 if len(starts):
-                    keep.append(k)
                     rows += [w[a : a + n] for a, n in zip(starts, sizes, strict=True)]
                     if len(rows) > 2000:
                         sketch_rows(b, rows, o, y)
@@ -187,35 +215,44 @@ def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, seed:
 def leaks(b: Benchmark, w: np.ndarray, share: float, cosine: float, sure: float, likely: float) -> list[tuple[int, float, float, bool]]:
     """(item, cosine, share of the item's content words in the longest common subsequence with the text around the
     windows that are near it, whether the answer is there) of the items that a text leaks."""
-    starts, sizes = b.near(w, share)
-    if not len(starts):
+    items = b.covered(w, likely)
+    if not len(items):
         return []
+    passages = np.flatnonzero(np.isin([p[0] for p in b.passages], items))
+    vectors = b.vectors[passages]
+    starts, sizes = b.near(w, 0.0)
+    strong = np.isin(starts, b.near(w, share)[0])
     z = np.array([b.basis[x[x >= 0]].sum(0) for x in (w[a : a + n] for a, n in zip(starts, sizes, strict=True))], np.float32)
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-    regions: dict[int, list[list[int]]] = {}
+    regions: dict[int, list[int]] = {}
     best: dict[int, float] = {}
     for i in range(0, len(z), 4096):
-        cos = z[i : i + 4096] @ b.vectors.T
+        cos = z[i : i + 4096] @ vectors.T
         for k, p in zip(*np.nonzero(cos >= cosine), strict=True):
-            item, a, n = b.passages[p][0], int(starts[i + k]), int(sizes[i + k])
-            room = len(b.words[item])
-            a, end = max(0, a - room), a + n + room
+            item = b.passages[passages[p]][0]
             best[item] = max(best.get(item, 0.0), float(cos[k, p]))
-            spans = regions.setdefault(item, [])
-            if spans and a <= spans[-1][1] - room:
-                spans[-1][1] = max(end, spans[-1][1])
-            else:
-                spans.append([a, end])
+            regions.setdefault(item, []).append(i + k)
     found = []
-    for item, spans in regions.items():
-        words, answer, top = b.words[item], b.answers[item], (0.0, False)
-        if b.content[words].sum() >= 3:
-            words = words[b.content[words]]
+    for item, at in regions.items():
+        words, answer, top = b.telling(item), b.answers[item], (0.0, False)
         if b.content[answer].sum() >= 2:
             answer = answer[b.content[answer]]
         else:  # it has too little of its own to be told by: the last content words stand for it
             answer = words[-4:]
+        room, told, spans = len(b.words[item]), np.zeros(len(b.vocabulary) + 1, bool), []
+        told[words] = True
+        hits, reach = np.concatenate(([0], np.cumsum(told[w]))), -1
+        for i in np.unique(at):
+            a, end = max(0, int(starts[i]) - room), int(starts[i] + sizes[i]) + room
+            # strong windows side by side share a region; the others don't: by them long texts meet common words by chance
+            if strong[i] and 0 <= reach and a <= spans[reach][1] - room:
+                spans[reach][1] = max(end, spans[reach][1])
+                continue
+            reach = len(spans) if strong[i] else reach
+            spans.append([a, end])
         for a, end in spans:
+            if hits[min(end, len(w))] - hits[a] < likely * len(words):
+                continue
             part = common_length(words, w[a:end]) / len(words)
             if part >= likely:
                 top = max(top, (part, common_length(answer, w[a:end]) >= 0.75 * len(answer)))
@@ -226,19 +263,20 @@ def leaks(b: Benchmark, w: np.ndarray, share: float, cosine: float, sure: float,
 
 def fitted_blocks(docs: DataFrame, benchmark: DataFrame, window: int, rank: int, share: float, block_bytes: int) -> Iterator[tuple[Benchmark, DataFrame]]:
     """Blocks of items of about `block_bytes` of text each, so that what is broadcast has a bound, each with the
-    documents that have a window near it."""
+    documents that may leak some of it."""
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").toLocalIterator()
         if (block := load_block(list(rows), window)).ids:
-            near = fit_block(docs, block, rank, share)
+            near = fit_block(docs, block, rank, share, LIKELY)
             yield block, near
 
 
-#: A window is near if words of the benchmark hold SHARE of its TF-IDF weight; then COSINE makes it a candidate. An item
-#: leaks if SURE of its content words are there in order, or LIKELY and its answer.
+#: Words of the benchmark hold SHARE of the TF-IDF weight of strong windows: the basis is fitted on them, and those side by
+#: side are taken as one; other windows are candidates as well. COSINE makes a window of
+#: a text that has LIKELY of an item's content words a candidate. An item leaks if SURE of its content words are there in order, or LIKELY and its answer.
 SHARE, COSINE, SURE, LIKELY = 0.4, 0.5, 0.7, 0.5
 
 
