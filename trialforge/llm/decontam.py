@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut
 
@@ -21,15 +22,20 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(None, DROPPED).split()
 
 
-def common_length(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two sequences of word numbers (negative: equal to nothing), one
-    machine-word operation per word of b on the bits of a."""
+def place_masks(a: np.ndarray) -> dict[int, int]:
+    """The places of each word number of a sequence as bits (negative numbers are equal to nothing)."""
     masks: dict[int, int] = {}
     for i, w in enumerate(a.tolist()):
         if w >= 0:
             masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
+    return masks
+
+
+def common_length(a: np.ndarray, b: np.ndarray, masks: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence of two sequences of word numbers, one machine-word operation per word of
+    b on the bits of a; masks are place_masks(a)."""
+    masks = place_masks(a) if masks is None else masks
+    v = full = (1 << len(a)) - 1
     for w in b.tolist():
         if m := masks.get(w):
             u = v & m
@@ -41,7 +47,7 @@ def common_length(a: np.ndarray, b: np.ndarray) -> int:
 class Benchmark:
     """Items of one block. Passages are windows of the items; vectors are unit TF-IDF rows in the latent space."""
 
-    ids: list[int]
+    ids: list
     words: list[np.ndarray]  # of each item, as numbers in `vocabulary`
     answers: list[np.ndarray]  # the last sentence of each item
     #: words x True for those that carry content: others are too common to tell an item by
@@ -52,11 +58,14 @@ class Benchmark:
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the last is that of all other words
     basis: np.ndarray = field(default_factory=lambda: np.zeros(0))  # words x rank, scaled by idf
     vectors: np.ndarray = field(default_factory=lambda: np.zeros(0))  # passages x rank
-    #: by word from first[word] to first[word + 1]: items that it tells and how often; by item: how many words tell it
+    #: by word from first[word] to first[word + 1]: items that it tells; by item: how many telling words a leak needs, the
+    #: length of the stretches in which they count, and where its passages lie
     first: np.ndarray = field(default_factory=lambda: np.zeros(0))
     tells: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    times: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    lengths: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    needs: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    reach: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    passage: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    checks: dict[int, tuple] = field(default_factory=dict)  # what check() worked out, by item
 
     def numbers(self, text: bytes | None) -> np.ndarray:
         words = words_of(text)
@@ -85,21 +94,43 @@ class Benchmark:
         words = self.words[item]
         return words[self.content[words]] if self.content[words].sum() >= 3 else words
 
-    def index(self) -> None:
-        """Which items each word tells and how often it stands there, for covered()."""
+    def answer(self, item: int) -> np.ndarray:
+        """The content words of its answer; where that has too little of its own, the last content words stand for it."""
+        words = self.answers[item]
+        return words[self.content[words]] if self.content[words].sum() >= 2 else self.telling(item)[-4:]
+
+    def check(self, item: int) -> tuple:
+        """The telling words and the answer of an item, each with its place_masks."""
+        if item not in self.checks:
+            words, answer = self.telling(item), self.answer(item)
+            self.checks[item] = words, place_masks(words), answer, place_masks(answer)
+        return self.checks[item]
+
+    def index(self, likely: float) -> None:
+        """Which items each word tells, for stretches(): a leak has at least `likely` of an item's telling words."""
         told = [self.telling(i) for i in range(len(self.words))]
-        self.lengths = np.array([len(t) for t in told])
-        each = np.concatenate(told).astype(np.int64) * len(told) + np.repeat(np.arange(len(told)), self.lengths)
-        each, self.times = np.unique(each, return_counts=True)
+        lengths = np.array([len(t) for t in told])
+        self.needs = np.maximum(1, np.ceil(likely * lengths - 1e-9)).astype(np.int64)
+        self.reach = np.array([self.window + 2 * len(w) for w in self.words])
+        each = np.unique(np.concatenate(told).astype(np.int64) * len(told) + np.repeat(np.arange(len(told)), lengths))
         self.tells = each % len(told)
         self.first = np.searchsorted(each // len(told), np.arange(len(self.vocabulary) + 1))
-
-    def covered(self, w: np.ndarray, least: float) -> np.ndarray:
-        """Items of which at least `least` of the telling words stand in a text; a common subsequence has no more."""
-        u = np.unique(w[w >= 0])
+        self.passage = np.searchsorted([p[0] for p in self.passages], np.arange(len(told) + 1))
+
+    def stretches(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(items, places, first): telling words of items in a text, sorted, and the numbers of those at which a stretch
+        of the item's reach begins that holds as many as a leak needs. A common subsequence has no more words than that,
+        and a stretch in which one is long enough needn't begin before its first word: no other can pass the check."""
+        at = np.flatnonzero(w >= 0)
+        u = w[at]
         a, n = self.first[u], self.first[u + 1] - self.first[u]
-        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.flatnonzero(np.bincount(self.tells[at], self.times[at], len(self.lengths)) / self.lengths >= least)
+        item = self.tells[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        order = np.argsort(item, kind="stable")
+        item, at = item[order], np.repeat(at, n)[order]
+        last = np.arange(len(item)) + self.needs[item] - 1
+        first = np.flatnonzero(last < len(item))
+        last = last[first]
+        return item, at, first[(item[last] == item[first]) & (at[last] - at[first] < self.reach[item[first]])]
 
 
 def load_block(rows: list, window: int) -> Benchmark:
@@ -136,8 +167,8 @@ def sketch_rows(b: Benchmark, rows: list[np.ndarray], omega: np.ndarray, out: np
 
 
 def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, likely: float, seed: int = 11) -> DataFrame:
-    """Fits the block and returns (doc_id, words) of the documents that hold `likely` of the telling words of some item;
-    no other can pass the subsequence check.
+    """Fits the block and returns (doc_id, words) of the documents that have a stretch() of some item; no other can pass
+    the subsequence check.
 
     IDF counts all documents. Then one round of a randomised SVD: A'(A omega) is summed over the passages of the
     benchmark and the windows of all documents that lie near it (which fits the basis and rules out no candidate), and an
@@ -168,7 +199,7 @@ def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, likely
         df[r.word] = r.n
     block.idf = np.log((df[size] + 1) / (df + 1)) + 0.05
     block.content = block.idf[:size] > 1.0
-    block.index()
+    block.index(likely)
     # of other words only this is known: they are as rare as words of the benchmark are on the mean
     block.idf[size] = block.idf[:size].mean()
     rank = min(rank, size)
@@ -182,7 +213,7 @@ def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, likely
             keep, rows = [], []
             for k, t in enumerate(batch.column(1)):
                 w = np.frombuffer(t.as_py(), np.int32)
-                if len(b.covered(w, likely)):
+                if len(b.stretches(w)[2]):
                     keep.append(k)
                 starts, sizes = b.near(w, share)
                 if len(starts):
@@ -206,59 +237,58 @@ def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, likely
     for r in found.where("word is not null").groupBy("word").agg(add).toLocalIterator():
         y[r.word] += r.y
     basis, _ = np.linalg.qr(y)
-    block.basis = (block.idf[:size, None] * basis).astype(np.float32)
+    # the last row, of words that no item has, is zero
+    block.basis = np.concatenate((block.idf[:size, None] * basis, np.zeros((1, rank)))).astype(np.float32)
     vectors = np.array([block.basis[block.words[i][a:z]].sum(0) for i, a, z in block.passages], np.float32)
     block.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    held.destroy()
+    fitted.destroy()
     return found.where("words is not null").select("doc_id", "words")
 
 
-def leaks(b: Benchmark, w: np.ndarray, share: float, cosine: float, sure: float, likely: float) -> list[tuple[int, float, float, bool]]:
-    """(item, cosine, share of the item's content words in the longest common subsequence with the text around the
-    windows that are near it, whether the answer is there) of the items that a text leaks."""
-    items = b.covered(w, likely)
-    if not len(items):
+def leaks(b: Benchmark, w: np.ndarray, cosine: float, sure: float) -> list[tuple[int, float, float, bool]]:
+    """(item, cosine, share, whether the answer is there) of the items that a text leaks.
+
+    A candidate is a stretch of an item's reach that meets a window whose latent cosine with a passage of the item is at
+    least `cosine`. It is a leak if `sure` of the item's telling words are a common subsequence with it, or as many as a
+    leak needs at least and three quarters of the answer. The share is that of the stretch with most, on ties with the
+    answer."""
+    item_of, places, first = b.stretches(w)
+    if not len(first):
         return []
-    passages = np.flatnonzero(np.isin([p[0] for p in b.passages], items))
-    vectors = b.vectors[passages]
-    starts, sizes = b.near(w, 0.0)
-    strong = np.isin(starts, b.near(w, share)[0])
-    z = np.array([b.basis[x[x >= 0]].sum(0) for x in (w[a : a + n] for a, n in zip(starts, sizes, strict=True))], np.float32)
-    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-    regions: dict[int, list[int]] = {}
-    best: dict[int, float] = {}
-    for i in range(0, len(z), 4096):
-        cos = z[i : i + 4096] @ vectors.T
-        for k, p in zip(*np.nonzero(cos >= cosine), strict=True):
-            item = b.passages[passages[p]][0]
-            best[item] = max(best.get(item, 0.0), float(cos[k, p]))
-            regions.setdefault(item, []).append(i + k)
-    found = []
-    for item, at in regions.items():
-        words, answer, top = b.telling(item), b.answers[item], (0.0, False)
-        if b.content[answer].sum() >= 2:
-            answer = answer[b.content[answer]]
-        else:  # it has too little of its own to be told by: the last content words stand for it
-            answer = words[-4:]
-        room, told, spans = len(b.words[item]), np.zeros(len(b.vocabulary) + 1, bool), []
-        told[words] = True
-        hits, reach = np.concatenate(([0], np.cumsum(told[w]))), -1
-        for i in np.unique(at):
-            a, end = max(0, int(starts[i]) - room), int(starts[i] + sizes[i]) + room
-            # strong windows side by side share a region; the others don't: by them long texts meet common words by chance
-            if strong[i] and 0 <= reach and a <= spans[reach][1] - room:
-                spans[reach][1] = max(end, spans[reach][1])
-                continue
-            reach = len(spans) if strong[i] else reach
-            spans.append([a, end])
-        for a, end in spans:
-            if hits[min(end, len(w))] - hits[a] < likely * len(words):
+    found: dict[int, tuple[float, float, bool]] = {}
+    grid, items, starts = b.windows(len(w)), item_of[first], places[first]
+    # stretches of an item that overlap form a region
+    edge = np.flatnonzero((np.diff(items) != 0) | (np.diff(starts) >= b.reach[items[1:]])) + 1
+    for low, high in zip(np.append(0, edge).tolist(), np.append(edge, len(items)).tolist(), strict=True):
+        item, a = int(items[low]), int(starts[low])
+        words, masks, answer, answer_masks = b.check(item)
+        need, reach = int(b.needs[item]), int(b.reach[item])
+        z = min(len(w), int(starts[high - 1]) + reach)
+        at = places[first[low] : np.searchsorted(item_of, item, side="right")]
+        at = at[: np.searchsorted(at, z)]
+        told = w[at]
+        if common_length(words, told, masks) < need:
+            continue
+        # windows that meet the region, their vectors from running sums
+        near = grid[np.searchsorted(grid, a - b.window, side="right") : np.searchsorted(grid, z)]
+        left, right = int(near[0]), min(len(w), int(near[-1]) + b.window)
+        sums = np.concatenate((np.zeros((1, b.basis.shape[1])), np.cumsum(b.basis[w[left:right]], axis=0, dtype=np.float64)))
+        ends = np.minimum(near + b.window, len(w))
+        vectors = sums[ends - left] - sums[near - left]
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        cos = (vectors @ b.vectors[b.passage[item] : b.passage[item + 1]].T).max(1)
+        near, ends, cos = near[cos >= cosine], ends[cos >= cosine], cos[cos >= cosine]
+        for start in starts[low:high].tolist() if len(near) else ():
+            part = told[np.searchsorted(at, start) : np.searchsorted(at, start + reach)]
+            if (n := common_length(words, part, masks)) < need:
                 continue
-            part = common_length(words, w[a:end]) / len(words)
-            if part >= likely:
-                top = max(top, (part, common_length(answer, w[a:end]) >= 0.75 * len(answer)))
-        if top[0] >= sure or (top[0] >= likely and top[1]):
-            found.append((item, best[item], *top))
-    return found
+            meets = cos[(near < start + reach) & (ends > start)]
+            has_answer = common_length(answer, part, answer_masks) >= 0.75 * len(answer)
+            if len(meets) and (has_answer or n >= sure * len(words)):
+                best, *most = found.get(item, (0.0, 0.0, False))
+                found[item] = max(float(meets.max()), best), *max((n / len(words), has_answer), tuple(most))
+    return [(item, *found[item]) for item in sorted(found)]
 
 
 def fitted_blocks(docs: DataFrame, benchmark: DataFrame, window: int, rank: int, share: float, block_bytes: int) -> Iterator[tuple[Benchmark, DataFrame]]:
@@ -274,9 +304,8 @@ def fitted_blocks(docs: DataFrame, benchmark: DataFrame, window: int, rank: int,
             yield block, near
 
 
-#: Words of the benchmark hold SHARE of the TF-IDF weight of strong windows: the basis is fitted on them, and those side by
-#: side are taken as one; other windows are candidates as well. COSINE makes a window of
-#: a text that has LIKELY of an item's content words a candidate. An item leaks if SURE of its content words are there in order, or LIKELY and its answer.
+#: The basis is fitted on windows of which the benchmark's words hold SHARE of the TF-IDF weight; any window can be a
+#: candidate. COSINE, SURE and LIKELY: see leaks(); LIKELY is the share of the telling words that a leak needs at least.
 SHARE, COSINE, SURE, LIKELY = 0.4, 0.5, 0.7, 0.5
 
 
@@ -286,19 +315,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank:
 
     Null and empty texts leak nothing; null ids of documents stay null; items without an id or words are left out;
     repeated items are items of their own, with the same item_id."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, cosine double, overlap double, has_answer boolean"
+    kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    schema = f"doc_id {kind}, item_id {item_kind}, cosine double, overlap double, has_answer boolean"
     out = docs.sparkSession.createDataFrame([], schema)
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     for block, near in fitted_blocks(docs, benchmark, window, rank, SHARE, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             b = held.value
             for batch in batches:
-                rows = [(k, *x) for k, t in enumerate(batch.column(1)) for x in leaks(b, np.frombuffer(t.as_py(), np.int32), SHARE, COSINE, SURE, LIKELY)]
+                rows = [(k, *x) for k, t in enumerate(batch.column(1)) for x in leaks(b, np.frombuffer(t.as_py(), np.int32), COSINE, SURE)]
                 at, item, cos, part, answer = zip(*rows, strict=True) if rows else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([b.ids[i] for i in item], pa.int64()), pa.array(cos, pa.float64()), pa.array(part, pa.float64()), pa.array(answer, pa.bool_())],
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([b.ids[i] for i in item], item_type), pa.array(cos, pa.float64()), pa.array(part, pa.float64()), pa.array(answer, pa.bool_())],
                     names=["doc_id", "item_id", "cosine", "overlap", "has_answer"],
                 )
 
@@ -316,7 +346,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank: in
             b = held.value
             for batch in batches:
                 texts = ((t.as_py() or "").encode("utf-8", "replace") for t in batch.column("text"))
-                yield batch.filter(pa.array([not leaks(b, b.numbers(t), SHARE, COSINE, SURE, LIKELY) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([not leaks(b, b.numbers(t), COSINE, SURE) for t in texts], pa.bool_()))
 
         left = left.mapInArrow(run, docs.schema)
     return left
