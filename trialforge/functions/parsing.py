@@ -21,7 +21,7 @@ def method_of(candidate: Column, load_case: Column) -> Column:
         F.when(candidate.isin("coarse", "zz_coarse", "zz_oracle"), candidate)
         .when(candidate.startswith("heuristic_baseline_DENSE_") & candidate.endswith("_sub"), F.lit("heuristic_sub"))
         .when(candidate.startswith("heuristic_mech_") & candidate.endswith("_sub"), F.lit("mech_sub"))
-        .when(proposed, F.lit("grefem_max"))
+        .when(proposed, F.lit("proposed_max"))
     )
 
 

@@ -33,10 +33,10 @@ def size_cap(spark, d):
     return C.capped(trials(spark, d).select("object").distinct(), size, ["object"], "size", 1950.0)
 
 
-@query("select h_scale, count(*) as n, round(avg(a - b), 6) as mean_d, round(quantile_cont(a - b, 0.5), 6) as median_d from (select object, load_case, h_scale, avg(case when method = 'grefem_max' then vm end) as a, avg(case when method = 'zz_oracle' then vm end) as b from swept group by 1, 2, 3) where a is not null and b is not null group by 1", **S1)
+@query("select h_scale, count(*) as n, round(avg(a - b), 6) as mean_d, round(quantile_cont(a - b, 0.5), 6) as median_d from (select object, load_case, h_scale, avg(case when method = 'proposed_max' then vm end) as a, avg(case when method = 'zz_oracle' then vm end) as b from swept group by 1, 2, 3) where a is not null and b is not null group by 1", **S1)
 def paired_by_level(spark, d):
     """Differences of two methods by unit and level, in one pass."""
-    p = R.paired(swept(spark, d), [*UNIT, "h_scale"], "method", "grefem_max", "zz_oracle", "vm")
+    p = R.paired(swept(spark, d), [*UNIT, "h_scale"], "method", "proposed_max", "zz_oracle", "vm")
     return p.groupBy("h_scale").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("d"), "mean_d"), r6(F.percentile("d", F.lit(0.5)), "median_d"))
 
 
@@ -48,10 +48,10 @@ def fine_precision(spark, d):
     return case.groupBy("object").agg(r6(F.sum("loc") / F.greatest(F.sum("fine"), F.lit(1)), "prec"), F.count(F.lit(1)).alias("n"), r6(F.avg("fine"), "mean_fine"), r6(F.percentile("fine", F.lit(0.5)), "median_fine"))
 
 
-@query("select load_case, count(*) as n, round(avg(case when a < b then 1.0 else 0.0 end), 6) as win, round(quantile_cont(a / nullif(b, 0), 0.5), 6) as median_ratio from (select object, load_case, avg(case when method = 'grefem_max' then en end) as a, avg(case when method = 'heuristic_sub' then en end) as b from ok group by 1, 2) where a is not null and b is not null group by 1", **V)
+@query("select load_case, count(*) as n, round(avg(case when a < b then 1.0 else 0.0 end), 6) as win, round(quantile_cont(a / nullif(b, 0), 0.5), 6) as median_ratio from (select object, load_case, avg(case when method = 'proposed_max' then en end) as a, avg(case when method = 'heuristic_sub' then en end) as b from ok group by 1, 2) where a is not null and b is not null group by 1", **V)
 def pair_ratio(spark, d):
     """How often one method is below the other, and the median of their ratios; a ratio to 0 is none."""
-    p = R.paired(ok(spark, d), UNIT, "method", "grefem_max", "heuristic_sub", "en")
+    p = R.paired(ok(spark, d), UNIT, "method", "proposed_max", "heuristic_sub", "en")
     return p.groupBy("load_case").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.when(F.col("a") < F.col("b"), 1.0).otherwise(0.0)), "win"), r6(F.percentile(F.when(F.col("b") != 0, F.col("a") / F.col("b")), F.lit(0.5)), "median_ratio"))
 
 

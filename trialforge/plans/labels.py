@@ -12,7 +12,7 @@ from .registry import query
 from .trials import TRIALS, trials
 
 CANDIDATES = """select *, 'refined_mesh/' || candidate || case when h_scale = 1.0 then '' when h_scale = 2.0 then '_hs2' else '_hs' || cast(h_scale as varchar) end || case when seq % 2 = 0 then '_fine2_mesh' else '' end || '_refined.msh' as candidate_msh from (
-  select *, case when seq % 31 = 0 then 'unknown_label' when method = 'grefem_max' then load_case || '_gemini-3_geo_maxprompt_ortho_5views_11grid_1run'
+  select *, case when seq % 31 = 0 then 'unknown_label' when method = 'proposed_max' then load_case || '_gemini-3_geo_maxprompt_ortho_5views_11grid_1run'
     when method = 'heuristic_sub' then 'heuristic_baseline_DENSE_dihedral30.0deg_sub' when method = 'mech_sub' then 'heuristic_mech_dihedral30.0deg_' || load_case || '_sub' else method end as candidate from trials)"""
 C1 = {"trials": TRIALS, "candidates": CANDIDATES}
 LOGS = """select seq, seq % 8 as worker, case when seq % 5 = 0 then 'noise ' || object when seq % 5 = 1 then '[DONE] ' || object when seq % 5 = 2 then '[progress] ' || cast(seq % 97 as varchar) || '/97 objects done'
@@ -28,7 +28,7 @@ def view(spark, d, sql: str) -> DataFrame:
     return spark.sql(re.sub(r"''(\w+)''", r"\'\1\'", sql.replace("from trials", "from __trials")).replace("varchar", "string"))
 
 
-@query("select seq, case when candidate in ('coarse', 'zz_coarse', 'zz_oracle') then candidate when candidate like 'heuristic_baseline_DENSE_%_sub' then 'heuristic_sub' when candidate like 'heuristic_mech_%_sub' then 'mech_sub' when candidate like load_case || '\\_gemini%\\_geo\\_maxprompt\\_ortho\\_5views%' escape '\\' then 'grefem_max' end as family from candidates", **C1)
+@query("select seq, case when candidate in ('coarse', 'zz_coarse', 'zz_oracle') then candidate when candidate like 'heuristic_baseline_DENSE_%_sub' then 'heuristic_sub' when candidate like 'heuristic_mech_%_sub' then 'mech_sub' when candidate like load_case || '\\_gemini%\\_geo\\_maxprompt\\_ortho\\_5views%' escape '\\' then 'proposed_max' end as family from candidates", **C1)
 def canonical_method(spark, d):
     c = view(spark, d, CANDIDATES)
     return c.select("seq", X.method_of(F.col("candidate"), F.col("load_case")).alias("family"))

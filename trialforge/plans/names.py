@@ -46,7 +46,7 @@ def split_object_load(spark, d):
     return paths(spark, d).select("seq", obj.alias("object"), load.alias("load_case"))
 
 
-@query("select load_case as load, count(*) as n, count(*) filter (where candidate like '%prompt\\_ortho%' escape '\\') as fits from candidates where method = 'grefem_max' and seq % 31 <> 0 and load_case in ('bending', 'compression', 'torsion') group by 1", **C1)
+@query("select load_case as load, count(*) as n, count(*) filter (where candidate like '%prompt\\_ortho%' escape '\\') as fits from candidates where method = 'proposed_max' and seq % 31 <> 0 and load_case in ('bending', 'compression', 'torsion') group by 1", **C1)
 def labels_of_load(spark, d):
     """Labels by the plain load case they belong to: those of combined ones, which begin with it, don't count."""
     loads = ("bending", "compression", "torsion")
@@ -55,9 +55,9 @@ def labels_of_load(spark, d):
     return c.groupBy("load").agg(F.count(F.lit(1)).alias("n"), F.count_if(X.matches_glob(F.col("candidate"), "*prompt_ortho*")).alias("fits"))
 
 
-@query("select case method when 'coarse' then 'initial' when 'zz_oracle' then 'oracle' when 'grefem_max' then 'proposed' end as label, count(*) as n from trials group by 1", trials=TRIALS)
+@query("select case method when 'coarse' then 'initial' when 'zz_oracle' then 'oracle' when 'proposed_max' then 'proposed' end as label, count(*) as n from trials group by 1", trials=TRIALS)
 def code_labels(spark, d):
-    labels = {"coarse": "initial", "zz_oracle": "oracle", "grefem_max": "proposed"}
+    labels = {"coarse": "initial", "zz_oracle": "oracle", "proposed_max": "proposed"}
     return trials(spark, d).groupBy(X.code_label(F.col("method"), labels).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -9,7 +9,7 @@ from ..operators import cohort as C
 from ..operators import robust as R
 from .registry import query
 
-METHODS = ["coarse", "grefem_max", "heuristic_sub", "mech_sub", "zz_coarse", "zz_oracle"]
+METHODS = ["coarse", "proposed_max", "heuristic_sub", "mech_sub", "zz_coarse", "zz_oracle"]
 LEVELS = [1.0, 1.25, 1.6, 2.0]
 UNIT = C.UNIT
 
@@ -17,7 +17,7 @@ TRIALS = """
 select cast(user_id as string) as object, user_id,
   case event_type when 'error' then 'bending' when 'click' then 'compression' when 'purchase' then 'torsion'
     when 'view' then 'bending_compression' else 'torsion_compression' end as load_case,
-  case event_id % 6 when 0 then 'coarse' when 1 then 'grefem_max' when 2 then 'heuristic_sub' when 3 then 'mech_sub'
+  case event_id % 6 when 0 then 'coarse' when 1 then 'proposed_max' when 2 then 'heuristic_sub' when 3 then 'mech_sub'
     when 4 then 'zz_coarse' else 'zz_oracle' end as method,
   case cast(floor(event_id / 6.0) as bigint) % 4 when 0 then 1.0e0 when 1 then 1.25e0 when 2 then 1.6e0 else 2.0e0 end as h_scale,
   case when event_id % 29 = 0 then null else value / 100 end as vm,
@@ -131,14 +131,14 @@ def scope_leaderboard(spark, d):
     return board(firsts(spark, d).withColumn("scope", F.explode(scope)), ["scope", "method"])
 
 
-PAIRS = "select a.object, a.load_case, b.method, a.vm - b.vm as d from firsts a join firsts b on a.object = b.object and a.load_case = b.load_case where a.method = 'grefem_max' and b.method <> 'grefem_max' and a.vm is not null and b.vm is not null"
+PAIRS = "select a.object, a.load_case, b.method, a.vm - b.vm as d from firsts a join firsts b on a.object = b.object and a.load_case = b.load_case where a.method = 'proposed_max' and b.method <> 'proposed_max' and a.vm is not null and b.vm is not null"
 
 
 def pairs(spark, d) -> DataFrame:
-    """Differences of grefem_max to each other method, per unit: the proposed value is spread over the unit by a sum of one row."""
+    """Differences of proposed_max to each other method, per unit: the proposed value is spread over the unit by a sum of one row."""
     f = firsts(spark, d).where("vm is not null")
-    own = f.groupBy(*UNIT).agg(F.max(F.when(F.col("method") == "grefem_max", F.col("vm"))).alias("own"))
-    return f.where(F.col("method") != "grefem_max").join(own.where("own is not null"), UNIT).select(*UNIT, "method", (F.col("own") - F.col("vm")).alias("d"))
+    own = f.groupBy(*UNIT).agg(F.max(F.when(F.col("method") == "proposed_max", F.col("vm"))).alias("own"))
+    return f.where(F.col("method") != "proposed_max").join(own.where("own is not null"), UNIT).select(*UNIT, "method", (F.col("own") - F.col("vm")).alias("d"))
 
 
 @query("select method, count(*) as n, round(avg(d), 6) as mean_d, round(quantile_cont(d, 0.5), 6) as median_d, round(avg(case when d < -0.01 then 1.0 else 0.0 end), 6) as win, round(avg(case when d > 0.01 then 1.0 else 0.0 end), 6) as loss, round(avg(case when abs(d) <= 0.01 then 1.0 else 0.0 end), 6) as tie from pairs group by 1", **F1, pairs=PAIRS)
@@ -159,10 +159,10 @@ def signed_rank(spark, d):
     return rounded(R.signed_rank(pairs(spark, d), ["method"]), "z")
 
 
-@query("select load_case, round(sum(case when method = 'coarse' then vm end) / count(case when method = 'coarse' then vm end), 6) as coarse, round((avg(case when method = 'coarse' then vm end) - avg(case when method = 'grefem_max' then vm end)) / (avg(case when method = 'coarse' then vm end) - avg(case when method = 'zz_oracle' then vm end) + 1e-12), 4) as closed from firsts group by 1", **F1)
+@query("select load_case, round(sum(case when method = 'coarse' then vm end) / count(case when method = 'coarse' then vm end), 6) as coarse, round((avg(case when method = 'coarse' then vm end) - avg(case when method = 'proposed_max' then vm end)) / (avg(case when method = 'coarse' then vm end) - avg(case when method = 'zz_oracle' then vm end) + 1e-12), 4) as closed from firsts group by 1", **F1)
 def gap_closed(spark, d):
-    m = {k: F.avg(F.when(F.col("method") == k, F.col("vm"))) for k in ("coarse", "grefem_max", "zz_oracle")}
-    return firsts(spark, d).groupBy("load_case").agg(F.round(m["coarse"], 6).alias("coarse"), F.round((m["coarse"] - m["grefem_max"]) / (m["coarse"] - m["zz_oracle"] + 1e-12), 4).alias("closed"))
+    m = {k: F.avg(F.when(F.col("method") == k, F.col("vm"))) for k in ("coarse", "proposed_max", "zz_oracle")}
+    return firsts(spark, d).groupBy("load_case").agg(F.round(m["coarse"], 6).alias("coarse"), F.round((m["coarse"] - m["proposed_max"]) / (m["coarse"] - m["zz_oracle"] + 1e-12), 4).alias("closed"))
 
 
 @query("select load_case, count(*) as n, round(avg(a - b), 6) as mean_d from (select object, load_case, avg(case when method like 'zz%' then vm end) as a, avg(case when method like '%_sub' then vm end) as b from ok group by 1, 2) where a is not null and b is not null group by 1", **V)
