@@ -58,10 +58,11 @@ class Benchmark:
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the last is that of all other words
     basis: np.ndarray = field(default_factory=lambda: np.zeros(0))  # words x rank, scaled by idf
     vectors: np.ndarray = field(default_factory=lambda: np.zeros(0))  # passages x rank
-    #: by word from first[word] to first[word + 1]: items that it tells; by item: how many telling words a leak needs, the
-    #: length of the stretches in which they count, and where its passages lie
+    #: by word from first[word] to first[word + 1]: items that it tells and how often; by item: how many telling words a leak
+    #: needs, the length of the stretches in which they count, and where its passages lie
     first: np.ndarray = field(default_factory=lambda: np.zeros(0))
     tells: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    times: np.ndarray = field(default_factory=lambda: np.zeros(0))
     needs: np.ndarray = field(default_factory=lambda: np.zeros(0))
     reach: np.ndarray = field(default_factory=lambda: np.zeros(0))
     passage: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -112,25 +113,43 @@ class Benchmark:
         lengths = np.array([len(t) for t in told])
         self.needs = np.maximum(1, np.ceil(likely * lengths - 1e-9)).astype(np.int64)
         self.reach = np.array([self.window + 2 * len(w) for w in self.words])
-        each = np.unique(np.concatenate(told).astype(np.int64) * len(told) + np.repeat(np.arange(len(told)), lengths))
+        each, self.times = np.unique(np.concatenate(told).astype(np.int64) * len(told) + np.repeat(np.arange(len(told)), lengths), return_counts=True)
         self.tells = each % len(told)
         self.first = np.searchsorted(each // len(told), np.arange(len(self.vocabulary) + 1))
         self.passage = np.searchsorted([p[0] for p in self.passages], np.arange(len(told) + 1))
 
     def stretches(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(items, places, first): telling words of items in a text, sorted, and the numbers of those at which a stretch
-        of the item's reach begins that holds as many as a leak needs. A common subsequence has no more words than that,
-        and a stretch in which one is long enough needn't begin before its first word: no other can pass the check."""
+        of the item's reach begins that holds as many as a leak needs, each at most as often as the item does. A common
+        subsequence has no more words than that, and a stretch in which one is long enough needn't begin before its
+        first word: no other can pass the check."""
         at = np.flatnonzero(w >= 0)
         u = w[at]
         a, n = self.first[u], self.first[u + 1] - self.first[u]
-        item = self.tells[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        pair = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, at = self.tells[pair], np.repeat(at, n)
         order = np.argsort(item, kind="stable")
-        item, at = item[order], np.repeat(at, n)[order]
+        pair, item, at = pair[order], item[order], at[order]
         last = np.arange(len(item)) + self.needs[item] - 1
         first = np.flatnonzero(last < len(item))
         last = last[first]
-        return item, at, first[(item[last] == item[first]) & (at[last] - at[first] < self.reach[item[first]])]
+        first = first[(item[last] == item[first]) & (at[last] - at[first] < self.reach[item[first]])]
+        if not len(first):
+            return item, at, first
+        # where a word stood as often before as the item has it: in a stretch from there on it is one too many
+        by_pair = np.argsort(pair, kind="stable")
+        same = pair[by_pair]
+        back = np.arange(len(same)) - self.times[same]
+        before = np.full(len(same), -1)
+        again = (back >= 0) & (same[back] == same)
+        before[by_pair[again]] = at[by_pair[back[again]]]
+        span = len(w) + 1
+        ends = np.searchsorted(item * span + at, item[first] * span + np.minimum(at[first] + self.reach[item[first]], span - 1))
+        sizes = ends - first
+        begin = np.cumsum(sizes) - sizes
+        inside = np.repeat(first - begin, sizes) + np.arange(sizes.sum())
+        counts = np.add.reduceat(before[inside] < np.repeat(at[first], sizes), begin, dtype=np.int64)
+        return item, at, first[counts >= self.needs[item[first]]]
 
 
 def load_block(rows: list, window: int) -> Benchmark:
