@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.conftest import SF
+from tests.llm.test_brute import kept_by_pairs
+from tests.llm.test_tokens import plain_best_fit
 
 from trialforge.llm import attention, attribution, chat, decontam, extraction, langid, lm, packing, quality, simhash, urlfilter
 from trialforge.llm.common import connected_components, vocabulary_path
@@ -297,7 +299,7 @@ def test_reply_trees(spark):
     assert {k: [x for _, x in sorted(v)] for k, v in paths.items()} == {(1, 3): [1, 2, 3], (1, 5): [1, 2, 4, 5], (2, 7): [7]}
     made = {r.conv_id: r for r in chat.format_trees(m).collect()}
     assert chat.read_turns(made[1].formatted) == [("system", "s"), ("user", "u"), ("assistant", "good"), ("user", "more")]
-    assert [made[1].formatted[a : a + n] for a, n in zip(made[1].loss_starts, made[1].loss_lengths, strict=True)] == ["good"] and set(made) == {1, 2}
+    assert [made[1].formatted[a : a + n] for a, n in zip(made[1].loss_starts, made[1].loss_lengths, strict=True)] == ["good"] and set(made) == {1, 2, None}
     with pytest.raises(ValueError):
         chat.format_trees(spark.createDataFrame([(1, 1, 2, "user", "a", 0.0), (1, 2, 1, "user", "b", 0.0)], m.schema))
     assert chat.format_trees(m.limit(0)).count() == 0
@@ -339,23 +341,39 @@ def test_packing(docs, hard, none):
 
 
 def test_pipeline(spark, docs):
+    """Each stage on its own input against a plain version; the operators' own plain versions are in test_brute."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as p
 
     assert [n for n, _ in p.STAGES] == ["quality rules", "language ID", "SimHash near-dedup", "benchmark decontamination", "best-fit packing"]
-    kept, before = docs, None
+    kept, bench = docs, spark.read.parquet(f"{SF}/benchmark.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
     for name, stage in p.STAGES[:-1]:
         before, kept = kept, stage(spark, kept, SF).cache()
         assert kept.columns == docs.columns and 0 < kept.count() <= before.count()
-        ids = {r.doc_id for r in before.collect()} - {r.doc_id for r in kept.collect()}
-        texts = {r.doc_id: r.text for r in docs.collect()}
+        rows = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
+        stay = {r.doc_id for r in kept.collect()}
         if name == "quality rules":
-            assert ids == {i for i, t in texts.items() if (m := plain_measures(t))[0] < 10 or 100 * m[4] > 20 * m[0]}
+            failed = lambda m: m[0] < 10 or 100 * m[4] > 20 * m[0]
+            want = {i for i, t in rows if not failed(plain_measures(t))}
+        if name == "language ID":
+            want = {r.doc_id for r in langid.identify(before).where("lang_pred <> 'und' and not ambiguous").collect()}
         if name == "SimHash near-dedup":
-            data = sorted(r.doc_id for r in before.collect())
-            roots = plain_components([plain_fingerprint(texts[i]) for i in data])
-            assert ids == {i for i, r in zip(data, roots, strict=True) if data[r] != i}
-    packed = p.run(spark, SF)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
+            want = {rows[i][0] for i in kept_by_pairs(rows)}
+        if name == "benchmark decontamination":
+            want = {i for i, _ in rows} - {r.doc_id for r in decontam.contaminated(before, bench).collect()}
+        assert stay == want
+    packed = p.run(spark, SF).collect()
+    tokenizer, bins = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json")), collections.defaultdict(int)
+    sizes = {i: len(tokenizer.encode(texts[i], add_special_tokens=False).ids) + 1 for i in stay}
+    total = collections.Counter()
+    for r in packed:
+        bins[r.sequence_id] += r.length
+        total[r.doc_id] += r.length
+    assert total == sizes and max(bins.values()) <= 2048
+    pieces = [n for s in sizes.values() for n in (*[2048] * (s // 2048), *([s % 2048] if s % 2048 else []))]
+    assert len(bins) == len(plain_best_fit(pieces, 2048))
 
 
 def test_class_shares_add_up():

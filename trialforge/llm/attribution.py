@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import vocabulary_path
 
+#: Runs of white space (by the Unicode property) that the pattern's engine can't be trusted with.
+LONG_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{5000,}")
+
 _ENCODERS: dict[str, tuple] = {}
 
 
@@ -30,6 +34,18 @@ def encoder(path: str) -> tuple:
     return _ENCODERS[path]
 
 
+def encode(encoding, text: str) -> list[int]:
+    """Ids of a whole text. A long run of white space goes to the merges by itself, as the pattern would have it: all of
+    it at the end of the text, else all but its last character."""
+    ids, at = [], 0
+    for m in LONG_WHITE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : m.start()])
+        ids += encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def spans_of_lines(text: bytes) -> np.ndarray:
     """Byte offsets at which lines begin; a line holds the \\n that ends it, and a text that ends in \\n has no line after."""
     ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1
@@ -82,7 +98,7 @@ def section_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), rule: s
                 whole = b"\n".join(raw)
                 sections, owner = np.concatenate(begins), np.concatenate(fields_of)
                 # an empty last field begins behind the text; an empty text has one empty line
-                ids = np.asarray(encoding.encode_ordinary("\n".join(texts)), np.int64)
+                ids = np.asarray(encode(encoding, "\n".join(texts)), np.int64)
                 size = len(whole)
                 token_ends = np.cumsum(sizes[ids])
                 tokens, crossing = attribute(token_ends - sizes[ids], sections, size, rule) if len(ids) else (np.zeros(len(sections), int),) * 2

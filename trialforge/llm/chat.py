@@ -89,13 +89,15 @@ def best_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
 
 def format_trees(messages: DataFrame) -> DataFrame:
     """messages(conv_id, msg_id, parent_id, role, text, score) -> (conv_id, formatted, loss_starts, loss_lengths): the
-    best path of each conversation as one text with its loss mask. Messages with a null conv_id are left out; msg_id
-    must be unique within a conversation."""
-    messages = cut(messages.where("conv_id is not null and msg_id is not null"))
+    best path of each conversation as one text with its loss mask. Messages with a null conv_id are one conversation;
+    those with a null msg_id are left out; msg_id must be unique within a conversation. Other columns play no part."""
+    kind = messages.schema["conv_id"].dataType.simpleString()
+    # inside a struct a null id equals itself
+    messages = cut(messages.where("msg_id is not null").select(F.struct("conv_id").alias("conv_id"), "msg_id", "parent_id", "role", "text", "score"))
     paths = leaf_paths(messages)
     chosen = paths.join(best_paths(messages, paths), ["conv_id", "leaf"], "left_semi")
     turns = chosen.join(messages, ["conv_id", "msg_id"]).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("place"), "role", "text"))).alias("turns"))
-    kind = messages.schema["conv_id"].dataType.simpleString()
+    turns = turns.select("conv_id.conv_id", "turns")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 #: ASCII white space as the contracts state it; the same set that bytes.split() splits at.
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), one that this session then keeps."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, lost executors cost no recomputation of what
-    came before, and later plans see its true size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
@@ -88,31 +71,48 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+@functools.cache
+def splits_parts(path: str) -> bool:
+    """Whether a tokenizer file's pre-tokeniser splits words as PARTS does; read on the driver, so that no task parses it."""
+    with open(path, encoding="utf-8") as f:
+        steps = (json.load(f)["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    return steps[0].get("pattern", {}).get("Regex") == SPLIT
+
+
+class Kept(dict):
+    """A cache of at most about `most` bytes: entries beyond that, and keys of over 48, are worked out each time."""
+
+    def __init__(self, most: int):
+        self.left = most
+
+    def keep(self, key: bytes | str, value: bytes) -> bytes:
+        # an object's head is some 35 to 60 bytes, a dictionary's slot some 100 with its spare room
+        cost = len(key) + len(value) + 200
+        if cost <= self.left and len(key) <= 48:
+            self.left -= cost
+            self[key] = value
+        return value
+
+
 class WordTokenizer:
     """Subword ids of whole texts from ids of their words.
 
     For a tokenizer whose normaliser and pre-tokeniser never join what ASCII white space parts (the white space itself
     is dropped), the ids of a text are the ids of its words in order. Ids of words, and of parts of words where the
-    tokenizer splits as PARTS does, are kept, up to `most` of each."""
+    tokenizer splits as PARTS does, are kept in two caches of `most` bytes."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, splits: bool, most: int = 20 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.model, self.most = tokenizer.encode, tokenizer.model, most
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        steps = (json.loads(tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
-        self.splits = steps[0].get("pattern", {}).get("Regex") == SPLIT
+        self.encode, self.model, self.splits = tokenizer.encode, tokenizer.model, splits
+        self.known, self.parts = Kept(most), Kept(most)
         self.letters = byte_letters()
 
     def part(self, part: str) -> bytes:
         text = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
-        if len(self.parts) < self.most:
-            self.parts[part] = ids
-        return ids
+        return self.parts.keep(part, b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)]))
 
     def fresh(self, word: bytes) -> bytes:
         """Ids of a word as little-endian unsigned 32-bit numbers; only those of its parts are kept."""
@@ -124,10 +124,7 @@ class WordTokenizer:
         return b"".join([i.to_bytes(4, "little") for i in self.encode(text, add_special_tokens=False).ids])
 
     def word(self, word: bytes) -> bytes:
-        ids = self.fresh(word)
-        if len(self.known) < self.most:
-            self.known[word] = ids
-        return ids
+        return self.known.keep(word, self.fresh(word))
 
     def ids(self, text: bytes) -> bytes:
         get, word = self.known.get, self.word
@@ -137,8 +134,9 @@ class WordTokenizer:
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One per Python worker and file."""
+def word_tokenizer(path: str, splits: bool) -> WordTokenizer:
+    """One per Python worker; that of another file makes room for it. splits is splits_parts(path)."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
+        _TOKENIZERS.clear()
+        _TOKENIZERS[path] = WordTokenizer(path, splits)
     return _TOKENIZERS[path]

@@ -5,13 +5,17 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title"}
+#: A tag's beginning and its name; whatever else follows < is text, a comment or a declaration.
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile("[>\"']")
+RAW = {t: re.compile(rf"(?i)</{t}\s*>") for t in ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title")}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3",
@@ -20,9 +24,11 @@ BLOCK = {
 #: What an opening tag closes, and the tags that such closing doesn't reach beyond.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Never part of an article: by tag, by ARIA role, or by a word of class or id.
-NOT_CONTENT = {"nav", "footer", "aside", "form", "button", "select", "header", "menu", "dialog", "head"}
+NOT_CONTENT = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
-WORDS = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|newsletter|subscribe|comments?|disqus|respond|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|social|share|sharing|related|recommend\w*|popup|modal|pagination|login|signup)(?:$|[\s_-])")
+WORDS = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|newsletter|subscribe|comments?|disqus|respond|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|social|share|sharing|related|recommend\w*|popup|modal|pagination|login|signup)(?:$|[\s_-])")
+#: The same outside articles; an article's own header holds its headline.
+HEADER = re.compile(r"(?i)(?:^|[\s_-])header(?:$|[\s_-])")
 ATTRIBUTE = re.compile(r"""(?i)\s(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 
@@ -35,80 +41,141 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def unwanted(tag: str, attributes: str) -> bool:
-    if tag in NOT_CONTENT:
+def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+    if tag in NOT_CONTENT or (tag == "header" and not in_article):
         return True
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         value, name = value.strip("\"'"), name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES) or (name in ("class", "id") and tag not in ("body", "html", "article", "main") and WORDS.search(value)):
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
+            return True
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and (WORDS.search(value) or (not in_article and HEADER.search(value))):
             return True
     return False
 
 
+class Tags:
+    """Where the tags of a page end, each character met a bounded number of times: a > inside quotes doesn't end a tag; where
+    a quote isn't closed the first > does."""
+
+    def __init__(self, page: str):
+        self.page, self.special = page, [m.start() for m in SPECIAL.finditer(page)]
+        self.last, self.open = page.rfind(">"), set()  # open: quotes from which on no tag ends
+
+    def end(self, start: int) -> int:
+        """Where the tag that begins at start ends, -1 if it doesn't."""
+        page, special, i, met = self.page, self.special, bisect_left(self.special, start), []
+        if start > self.last:
+            return -1
+        while i < len(special) and special[i] not in self.open:
+            at = special[i]
+            if page[at] == ">":
+                return at + 1
+            met.append(at)
+            close = page.find(page[at], at + 1)
+            if close < 0:
+                break
+            i = bisect_left(special, close, i + 1) + 1
+        self.open.update(met)
+        return page.find(">", start) + 1
+
+
+class Tree:
+    """The tree of what may be content and the path of open tags, by depth and by name."""
+
+    def __init__(self):
+        self.root = Node("body", None)
+        self.path, self.open, self.blocks = [self.root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.open.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in BLOCK and node.tag != "p":
+            self.blocks.append(len(self.path))
+        self.path.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Closes all that is open from a depth on."""
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.open[tag].pop()
+            if self.blocks[-1] == len(self.path):
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        if self.open.get(tag):
+            self.cut(self.open[tag][-1])
+
+    def make_room(self, tag: str) -> None:
+        """Closes what an opening tag ends: paragraphs before blocks, items before items, cells before cells."""
+        if tag in CLOSES:
+            inside, stop = CLOSES[tag]
+            least = max((self.open[t][-1] for t in stop if self.open.get(t)), default=0)
+        else:
+            inside, least = ("p",), self.blocks[-1]
+        depths = [self.open[t][i] for t in inside if self.open.get(t) and (i := bisect_right(self.open[t], least)) < len(self.open[t])]
+        if depths:
+            self.cut(min(depths))
+
+
 def parse(page: str) -> Node:
-    """The tree of what may be content; unclosed and stray tags are put right as browsers do in the common cases."""
-    root = Node("body", None)
-    at, node, position, dead = root, root, 0, None  # dead: the depth of tags inside something unwanted
-    depth: list[str] = []
-
-    def text(piece: str) -> None:
-        if piece and dead is None:
-            at.children.append(html.unescape(piece) if "&" in piece else piece)
-
-    while m := TOKEN.search(page, position):
-        text(page[position : m.start()])
-        position, token = m.end(), m[0]
-        if token[1] in "!?":
+    """The tree of what may be content; unclosed and stray tags are put right as browsers do in the common cases. The work
+    grows with the page's length, however broken it is."""
+    tree, tags, position, texts_from = Tree(), Tags(page), 0, 0
+    dead: list[str] = []  # open tags inside something unwanted
+    inside: Counter = Counter()  # the same by name
+
+    def text(end: int) -> None:
+        if end > texts_from and not dead:
+            piece = page[texts_from:end]
+            tree.path[-1].children.append(html.unescape(piece) if "&" in piece else piece)
+
+    while (at := page.find("<", position)) >= 0:
+        if page.startswith(("<!", "<?"), at):
+            text(at)
+            end = page.find("-->", at + 4) + 3 if page.startswith("<!--", at) else page.find(">", at) + 1
+            position = texts_from = end if end > at else len(page)
             continue
-        close = token[1] == "/"
-        tag = re.match(r"[^\s/>]+", token[1 + close :])[0].lower()
-        if tag in RAW:
-            if not close and not token.endswith("/>"):
-                end = re.compile(rf"(?i)</{re.escape(tag)}\s*>").search(page, position)
-                position = end.end() if end else len(page)
+        name = NAME.match(page, at)
+        end = tags.end(at) if name else -1
+        if end < 0:  # no tag
+            position = at + 1
             continue
-        if dead is not None:
+        text(at)
+        position = texts_from = end
+        close, tag, empty = page[at + 1] == "/", name[1].lower(), page[end - 2] == "/"
+        if tag in RAW:
+            if not close and not empty:
+                found = RAW[tag].search(page, end)
+                position = texts_from = found.end() if found else len(page)
+        elif dead:
             if tag in VOID:
                 continue
             if not close:
-                if not token.endswith("/>"):
-                    depth.append(tag)
-            elif tag in depth:
-                while depth.pop() != tag:
-                    pass
-                if not depth:
-                    dead = None
-            continue
-        if tag in ("html", "body"):
-            continue
-        if close:
-            x = at
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                at = x.parent
+                if not empty:
+                    dead.append(tag)
+                    inside[tag] += 1
+            elif inside[tag]:
+                while (last := dead.pop()) != tag:
+                    inside[last] -= 1
+                inside[tag] -= 1
+        elif tag in ("html", "body"):
             continue
-        if tag in BLOCK or tag in CLOSES:
-            inside, stop = CLOSES.get(tag, ({"p"}, BLOCK - {"p"}))
-            x, last = at, None
-            while x is not root and x.tag not in stop:
-                if x.tag in inside:
-                    last = x
-                x = x.parent
-            if last is not None:
-                at = last.parent
-        if tag in VOID:
-            at.children.append(Node(tag, at))
-        elif unwanted(tag, token[1 + len(tag) : -1]):
-            if not token.endswith("/>"):
-                dead, depth = True, [tag]
+        elif close:
+            tree.close(tag)
         else:
-            node = Node(tag, at)
-            at.children.append(node)
-            if not token.endswith("/>") or tag in BLOCK:
-                at = node
-    text(page[position:])
-    return root
+            if tag in BLOCK or tag in CLOSES:
+                tree.make_room(tag)
+            if tag in VOID:
+                tree.path[-1].children.append(Node(tag, tree.path[-1]))
+            elif unwanted(tag, page[name.end() : end - 1], bool(tree.open.get("article") or tree.open.get("main"))):
+                if not empty:
+                    dead, inside = [tag], Counter([tag])
+            else:
+                node = Node(tag, tree.path[-1])
+                tree.path[-1].children.append(node)
+                if not empty or tag in BLOCK:
+                    tree.push(node)
+    text(len(page))
+    return tree.root
 
 
 def measure(root: Node) -> list[Node]:
@@ -137,27 +204,19 @@ def measure(root: Node) -> list[Node]:
             ratio = x.chars / max(1, x.link_chars) * max(1, x.tags) / max(1, x.link_tags)
             x.density = x.chars / max(1, x.tags) * math.log(max(ratio, 1.0) + 1e-9) / math.log(base + 1e-9) if base > 1 else x.chars / max(1, x.tags) * math.log(max(ratio, 1.0))
     for x in nodes:
-        x.sum = sum(c.density for c in x.children if isinstance(c, Node)) or x.density
+        x.sum = sum(c.density for c in x.children if isinstance(c, Node))
     return nodes
 
 
 def main_subtree(root: Node) -> Node:
-    """The node of the largest sum of child densities; of its ancestors, the highest one below the body whose density
-    is not under the threshold, the least density on the path from the body to that node. A page marked with one
-    article or main element in which that node lies is cut there."""
-    best = max(measure(root), key=lambda x: x.sum)
-    path = [best]
+    """The node of the largest sum of child densities (the first of equal ones, parents before children); of it and its
+    ancestors, the highest one below the body whose density is over the threshold, the least density on the path from
+    the body to that node."""
+    path = [max(measure(root), key=lambda x: x.sum)]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    for x in path:
-        if x.tag in ("article", "main"):
-            return x
     threshold = min(x.density for x in path)
-    chosen = best
-    for x in path:
-        # a parent that adds no text of other children is the same content in a wrapper
-        if x.density > threshold and x is not root:
-            chosen = x
+    chosen = next((x for x in path[::-1] if x.density > threshold and x is not root), path[0])
     return chosen if chosen.chars else root
 
 

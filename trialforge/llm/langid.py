@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import cut, id_crc
 
 BITS = 15
 
@@ -64,12 +64,13 @@ class LanguageModel:
         return self.languages[best], float(1 / share.sum()), float((loss[second] - loss[best]) / self.codes.shape[1])
 
 
-def train(docs: DataFrame, most_languages: int = 256) -> LanguageModel:
+def train(docs: DataFrame) -> LanguageModel:
     """docs(text, lang): counts of n-grams per language over all of docs; rows with a null text or lang teach nothing.
 
-    Each task adds its texts' n-grams up; what reaches the driver is languages x 2**15 sums, and more than
-    `most_languages` languages are refused. Each bit gets a naive Bayes classifier: the log odds of a bucket between
-    the languages whose codewords have a 1 there and the others, each language with equal weight."""
+    Each bit gets a naive Bayes classifier: the log odds of a bucket between the languages whose codewords have a 1
+    there and the others, each language with equal weight. Each task adds its texts' n-grams up, sums meet by bucket,
+    and a bucket's weights are worked out next to them: the driver gets a total for each language and 2**15 rows of
+    as many weights as codewords have bits (some tens, by the logarithm of the number of languages)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -88,19 +89,35 @@ def train(docs: DataFrame, most_languages: int = 256) -> LanguageModel:
 
     known = docs.select("text", "lang").where("text is not null and lang is not null")
     sums = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    languages = sorted(r[0] for r in sums.select("lang").distinct().limit(most_languages + 1).collect())
-    if len(languages) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    counts = np.zeros((len(languages), 1 << BITS))
-    at = {x: i for i, x in enumerate(languages)}
-    for r in sums.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).toLocalIterator():
-        counts[at[r.lang], r.b] = r.n
-    rates = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
-    codes = codewords(len(languages))
-    weights = np.zeros((1 << BITS, codes.shape[1]), np.float32)
-    for b in range(codes.shape[1]):
-        ones = codes[:, b] > 0
-        weights[:, b] = np.log(rates[ones].mean(0) / rates[~ones].mean(0))
+    sums = cut(sums)
+    totals = sorted((r[0], r[1]) for r in sums.groupBy("lang").agg(F.sum("n")).toLocalIterator())
+    languages = [x for x, _ in totals]
+    codes, scale = codewords(len(languages)), 1 / (np.array([n for _, n in totals], float) + 0.5 * (1 << BITS))
+    ones, bits = codes > 0, codes.shape[1]
+    weights = np.zeros((1 << BITS, bits), np.float32)
+    if not bits:
+        return LanguageModel(languages, codes, weights)
+    rest = np.stack([0.5 * scale @ ones, 0.5 * scale @ ~ones])  # what languages give to a bucket that they don't have
+    sizes = np.stack([ones.sum(0), (~ones).sum(0)])
+    held = docs.sparkSession.sparkContext.broadcast((ones, scale, rest, sizes, {x: i for i, x in enumerate(languages)}))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones, scale, rest, sizes, at = held.value
+        for batch in batches:
+            out = []
+            for seen in batch.column("seen"):
+                x = sorted((at[r["lang"]], r["n"]) for r in seen.as_py())
+                rows = np.array([i for i, _ in x])
+                rate = np.array([n for _, n in x]) * scale[rows]
+                means = (rest + np.stack([rate @ ones[rows], rate @ ~ones[rows]])) / sizes
+                out.append(np.log(means[0] / means[1]).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(out, pa.binary())], names=["bucket", "w"])
+
+    weights[:] = np.log(rest[0] / sizes[0] / (rest[1] / sizes[1]))
+    fitted = sums.groupBy("bucket").agg(F.collect_list(F.struct("lang", "n")).alias("seen")).mapInArrow(fit, "bucket int, w binary")
+    for r in fitted.toLocalIterator():
+        weights[r.bucket] = np.frombuffer(r.w, np.float32)
+    held.destroy()
     return LanguageModel(languages, codes, weights)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, vocabulary_path, word_tokenizer
+from .common import cut, splits_parts, vocabulary_path, word_tokenizer
 
 
 class CapacityTree:
@@ -93,12 +93,12 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None =
     """docs(doc_id, text) -> (doc_id, piece, start, length, ids_crc32): each document's ids and end_id, cut into pieces
     of `capacity` tokens of which the last may be shorter. A null text is an empty one (one piece: the end)."""
     path = vocabulary or vocabulary_path("word_bpe_49k.json")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, splits = docs.schema["doc_id"].dataType.simpleString(), splits_parts(path)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        tokens, end, step = word_tokenizer(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        tokens, end, step = word_tokenizer(path, splits), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
@@ -123,17 +123,19 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None
     """Packs all documents into sequences of at most `capacity` tokens by best-fit decreasing over the whole corpus.
 
     Only the histogram of lengths (at most `capacity` rows) reaches the driver, where the runs of the packing are found.
-    Pieces get a rank among those of their length in two steps (in a hashed bucket, then the buckets' offsets), so no
-    length, however common, meets in one task. Repeated rows are packed as often as they come; null texts are empty;
-    null ids stay null; no rows give no rows. Ties (equal lengths) are ranked by bucket, doc_id and piece."""
+    Pieces get a rank among those of their length in two steps (in a bucket, then the buckets' offsets), so no length,
+    however common, meets in one task. Buckets go by the piece's place in the table that token_pieces is written to, so
+    neither do equal ids or null ones. Repeated rows are packed as often as they come; null texts are empty; null ids
+    stay null; no rows give no rows. Ties (equal lengths) are ranked by bucket, doc_id, piece and place."""
     spark = docs.sparkSession
-    pieces = cut(token_pieces(docs, capacity, vocabulary))
+    pieces = cut(token_pieces(docs, capacity, vocabulary).withColumn("uid", F.monotonically_increasing_id()))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     runs = sorted(best_fit_decreasing(counts, capacity), key=lambda r: (r[0], r[1]))
     buckets = max(32, sum(counts.values()) // rows_per_bucket)
-    within = Window.partitionBy("bucket", "length").orderBy("doc_id", "piece")
-    ranked = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))).withColumn("rank", F.row_number().over(within) - 1)
-    sizes = pieces.groupBy(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).alias("bucket"), "length").count()
+    bucket = F.pmod(F.xxhash64("uid"), F.lit(buckets))
+    within = Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "uid")
+    ranked = pieces.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(within) - 1)
+    sizes = pieces.groupBy(bucket.alias("bucket"), "length").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("skip"))
     ranked = ranked.join(offsets, ["bucket", "length"]).withColumn("rank", F.col("rank") + F.col("skip"))

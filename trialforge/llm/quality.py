@@ -12,12 +12,14 @@ SYMBOLS = "[#*$%&|<>]"
 BROADCAST_HOSTS = 200_000
 
 
-def with_text_measures(docs: DataFrame, window: int = 5) -> DataFrame:
+def with_text_measures(docs: DataFrame, window: int = 5, hash_bits: int = 64) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long) of each whole text; a null or
     empty text has 0 of each. Columns of docs stay; those of the new names are replaced.
 
     Repeated windows are found inside the row: each window's hash, with its place in the low bits, is sorted as a plain
-    array of longs, so equal windows become neighbours (44 or more bits of hash for texts of up to a million words)."""
+    array of longs, so equal windows become neighbours. Neighbours of one hash are compared by their words; a row in
+    which they differ, which is next to never, is worked out by sorting the windows themselves (fewer hash_bits are for
+    tests of that)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(WHITE_CHARS))
     d = docs.withColumn("__words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE)))
@@ -34,6 +36,7 @@ def with_text_measures(docs: DataFrame, window: int = 5) -> DataFrame:
 
     def keyed(i: Column) -> Column:
         h = F.xxhash64(*[F.get("__words", i + k) for k in range(window)])
+        h = h if hash_bits == 64 else F.shiftleft(h, 64 - hash_bits)
         return F.coalesce(h.bitwiseAND(F.bitwise_not(F.col("__low"))).bitwiseOR(i.cast("long")), F.lit(0).cast("long"))
 
     none = F.array().cast("array<bigint>")
@@ -43,11 +46,20 @@ def with_text_measures(docs: DataFrame, window: int = 5) -> DataFrame:
     def same(x: Column, y: Column) -> Column:
         return x.bitwiseXOR(y).between(F.lit(0), F.col("__low"))
 
-    d = d.withColumn("__found", F.filter("__keys", lambda x, i: same(x, F.get("__keys", i + 1)) | same(x, F.get("__keys", i - 1))))
-    d = d.withColumn("__at", F.sort_array(F.transform("__found", lambda x: x.bitwiseAND(F.col("__low")))))
+    def words_at(key: Column) -> Column:
+        return F.slice("__words", key.bitwiseAND(F.col("__low")).cast("int") + 1, window)
+
+    clash = F.exists(F.sequence(F.lit(1), F.size("__keys") - 1), lambda i: F.when(same(F.get("__keys", i), F.get("__keys", i - 1)), words_at(F.get("__keys", i)) != words_at(F.get("__keys", i - 1))).otherwise(False))
+    d = d.withColumn("__clash", F.when(F.size("__keys") > 1, clash).otherwise(False))
+    fast = F.sort_array(F.transform(F.filter("__keys", lambda x, i: same(x, F.get("__keys", i + 1)) | same(x, F.get("__keys", i - 1))), lambda x: x.bitwiseAND(F.col("__low"))))
+    windows = F.transform(F.sequence(F.lit(0), n - window), lambda i: F.struct(F.slice("__words", i + 1, window).alias("g"), i.cast("long").alias("i")))
+    d = d.withColumn("__windows", F.when(F.col("__clash"), F.sort_array(windows)))
+    near = lambda x, i: F.coalesce(x["g"] == F.get("__windows", i)["g"], F.lit(False))
+    exact = F.sort_array(F.transform(F.filter("__windows", lambda x, i: near(x, i + 1) | near(x, i - 1)), lambda x: x["i"]))
+    d = d.withColumn("__at", F.when(F.col("__clash"), exact).otherwise(fast))
     steps = F.transform("__at", lambda x, i: F.least(F.lit(window).cast("long"), F.coalesce(F.get("__at", i + 1), x + window) - x))
     d = d.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0).cast("long"), lambda a, b: a + b))
-    return d.drop("__words", "__lines", "__low", "__keys", "__found", "__at")
+    return d.drop("__words", "__lines", "__low", "__keys", "__clash", "__windows", "__at")
 
 
 def base_failed() -> Column:

@@ -64,7 +64,7 @@ with t as (
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e as (
   select *, length(replace(replace(text, '\', '\\'), '<|', '<\|')) as text_chars,
-    length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) as role_chars from t where conv_id is not null
+    length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) as role_chars from t
 )
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,

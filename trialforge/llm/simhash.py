@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -13,28 +14,34 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut
 
 
-def fingerprint(text: bytes, words_per_shingle: int = 4) -> int:
-    """SimHash of a whole text: a bit is 1 if it is set in over half the hashes of its shingles; no words give 0."""
+def shingle_hashes(text: bytes, words_per_shingle: int) -> np.ndarray:
+    """Hashes of a whole text's shingles, repeats included; fewer words are one shingle, no words none."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # on bytes: lower-cases A-Z and splits at ASCII white space only
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= words_per_shingle:
-        return xxh64_intdigest(joined, 42)
+        return np.array([xxh64_intdigest(joined, 42)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-words_per_shingle])).tolist()
     ends = (ends[words_per_shingle - 1 :] - 1).tolist()
-    n = len(ends)
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash: a bit is 1 if it is set in over half the hashes; none give 0."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for i in range(0, n, 65536):
         bits = np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, words_per_shingle: int = 4) -> int:
+    """SimHash of a whole text; no words give 0."""
+    return majority(shingle_hashes(text, words_per_shingle))
+
+
 def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fp): fp is the fingerprint's 64 bits as a signed long. A null text is empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -135,8 +142,19 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, blocks: int = 6, page: in
         keyed.join(sizes, ["mask", "part"])
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pages")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
-        .select("mask", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+        .select("mask", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.struct("fp").alias("item"))
     )
+
+    def find(first: list[tuple], second: list[tuple], same: bool) -> list[tuple[int, int]]:
+        first, second = ([x & (1 << 64) - 1 for (x,) in page] for page in (first, second))
+        return [(_signed(x), _signed(y)) for x, y in page_links(first, None if same else second, radius)]
+
+    return paged(dealt, find)
+
+
+def paged(dealt: DataFrame, find: Callable[[list[tuple], list[tuple], bool], list[tuple[int, int]]]) -> DataFrame:
+    """dealt(mask, part, i, j, own, item) -> (u, v): what `find` gives for each two pages i and j of a group: the items of
+    page i, those of page j, and whether they are one page (the second is empty then). A task holds two pages at most."""
     keys = ["mask", "part", "i", "j"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,17 +162,17 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, blocks: int = 6, page: in
 
         def close() -> None:
             if now is not None and len(first) + len(second) > 1:
-                found.extend(page_links(first, None, radius) if now[2] == now[3] else page_links(first, second, radius))
+                found.extend(find(first, second, now[2] == now[3]))
 
         def flush() -> pa.RecordBatch:
-            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            pairs = np.array(found, np.int64).reshape(-1, 2)
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
         for batch in batches:
             c = {n: batch.column(n).to_pylist() for n in (*keys, "own")}
-            fp = batch.column("fp").to_numpy().view(np.uint64).tolist()
-            for key, own, x in zip(zip(*(c[n] for n in keys), strict=True), c["own"], fp, strict=True):
+            items = zip(*(x.to_pylist() for x in batch.column("item").flatten()), strict=True)
+            for key, own, x in zip(zip(*(c[n] for n in keys), strict=True), c["own"], items, strict=True):
                 if key != now:
                     close()
                     now, first, second = key, [], []
@@ -165,7 +183,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, blocks: int = 6, page: in
         if found:
             yield flush()
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(search, "u long, v long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "item").mapInArrow(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -193,12 +211,152 @@ def hex_of(column: str) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def keep_one(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id, and of several texts of that id the one
-    of the least hash. All columns stay as they are. A null id stays only where its group has no other; one id may stay in
-    several groups."""
-    # a row is known by its id and text: its group hangs on the text alone, so that groups never share a key
-    key = F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary")))
-    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key.alias("row")).alias("doc_id"), "text")
-    kept = near_duplicates(rows, words_per_shingle, radius).select(F.col("component_id.row").alias("__row")).distinct()
-    return docs.withColumn("__row", key).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+#: Bands of KEYS of the least hashes of the shingles under random functions: two texts of similarity J agree on a band
+#: with probability J ** KEYS, and on one of BANDS at 0.8 with 0.994.
+BANDS, KEYS = 5, 2
+#: At a similarity of 0.8 fingerprints differ in 10 bits on the mean, with a deviation of 3; within RADIUS texts are
+#: compared. Pages hold about PAGE texts, or PAGE_SHINGLES shingles if that is less.
+RADIUS, PAGE, PAGE_SHINGLES = 18, 1024, 4 << 20
+FLIPS, FACTORS = np.random.default_rng(23).integers(1 << 63, size=(2, BANDS * KEYS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """The keys of the bands of a text, as signed longs; that of no shingles is 0 in each."""
+    if not len(hashes):
+        return [0] * BANDS
+    parts = [((hashes[None, a : a + 8192] ^ FLIPS) * FACTORS).min(axis=1) for a in range(0, len(hashes), 8192)]
+    mixed = (np.min(parts, axis=0).reshape(BANDS, KEYS) * FACTORS[:KEYS, 0]).sum(axis=1)
+    return mixed.view(np.int64).tolist()
+
+
+def signatures(docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """docs(uid, doc_id, text) -> (uid, doc_id, same, fp, keys, n, shingles): a hash of the words, the SimHash, the
+    bands, and the n different shingles as sorted 32-bit hashes."""
+    from hashlib import md5
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, fps, keys, sets = [], [], [], []
+            for t in batch.column(2):
+                text = t.as_py() or b""
+                hashes = shingle_hashes(text, words_per_shingle)
+                same.append(md5(b" ".join(text.lower().split())).digest())
+                fps.append(_signed(majority(hashes)))
+                keys.append(band_keys(hashes))
+                sets.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([len(x) // 4 for x in sets], pa.int64()), pa.array(sets, pa.binary())],
+                names=["uid", "doc_id", "same", "fp", "keys", "n", "shingles"],
+            )
+
+    return docs.select("uid", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"uid long, doc_id {kind}, same binary, fp long, keys array<long>, n long, shingles binary")
+
+
+def similar_in_pages(first: list[tuple], second: list[tuple], same: bool, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all texts of a page, or of two, whose fingerprints lie within RADIUS and that share `similarity`
+    of their shingles. Items are (node, fp, label, shingles); those of one label are connected already, and so is what a
+    link has connected: only texts that aren't are compared."""
+    up, sets, out = {}, {}, []
+    # between pages, the most frequent label has a tree of its own, which texts of that label needn't search
+    common_label = None if same else Counter(item[2] for item in first).most_common(1)[0][0]
+    trees = {own: (BKTree(), {}) for own in (True, False)}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def shingles(node: int, raw: bytes) -> np.ndarray:
+        if node not in sets:
+            sets[node] = np.frombuffer(raw, np.uint32)
+        return sets[node]
+
+    def meet(item: tuple) -> None:
+        node, fp, label, raw = item
+        mine = root(label)
+        for own, (tree, at_fp) in trees.items():
+            if own and label == common_label:
+                continue
+            for i in tree.within(fp & (1 << 64) - 1, RADIUS):
+                for other, other_label, other_raw in at_fp[tree.items[i]]:
+                    if (theirs := root(other_label)) == mine:
+                        continue
+                    x, y = shingles(node, raw), shingles(other, other_raw)
+                    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                        continue
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if common >= similarity * (len(x) + len(y) - common):
+                        out.append((node, other))
+                        up[mine] = mine = theirs
+
+    def add(item: tuple) -> None:
+        node, fp, label, raw = item
+        tree, at_fp = trees[label == common_label]
+        tree.add(fp & (1 << 64) - 1)
+        at_fp.setdefault(fp & (1 << 64) - 1, []).append((node, label, raw))
+
+    for item in first:
+        if same:
+            meet(item)
+        add(item)
+    for item in second:
+        meet(item)
+    return out
+
+
+def near_links(contents: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """contents(node, fp, keys, n), sets(node, shingles) -> (node, root): components of different texts that are linked by a similarity
+    (Jaccard, of the sets of shingles) of `similarity` or more.
+
+    Texts that agree on a band meet in pages, each a BK-tree of its fingerprints; what lies within RADIUS is compared.
+    Then the pages of a group meet each other, but only in groups that aren't one component yet: a hot group of copies
+    costs as many pages as it has, not their square."""
+    keyed = contents.select("node", "fp", "n", F.posexplode("keys").alias("mask", "part"))
+    pages = F.ceil(F.greatest(F.count(F.lit(1)) / PAGE, F.sum("n") / PAGE_SHINGLES)).cast("int")
+    sizes = keyed.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("texts"), pages.alias("pages")).where("texts > 1").drop("texts")
+    # a page's number differs by band: a group that meets in all of them is dealt in another way in each
+    met = keyed.join(sizes, ["mask", "part"]).withColumn("own", F.pmod(F.xxhash64("node", "mask"), F.col("pages")).cast("int"))
+    met = cut(met.select("mask", "part", "pages", "own", "node", "fp"))
+    # shingles move only of texts that meet another
+    sets = sets.join(cut(met.select("node").distinct()), "node", "left_semi")
+
+    def find(first: list[tuple], second: list[tuple], same: bool) -> list[tuple[int, int]]:
+        return similar_in_pages(first, second, same, similarity)
+
+    inside = met.join(sets, "node").select("mask", "part", F.col("own").alias("i"), F.col("own").alias("j"), "own", F.struct("node", "fp", F.col("node").alias("label"), "shingles").alias("item"))
+    links = cut(paged(inside, find))
+    roots = connected_components(links)
+    split = cut(met.where("pages > 1").join(roots, "node", "left").select("mask", "part", "pages", "own", "node", "fp", F.coalesce("root", "node").alias("label")))
+    if split.isEmpty():
+        return roots
+    open_groups = split.groupBy("mask", "part").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("mask", "part")
+    across = (
+        split.join(open_groups, ["mask", "part"])
+        .join(sets, "node")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
+        .where("own <> other")
+        .select("mask", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.struct("node", "fp", "label", "shingles").alias("item"))
+    )
+    return connected_components(links.unionByName(paged(across, find)))
+
+
+def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near-duplicates: texts that share `similarity` of their shingles or more are
+    linked, directly or over others. The row of the smallest doc_id stays, rows without an id last, ties by their place
+    in docs. All columns stay as they are; rows are told apart by themselves, never by doc_id. Texts of the same words
+    are copies; null texts and texts without words are copies of each other. No rows give no rows."""
+    names = docs.columns
+    uid = next(n for n in (f"__uid{i}" for i in range(len(names) + 1)) if n not in names)
+    rows = cut(docs.withColumn(uid, F.monotonically_increasing_id()))
+    signed = cut(signatures(rows.select(F.col(uid).alias("uid"), "doc_id", "text"), words_per_shingle))
+    copies = cut(signed.groupBy("same").agg(F.min("uid").alias("node")))
+    named = signed.withColumnRenamed("uid", "node")
+    contents = named.select("node", "fp", "keys", "n").join(copies.select("node"), "node", "left_semi")
+    roots = near_links(contents, named.select("node", "shingles"), similarity)
+    group = copies.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("group"))
+    placed = cut(signed.join(group, "same").select("uid", "doc_id", "group"))
+    first = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("n"))
+    gone = cut(placed.join(first.where("n > 1"), "group").where("uid <> first.uid").select(F.col("uid").alias(uid)))
+    return rows.join(gone, uid, "left_anti").select(*names)

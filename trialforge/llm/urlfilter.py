@@ -24,7 +24,7 @@ def path_of(url: Column) -> Column:
 def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, null if none does; of equally long ones the first given wins."""
     rule = verdict = F.lit(None).cast("string")
-    for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]), reverse=True):
+    for v, h, p in reversed(sorted(rules, key=lambda r: -len(r[1] + r[2]))):  # what is put on last wins
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
     return rule, verdict
