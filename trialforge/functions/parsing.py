@@ -16,12 +16,12 @@ def method_of(candidate: Column, load_case: Column) -> Column:
     """The method family of a candidate label; null for unknown labels. The proposed method's label begins with the
     row's own load case."""
     own = F.expr("substring(candidate, length(load_case) + 1)")
-    proposed = candidate.startswith(load_case) & own.rlike(r"^_gemini.*_geo_maxprompt_ortho_5views")
+    prompt = F.regexp_extract(own, r"^_gemini.*_geo_(max|mid|none)prompt_ortho_5views", 1)
     return (
         F.when(candidate.isin("coarse", "zz_coarse", "zz_oracle"), candidate)
         .when(candidate.startswith("heuristic_baseline_DENSE_") & candidate.endswith("_sub"), F.lit("heuristic_sub"))
         .when(candidate.startswith("heuristic_mech_") & candidate.endswith("_sub"), F.lit("mech_sub"))
-        .when(proposed, F.lit("proposed_max"))
+        .when(candidate.startswith(load_case) & (prompt != ""), F.concat(F.lit("proposed_"), prompt))
     )
 
 
@@ -48,6 +48,22 @@ def experiment_parts(name: Column) -> dict[str, Column]:
     return {n: F.regexp_extract(name, EXPERIMENT, i) for i, n in enumerate(names, 1)}
 
 
+OLD_EXPERIMENT = r"^(.*?)_(ortho|random)_([0-9]+)views_([^_]+)_(?:.*_)?([0-9]+)grid_([0-9]+)neighbours_([0-9]+)run$"
+
+
+def old_experiment_parts(name: Column) -> dict[str, Column]:
+    """The parts of an experiment's name in the older grammar; empty where it isn't one."""
+    names = ["mesh", "view_type", "k", "model", "grid", "neighbours", "run"]
+    return {n: F.regexp_extract(name, OLD_EXPERIMENT, i) for i, n in enumerate(names, 1)}
+
+
+def success_pair(line: Column) -> tuple[Column, Column]:
+    """(object, experiment) of a line with [SUCCESS] and three parts or more between |; null for others."""
+    parts = F.split(line, r"\|")
+    ok = line.contains("[SUCCESS]") & (F.size(parts) >= 3)
+    return F.when(ok, F.trim(F.substring_index(parts[0], "]", -1))), F.when(ok, F.trim(F.get(parts, F.lit(1))))
+
+
 def experiment_name(load: Column, model: Column, prompt: Column, view: Column, k: Column, grid: Column, run: Column) -> Column:
     return F.format_string("%s_%s_%sprompt_%s_%dviews_%dgrid_%drun", load, model, prompt, view, k, grid, run)
 

@@ -13,36 +13,69 @@ from ..sources.tables import cut
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, bands: int = 32) -> DataFrame:
     """(keys, value, same, below, total): for each distinct value of a group, how many rows have it, how many are
-    smaller, and how many there are. Nulls are left out.
+    smaller, and how many there are. Null values are left out; null keys are groups like any other.
 
     Values are counted first; then each group is cut into bands at approximate quantiles, so that a group with as many
     distinct values as rows is sorted by `bands` tasks and not by one. Where the cuts fall changes no result."""
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("same"))
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / bands for i in range(1, bands)], 1000).alias("cuts"), F.count(F.lit(1)).alias("total"))
-    placed = counted.join(cuts, list(keys)) if keys else counted.join(F.broadcast(cuts))
-    placed = placed.withColumn("band", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
-    sums = placed.groupBy(*keys, "band").agg(F.sum("same").alias("in_band"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "band", F.coalesce(F.sum("in_band").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*keys, "band").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("inside", F.coalesce(F.sum("same").over(inside), F.lit(0))).join(offsets, [*keys, "band"])
-    return ranked.select(*keys, value, "same", (F.col("inside") + F.col("offset")).alias("below"), "total")
-
-
-def _trimmed(value: str, share: float) -> Column:
-    """Of value_ranks' rows: the mean without int(share * n) rows at either end."""
-    k = F.floor(F.lit(share) * F.col("total"))
+    # inside a struct nulls equal each other, so that groups with null keys meet themselves
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("__all"), *keys).alias("__k"), F.col(value).alias("__v"))
+    counted = rows.groupBy("__k", "__v").agg(F.count(F.lit(1)).alias("same"))
+    cuts = rows.groupBy("__k").agg(F.percentile_approx("__v", [i / bands for i in range(1, bands)], 1000).alias("cuts"), F.count(F.lit(1)).alias("total"))
+    placed = counted.join(cuts, "__k").withColumn("band", F.size(F.filter("cuts", lambda c: c < F.col("__v")))).drop("cuts")
+    sums = placed.groupBy("__k", "band").agg(F.sum("same").alias("in_band"))
+    before = Window.partitionBy("__k").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__k", "band", F.coalesce(F.sum("in_band").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("__k", "band").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("inside", F.coalesce(F.sum("same").over(inside), F.lit(0))).join(offsets, ["__k", "band"])
+    return ranked.select(*[F.col("__k")[k].alias(k) for k in keys], F.col("__v").alias(value), "same", (F.col("inside") + F.col("offset")).alias("below"), "total")
+
+
+def range_ranks(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank") -> DataFrame:
+    """Adds each row's place in its group by an orderable column of any type, from 0; `order` must tell rows of a group apart.
+
+    Rows are dealt by ranges of (keys, order), placed inside their range and moved up by the sizes of the ranges before:
+    no task sorts a whole group."""
+    dealt = cut(df.repartitionByRange(*keys, order).withColumn("__band", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "__band").agg(F.count(F.lit(1)).alias("__n"))  # a row for each range
+    before = Window.partitionBy(*keys).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    skip = sizes.select(*keys, "__band", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__skip"))
+    place = F.row_number().over(Window.partitionBy(*keys, "__band").orderBy(order)) - 1
+    return dealt.withColumn(name, place).join(skip, [*keys, "__band"]).withColumn(name, F.col(name) + F.col("__skip")).drop("__band", "__skip")
+
+
+def _trimmed(value: str, share: float, where: Column | None = None, whole: int = 0) -> Column:
+    """Of value_ranks' rows: the mean without int(share * n) rows at either end, of all where n is at most `whole`."""
+    k = F.when(F.col("total") > whole, F.floor(F.lit(share) * F.col("total"))).otherwise(F.lit(0))
     used = F.greatest(F.lit(0), F.least(F.col("below") + F.col("same"), F.col("total") - k) - F.greatest(F.col("below"), k))
+    used = used if where is None else F.when(where, used)
     return F.sum(F.col(value) * used) / F.sum(used)
 
 
-def _quantile(value: str, share: float) -> Column:
+def _quantile(value: str, share: float, where: Column | None = None) -> Column:
     """Of value_ranks' rows: the value at share * (n - 1), linear between two rows."""
     at = F.lit(share) * (F.col("total") - 1)
-    pick = lambda i: F.max(F.when((F.col("below") <= i) & (i < F.col("below") + F.col("same")), F.col(value)))
+    where = F.lit(True) if where is None else where
+    pick = lambda i: F.max(F.when(where & (F.col("below") <= i) & (i < F.col("below") + F.col("same")), F.col(value)))
     low, high = pick(F.floor(at)), pick(F.ceil(at))
-    return low + (high - low) * F.max(at - F.floor(at))
+    return low + (high - low) * F.max(F.when(where, at - F.floor(at)))
+
+
+def summary(df: DataFrame, keys: Sequence[str], plain: dict[str, Column], quantiles: dict[str, tuple[str, float]], trimmed: dict[str, tuple[str, float]] | None = None, whole: int = 0) -> DataFrame:
+    """(keys, names): aggregates, exact linear quantiles and trimmed means ((column, share) by name) of each group; nulls
+    don't count. Trimmed means of `whole` rows or less are plain means.
+
+    All columns are ranked in one go as (column, value) rows, so a group costs one ranking however many figures are
+    asked of it, and no task holds all values of a group, as the built-in percentile does."""
+    keys, trimmed = list(keys), trimmed or {}
+    values = list(dict.fromkeys(v for v, _ in [*quantiles.values(), *trimmed.values()]))
+    key = F.struct(F.lit(0).alias("__all"), *keys).alias("__k")
+    out = df.groupBy(key).agg(*[c.alias(n) for n, c in plain.items()]) if plain else df.select(key).distinct()
+    stacked = df.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values)])).alias("x"))
+    ranks = value_ranks(stacked.select("__k", "x.m", "x.v"), ["__k", "m"], "v")
+    of = lambda v: F.col("m") == values.index(v)
+    wide = ranks.groupBy("__k").agg(*[_quantile("v", q, of(v)).alias(n) for n, (v, q) in quantiles.items()], *[_trimmed("v", t, of(v), whole).alias(n) for n, (v, t) in trimmed.items()])
+    names = [*plain, *quantiles, *trimmed]
+    return out.join(wide, "__k", "left").select(*[F.col("__k")[k].alias(k) for k in keys], *names)
 
 
 def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, share: float = 0.05, name: str = "trimmed") -> DataFrame:
@@ -75,12 +108,11 @@ def top_n(df: DataFrame, keys: Sequence[str], value: str, tie: str, n: DataFrame
 
 def leaderboard(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n, vm_trimmed, vm_median, en_trimmed, en_median, cells_mean, cells_median) of trials."""
-    keys = list(keys)
-    df = cut(df.select(*keys, "vm", "en", "n_cells"))  # else what df rests on is worked out for each statistic
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("n_cells").alias("cells_mean"))
-    for v in ("vm", "en"):
-        out = out.join(quantiles(df, keys, v, {f"{v}_median": 0.5}, {f"{v}_trimmed": 0.05}), keys, "left")
-    return out.join(quantiles(df, keys, "n_cells", {"cells_median": 0.5}), keys, "left")
+    df = cut(df.select(*keys, "vm", "en", "n_cells"))  # else what df rests on is worked out twice
+    return summary(
+        df, keys, {"n": F.count(F.lit(1)), "cells_mean": F.avg("n_cells")},
+        {"vm_median": ("vm", 0.5), "en_median": ("en", 0.5), "cells_median": ("n_cells", 0.5)}, {"vm_trimmed": ("vm", 0.05), "en_trimmed": ("en", 0.05)},
+    )
 
 
 def signed_rank(diffs: DataFrame, keys: Sequence[str], diff: str = "d") -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 
 def greedy_spread(points: np.ndarray, radius: float, most: int | None = None) -> list[int]:
     """Rows kept in input order: each that lies further than radius from all kept before, till `most` are kept."""
@@ -83,21 +85,19 @@ def density_clusters(points: np.ndarray, radius: float, least: int) -> np.ndarra
     return label
 
 
-def greedy_matching(a: np.ndarray, b: np.ndarray, radius: float) -> list[tuple[int, int, float]]:
-    """One-to-one pairs within radius, the closest first; ties by position."""
-    if not len(a) or not len(b):
-        return []
-    d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
-    free_a, free_b, out = set(range(len(a))), set(range(len(b))), []
-    for k in np.argsort(d, axis=None, kind="stable"):
-        i, j = divmod(int(k), len(b))
-        if d[i, j] > radius:
-            break
-        if i in free_a and j in free_b:
-            free_a.remove(i)
-            free_b.remove(j)
-            out.append((i, j, float(d[i, j])))
-    return out
+def closest_first(pairs: DataFrame, unit: str) -> DataFrame:
+    """pairs(unit, a, b, dist) -> those that a one-to-one matching takes when it meets them by (dist, a, b).
+
+    In each round the pairs that come first for both their ends are taken and what shares an end with them goes, which
+    takes just what a walk in order would; a round costs two aggregates, and only long chains of ever nearer ends need
+    many."""
+    left, taken = cut(pairs), None
+    while not left.isEmpty():
+        first = lambda end, left=left: left.groupBy(unit, end).agg(F.min(F.struct("dist", "a", "b")).alias("first"))
+        won = cut(first("a").select(unit, "first").join(first("b").select(unit, "first"), [unit, "first"]).select(unit, "first.*"))
+        taken = won if taken is None else taken.unionByName(won)
+        left = cut(left.join(won.select(unit, "a"), [unit, "a"], "left_anti").join(won.select(unit, "b"), [unit, "b"], "left_anti"))
+    return left.select(unit, "dist", "a", "b") if taken is None else taken
 
 
 def per_group(df: DataFrame, keys: list[str], order: list[str], choose: Callable[[pd.DataFrame], list[int]]) -> DataFrame:

@@ -18,10 +18,11 @@ def within_radius(a: DataFrame, b: DataFrame, unit: Sequence[str], radius: str |
     both sides that is fixed per unit.
 
     Space is cut into cells of the radius; each point of b is put into the 27 cells around it and points of a only into
-    their own, so b should be the smaller side. Cells in which a point of b comes often hold one row per point of b."""
+    their own, so b should be the smaller side; points of it that repeat are dealt once. Rows of a in a crowded cell may
+    be split over tasks, as Spark does with skewed semi and anti joins; each of these holds the cell's points of b."""
     r = F.lit(float(radius)) if isinstance(radius, (int, float)) else F.col(radius)
     cells = {f"c{k}": F.floor(F.col(k) / r) for k in XYZ}
-    near = b.select(*unit, *[F.col(k).alias(f"b{k}") for k in XYZ], *[c.alias(n) for n, c in cells.items()])
+    near = b.select(*unit, *[F.col(k).alias(f"b{k}") for k in XYZ], *[c.alias(n) for n, c in cells.items()]).distinct()
     for k in XYZ:
         near = near.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + i for i in (-1, 0, 1)])))
     own = a.withColumns(cells)
@@ -36,6 +37,18 @@ def within_radius(a: DataFrame, b: DataFrame, unit: Sequence[str], radius: str |
     return own.join(near, on, "left_anti" if anti else "left_semi").drop(*cells)
 
 
+def pairs_within(a: DataFrame, b: DataFrame, unit: Sequence[str], radius: float) -> DataFrame:
+    """(unit, a, b, dist): the pids of all points of a and b of one unit at `radius` or less, found in cells of the radius."""
+    cell = lambda k: F.floor(F.col(k) / F.lit(float(radius)))
+    own = a.select(*unit, F.col("pid").alias("a"), *[F.col(k).alias(f"a{k}") for k in XYZ], *[cell(k).alias(f"c{k}") for k in XYZ])
+    near = b.select(*unit, F.col("pid").alias("b"), *[F.col(k).alias(f"b{k}") for k in XYZ], *[cell(k).alias(f"c{k}") for k in XYZ])
+    for k in XYZ:
+        near = near.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + i for i in (-1, 0, 1)])))
+    d2 = sum(((F.col(f"a{k}") - F.col(f"b{k}")) * (F.col(f"a{k}") - F.col(f"b{k}")) for k in XYZ), F.lit(0.0))
+    met = own.join(near, [*unit, *[f"c{k}" for k in XYZ]])
+    return met.select(*unit, "a", "b", F.sqrt(d2).alias("dist")).where(F.col("dist") <= radius)
+
+
 def bounds(df: DataFrame, unit: Sequence[str]) -> DataFrame:
     return df.groupBy(*unit).agg(*[f(k).alias(f"{n}_{k}") for k in XYZ for n, f in (("lo", F.min), ("hi", F.max))])
 

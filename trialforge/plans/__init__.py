@@ -1,3 +1,3 @@
 """Importing this package registers all queries."""
 
-from . import comparisons, labels, meshes, names, points, streams, trials, viewsets  # noqa: F401
+from . import comparisons, files, labels, meshes, names, points, streams, trials, viewsets  # noqa: F401

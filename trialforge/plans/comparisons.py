@@ -12,10 +12,11 @@ from ..operators import cohort as C
 from ..operators import robust as R
 from ..operators import select as K
 from ..operators import spatial as S
+from ..sources.tables import cut
 from .meshes import T1, geometry, tets
-from .points import D2, G, P, anchors, points, r6, truth
+from .points import D2, G, P, anchors, points, r6
 from .registry import query
-from .trials import COMPLETE, F1, S1, TRIALS, UNIT, V, firsts, ok, pairs, swept, trials
+from .trials import COMPLETE, F1, PAIRS, S1, TRIALS, UNIT, V, firsts, ok, pairs, rounded, swept, trials
 from .viewsets import R as GRIDS
 from .viewsets import grid
 
@@ -37,7 +38,7 @@ def size_cap(spark, d):
 def paired_by_level(spark, d):
     """Differences of two methods by unit and level, in one pass."""
     p = R.paired(swept(spark, d), [*UNIT, "h_scale"], "method", "proposed_max", "zz_oracle", "vm")
-    return p.groupBy("h_scale").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("d"), "mean_d"), r6(F.percentile("d", F.lit(0.5)), "median_d"))
+    return rounded(R.summary(p, ["h_scale"], {"n": F.count(F.lit(1)), "mean_d": F.avg("d")}, {"median_d": ("d", 0.5)}), "mean_d", "median_d")
 
 
 @query("select object, round(sum(loc) / greatest(sum(fine), 1), 6) as prec, count(*) as n, round(avg(fine), 6) as mean_fine, round(quantile_cont(fine, 0.5), 6) as median_fine from (select object, vec_id, count(*) filter (where cbrt(volume) <= 0.1) as fine, count(*) filter (where cbrt(volume) <= 0.1 and cx > 0.0) as loc from geo group by 1, 2) group by 1", **T1)
@@ -45,38 +46,65 @@ def fine_precision(spark, d):
     """Share of fine elements that lie where they should, over all cases of an object; 0 where there are none."""
     fine, here = F.cbrt("volume") <= 0.1, F.col("cx") > 0.0
     case = geometry(tets(spark, d)).groupBy("object", "vec_id").agg(F.count_if(fine).alias("fine"), F.count_if(fine & here).alias("loc"))
-    return case.groupBy("object").agg(r6(F.sum("loc") / F.greatest(F.sum("fine"), F.lit(1)), "prec"), F.count(F.lit(1)).alias("n"), r6(F.avg("fine"), "mean_fine"), r6(F.percentile("fine", F.lit(0.5)), "median_fine"))
+    plain = {"prec": F.sum("loc") / F.greatest(F.sum("fine"), F.lit(1)), "n": F.count(F.lit(1)), "mean_fine": F.avg("fine")}
+    return rounded(R.summary(case, ["object"], plain, {"median_fine": ("fine", 0.5)}), "prec", "mean_fine", "median_fine")
 
 
 @query("select load_case, count(*) as n, round(avg(case when a < b then 1.0 else 0.0 end), 6) as win, round(quantile_cont(a / nullif(b, 0), 0.5), 6) as median_ratio from (select object, load_case, avg(case when method = 'proposed_max' then en end) as a, avg(case when method = 'heuristic_sub' then en end) as b from ok group by 1, 2) where a is not null and b is not null group by 1", **V)
 def pair_ratio(spark, d):
     """How often one method is below the other, and the median of their ratios; a ratio to 0 is none."""
-    p = R.paired(ok(spark, d), UNIT, "method", "proposed_max", "heuristic_sub", "en")
-    return p.groupBy("load_case").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.when(F.col("a") < F.col("b"), 1.0).otherwise(0.0)), "win"), r6(F.percentile(F.when(F.col("b") != 0, F.col("a") / F.col("b")), F.lit(0.5)), "median_ratio"))
+    p = R.paired(ok(spark, d), UNIT, "method", "proposed_max", "heuristic_sub", "en").withColumn("ratio", F.when(F.col("b") != 0, F.col("a") / F.col("b")))
+    plain = {"n": F.count(F.lit(1)), "win": F.avg(F.when(F.col("a") < F.col("b"), 1.0).otherwise(0.0))}
+    return rounded(R.summary(p, ["load_case"], plain, {"median_ratio": ("ratio", 0.5)}), "win", "median_ratio")
 
 
-CROSS = f"""select a.unit as own, o.unit as other, count(*) as n_a, count(*) filter (where exists (select 1 from gt g where g.unit = o.unit and {D2} <= 100)) as m_a,
-  any_value((select count(*) from gt g where g.unit = o.unit)) as n_g,
-  any_value((select count(*) from gt g where g.unit = o.unit and exists (select 1 from anchors b where b.grp = 'view' and b.unit = a.unit and (b.x - g.x) * (b.x - g.x) + (b.y - g.y) * (b.y - g.y) + (b.z - g.z) * (b.z - g.z) <= 100))) as m_g
-  from anchors a cross join (select distinct unit from gt) o where a.grp = 'view' group by 1, 2"""
+def crossed(spark, d) -> DataFrame:
+    """(object, load_case, of, method, n_a, m_a, n_g, m_g): anchors that a method placed for load case `of` of an object,
+    against the hot points of each load case of the same object."""
+    gt, a = cut(hot_points(spark, d)), cut(placed_anchors(spark, d))
+    keys = ["object", "load_case", "of", "method"]
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    cases = gt.select("object", "load_case").distinct()  # five load cases an object at most
+    dealt = a.join(cases, "object")
+    asked = gt.join(a.select("object", "of", "method").distinct(), "object")
+    hit_a = S.within_radius(dealt, gt, ["object", "load_case"], CROSS_RADIUS)
+    hit_g = S.within_radius(asked, a, ["object", "of", "method"], CROSS_RADIUS)
+    return count(dealt, "n_a").join(count(hit_a, "m_a"), keys, "left").join(count(asked, "n_g"), keys).join(count(hit_g, "m_g"), keys, "left").fillna(0)
 
 
-@query("select own, round(max(case when own = other then p end) - avg(case when own <> other then p end), 6) as gain_p, round(max(case when own = other then r end) - avg(case when own <> other then r end), 6) as gain_r, round(max(case when own = other then f end) - avg(case when own <> other then f end), 6) as gain_f from (select *, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f from (select own, other, m_a / n_a as p, m_g / n_g as r from crossed)) group by 1", **G, crossed=CROSS)
+CROSS_RADIUS = 25.0
+HOT = "select object, load_case, x, y, z from (select *, quantile_cont(val, 0.9) over (partition by object, load_case) as c from (select *, pid % 50 as object, grp as load_case from points) where pid % 3 = 0) where val >= c"
+PLACED = "select pid % 50 as object, grp as of, pid % 3 as method, x, y, z from points where pid % 3 > 0"
+CROSS = f"""select a.object, g.load_case, a.of, a.method, count(distinct a.i) as n_a, count(distinct case when {D2} <= {CROSS_RADIUS * CROSS_RADIUS} then a.i end) as m_a, count(distinct g.j) as n_g,
+  count(distinct case when {D2} <= {CROSS_RADIUS * CROSS_RADIUS} then g.j end) as m_g from (select *, row_number() over () as i from placed) a join (select *, row_number() over () as j from hot) g on a.object = g.object group by 1, 2, 3, 4"""
+X1 = P | {"hot": HOT, "placed": PLACED, "crossed": CROSS}
+
+
+def hot_points(spark, d) -> DataFrame:
+    p = points(spark, d).where("pid % 3 = 0").select((F.col("pid") % 50).alias("object"), F.col("grp").alias("load_case"), "x", "y", "z", "val")
+    return S.percentile_cut(p, ["object", "load_case"], "val", 0.9).drop("val")
+
+
+def placed_anchors(spark, d) -> DataFrame:
+    return points(spark, d).where("pid % 3 > 0").select((F.col("pid") % 50).alias("object"), F.col("grp").alias("of"), (F.col("pid") % 3).alias("method"), "x", "y", "z")
+
+
+@query("select load_case, of, method, cast(sum(n_a) as bigint) as n, cast(sum(m_a) as bigint) as hits from crossed where load_case <> of group by 1, 2, 3", **X1)
+def load_discrimination(spark, d):
+    """Anchors placed for one load case of an object against the hot points of its other load cases, by method."""
+    c = crossed(spark, d).where("load_case <> of")
+    return c.groupBy("load_case", "of", "method").agg(F.sum("n_a").alias("n"), F.sum("m_a").alias("hits"))
+
+
+@query("select object, load_case, method, n_mismatch, round(p, 6) as precision_matched, round(r, 6) as recall_matched, round(p - px, 6) as gain_precision, round(r - rx, 6) as gain_recall, round(f - fx, 6) as gain_f1 from (select object, load_case, method, count(*) filter (where of <> load_case) as n_mismatch, max(case when of = load_case then p end) as p, max(case when of = load_case then r end) as r, max(case when of = load_case then f end) as f, avg(case when of <> load_case then p end) as px, avg(case when of <> load_case then r end) as rx, avg(case when of <> load_case then f end) as fx from (select *, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f from (select *, m_a / n_a as p, m_g / n_g as r from crossed)) group by 1, 2, 3) where p is not null and n_mismatch > 0", **X1)
 def discrimination_gain(spark, d):
-    """How much better a unit's anchors fit its own hot points than, on the mean, those of the other units."""
-    p = points(spark, d)
-    gt, a = truth(p), anchors(p).where("grp = 'view'")
-    units = F.broadcast(gt.select(F.col("unit").alias("other")).distinct())  # five units
-    dealt = a.withColumnRenamed("unit", "own").join(units)
-    owners = F.broadcast(a.select(F.col("unit").alias("own")).distinct())
-    asked = gt.withColumnRenamed("unit", "other").join(owners)
-    count = lambda df, name: df.groupBy("own", "other").agg(F.count(F.lit(1)).alias(name))
-    hit_a = S.within_radius(dealt, gt.withColumnRenamed("unit", "other"), ["other"], 10.0)
-    hit_g = S.within_radius(asked, a.withColumnRenamed("unit", "own"), ["own"], 10.0)
-    n = count(dealt, "n_a").join(count(hit_a, "m_a"), ["own", "other"], "left").join(count(asked, "n_g"), ["own", "other"]).join(count(hit_g, "m_g"), ["own", "other"], "left").fillna(0)
+    """How much better a method's anchors fit the load case that they were placed for than those for its object's other load cases do."""
     values = dict(zip("prf", S.prf(F.col("m_a"), F.col("n_a"), F.col("m_g"), F.col("n_g")), strict=True))
-    gain = lambda c: F.max(F.when(F.col("own") == F.col("other"), F.col(c))) - F.avg(F.when(F.col("own") != F.col("other"), F.col(c)))
-    return n.select("own", "other", *[v.alias(k) for k, v in values.items()]).groupBy("own").agg(*[r6(gain(c), f"gain_{c}") for c in "prf"])
+    own = F.col("of") == F.col("load_case")
+    n = crossed(spark, d).select("object", "load_case", "method", "of", *[v.alias(k) for k, v in values.items()])
+    g = n.groupBy("object", "load_case", "method").agg(F.count_if(~own).alias("n_mismatch"), *[x for k in "prf" for x in (F.max(F.when(own, F.col(k))).alias(k), F.avg(F.when(~own, F.col(k))).alias(f"{k}x"))])
+    gain = {k: r6(F.col(k) - F.col(f"{k}x"), f"gain_{n}") for k, n in zip("prf", ("precision", "recall", "f1"), strict=True)}
+    return g.where("p is not null and n_mismatch > 0").select("object", "load_case", "method", "n_mismatch", r6(F.col("p"), "precision_matched"), r6(F.col("r"), "recall_matched"), *gain.values())
 
 
 TIERS = "select unit, pid, r, x, y, z, unnest(case when place <= 20 and place <= greatest(20, ceil(c / 100.0)) then ['top20', 'share'] when place <= greatest(20, ceil(c / 100.0)) then ['share'] else [] end) as tier from (select *, row_number() over (partition by unit order by val desc, pid) as place, count(*) over (partition by unit) as c from points where grp = 'error')"
@@ -90,12 +118,13 @@ def coverage_tiers(spark, d):
     hot = p.where("grp = 'error'")
     n = hot.groupBy("unit").agg(F.greatest(F.lit(20), F.ceil(F.count(F.lit(1)) / 100.0)).alias("n"))
     share = R.top_n(hot, ["unit"], "val", "pid", n)
-    first = F.broadcast(R.top_n(hot, ["unit"], "val", "pid", n.withColumn("n", F.lit(20))).select("unit", "pid", F.lit("top20").alias("first")))  # 20 a unit
+    first = R.top_n(hot, ["unit"], "val", "pid", n.withColumn("n", F.lit(20))).select("unit", "pid", F.lit("top20").alias("first"))
     dist = S.nearest(share, anchors(p), "unit").select("unit", "pid", "dist")
     tier = F.array_compact(F.array("first", F.lit("share")))
     t = share.join(dist, ["unit", "pid"]).join(first, ["unit", "pid"], "left").select("unit", F.explode(tier).alias("tier"), (F.col("dist") / F.col("r")).alias("dist"))
-    within = [r6(F.avg(F.when(F.col("dist") <= k, 1.0).otherwise(0.0)), f"within{k}") for k in (1, 2, 4)]
-    return t.groupBy("unit", "tier").agg(F.count(F.lit(1)).alias("n"), r6(F.percentile("dist", F.lit(0.5)), "median"), r6(F.percentile("dist", F.lit(0.9)), "p90"), r6(F.max("dist"), "worst"), *within)
+    within = {f"within{k}": F.avg(F.when(F.col("dist") <= k, 1.0).otherwise(0.0)) for k in (1, 2, 4)}
+    out = R.summary(cut(t), ["unit", "tier"], {"n": F.count(F.lit(1)), "worst": F.max("dist"), **within}, {"median": ("dist", 0.5), "p90": ("dist", 0.9)})
+    return rounded(out, "worst", *within, "median", "p90")
 
 
 @query("select 'rows' as stage, count(*) as n, count(distinct object) as objects from trials union all select 'ok', count(*), count(distinct object) from ok union all select 'first', count(*), count(distinct object) from firsts union all select 'complete', count(*), count(distinct object) from complete union all select 'strict', count(*), count(*) from (select object from complete group by 1 having count(distinct load_case) = 5)", **F1, complete=COMPLETE)
@@ -161,6 +190,15 @@ def with_p(df: DataFrame) -> DataFrame:
     return df.mapInPandas(add, f"{schema}, p_two double, p_less double, p_greater double")
 
 
-@query()
+# the error function's power series, good to six digits up to 4; beyond that the rest is below what is kept
+ERF = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda n: (1 - 2 * (n % 2)) * exp((2 * n + 1) * ln(greatest(x, 1e-12)) - lgamma(n + 1)) / (2 * n + 1)))"
+SIGNED = """select method, count(*) as n, sum(case when d > 0 then r else 0 end) as w_plus, any_value(tt) as tt from (select *, rank() over (partition by method order by abs(d)) + (count(*) over (partition by method, abs(d)) - 1) / 2.0 as r from pairs where d <> 0)
+    join (select method, sum(c * c * c - c) as tt from (select method, abs(d), count(*) as c from pairs where d <> 0 group by 1, 2) group by 1) using (method) group by 1"""
+SCORES = f"select *, case when x > 4 then 1 else {ERF} end as e from (select *, abs(z) / sqrt(2) as x from (select *, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0) as z from signed where n > 50))"
+
+
+@query("select method, n, round(z, 6) as z, round(1 - e, 6) as p_two, round(case when z < 0 then (1 - e) / 2 else (1 + e) / 2 end, 6) as p_less, round(case when z > 0 then (1 - e) / 2 else (1 + e) / 2 end, 6) as p_greater from scores", **F1, pairs=PAIRS, signed=SIGNED, scores=SCORES)
 def signed_rank_p(spark, d):
-    return with_p(R.signed_rank(pairs(spark, d), ["method"]))
+    """p of the paired tests with over 50 units, by the normal distribution (fewer units are exact and in the tests)."""
+    r = with_p(R.signed_rank(pairs(spark, d), ["method"]).where("n > 50"))
+    return r.select("method", "n", *[r6(F.col(c), c) for c in ("z", "p_two", "p_less", "p_greater")])

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import robust as R
+from ..operators import spatial as S
+from ..sources.tables import cut
 from .registry import query
 
 TETS = "select vec_id, label as object, c, " + ", ".join(f"cast(embedding[12 * c + {3 * n + k + 1}] as double) as {a}{n}" for n in range(4) for k, a in enumerate("xyz")) + " from embeddings cross join range(0, 5) t(c)"
@@ -19,7 +22,7 @@ EDGES = "select object, face, least(u, v) as u, greatest(u, v) as v from (select
 M1 = {"vertices": VERTICES, "grid": GRID, "faces": FACES, "edges": EDGES}
 CORNER = "select f.object, f.face, " + ", ".join(f"{p}.i as {p}_x, {p}.j as {p}_y, {p}.z as {p}_z" for p in "abc") + " from faces f join vertices a on a.i * 64 + a.j = f.a join vertices b on b.i * 64 + b.j = f.b join vertices c on c.i * 64 + c.j = f.c"
 NORMAL = "select object, face, (a_x + b_x + c_x) / 3.0 as mx, (a_y + b_y + c_y) / 3.0 as my, (a_z + b_z + c_z) / 3.0 as mz, nx / l as nx, ny / l as ny, nz / l as nz from (select *, sqrt(nx * nx + ny * ny + nz * nz) as l from (select *, (b_y - a_y) * (c_z - a_z) - (b_z - a_z) * (c_y - a_y) as nx, (b_z - a_z) * (c_x - a_x) - (b_x - a_x) * (c_z - a_z) as ny, (b_x - a_x) * (c_y - a_y) - (b_y - a_y) * (c_x - a_x) as nz from corner))"
-HINGE = "select e.object, e.f1, e.f2, n1.nx * n2.nx + n1.ny * n2.ny + n1.nz * n2.nz as cosine, (n2.mx - n1.mx) * n1.nx + (n2.my - n1.my) * n1.ny + (n2.mz - n1.mz) * n1.nz as inward from (select object, min(face) as f1, max(face) as f2 from edges group by object, u, v having count(*) = 2) e join normals n1 on n1.face = e.f1 join normals n2 on n2.face = e.f2"
+HINGE = "select e.object, e.u, e.v, e.f1, e.f2, n1.nx * n2.nx + n1.ny * n2.ny + n1.nz * n2.nz as cosine, (n2.mx - n1.mx) * n1.nx + (n2.my - n1.my) * n1.ny + (n2.mz - n1.mz) * n1.nz as inward from (select object, u, v, min(face) as f1, max(face) as f2 from edges group by object, u, v having count(*) = 2) e join normals n1 on n1.face = e.f1 join normals n2 on n2.face = e.f2"
 N1 = M1 | {"corner": CORNER, "normals": NORMAL, "hinges": HINGE}
 
 
@@ -42,37 +45,56 @@ def vertices(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "z")).withColumn("z", F.col("z").cast("double"))
 
 
-def faces(v: DataFrame) -> DataFrame:
-    last = F.broadcast(v.agg(F.max("i").alias("last")))
-    g = v.where("j < 63").join(last, F.col("i") < F.col("last")).withColumn("n", F.col("i") * 64 + F.col("j"))
-    n = F.col("n")
-    two = F.array(F.struct((2 * n).alias("face"), n.alias("a"), (n + 64).alias("b"), (n + 1).alias("c")), F.struct((2 * n + 1).alias("face"), (n + 64).alias("a"), (n + 65).alias("b"), (n + 1).alias("c")))
+def triangles(spark, d) -> DataFrame:
+    """(object, face, a, b, c, pa, pb, pc): numbers and places of the corners. Each row of heights meets the next one once."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("i"), F.col("embedding").alias("h"))
+    rows = e.join(e.select((F.col("i") - 1).alias("i"), F.col("h").alias("next")), "i")
+    g = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(62)))).withColumn("n", F.col("i") * 64 + F.col("j"))
+
+    def corner(di: int, dj: int) -> tuple[Column, Column]:
+        at = [(F.col("i") + di).cast("double"), (F.col("j") + dj).cast("double"), F.get("next" if di else "h", F.col("j") + dj).cast("double")]
+        return F.col("n") + 64 * di + dj, F.array(*at)
+
+    def face(k: int, *corners: tuple[Column, Column]) -> Column:
+        return F.struct((2 * F.col("n") + k).alias("face"), *[c[0].alias(x) for x, c in zip("abc", corners, strict=True)], *[c[1].alias(f"p{x}") for x, c in zip("abc", corners, strict=True)])
+
+    two = F.array(face(0, corner(0, 0), corner(1, 0), corner(0, 1)), face(1, corner(1, 0), corner(1, 1), corner(0, 1)))
     return g.select(F.floor(F.col("i") / 50).cast("long").alias("object"), F.explode(two).alias("f")).select("object", "f.*")
 
 
-def adjacency(f: DataFrame) -> DataFrame:
-    """(object, u, v, f1, f2): edges that two faces of an object share."""
-    edge = lambda p, q: F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"))
-    e = f.select("object", "face", F.explode(F.array(edge("a", "b"), edge("b", "c"), edge("c", "a"))).alias("e")).select("object", "face", "e.*")
-    return e.groupBy("object", "u", "v").agg(F.min("face").alias("f1"), F.max("face").alias("f2"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
+def adjacency(f: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(object, u, v, f1, f2): edges that two faces of an object share; f1 and f2 are structs of face and the columns in
+    carry. Faces meet at their edge with all they carry, so nothing is joined back to them."""
+    edge = lambda p, q: F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"), F.struct("face", *(carry or [])).alias("f"))
+    e = f.select("object", F.explode(F.array(edge("a", "b"), edge("b", "c"), edge("c", "a"))).alias("e")).select("object", "e.*")
+    return e.groupBy("object", "u", "v").agg(F.min("f").alias("f1"), F.max("f").alias("f2"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
+
+
+def with_normals(t: DataFrame) -> DataFrame:
+    """Triangles with their centre (m) and unit normal (n), by column algebra."""
+    s = lambda k, i: F.col(f"p{k}")[i] - F.col("pa")[i]
+    cross = F.array(*[s("b", (i + 1) % 3) * s("c", (i + 2) % 3) - s("b", (i + 2) % 3) * s("c", (i + 1) % 3) for i in range(3)])
+    t = t.withColumn("m", F.array(*[(F.col("pa")[i] + F.col("pb")[i] + F.col("pc")[i]) / 3 for i in range(3)])).withColumn("n", cross)
+    return t.withColumn("area2", F.sqrt(dot("n", "n"))).withColumn("n", F.transform("n", lambda x: x / F.col("area2")))
+
+
+def dot(a: str | Column, b: str | Column) -> Column:
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return sum((a[i] * b[i] for i in range(3)), F.lit(0.0))
+
+
+def minus(a: str, b: str) -> Column:
+    return F.array(*[F.col(a)[i] - F.col(b)[i] for i in range(3)])
 
 
 def hinges(spark, d) -> DataFrame:
-    """Adjacent faces with the cosine between their normals and how far the second one's centre lies before the first."""
-    v = vertices(spark, d)
-    f = faces(v)
-    at = v.select((F.col("i") * 64 + F.col("j")).alias("id"), F.struct(F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), "z").alias("p"))
-    corners = f.select("face", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("id")) for k in "abc"])).alias("q")).select("face", "q.k", "q.id").join(at, "id")
-    n = corners.groupBy("face").agg(*[F.max(F.when(F.col("k") == k, F.col("p"))).alias(k) for k in "abc"])
-    s = lambda k, a: F.col(k)[a] - F.col("a")[a]
-    cross = {"x": s("b", "y") * s("c", "z") - s("b", "z") * s("c", "y"), "y": s("b", "z") * s("c", "x") - s("b", "x") * s("c", "z"), "z": s("b", "x") * s("c", "y") - s("b", "y") * s("c", "x")}
-    n = n.select("face", *[((F.col("a")[a] + F.col("b")[a] + F.col("c")[a]) / 3).alias(f"m{a}") for a in "xyz"], *[c.alias(f"n{a}") for a, c in cross.items()])
-    size = F.sqrt(sum((F.col(f"n{a}") * F.col(f"n{a}") for a in "xyz"), F.lit(0.0)))
-    n = n.withColumn("l", size).withColumns({f"n{a}": F.col(f"n{a}") / F.col("l") for a in "xyz"}).drop("l")
-    side = lambda i: n.select(*[F.col(c).alias(f"{c}{i}") for c in n.columns])
-    j = adjacency(f).join(side(1), F.col("f1") == F.col("face1")).join(side(2), F.col("f2") == F.col("face2"))
-    dot = lambda p, q: sum((p(a) * q(a) for a in "xyz"), F.lit(0.0))
-    return j.select("object", "f1", "f2", dot(lambda a: F.col(f"n{a}1"), lambda a: F.col(f"n{a}2")).alias("cosine"), dot(lambda a: F.col(f"m{a}2") - F.col(f"m{a}1"), lambda a: F.col(f"n{a}1")).alias("inward"))
+    """Adjacent faces with the cosine between their normals, how far the second one's centre lies before the first, the
+    length of their edge, its ends and both centres."""
+    t = with_normals(triangles(spark, d)).withColumn("at", F.array(*[F.struct(F.col(x).alias("id"), F.col(f"p{x}").alias("p")) for x in "abc"]))
+    j = adjacency(t, ["n", "m", "at"])
+    place = lambda v: F.get(F.filter("f1.at", lambda x: x["id"] == F.col(v)), F.lit(0))["p"]
+    j = j.withColumn("pu", place("u")).withColumn("pv", place("v")).withColumn("side", minus("pu", "pv"))
+    return j.select("object", F.col("f1.face").alias("f1"), F.col("f2.face").alias("f2"), dot("f1.n", "f2.n").alias("cosine"), dot(minus("f2.m", "f1.m"), "f1.n").alias("inward"), F.sqrt(dot("side", "side")).alias("length"), "pu", "pv", F.col("f1.m").alias("m1"), F.col("f2.m").alias("m2"))
 
 
 def angle(low: float, high: float) -> Column:
@@ -87,34 +109,72 @@ def tet_geometry(spark, d):
     return geometry(tets(spark, d)).groupBy("object").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("volume"), 6).alias("volume"), F.round(F.avg(F.cbrt("volume")), 6).alias("size"), F.round(F.avg("cx"), 6).alias("cx"))
 
 
-@query("select object, round(quantile_cont(case when cx > 0.1 then cbrt(volume) end, 0.5), 6) as h_loc, round(quantile_cont(cbrt(volume), 0.5), 6) as h_glob, count(*) filter (where cx > 0.1) as n_loc, count(*) as n_tot from geo group by 1", **T1)
+NEAR = 0.15
+HOT = "select object, cx, cy, cz from (select *, quantile_cont(volume, 0.95) over (partition by object) as q from geo) where volume >= q"
+CLOSE = f"(g.cx - a.cx) * (g.cx - a.cx) + (g.cy - a.cy) * (g.cy - a.cy) + (g.cz - a.cz) * (g.cz - a.cz) <= {NEAR * NEAR}"
+CUT = 1.25 * NEAR / 4
+T2 = T1 | {"hot": HOT, "fine": f"select * from geo where cbrt(volume) <= {CUT}"}
+
+
+def centres(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Elements by centre and size, and the largest twentieth of each object, which stand for its hot points."""
+    g = cut(geometry(tets(spark, d)).select("object", "vec_id", "c", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), F.col("volume").alias("v"), F.cbrt("volume").alias("h")))
+    return g, cut(S.percentile_cut(g, ["object"], "v", 0.95))
+
+
+@query(f"select object, round(quantile_cont(case when near then h end, 0.5), 6) as h_loc, round(quantile_cont(h, 0.5), 6) as h_glob, count(*) filter (where near) as n_loc, count(*) as n_tot, any_value((select count(*) from hot g where g.object = e.object)) as n_gt from (select object, cbrt(volume) as h, exists (select 1 from hot g where g.object = a.object and {CLOSE}) as near from geo a) e group by 1", **T2)
 def hotspot_elemsize(spark, d):
-    g = geometry(tets(spark, d)).withColumn("h", F.cbrt("volume"))
-    near = F.col("cx") > 0.1
-    return g.groupBy("object").agg(F.round(F.percentile(F.when(near, F.col("h")), F.lit(0.5)), 6).alias("h_loc"), F.round(F.percentile("h", F.lit(0.5)), 6).alias("h_glob"), F.count_if(near).alias("n_loc"), F.count(F.lit(1)).alias("n_tot"))
+    """The median size of elements near hot points and of all; null where none is near."""
+    g, hot = centres(spark, d)
+    near = S.within_radius(g, hot, ["object"], NEAR)
+    glob = R.summary(g, ["object"], {"n_tot": F.count(F.lit(1))}, {"h_glob": ("h", 0.5)})
+    loc = R.summary(near, ["object"], {"n_loc": F.count(F.lit(1))}, {"h_loc": ("h", 0.5)})
+    out = glob.join(loc, "object", "left").join(hot.groupBy("object").agg(F.count(F.lit(1)).alias("n_gt")), "object")
+    return out.select("object", F.round("h_loc", 6).alias("h_loc"), F.round("h_glob", 6).alias("h_glob"), F.coalesce("n_loc", F.lit(0)).alias("n_loc"), "n_tot", "n_gt")
 
 
-@query("select object, n_fine, case when n_fine > 0 then round(m / n_fine, 6) end as prec from (select object, count(*) filter (where cbrt(volume) <= 0.05) as n_fine, count(*) filter (where cbrt(volume) <= 0.05 and exists (select 1 from geo g where g.object = a.object and g.vec_id % 50 = 0 and g.c = 0 and (g.cx - a.cx) * (g.cx - a.cx) + (g.cy - a.cy) * (g.cy - a.cy) + (g.cz - a.cz) * (g.cz - a.cz) <= 0.01)) as m from geo a group by 1)", **T1)
+@query(f"select object, n_fine, n_gt, round(prec, 6) as prec, round(rec, 6) as rec, round(case when prec + rec > 0 then 2 * prec * rec / (prec + rec) else 0 end, 6) as f1 from (select object, n_gt, coalesce(n_fine, 0) as n_fine, m_f / n_fine as prec, m_g / n_gt as rec from (select g.object, count(*) as n_gt, count(*) filter (where exists (select 1 from fine a where g.object = a.object and {CLOSE})) as m_g from hot g group by 1) left join (select a.object, count(*) as n_fine, count(*) filter (where exists (select 1 from hot g where g.object = a.object and {CLOSE})) as m_f from fine a group by 1) using (object))", **T2)
 def element_prf(spark, d):
-    """Share of fine elements near a marked one; null without fine elements."""
-    from ..operators.spatial import within_radius
-
-    g = geometry(tets(spark, d)).select("object", "vec_id", "c", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), F.cbrt("volume").alias("h"))
-    fine, marked = g.where("h <= 0.05"), g.where("vec_id % 50 = 0 and c = 0")
-    hit = within_radius(fine, marked, ["object"], 0.1).groupBy("object").agg(F.count(F.lit(1)).alias("m"))
-    n = g.groupBy("object").agg(F.count_if(F.col("h") <= 0.05).alias("n_fine")).join(hit, "object", "left")
-    return n.select("object", "n_fine", F.when(F.col("n_fine") > 0, F.round(F.coalesce("m", F.lit(0)) / F.col("n_fine"), 6)).alias("prec"))
+    """Fine elements against hot points, both ways: precision is null without fine elements, recall and F1 are 0."""
+    g, hot = centres(spark, d)
+    fine = g.where(F.col("h") <= CUT)
+    count = lambda df, name: df.groupBy("object").agg(F.count(F.lit(1)).alias(name))
+    n = count(hot, "n_gt").join(count(fine, "n_fine"), "object", "left")
+    n = n.join(count(S.within_radius(fine, hot, ["object"], NEAR), "m_f"), "object", "left").join(count(S.within_radius(hot, fine, ["object"], NEAR), "m_g"), "object", "left").fillna(0)
+    p, r = F.when(F.col("n_fine") > 0, F.col("m_f") / F.col("n_fine")), F.col("m_g") / F.col("n_gt")
+    return n.select("object", "n_fine", "n_gt", F.round(p, 6).alias("prec"), F.round(r, 6).alias("rec"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
 
 
 @query("select object, count(*) as n, sum(f1) as s1, sum(f2) as s2 from (select object, min(face) as f1, max(face) as f2 from edges group by object, u, v having count(*) = 2) group by 1", **M1)
 def face_adjacency(spark, d):
-    a = adjacency(faces(vertices(spark, d)))
-    return a.groupBy("object").agg(F.count(F.lit(1)).alias("n"), F.sum("f1").alias("s1"), F.sum("f2").alias("s2"))
+    a = adjacency(triangles(spark, d))
+    return a.groupBy("object").agg(F.count(F.lit(1)).alias("n"), F.sum("f1.face").alias("s1"), F.sum("f2.face").alias("s2"))
 
 
-@query("select object, count(*) as n, round(avg(cosine), 6) as mean_cosine from hinges where cosine < cos(radians(5)) and inward > 0 group by 1", **N1)
+@query("select h.object, count(*) as n, round(avg(cosine), 6) as mean_cosine, cast(sum(greatest(2, cast(ceil(sqrt((p.i - q.i) * (p.i - q.i) + (p.j - q.j) * (p.j - q.j) + (p.z - q.z) * (p.z - q.z)) / 0.5) as bigint))) as bigint) as samples from hinges h join vertices p on p.i * 64 + p.j = h.u join vertices q on q.i * 64 + q.j = h.v where cosine < cos(radians(8)) and inward > 0 group by 1", **N1)
 def concave_edges(spark, d):
-    return hinges(spark, d).where(angle(5.0, 180.0) & (F.col("inward") > 0)).groupBy("object").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cosine"), 6).alias("mean_cosine"))
+    """Sharp edges that bend inwards, and how many points along them max(2, length / spacing) makes."""
+    h = hinges(spark, d).where(angle(8.0, 180.0) & (F.col("inward") > 0))
+    samples = F.sum(F.greatest(F.lit(2), F.ceil(F.col("length") / 0.5).cast("int")))
+    return h.groupBy("object").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cosine"), 6).alias("mean_cosine"), samples.alias("samples"))
+
+
+EDGE_POINTS = """select h.object, p.i + (q.i - p.i) * k / (n - 1.0) as x, p.j + (q.j - p.j) * k / (n - 1.0) as y, p.z + (q.z - p.z) * k / (n - 1.0) as z from (select h.*, greatest(2, cast(ceil(sqrt((p.i - q.i) * (p.i - q.i) + (p.j - q.j) * (p.j - q.j) + (p.z - q.z) * (p.z - q.z)) / 0.5) as bigint)) as n, p, q
+  from hinges h join vertices p on p.i * 64 + p.j = h.u join vertices q on q.i * 64 + q.j = h.v where cosine < cos(radians(8)) and inward > 0) h cross join range(0, 64) t(k) where k < n"""
+FACE_POINTS = "select object, (a_x + b_x + c_x) / 3.0 as x, (a_y + b_y + c_y) / 3.0 as y, (a_z + b_z + c_z) / 3.0 as z from corner where face in (select unnest([f1, f2]) from hinges where cosine < cos(radians(8)) and inward > 0)"
+
+
+@query("select object, count(*) as anchors, count(*) > 1000 as dense from (select distinct object, round(x, 4), round(y, 4), round(z, 4) from (select * from edge_points union all select * from face_points)) group by 1", **N1, edge_points=EDGE_POINTS, face_points=FACE_POINTS)
+def density_screen(spark, d):
+    """How many different anchors an object would get along its sharp concave edges and on the faces beside them, and whether
+    these are too many, before anything is worked out on them."""
+    h = cut(hinges(spark, d).where(angle(8.0, 180.0) & (F.col("inward") > 0)))
+    n = F.greatest(F.lit(2), F.ceil(F.col("length") / 0.5).cast("int"))
+    along = h.select("object", "pu", "pv", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    along = along.select("object", F.array(*[F.col("pu")[i] + (F.col("pv")[i] - F.col("pu")[i]) * F.col("k") / (F.col("n") - 1) for i in range(3)]).alias("p"))
+    beside = h.select("object", F.explode(F.array("m1", "m2")).alias("p"))
+    p = along.unionByName(beside).select("object", F.transform("p", lambda x: F.round(x, 4)).alias("p")).distinct()
+    return p.groupBy("object").agg(F.count(F.lit(1)).alias("anchors")).withColumn("dense", F.col("anchors") > 1000)
 
 
 @query("select object, count(distinct f) as n from (select object, unnest([f1, f2]) as f from hinges where cosine < cos(radians(1)) and cosine >= cos(radians(5)) and inward > 0) group by 1", **N1)
@@ -126,55 +186,72 @@ def concave_faces(spark, d):
 @query("select v.i, v.j from vertices v where v.i * 64 + v.j not in (select u from edges where face % 7 <> 0 union select v from edges where face % 7 <> 0)", **M1)
 def mesh_integrity(spark, d):
     """Vertices that no face uses once every seventh face is gone."""
-    v = vertices(spark, d)
-    used = faces(v).where("face % 7 <> 0").select(F.explode(F.array("a", "b", "c")).alias("id")).distinct()
-    return v.withColumn("id", F.col("i") * 64 + F.col("j")).join(used, "id", "left_anti").select("i", "j")
+    used = triangles(spark, d).where("face % 7 <> 0").select(F.explode(F.array("a", "b", "c")).alias("id")).distinct()
+    return vertices(spark, d).withColumn("id", F.col("i") * 64 + F.col("j")).join(used, "id", "left_anti").select("i", "j")
 
 
-@query("select object, round(h, 6) as h_max, round(h / 5, 6) as h_min, round(4 * h / 5, 6) as radius, round(pow(8.485 * v / n, 1.0 / 3), 6) as floor_size from (select object, sum(volume) as v, count(*) as n, case when object = 3 then 2.5 else 20 * pow(sum(volume) / 268, 0.4) end as h from geo group by 1)", **T1)
+STATUS = "select object, n_field, n_deg, n_nan, case when n_deg <> n_field then 'SHAPE_MISMATCH' when n_nan > 0 then 'NAN_SIZING_FIELD' else 'ok' end as status from (select object, count(*) as n_field, cast(sum(used) as bigint) as n_deg, cast(sum(bad) as bigint) as n_nan from (select object, id, max(case when object % 3 > 0 or face % 7 <> 0 then 1 else 0 end) as used, max(case when object % 3 = 1 and id % 977 = 5 then 1 else 0 end) as bad from (select object, face, unnest([a, b, c]) as id from faces) group by 1, 2) group by 1)"
+
+
+@query(STATUS, **M1)
+def mesh_status(spark, d):
+    """Whether each vertex with a size has an edge and each size is a number: some objects lack every seventh face, others
+    some sizes."""
+    v = triangles(spark, d).select("object", "face", F.explode(F.array("a", "b", "c")).alias("id"))
+    there = (F.col("object") % 3 > 0) | (F.col("face") % 7 != 0)
+    field = F.when((F.col("object") % 3 == 1) & (F.col("id") % 977 == 5), F.lit(float("nan"))).otherwise(1.0)
+    by = v.groupBy("object", "id").agg(F.bool_or(there).alias("used"), F.first(field).alias("field"))
+    n = by.groupBy("object").agg(F.count(F.lit(1)).alias("n_field"), F.count_if("used").alias("n_deg"), F.count_if(F.isnan("field")).alias("n_nan"))
+    return n.withColumn("status", F.when(F.col("n_deg") != F.col("n_field"), "SHAPE_MISMATCH").when(F.col("n_nan") > 0, "NAN_SIZING_FIELD").otherwise("ok"))
+
+
+@query("select object, level, round(level * h, 6) as h_max, round(level * h / 5, 6) as h_min, round(4 * h / 5, 6) as radius, round(pow(8.485 * v / n, 1.0 / 3), 6) as floor_size from (select object, sum(volume) as v, count(*) as n, case when object = 3 then 2.5 else 20 * pow(sum(volume) / 268, 0.4) end as h from geo group by 1) cross join (select unnest([1.0e0, 1.25e0, 1.6e0, 2.0e0]) as level)", **T1)
 def size_law(spark, d):
-    """Sizes by a power law of an object's volume, unless a table of overrides has one; the radius is four least sizes."""
+    """Sizes by a power law of an object's volume, unless a table of overrides has one; levels scale them, but the radius
+    stays that of four least sizes at level 1."""
     own = spark.createDataFrame([(3, 2.5)], "object int, own double")
     g = geometry(tets(spark, d)).groupBy("object").agg(F.sum("volume").alias("v"), F.count(F.lit(1)).alias("n"))
     h = F.coalesce("own", 20 * F.pow(F.col("v") / 268, F.lit(0.4)))
-    s = g.join(F.broadcast(own), "object", "left").withColumn("h", h)
-    return s.select("object", F.round("h", 6).alias("h_max"), F.round(F.col("h") / 5, 6).alias("h_min"), F.round(4 * F.col("h") / 5, 6).alias("radius"), F.round(F.pow(8.485 * F.col("v") / F.col("n"), F.lit(1.0 / 3)), 6).alias("floor_size"))
+    s = g.join(F.broadcast(own), "object", "left").withColumn("h", h).withColumn("level", F.explode(F.array(*[F.lit(x) for x in (1.0, 1.25, 1.6, 2.0)])))
+    sized = F.col("level") * F.col("h")
+    return s.select("object", "level", F.round(sized, 6).alias("h_max"), F.round(sized / 5, 6).alias("h_min"), F.round(4 * F.col("h") / 5, 6).alias("radius"), F.round(F.pow(8.485 * F.col("v") / F.col("n"), F.lit(1.0 / 3)), 6).alias("floor_size"))
 
 
-@query("select cast(floor(i / 50) as bigint) as object from vertices group by 1 having count(*) >= 200 and max(z) - min(z) > 0 and (max(i) - min(i)) / (max(z) - min(z)) <= 200 and max(z) - min(z) < 1000", **M1)
+@query("select object, n as faces, round(greatest(x, y, z) / least(x, y, z), 6) as aspect from (select f.object, count(distinct face) as n, max(i) - min(i) as x, max(j) - min(j) as y, max(z) - min(z) as z from (select object, face, unnest([a, b, c]) as id from faces) f join vertices v on v.i * 64 + v.j = f.id group by 1) where n >= 200 and least(x, y, z) > 0 and greatest(x, y, z) / least(x, y, z) <= 200", **M1)
 def shape_validity(spark, d):
-    """Objects with enough vertices, some extent and no extreme aspect."""
-    x, z = F.max("i") - F.min("i"), F.max("z") - F.min("z")
-    g = vertices(spark, d).groupBy(F.floor(F.col("i") / 50).cast("long").alias("object")).agg(F.count(F.lit(1)).alias("n"), x.alias("x"), z.alias("z"))
-    return g.where("n >= 200 and z > 0 and x / z <= 200 and z < 1000").select("object")
+    """Objects with enough faces, some extent and no extreme aspect."""
+    p = triangles(spark, d).select("object", F.array("pa", "pb", "pc").alias("p"))
+    axis = lambda i: F.array(*[F.col("p")[k][i] for k in range(3)])
+    ends = [f(axis(i)).alias(f"{n}{i}") for i in range(3) for n, f in (("lo", F.array_min), ("hi", F.array_max))]
+    limits = [x for i in range(3) for x in (F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"))]
+    size = [F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(3)]
+    g = p.select("object", *ends).groupBy("object").agg(F.count(F.lit(1)).alias("faces"), *limits).select("object", "faces", F.greatest(*size).alias("most"), F.least(*size).alias("least"))
+    return g.where("faces >= 200 and least > 0 and most / least <= 200").select("object", "faces", F.round(F.col("most") / F.col("least"), 6).alias("aspect"))
 
 
 @query("select object, sum(greatest(2, cast(ceil(sqrt((ai - bi) * (ai - bi) + (aj - bj) * (aj - bj) + (az - bz) * (az - bz)) / 0.5) as bigint))) as samples from (select e.object, p.i as ai, p.j as aj, p.z as az, q.i as bi, q.j as bj, q.z as bz from (select object, u, v from edges group by 1, 2, 3 having count(*) = 2) e join vertices p on p.i * 64 + p.j = e.u join vertices q on q.i * 64 + q.j = e.v) group by 1".replace("sum(greatest", "cast(sum(greatest").replace("as bigint))) as samples", "as bigint))) as bigint) as samples"), **M1)
 def edge_samples(spark, d):
     """Points along shared edges, max(2, length / spacing) on each."""
-    v = vertices(spark, d)
-    at = lambda n: v.select((F.col("i") * 64 + F.col("j")).alias(n), F.struct(F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), "z").alias(f"p{n}"))
-    e = adjacency(faces(v)).join(at("u"), "u").join(at("v"), "v")
-    length = F.sqrt(sum(((F.col("pu")[a] - F.col("pv")[a]) * (F.col("pu")[a] - F.col("pv")[a]) for a in "xyz"), F.lit(0.0)))
-    n = F.greatest(F.lit(2), F.ceil(length / 0.5).cast("int"))
-    part = F.explode(F.sequence(F.lit(0), n - 1)).alias("k")
-    points = e.select("object", "pu", "pv", n.alias("n"), part).select("object", *[(F.col("pu")[a] + (F.col("pv")[a] - F.col("pu")[a]) * F.col("k") / (F.col("n") - 1)).alias(a) for a in "xyz"])
+    t = triangles(spark, d).withColumn("at", F.array(*[F.struct(F.col(x).alias("id"), F.col(f"p{x}").alias("p")) for x in "abc"]))
+    place = lambda v: F.get(F.filter("f1.at", lambda x: x["id"] == F.col(v)), F.lit(0))["p"]
+    e = adjacency(t, ["at"]).select("object", place("u").alias("pu"), place("v").alias("pv")).withColumn("side", minus("pu", "pv"))
+    n = F.greatest(F.lit(2), F.ceil(F.sqrt(dot("side", "side")) / 0.5).cast("int"))
+    points = e.select("object", "pu", "pv", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    points = points.select("object", *[(F.col("pu")[i] + (F.col("pv")[i] - F.col("pu")[i]) * F.col("k") / (F.col("n") - 1)).alias(a) for i, a in enumerate("xyz")])
     return points.groupBy("object").agg(F.count(F.lit(1)).alias("samples"))
 
 
-@query()
+CHANCE = "cast(cast('0x' || substr(md5(cast(face as varchar) || '|' || cast(k as varchar) || '|{}'), 1, 7) as bigint) as double) / 268435456"
+AREAS = "select *, sqrt(pow((b_y - a_y) * (c_z - a_z) - (b_z - a_z) * (c_y - a_y), 2) + pow((b_z - a_z) * (c_x - a_x) - (b_x - a_x) * (c_z - a_z), 2) + pow((b_x - a_x) * (c_y - a_y) - (b_y - a_y) * (c_x - a_x), 2)) / 2 as area from corner"
+DRAWN = f"select *, sqrt({CHANCE.format(1)}) as r, {CHANCE.format(2)} as t from (select *, unnest(range(1, cast(ceil(area / 0.25) as bigint) + 1)) as k from areas)"
+
+
+@query("select object, face, k, " + ", ".join(f"round((1 - r) * a_{x} + r * (1 - t) * b_{x} + r * t * c_{x}, 6) as {x}" for x in "xyz") + " from drawn", **M1, corner=CORNER, areas=AREAS, drawn=DRAWN)
 def area_samples(spark, d):
     """Random points on triangles, ceil(area / spacing ** 2) each, by barycentric weights from a seeded hash of the face."""
-    v = vertices(spark, d)
-    at = v.select((F.col("i") * 64 + F.col("j")).alias("id"), F.array(F.col("i").cast("double"), F.col("j").cast("double"), F.col("z")).alias("p"))
-    f = faces(v)
-    for k in "abc":
-        f = f.join(at.select(F.col("id").alias(k), F.col("p").alias(f"p{k}")), k)
-    s = lambda k, n: F.col(f"p{k}")[n] - F.col("pa")[n]
-    cross = [s("b", (n + 1) % 3) * s("c", (n + 2) % 3) - s("b", (n + 2) % 3) * s("c", (n + 1) % 3) for n in range(3)]
-    area = F.sqrt(sum((c * c for c in cross), F.lit(0.0))) / 2
-    g = f.select("object", "face", "pa", "pb", "pc", F.explode(F.sequence(F.lit(1), F.ceil(area / 0.25).cast("int"))).alias("k"))
-    u = lambda seed: F.pmod(F.xxhash64("face", "k", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    t = with_normals(triangles(spark, d))
+    g = t.select("object", "face", "pa", "pb", "pc", F.explode(F.sequence(F.lit(1), F.ceil(F.col("area2") / 2 / 0.25).cast("int"))).alias("k"))
+    u = lambda seed: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("face").cast("string"), F.col("k").cast("string"), F.lit(str(seed))).cast("binary")), 1, 7), 16, 10).cast("double") / float(1 << 28)
     r = g.withColumn("r", F.sqrt(u(1))).withColumn("t", u(2))
     w = {"a": 1 - F.col("r"), "b": F.col("r") * (1 - F.col("t")), "c": F.col("r") * F.col("t")}
-    return r.select("object", "face", "k", *[sum((w[q] * F.col(f"p{q}")[n] for q in "abc"), F.lit(0.0)).alias("xyz"[n]) for n in range(3)])
+    return r.select("object", "face", F.col("k").cast("long").alias("k"), *[F.round(sum((w[q] * F.col(f"p{q}")[n] for q in "abc"), F.lit(0.0)), 6).alias("xyz"[n]) for n in range(3)])

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import robust as R
 from ..operators import select as K
 from ..operators import spatial as S
+from ..sources.tables import cut
 from .registry import query
 
 POINTS = """
@@ -115,20 +115,9 @@ def macro_prf(spark, d):
 @query(f"select grp, count(*) as n_crit, round(sum(val * z), 4) as energy, round(sum(z), 4) as volume, round(quantile_cont(val, 0.99), 6) as p99, max(val) as top from anchors a where exists (select 1 from gt g where g.unit = a.unit and {D2} <= a.r * a.r) group by 1", **G)
 def region_qoi(spark, d):
     p = points(spark, d)
-    hit = S.within_radius(anchors(p), truth(p), ["unit"], "r")
-    return hit.groupBy("grp").agg(F.count(F.lit(1)).alias("n_crit"), F.round(F.sum(F.col("val") * F.col("z")), 4).alias("energy"), F.round(F.sum("z"), 4).alias("volume"), r6(F.percentile("val", F.lit(0.99)), "p99"), F.max("val").alias("top"))
-
-
-@query(f"select a.unit as own, o.unit as other, count(*) as n, count(*) filter (where exists (select 1 from gt g where g.unit = o.unit and {D2} <= 100)) as hits from anchors a cross join (select distinct unit from gt) o where a.unit <> o.unit and a.grp = 'view' group by 1, 2", **G)
-def load_discrimination(spark, d):
-    """Anchors of one unit against the hot points of each other unit."""
-    p = points(spark, d)
-    gt, a = truth(p), anchors(p).where("grp = 'view'")
-    others = F.broadcast(gt.select(F.col("unit").alias("other")).distinct())  # five units
-    pairs = a.withColumnRenamed("unit", "own").join(others, F.col("own") != F.col("other"))
-    hits = S.within_radius(pairs, gt.withColumnRenamed("unit", "other"), ["other"], 10.0)
-    n = pairs.groupBy("own", "other").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(hits.groupBy("own", "other").agg(F.count(F.lit(1)).alias("hits")), ["own", "other"], "left").fillna(0)
+    hit = cut(S.within_radius(anchors(p), truth(p), ["unit"], "r").select("grp", "val", "z"))
+    plain = {"n_crit": F.count(F.lit(1)), "energy": F.round(F.sum(F.col("val") * F.col("z")), 4), "volume": F.round(F.sum("z"), 4), "top": F.max("val")}
+    return R.summary(hit, ["grp"], plain, {"p99": ("val", 0.99)}).withColumn("p99", F.round("p99", 6))
 
 
 NEAR_A = f"select g.unit, g.pid, (select min(sqrt({D2})) from anchors a where a.unit = g.unit) as dist from gt g"
@@ -138,7 +127,9 @@ NEAR_A = f"select g.unit, g.pid, (select min(sqrt({D2})) from anchors a where a.
 def coverage_distance(spark, d):
     p = points(spark, d)
     n = S.nearest(truth(p), anchors(p), "unit")
-    return n.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), r6(F.percentile("dist", F.lit(0.5)), "median"), r6(F.percentile("dist", F.lit(0.9)), "p90"), r6(F.max("dist"), "worst"), r6(F.avg(F.when(F.col("dist") <= 4, 1.0).otherwise(0.0)), "within"))
+    plain = {"n": F.count(F.lit(1)), "worst": F.max("dist"), "within": F.avg(F.when(F.col("dist") <= 4, 1.0).otherwise(0.0))}
+    s = R.summary(cut(n), ["unit"], plain, {"median": ("dist", 0.5), "p90": ("dist", 0.9)})
+    return s.withColumns({c: F.round(c, 6) for c in ("worst", "within", "median", "p90")})
 
 
 NEAR_G = f"select a.unit, a.pid, (select min(sqrt({D2})) from gt g where a.unit = g.unit) as dist from anchors a"
@@ -152,21 +143,26 @@ def chamfer(spark, d):
     return f.join(b, "unit").select("unit", r6(F.col("a0") + F.col("a1"), "chamfer"), r6((F.col("a0") + F.col("a1")) / 2, "half"), r6(F.greatest("m0", "m1"), "hausdorff"))
 
 
-@query("select unit, round(avg(dist), 6) as spacing from (select g.unit, (select min(sqrt((a.x - g.x) * (a.x - g.x) + (a.y - g.y) * (a.y - g.y) + (a.z - g.z) * (a.z - g.z))) from gt a where a.unit = g.unit and a.pid <> g.pid) as dist from gt g) group by 1", **G)
+@query("select unit, round(case when n < 2 then 0.01 * diagonal else greatest(spacing, 0.001 * diagonal) end, 6) as spacing from (select unit, avg(dist) as spacing, count(*) as n from (select g.unit, (select min(sqrt((a.x - g.x) * (a.x - g.x) + (a.y - g.y) * (a.y - g.y) + (a.z - g.z) * (a.z - g.z))) from gt a where a.unit = g.unit and a.pid <> g.pid) as dist from gt g) group by 1) join (select unit, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2) + pow(max(z) - min(z), 2)) as diagonal from points group by 1) using (unit)", **G)
 def nn_spacing(spark, d):
-    gt = truth(points(spark, d))
-    return S.nearest(gt, gt, "unit").groupBy("unit").agg(r6(F.avg("dist"), "spacing"))
+    """The mean distance to the nearest other point, at least a thousandth of the whole's diagonal; a hundredth of it for a single point."""
+    p = points(spark, d)
+    gt = truth(p)
+    s = S.nearest(gt, gt, "unit").groupBy("unit").agg(F.avg("dist").alias("s"), F.count(F.lit(1)).alias("n"))
+    size = F.sqrt(sum((F.pow(F.col(f"hi_{k}") - F.col(f"lo_{k}"), F.lit(2)) for k in S.XYZ), F.lit(0.0)))
+    least = S.bounds(p, ["unit"]).select("unit", size.alias("diagonal"))
+    return s.join(least, "unit").select("unit", r6(F.when(F.col("n") < 2, 0.01 * F.col("diagonal")).otherwise(F.greatest("s", 0.001 * F.col("diagonal"))), "spacing"))
 
 
-LAYERS = 2.5
+PITCH = 2160  # of the layers, in seconds of the day
 
 
-@query("select pid, cast(floor(y / 2.5 + 0.5) as bigint) as layer, round(abs(y - 2.5 * floor(y / 2.5 + 0.5)), 6) as gap from points where y / 2.5 - floor(y / 2.5) <> 0.5", **P)
+@query("select pid, cast(floor((s + 1079) / 2160) as bigint) as layer, round(abs(s / 864.0e0 - 2.5 * floor((s + 1079) / 2160)), 6) as gap from (select event_id as pid, cast(floor(epoch(ts)) as bigint) % 86400 as s from events)")
 def nearest_layer(spark, d):
-    """Layers lie at a known pitch, so the nearest one is arithmetic; points half way between two are left out here."""
-    y = F.col("y") / LAYERS
-    layer = F.floor(y + 0.5)
-    return points(spark, d).where(y - F.floor(y) != 0.5).select("pid", layer.cast("long").alias("layer"), r6(F.abs(F.col("y") - LAYERS * layer), "gap"))
+    """Layers lie at a known pitch, so the nearest one is arithmetic on whole numbers; of two as near it is the first."""
+    s = F.round(F.col("y") * 864).cast("long")
+    layer = F.floor((s + (PITCH // 2 - 1)) / PITCH)
+    return points(spark, d).select("pid", layer.cast("long").alias("layer"), r6(F.abs(F.col("y") - PITCH / 864 * layer), "gap"))
 
 
 @query("select unit, layer, count(*) as area, round(avg(x), 6) as cx, round(avg(z), 6) as cz, round(var_pop(z) * count(*), 4) as iz, round((var_pop(x) + var_pop(z)) * count(*), 4) as j from (select *, cast(floor(y / 10) as bigint) as layer from points) group by 1, 2", **P)
@@ -175,25 +171,40 @@ def section_properties(spark, d):
     return points(spark, d).groupBy("unit", F.floor(F.col("y") / 10).cast("long").alias("layer")).agg(n.alias("area"), r6(F.avg("x"), "cx"), r6(F.avg("z"), "cz"), F.round(F.var_pop("z") * n, 4).alias("iz"), F.round((F.var_pop("x") + F.var_pop("z")) * n, 4).alias("j"))
 
 
-WEIGHT = "select pid, unit, case when grp = 'click' then 1.0 / a when grp = 'error' then abs(z - cz) / (iz + 1e-12) else sqrt((x - cx) * (x - cx) + (z - cz) * (z - cz)) / (j + 1e-12) end as w from (select *, cast(floor(y / 10) as bigint) as layer from points) join (select unit, cast(floor(y / 10) as bigint) as layer, count(*) as a, avg(x) as cx, avg(z) as cz, var_pop(z) * count(*) as iz, (var_pop(x) + var_pop(z)) * count(*) as j from points group by 1, 2) using (unit, layer)"
+SECTIONS = "select pid, unit, grp, 1.0 / a as c, abs(x - cx) / (iz + 1e-12) as b, sqrt((x - cx) * (x - cx) + (z - cz) * (z - cz)) / (j + 1e-12) as t from (select *, cast(floor(y / 10) as bigint) as layer from points) join (select unit, cast(floor(y / 10) as bigint) as layer, count(*) as a, avg(x) as cx, avg(z) as cz, var_pop(x) * count(*) as iz, (var_pop(x) + var_pop(z)) * count(*) as j from points group by 1, 2) using (unit, layer)"
+NORMED = "select pid, unit, grp, " + ", ".join(f"coalesce(({k} - min({k}) over w) / nullif(max({k}) over w - min({k}) over w, 0), 0) as {k}" for k in "cbt") + " from sections window w as (partition by unit, grp)"
+WEIGHT = "select pid, unit, grp, case grp when 'click' then c when 'error' then b when 'purchase' then t when 'view' then b + c else t + c end as w from normed"
 
 
-@query("select pid, round((w - min(w) over (partition by unit)) / nullif(max(w) over (partition by unit) - min(w) over (partition by unit), 0), 6) as weight from weights", **P, weights=WEIGHT)
+@query("select pid, round(coalesce((w - min(w) over v) / nullif(max(w) over v - min(w) over v, 0), 0), 6) as weight from weights window v as (partition by unit, grp)", **P, sections=SECTIONS, normed=NORMED, weights=WEIGHT)
 def nominal_stress_weight(spark, d):
+    """Weights by load case from the sections: compression 1 / A, bending x / I, torsion r / J; those of the combined load
+    cases are sums of normalised ones. All are normalised among the points of their unit and load case."""
     p = points(spark, d).withColumn("layer", F.floor(F.col("y") / 10))
     n = F.count(F.lit(1))
-    s = p.groupBy("unit", "layer").agg(n.alias("a"), F.avg("x").alias("cx"), F.avg("z").alias("cz"), (F.var_pop("z") * n).alias("iz"), ((F.var_pop("x") + F.var_pop("z")) * n).alias("j"))
+    s = p.groupBy("unit", "layer").agg(n.alias("a"), F.avg("x").alias("cx"), F.avg("z").alias("cz"), (F.var_pop("x") * n).alias("iz"), ((F.var_pop("x") + F.var_pop("z")) * n).alias("j"))
     dx, dz = F.col("x") - F.col("cx"), F.col("z") - F.col("cz")
-    w = F.when(F.col("grp") == "click", 1.0 / F.col("a")).when(F.col("grp") == "error", F.abs(dz) / (F.col("iz") + 1e-12)).otherwise(F.sqrt(dx * dx + dz * dz) / (F.col("j") + 1e-12))
-    return S.min_max(p.join(s, ["unit", "layer"]).withColumn("w", w), ["unit"], "w", "weight").select("pid", r6(F.col("weight"), "weight"))
+    w = p.join(s, ["unit", "layer"]).select("pid", "unit", "grp", (1.0 / F.col("a")).alias("c"), (F.abs(dx) / (F.col("iz") + 1e-12)).alias("b"), (F.sqrt(dx * dx + dz * dz) / (F.col("j") + 1e-12)).alias("t"))
+    for k in "cbt":
+        w = S.min_max(w, ["unit", "grp"], k, k)
+    c, b, t = (F.col(k) for k in "cbt")
+    w = w.withColumn("w", F.when(F.col("grp") == "click", c).when(F.col("grp") == "error", b).when(F.col("grp") == "purchase", t).when(F.col("grp") == "view", b + c).otherwise(t + c))
+    return S.min_max(w, ["unit", "grp"], "w", "weight").select("pid", r6(F.col("weight"), "weight"))
+
 
+VOXEL = {k: f"least(9, cast(floor(({k} - l{k}) / (h{k} - l{k} + 1e-9) * 10) as bigint))" for k in "xyz"}
 
-@query("select unit, least(9, cast(floor((x - lx) / (hx - lx) * 10) as bigint)) as i, least(9, cast(floor((y - ly) / (hy - ly) * 10) as bigint)) as j, count(*) as n, round(avg(val), 6) as heat from points join (select unit, min(x) lx, max(x) hx, min(y) ly, max(y) hy from points group by 1) using (unit) where val > 50 group by 1, 2, 3", **P)
+
+@query("select unit, i, j, k, n, heat, " + ", ".join(f"round(l{a} + ({c} + 0.5) / 10 * (h{a} - l{a}), 6) as c{a}" for a, c in zip("xyz", "ijk", strict=True)) + f" from (select unit, {VOXEL['x']} as i, {VOXEL['y']} as j, {VOXEL['z']} as k, count(*) as n, round(avg(val), 6) as heat, any_value(lx) as lx, any_value(hx) as hx, any_value(ly) as ly, any_value(hy) as hy, any_value(lz) as lz, any_value(hz) as hz from points join (select unit, min(x) lx, max(x) hx, min(y) ly, max(y) hy, min(z) lz, max(z) hz from points group by 1) using (unit) where val > 50 group by 1, 2, 3, 4)", **P)
 def hotspot_voxels(spark, d):
+    """Hot points by voxel of their unit's box, with the voxels' centres."""
     p = points(spark, d)
     b = p.join(S.bounds(p, ["unit"]), "unit")
-    cell = lambda k: F.least(F.lit(9), F.floor((F.col(k) - F.col(f"lo_{k}")) / (F.col(f"hi_{k}") - F.col(f"lo_{k}")) * 10)).cast("long")
-    return b.where("val > 50").groupBy("unit", cell("x").alias("i"), cell("y").alias("j")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("val"), "heat"))
+    lo, size = (lambda a: F.col(f"lo_{a}")), (lambda a: F.col(f"hi_{a}") - F.col(f"lo_{a}"))
+    cells = dict(zip("ijk", (F.least(F.lit(9), F.floor((F.col(a) - lo(a)) / (size(a) + 1e-9) * 10)).cast("long") for a in "xyz"), strict=True))
+    ends = [F.first(f"{e}_{a}").alias(f"{e}_{a}") for a in "xyz" for e in ("lo", "hi")]
+    v = b.where("val > 50").groupBy("unit", *[c.alias(k) for k, c in cells.items()]).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("val"), "heat"), *ends)
+    return v.select("unit", "i", "j", "k", "n", "heat", *[r6(lo(a) + (F.col(c) + 0.5) / 10 * size(a), f"c{a}") for a, c in zip("xyz", "ijk", strict=True)])
 
 
 @query("select distinct unit, round(x, 4) as x, round(y, 4) as y, round(z, 4) as z from points", **P)
@@ -223,67 +234,168 @@ def topn_matched(spark, d):
     return R.top_n(anchors(p), ["unit"], "val", "pid", n).select("pid", "unit")
 
 
-@query("select g, v from (select g, var_pop(pow(val / m, g)) as v from (select val, max(val) over () as m from points) cross join (values (0.5), (1.0), (2.0), (3.0)) t(g) group by 1) order by v desc limit 1".replace("select g, v from", "select g, round(v, 9) as v from"), **P)
-def contrast_gamma(spark, d):
-    p = points(spark, d)
-    top = p.agg(F.max("val").alias("m"))
-    x = p.select("val").join(F.broadcast(top)).select(F.explode(F.array(*[F.lit(g) for g in (0.5, 1.0, 2.0, 3.0)])).alias("g"), (F.col("val") / F.col("m")).alias("s"))
-    return x.groupBy("g").agg(F.var_pop(F.pow("s", "g")).alias("v")).orderBy(F.desc("v")).limit(1).select("g", F.round("v", 9).alias("v"))
+STEPS = [0.2 * k for k in range(1, 41)]
+SCALED = "select least(1, greatest(0, (val - lo) / (hi - lo + 1e-9))) as s from points cross join (select min(val) as lo, max(val) as hi from points)"
+TAIL = "select min(s) as cut from (select s, row_number() over (order by s desc) as r, count(*) over () as n from scaled) where r <= ceil(0.1 * n)"
+POWERS = "select 0.2e0 * k as g, pow(s, 0.2e0 * k) as v, s >= cut as top from scaled cross join tail cross join range(1, 41) t(k)"
+ENTROPY = "select g, -sum(h * ln(h)) as e from (select g, 100.0 * count(*) / sum(count(*)) over (partition by g) as h from (select g, least(99, floor(v * 100)) as b from powers) group by g, b) group by g"
+EFFECT = "select g, (mt - mr) / (sqrt(((nt - 1) * vt + (nr - 1) * vr) / (nt + nr - 2) + 1e-12) + 1e-12) as d, v from (select g, var_pop(v) as v, avg(case when top then v end) as mt, avg(case when not top then v end) as mr, var_pop(case when top then v end) as vt, var_pop(case when not top then v end) as vr, count(*) filter (where top) as nt, count(*) filter (where not top) as nr from powers group by g)"
 
 
-@query()
+@query("select 'variance' as metric, round(arg_max(g, v), 6) as gamma, round(max(v), 6) as score from effects union all select 'effect', round(arg_max(g, d), 6), round(max(d), 6) from effects union all select 'entropy', round(arg_max(g, e), 6), round(max(e), 6) from entropies", **P, scaled=SCALED, tail=TAIL, powers=POWERS, entropies=ENTROPY, effects=EFFECT)
+def contrast_gamma(spark, d):
+    """The power of the scaled values with the most contrast: by variance, by the entropy of a histogram, and by the effect
+    size between the upper tenth and the rest."""
+    p = points(spark, d)
+    ends = F.broadcast(p.agg(F.min("val").alias("lo"), F.max("val").alias("hi")))  # one row
+    scaled = p.join(ends).select(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("val") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9))).alias("s"))
+    counted = cut(R.value_ranks(scaled, [], "s"))  # equal values are raised to a power once
+    above = F.col("total") - F.col("below")
+    tail = F.broadcast(counted.where(above >= F.ceil(0.1 * F.col("total"))).agg(F.max("s").alias("cut")))
+    powers = counted.join(tail).select("same", (F.col("s") >= F.col("cut")).alias("top"), "s", F.explode(F.array(*[F.lit(g) for g in STEPS])).alias("g")).withColumn("v", F.pow("s", "g"))
+    bins = powers.groupBy("g", F.least(F.lit(99), F.floor(F.col("v") * 100)).alias("b")).agg(F.sum("same").alias("h"))
+    h = 100.0 * F.col("h") / F.col("n")
+    entropy = bins.join(bins.groupBy("g").agg(F.sum("h").alias("n")), "g").groupBy("g").agg((-F.sum(h * F.log(h))).alias("score")).withColumn("metric", F.lit("entropy"))
+
+    def moments(name: str, where) -> list:
+        w = F.when(where, F.col("same"))
+        return [F.sum(w).alias(f"n{name}"), (F.sum(w * F.col("v")) / F.sum(w)).alias(f"m{name}"), (F.sum(w * F.col("v") * F.col("v")) / F.sum(w)).alias(f"q{name}")]
+
+    m = powers.groupBy("g").agg(*moments("a", F.lit(True)), *moments("t", F.col("top")), *moments("r", ~F.col("top")))
+    var = lambda x: F.greatest(F.lit(0.0), F.col(f"q{x}") - F.col(f"m{x}") * F.col(f"m{x}"))
+    pooled = F.sqrt(((F.col("nt") - 1) * var("t") + (F.col("nr") - 1) * var("r")) / (F.col("nt") + F.col("nr") - 2) + 1e-12)
+    scores = entropy.select("metric", "g", "score")
+    for name, value in (("variance", var("a")), ("effect", (F.col("mt") - F.col("mr")) / (pooled + 1e-12))):
+        scores = scores.unionByName(m.select(F.lit(name).alias("metric"), "g", value.alias("score")))
+    return scores.groupBy("metric").agg(r6(F.max_by("g", "score"), "gamma"), r6(F.max("score"), "score"))
+
+
+def greedy_sql(order: str, near: str, most: int | None = None) -> dict[str, str]:
+    """Views that walk through each object's points in order and keep those that none kept before is near."""
+    full = f"len(w.kept) >= {most} or " if most else ""
+    point = "{'pid': o.pid, 'x': o.x, 'y': o.y, 'z': o.z, 'val': o.val}"
+    walk = f"select object, place, [{point}] as kept from ordered o where place = 1 union all select w.object, o.place, case when {full}len(list_filter(w.kept, lambda k: {near})) > 0 then w.kept else list_append(w.kept, {point}) end from walk w join ordered o on o.object = w.object and o.place = w.place + 1"
+    return {"ordered": f"select *, row_number() over (partition by object order by {order}) as place from objects", "walk": walk, "ends": "select object, arg_max(kept, place) as kept from walk group by 1", "chosen": "select object, unnest(kept) as k, unnest(range(1, len(kept) + 1)) as seq from ends"}
+
+
+OBJECTS = {"objects": POINTS.replace("select event_id as pid", "select user_id as object, event_id as pid")}
+WITHIN = "(k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y) + (k.z - o.z) * (k.z - o.z) <= {}"
+
+
+@query("select object, k.pid as pid, k.x as x, k.y as y, k.z as z, seq from chosen", True, **OBJECTS, **greedy_sql("pid", WITHIN.format(25)))
 def density_thinning(spark, d):
     """By object: what a task orders is one object's points."""
     p = points(spark, d).select("object", "pid", "x", "y", "z")
     return K.per_group(p, ["object"], ["pid"], lambda g: K.greedy_spread(g[["x", "y", "z"]].to_numpy(), 5.0))
 
 
-@query()
+@query("select object, k.pid as pid, k.x as x, k.y as y, k.z as z, k.val as val, seq from chosen", True, **OBJECTS, **greedy_sql("val desc, pid", WITHIN.format(64), 50))
 def spread_selection(spark, d):
     p = points(spark, d).select("object", "pid", "x", "y", "z", "val")
     return K.per_group(p, ["object"], ["-val", "pid"], lambda g: K.greedy_spread(g[["x", "y", "z"]].to_numpy(), 8.0, 50))
 
 
-@query()
+FAR = "(p[{0}].x - {1}.x) * (p[{0}].x - {1}.x) + (p[{0}].y - {1}.y) * (p[{0}].y - {1}.y) + (p[{0}].z - {1}.z) * (p[{0}].z - {1}.z)"
+FARTHEST = {
+    "sets": "select object, list({'pid': pid, 'x': x, 'y': y, 'z': z} order by pid) as p from objects where val > 50 group by 1",
+    "walk": f"select object, p, [1] as chosen, list_transform(p, lambda q: {FAR.format(1, 'q')}) as best from sets union all select object, p, list_append(chosen, nxt), list_transform(best, lambda b, i: least(b, {FAR.format('i', 'p[nxt]')})) from (select *, list_position(best, list_max(best)) as nxt from walk) where len(chosen) < least(20, len(p))",
+    "ends": "select object, any_value(p) as p, arg_max(chosen, len(chosen)) as chosen from walk group by 1",
+}
+
+
+@query("select object, p[c].pid as pid, p[c].x as x, p[c].y as y, p[c].z as z, seq from (select object, p, unnest(chosen) as c, unnest(range(1, len(chosen) + 1)) as seq from ends)", True, **OBJECTS, **FARTHEST)
 def farthest_points(spark, d):
     hot = points(spark, d).where("val > 50").select("object", "pid", "x", "y", "z")
     return K.per_group(hot, ["object"], ["pid"], lambda g: K.farthest_points(g[["x", "y", "z"]].to_numpy(), 20))
 
 
-@query()
+VOXELS = {
+    "cells": "select unit, floor(x / 12.5) as i, floor(y / 12.5) as j, floor(z / 12.5) as k, count(*) as n, sum(x) as sx, sum(y) as sy, sum(z) as sz from points where val > 100 group by 1, 2, 3, 4",
+    "numbered": "select *, row_number() over (partition by unit order by i, j, k) as id from cells",
+    "reach": "select unit, id as root, id from numbered union select r.unit, r.root, b.id from reach r join numbered a on a.unit = r.unit and a.id = r.id join numbered b on b.unit = a.unit and abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and abs(a.k - b.k) <= 1",
+    "parts": "select unit, id, min(root) as root from reach group by 1, 2",
+    "clusters": "select unit, root, cast(sum(n) as bigint) as points, count(*) as voxels, round(sum(sx) / sum(n), 6) as cx, round(sum(sy) / sum(n), 6) as cy, round(sum(sz) / sum(n), 6) as cz from parts join numbered using (unit, id) group by 1, 2",
+}
+
+
+@query("select unit, place, points, voxels, cx, cy, cz from (select *, row_number() over (partition by unit order by points desc, root) as place from clusters) where place <= 3", True, **P, **VOXELS)
 def voxel_clusters(spark, d):
-    hot = points(spark, d).where("val > 100").select("unit", *[F.floor(F.col(k) / 12.5).cast("long").alias(k) for k in "xyz"])
-    cells = hot.groupBy("unit", "x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
+    """The three clusters of touching hot voxels with the most points in each unit, and the centroids of their points."""
+    hot = points(spark, d).where("val > 100").select("unit", *[F.floor(F.col(k) / 12.5).cast("long").alias(v) for k, v in zip("xyz", "ijk", strict=True)], "x", "y", "z")
+    cells = hot.groupBy("unit", "i", "j", "k").agg(F.count(F.lit(1)).alias("n"), *[F.sum(a).alias(f"s{a}") for a in "xyz"])
 
     def label(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["x", "y", "z"]).reset_index(drop=True)
-        return g.assign(cluster=K.voxel_clusters(g[["x", "y", "z"]].to_numpy()))
+        g = g.sort_values(["i", "j", "k"]).reset_index(drop=True)
+        return g.assign(root=K.voxel_clusters(g[["i", "j", "k"]].to_numpy()))
 
     # at most 9 x 8 x 8 voxels per unit
-    return cells.groupBy("unit").applyInPandas(label, "unit long, x long, y long, z long, n long, cluster long").groupBy("unit", "cluster").agg(F.sum("n").alias("points"), F.count(F.lit(1)).alias("voxels"))
+    schema = "unit long, i long, j long, k long, n long, sx double, sy double, sz double, root long"
+    clusters = cells.groupBy("unit").applyInPandas(label, schema).groupBy("unit", "root").agg(F.sum("n").alias("points"), F.count(F.lit(1)).alias("voxels"), *[r6(F.sum(f"s{a}") / F.sum("n"), f"c{a}") for a in "xyz"])
+    place = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("points"), "root")).cast("long")
+    return clusters.withColumn("place", place).where("place <= 3").drop("root")
+
 
+PIXELS = {
+    "pixels": "select unit, px, py, row_number() over (partition by unit order by px, py) as id from (select distinct unit, floor(x) as px, floor(y) as py from points where val > 120)",
+    "near": "select a.unit, a.id as a, b.id as b from pixels a join pixels b on a.unit = b.unit and (a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) <= 36",
+    "cores": "select unit, a as id from near group by 1, 2 having count(*) >= 3",
+    "reach": "select unit, id as root, id from cores union select r.unit, r.root, n.b from reach r join near n on n.unit = r.unit and n.a = r.id join cores c on c.unit = n.unit and c.id = n.b",
+    "parts": "select unit, id, min(root) as root from reach group by 1, 2",
+    "members": "select * from parts union all select n.unit, n.a, min(p.root) from near n join parts p on p.unit = n.unit and p.id = n.b left join cores c on c.unit = n.unit and c.id = n.a where c.id is null group by 1, 2",
+}
 
-@query()
+
+@query("select m.unit, dense_rank() over (partition by m.unit order by m.root) - 1 as cluster, count(*) as n, round(avg(px), 6) as cx, round(avg(py), 6) as cy from members m join pixels p on p.unit = m.unit and p.id = m.id group by m.unit, m.root", True, **P, **PIXELS)
 def pixel_clusters(spark, d):
+    """Dense groups of an image's hot pixels: a task holds the different pixels of one image, at most 100 x 100."""
     pixels = points(spark, d).where("val > 120").select("unit", F.floor("x").cast("double").alias("px"), F.floor("y").cast("double").alias("py")).distinct()
 
     def label(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["px", "py"]).reset_index(drop=True)
         return g.assign(cluster=K.density_clusters(g[["px", "py"]].to_numpy(), 6.0, 3))
 
-    return pixels.groupBy("unit").applyInPandas(label, "unit long, px double, py double, cluster long").where("cluster >= 0").groupBy("unit", "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("px").alias("cx"), F.avg("py").alias("cy"))
+    return pixels.groupBy("unit").applyInPandas(label, "unit long, px double, py double, cluster long").where("cluster >= 0").groupBy("unit", "cluster").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("px"), "cx"), r6(F.avg("py"), "cy"))
 
 
-@query()
-def assignment_match(spark, d):
-    p = points(spark, d)
-    both = p.where("grp in ('error', 'click') and val > 80").select("object", "grp", "pid", "x", "y", "z")
+MATCHES = {
+    "two": "select * from objects where grp in ('error', 'click') and val > 40",
+    "met": "select a.object, a.pid as i, b.pid as j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) as dist from two a join two b on a.object = b.object and a.grp = 'click' and b.grp = 'error'",
+    "ordered": "select *, row_number() over (partition by object order by dist, i, j) as place from met where dist <= 10",
+    "walk": "select object, place, [i] as a, [j] as b, [dist] as dists from ordered where place = 1 union all select w.object, o.place, case when free then list_append(w.a, o.i) else w.a end, case when free then list_append(w.b, o.j) else w.b end, case when free then list_append(w.dists, o.dist) else w.dists end from (select w.*, o.place as next, not list_contains(w.a, o.i) and not list_contains(w.b, o.j) as free from walk w join ordered o on o.object = w.object and o.place = w.place + 1) w join ordered o on o.object = w.object and o.place = w.next",
+    "ends": "select object, arg_max(dists, place) as dists from walk group by 1",
+}
 
-    def match(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pid")
-        a, b = (g[g.grp == k][["x", "y", "z"]].to_numpy() for k in ("click", "error"))
-        m = K.greedy_matching(a, b, 10.0)
-        dist = np.array([x[2] for x in m])
-        return pd.DataFrame({"object": [g["object"].iloc[0]], "tp": [len(m)], "fp": [len(a) - len(m)], "fn": [len(b) - len(m)], "mean": [dist.mean() if m else None], "rmse": [float(np.sqrt((dist**2).mean())) if m else None]})
 
-    return both.groupBy("object").applyInPandas(match, "object long, tp long, fp long, fn long, mean double, rmse double")
+@query("select object, tp, n_a - tp as fp, n_b - tp as fn, round(tp / nullif(n_a, 0), 6) as precision, round(tp / nullif(n_b, 0), 6) as recall, round(2 * tp / (n_a + n_b), 6) as f1, mean, median, rmse from (select object, coalesce(len(dists), 0) as tp, n_a, n_b, round(list_avg(dists), 6) as mean, round(list_median(dists), 6) as median, round(sqrt(list_avg(list_transform(dists, lambda x: x * x))), 6) as rmse from (select object, count(*) filter (where grp = 'click') as n_a, count(*) filter (where grp = 'error') as n_b from two group by 1) left join ends using (object))", True, **OBJECTS, **MATCHES)
+def assignment_match(spark, d):
+    """One-to-one pairs of an object's two kinds of points within a radius, the closest first, and how well they fit."""
+    both = points(spark, d).where("grp in ('error', 'click') and val > 40").select("object", "grp", "pid", "x", "y", "z")
+    a, b = both.where("grp = 'click'").drop("grp"), both.where("grp = 'error'").drop("grp")
+    pairs = S.pairs_within(a, b, ["object"], 10.0)
+    m = cut(K.closest_first(pairs, "object"))
+    fit = R.summary(m, ["object"], {"tp": F.count(F.lit(1)), "mean": F.avg("dist"), "rmse": F.sqrt(F.avg(F.col("dist") * F.col("dist")))}, {"median": ("dist", 0.5)})
+    n = both.groupBy("object").agg(F.count_if(F.col("grp") == "click").alias("n_a"), F.count_if(F.col("grp") == "error").alias("n_b"))
+    out = n.join(fit, "object", "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    tp, n_a, n_b = (F.col(c) for c in ("tp", "n_a", "n_b"))
+    share = lambda x, y, name: r6(F.when(y > 0, x / y), name)
+    return out.select("object", "tp", (n_a - tp).alias("fp"), (n_b - tp).alias("fn"), share(tp, n_a, "precision"), share(tp, n_b, "recall"), share(2 * tp, n_a + n_b, "f1"), *[r6(F.col(c), c) for c in ("mean", "median", "rmse")])
+
+
+SEEN = "select *, 30 * unit as az, 18 * (unit - 2) as el, (x - 50) / 50 as wx, (y - 50) / 50 as wy, (z - 50) / 50 as wz from points"
+PIXEL = "select *, 500 + 500 * (-sin(radians(az)) * wx + cos(radians(az)) * wy) as u, 500 - 500 * (-sin(radians(el)) * cos(radians(az)) * wx - sin(radians(el)) * sin(radians(az)) * wy + cos(radians(el)) * wz) as v from seen"
+REMOVED = "select * from pixel where pid % 2 = 0 and u >= 0 and u < 1000 and v >= 0 and v < 1000 and (cast(floor(u * 11 / 1000) as bigint) * 3 + cast(floor(v * 11 / 1000) as bigint)) % 17 = 0"
+
+
+@query("select unit, count(*) as kept from points a where not exists (select 1 from removed g where g.unit = a.unit and (a.x - g.x) * (a.x - g.x) + (a.y - g.y) * (a.y - g.y) + (a.z - g.z) * (a.z - g.z) <= 4) group by 1", **P, seen=SEEN, pixel=PIXEL, removed=REMOVED)
+def rejected_views(spark, d):
+    """Points of a unit that lie away from all that its view shows in rejected cells: visible points are projected to
+    pixels, those in rejected cells of the image are taken out, and all points near one of them with them."""
+    p = points(spark, d).select("unit", "pid", "x", "y", "z")
+    az, el = F.radians(30 * F.col("unit")), F.radians(18 * (F.col("unit") - 2))
+    x, y, z = ((F.col(k) - 50) / 50 for k in "xyz")
+    u = 500 + 500 * (-F.sin(az) * x + F.cos(az) * y)
+    v = 500 - 500 * (-F.sin(el) * F.cos(az) * x - F.sin(el) * F.sin(az) * y + F.cos(el) * z)
+    cell = (F.floor(F.col("u") * 11 / 1000) * 3 + F.floor(F.col("v") * 11 / 1000)) % 17
+    inside = "u >= 0 and u < 1000 and v >= 0 and v < 1000"
+    out = p.where("pid % 2 = 0").withColumns({"u": u, "v": v}).where(inside).where(cell == 0).select("unit", "x", "y", "z")
+    return S.within_radius(p, out, ["unit"], 2.0, anti=True).groupBy("unit").agg(F.count(F.lit(1)).alias("kept"))

@@ -8,14 +8,15 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, **views: str) -> Callable:
+def query(sql: str | None = None, recursive: bool = False, **views: str) -> Callable:
     """Registers a function (spark, sf_dir) -> DataFrame under its name. views are put before the SQL as CTEs."""
+    head = "with recursive" if recursive else "with"
 
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
             heads = ", ".join(f"{k} as ({v})" for k, v in views.items())
-            ORACLES[f.__name__] = f"with {heads} {sql}" if heads else sql
+            ORACLES[f.__name__] = f"{head} {heads} {sql}" if heads else sql
         return f
 
     return add

@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut
+from ..sources.tables import new_folder
 from ..streaming import shards
 from .registry import query
 
 
-def folder(spark) -> str:
-    cut(spark.range(1))  # sets the shared folder where there is none
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by 1")
 def stream_shards(spark, d):
     """Totals by event type, by micro-batches over the table's files."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    at = folder(spark)
-    source = at + "/in"
-    e.repartition(4, "event_id").write.parquet(source)
-    stream = shards.read_shards(spark, source, e.schema, files_per_batch=2)
+    at = new_folder(spark, "stream")
+    e.repartition(4, "event_id").write.parquet(at + "/in")
+    stream = shards.read_shards(spark, at + "/in", e.schema, files_per_batch=2)
     shards.refresh(stream, ["event_type"], "value", at + "/out", at + "/state").awaitTermination()
     out = spark.read.parquet(at + "/out")
     return out.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
+@query("select event_type, count(*) as n, round(sum(value), 4) as total, 2 as runs from events where event_id % 5 <> 0 group by 1")
+def stream_restart(spark, d):
+    """Workers append shards, the stream ends, more shards come and it goes on from its checkpoint: shards that were read
+    aren't read again. Rows that repeat (here every third one comes twice) count once, by the state of their keys."""
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 5 <> 0").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = new_folder(spark, "stream")
+    parts = [e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1").unionByName(e.where("event_id % 3 = 0"))]
+    for part in parts:
+        part.repartition(2, "event_id").write.mode("append").parquet(at + "/in")
+        stream = shards.first_rows(shards.read_shards(spark, at + "/in", e.schema, files_per_batch=1), ["event_id"], "ts", "4000 days")
+        shards.append_rows(stream, at + "/rows", at + "/state").awaitTermination()
+    rows = spark.read.parquet(at + "/rows")
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).withColumn("runs", F.lit(len(parts)))
+
+
 @query("select user_id, count(*) as n from events where event_type <> 'error' and user_id not in (select user_id from events where event_type = 'purchase' and event_id % 3 = 0) group by 1")
 def resume_pending(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import parsing as X
 from ..operators import cohort as C
 from ..operators import robust as R
+from ..sources.tables import cut
 from .registry import query
 
 METHODS = ["coarse", "proposed_max", "heuristic_sub", "mech_sub", "zz_coarse", "zz_oracle"]
@@ -132,20 +134,24 @@ def scope_leaderboard(spark, d):
 
 
 PAIRS = "select a.object, a.load_case, b.method, a.vm - b.vm as d from firsts a join firsts b on a.object = b.object and a.load_case = b.load_case where a.method = 'proposed_max' and b.method <> 'proposed_max' and a.vm is not null and b.vm is not null"
+ALL_PAIRS = " union all ".join(f"select '{v}' as metric, b.method, a.{v} - b.{v} as d from firsts a join firsts b on a.object = b.object and a.load_case = b.load_case where a.method = 'proposed_max' and b.method <> 'proposed_max' and a.{v} is not null and b.{v} is not null" for v in ("vm", "en"))
 
 
-def pairs(spark, d) -> DataFrame:
+def pairs(spark, d, value: str = "vm") -> DataFrame:
     """Differences of proposed_max to each other method, per unit: the proposed value is spread over the unit by a sum of one row."""
-    f = firsts(spark, d).where("vm is not null")
-    own = f.groupBy(*UNIT).agg(F.max(F.when(F.col("method") == "proposed_max", F.col("vm"))).alias("own"))
-    return f.where(F.col("method") != "proposed_max").join(own.where("own is not null"), UNIT).select(*UNIT, "method", (F.col("own") - F.col("vm")).alias("d"))
+    f = firsts(spark, d).where(F.col(value).isNotNull())
+    own = f.groupBy(*UNIT).agg(F.max(F.when(F.col("method") == "proposed_max", F.col(value))).alias("own"))
+    return f.where(F.col("method") != "proposed_max").join(own.where("own is not null"), UNIT).select(*UNIT, "method", (F.col("own") - F.col(value)).alias("d"))
 
 
-@query("select method, count(*) as n, round(avg(d), 6) as mean_d, round(quantile_cont(d, 0.5), 6) as median_d, round(avg(case when d < -0.01 then 1.0 else 0.0 end), 6) as win, round(avg(case when d > 0.01 then 1.0 else 0.0 end), 6) as loss, round(avg(case when abs(d) <= 0.01 then 1.0 else 0.0 end), 6) as tie from pairs group by 1", **F1, pairs=PAIRS)
+@query("select metric, method, count(*) as n, round(avg(d), 6) as mean_d, round(case when count(*) > 10 then avg(case when r > floor(0.05 * c) and r <= c - floor(0.05 * c) then d end) else avg(d) end, 6) as trimmed_d, round(quantile_cont(d, 0.5), 6) as median_d, round(avg(case when d < -0.01 then 1.0 else 0.0 end), 6) as win, round(avg(case when d > 0.01 then 1.0 else 0.0 end), 6) as loss, round(avg(case when abs(d) <= 0.01 then 1.0 else 0.0 end), 6) as tie from (select *, row_number() over (partition by metric, method order by d) as r, count(*) over (partition by metric, method) as c from pairs) group by 1, 2", **F1, pairs=ALL_PAIRS)
 def paired_stats(spark, d):
-    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
+    """Of both errors: the trimmed mean of the differences (the plain one of ten or less), their median, how often they win."""
+    p = pairs(spark, d).withColumn("metric", F.lit("vm")).unionByName(pairs(spark, d, "en").withColumn("metric", F.lit("en")))
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     x = F.col("d")
-    return pairs(spark, d).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 6).alias("mean_d"), F.round(F.percentile(x, F.lit(0.5)), 6).alias("median_d"), share(x < -0.01).alias("win"), share(x > 0.01).alias("loss"), share(F.abs(x) <= 0.01).alias("tie"))
+    plain = {"n": F.count(F.lit(1)), "mean_d": F.avg(x), "win": share(x < -0.01), "loss": share(x > 0.01), "tie": share(F.abs(x) <= 0.01)}
+    return rounded(R.summary(p, ["metric", "method"], plain, {"median_d": ("d", 0.5)}, {"trimmed_d": ("d", 0.05)}, whole=10), "mean_d", "median_d", "trimmed_d", "win", "loss", "tie")
 
 
 @query(
@@ -159,10 +165,18 @@ def signed_rank(spark, d):
     return rounded(R.signed_rank(pairs(spark, d), ["method"]), "z")
 
 
-@query("select load_case, round(sum(case when method = 'coarse' then vm end) / count(case when method = 'coarse' then vm end), 6) as coarse, round((avg(case when method = 'coarse' then vm end) - avg(case when method = 'proposed_max' then vm end)) / (avg(case when method = 'coarse' then vm end) - avg(case when method = 'zz_oracle' then vm end) + 1e-12), 4) as closed from firsts group by 1", **F1)
+BY_SCOPE = "select 'pooled' as scope, * from swept union all select cast(h_scale as varchar), * from swept"
+
+
+@query("select scope, t.method, round(t.v, 6) as trimmed, round(100 * (c.v - t.v) / (c.v - o.v + 1e-12), 4) as closed from means t join means c using (scope) join means o using (scope) where t.method not in ('coarse', 'zz_oracle') and c.method = 'coarse' and o.method = 'zz_oracle'", **S1, scoped=BY_SCOPE, means="select scope, method, avg(vm) as v from (select *, row_number() over (partition by scope, method order by vm) as r, count(*) over (partition by scope, method) as c from scoped where vm is not null) where r > floor(0.05 * c) and r <= c - floor(0.05 * c) group by 1, 2")
 def gap_closed(spark, d):
-    m = {k: F.avg(F.when(F.col("method") == k, F.col("vm"))) for k in ("coarse", "proposed_max", "zz_oracle")}
-    return firsts(spark, d).groupBy("load_case").agg(F.round(m["coarse"], 6).alias("coarse"), F.round((m["coarse"] - m["proposed_max"]) / (m["coarse"] - m["zz_oracle"] + 1e-12), 4).alias("closed"))
+    """How much of the gap from the coarse mesh to the oracle each method closes, in percent of trimmed means: pooled and by level."""
+    s = swept(spark, d).withColumn("scope", F.explode(F.array(F.lit("pooled"), F.col("h_scale").cast("string"))))
+    t = R.trimmed_mean(s, ["scope", "method"], "vm", name="v")
+    own = lambda m: F.max(F.when(F.col("method") == m, F.col("v")))
+    ends = t.groupBy("scope").agg(own("coarse").alias("c"), own("zz_oracle").alias("o"), F.collect_list(F.struct("method", "v")).alias("of"))  # a handful of methods
+    each = ends.select("scope", "c", "o", F.inline("of")).where(~F.col("method").isin("coarse", "zz_oracle"))
+    return each.where("c is not null and o is not null").select("scope", "method", F.round("v", 6).alias("trimmed"), F.round(100 * (F.col("c") - F.col("v")) / (F.col("c") - F.col("o") + 1e-12), 4).alias("closed"))
 
 
 @query("select load_case, count(*) as n, round(avg(a - b), 6) as mean_d from (select object, load_case, avg(case when method like 'zz%' then vm end) as a, avg(case when method like '%_sub' then vm end) as b from ok group by 1, 2) where a is not null and b is not null group by 1", **V)
@@ -185,7 +199,8 @@ def winner_split(spark, d):
 @query("select method, count(*) as n, quantile_cont(n_cells, 0.5) as median_cells, round(quantile_cont(en, 0.5), 6) as median_time from firsts join complete using (object, load_case) group by 1", **F1, complete=COMPLETE)
 def cost_table(spark, d):
     f = firsts(spark, d)
-    return C.keep_units(f, C.complete_units(f, 6)).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.percentile("n_cells", F.lit(0.5)).alias("median_cells"), F.round(F.percentile("en", F.lit(0.5)), 6).alias("median_time"))
+    costs = C.keep_units(f, C.complete_units(f, 6)).select("method", "n_cells", "en")
+    return rounded(R.summary(costs, ["method"], {"n": F.count(F.lit(1))}, {"median_cells": ("n_cells", 0.5), "median_time": ("en", 0.5)}), "median_time")
 
 
 @query("select method, cast(count(*) as bigint) as n, round(corr(rx, ry), 6) as rho from (select method, rank() over (partition by method order by vm) + (count(*) over (partition by method, vm) - 1) / 2.0 as rx, rank() over (partition by method order by n_cells) + (count(*) over (partition by method, n_cells) - 1) / 2.0 as ry from firsts where vm is not null and n_cells is not null) group by 1", **F1)
@@ -218,14 +233,18 @@ def norefine_flag(spark, d):
 GRID = "select object, load_case, method, h_scale from (select distinct object from trials) cross join (select distinct load_case from trials) cross join (select distinct method from trials) cross join (select distinct h_scale from trials)"
 
 
-@query("select * from grid except select object, load_case, method, h_scale from ok", **V, grid=GRID)
+@query("select g.*, row_number() over (partition by object order by h_scale, load_case, method) as place from (select * from grid except select object, load_case, method, h_scale from ok) g", **V, grid=GRID)
 def pending_work(spark, d):
+    """What isn't done yet of all methods at all levels, each object's heaviest (finest) work first."""
     t = trials(spark, d)
-    # objects are the only side that grows; the others are a handful of names
+    # the names of load cases, methods and levels are fixed; objects are the only side that grows
+    names = {"load_case": X.LOADS, "method": METHODS, "h_scale": LEVELS}
     grid = t.select("object").distinct()
-    for c in ("load_case", "method", "h_scale"):
-        grid = grid.join(F.broadcast(t.select(c).distinct()))
-    return grid.join(C.status_filter(t).select(*UNIT, "method", "h_scale").distinct(), [*UNIT, "method", "h_scale"], "left_anti")
+    for c, values in names.items():
+        grid = grid.withColumn(c, F.explode(F.array(*[F.lit(v) for v in values])))
+    left = grid.join(C.status_filter(t).select(*UNIT, "method", "h_scale").distinct(), [*UNIT, "method", "h_scale"], "left_anti")
+    # at most one row for each load case, method and level in a window
+    return left.withColumn("place", F.row_number().over(Window.partitionBy("object").orderBy("h_scale", "load_case", "method")).cast("long"))
 
 
 @query("select distinct object, load_case, method, h from (select object, load_case, method, unnest(case when method = 'coarse' then [1.0e0, 1.25e0, 1.6e0, 2.0e0] else [h_scale] end) as h from ok)", **V)
@@ -257,10 +276,20 @@ def strict_intersection(spark, d):
     return units.groupBy("object").agg(F.count(F.lit(1)).alias("units"), F.count_distinct("load_case").alias("n")).where("n = 5").drop("n")
 
 
-@query("select h_scale, method, count(*) as n, round(avg(vm), 6) as mean_vm, round(quantile_cont(vm, 0.5), 6) as median_vm, round(avg(n_cells), 6) as mean_cells, round(quantile_cont(en, 0.5), 6) as median_en from swept join complete using (object, load_case) group by 1, 2", **S1, complete=ALL_LEVELS)
+KEPT = "select s.* from swept s join complete using (object, load_case)"
+PARETO = "select h_scale, method, count(*) as n, avg(vm) as vm_mean, quantile_cont(vm, 0.5) as vm_med, avg(en) as energy_mean, quantile_cont(en, 0.5) as energy_med, avg(n_cells) as cells, quantile_cont(n_cells, 0.5) as cells_med from kept group by 1, 2"
+TRIMS = ", ".join(f"t_{v} as (select h_scale, method, avg({v}) as {n}_tmean from (select *, row_number() over (partition by h_scale, method order by {v}) as r, count(*) over (partition by h_scale, method) as c from kept where {v} is not null) where r > floor(0.05 * c) and r <= c - floor(0.05 * c) group by 1, 2)" for v, n in (("vm", "vm"), ("en", "energy")))
+
+
+@query(with_views(TRIMS + " select h_scale, method, n, " + ", ".join(f"round({c}, 6) as {c}" for c in ("vm_mean", "vm_tmean", "vm_med", "energy_mean", "energy_tmean", "energy_med", "cells", "cells_med")) + " from (select unnest([1.0e0, 1.25e0, 1.6e0, 2.0e0]) as h_scale) cross join (select unnest(" + str(METHODS) + ") as method) left join pareto using (h_scale, method) left join t_vm using (h_scale, method) left join t_en using (h_scale, method)", **S1, complete=ALL_LEVELS, kept=KEPT, pareto=PARETO))
 def pareto_agg(spark, d):
+    """Errors, cells and their trimmed means by level and method, over units that are complete; a row for each pair of the grid."""
     s = swept(spark, d)
-    return C.keep_units(s, C.units_at_all_levels(s, METHODS, LEVELS)).groupBy("h_scale", "method").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("vm"), 6).alias("mean_vm"), F.round(F.percentile("vm", F.lit(0.5)), 6).alias("median_vm"), F.round(F.avg("n_cells"), 6).alias("mean_cells"), F.round(F.percentile("en", F.lit(0.5)), 6).alias("median_en"))
+    kept = cut(C.keep_units(s, C.units_at_all_levels(s, METHODS, LEVELS)).select("h_scale", "method", "vm", "en", "n_cells"))
+    plain = {"n": F.count(F.lit(1)), "vm_mean": F.avg("vm"), "energy_mean": F.avg("en"), "cells": F.avg("n_cells")}
+    t = R.summary(kept, ["h_scale", "method"], plain, {"vm_med": ("vm", 0.5), "energy_med": ("en", 0.5), "cells_med": ("n_cells", 0.5)}, {"vm_tmean": ("vm", 0.05), "energy_tmean": ("en", 0.05)})
+    grid = spark.createDataFrame([(h, m) for h in LEVELS for m in METHODS], "h_scale double, method string")
+    return rounded(grid.join(t, ["h_scale", "method"], "left"), *[c for c in t.columns if c not in ("h_scale", "method", "n")])
 
 
 @query("select method, round(avg(case when h_scale = 2.0 then vm end) - avg(case when h_scale = 1.0 then vm end), 6) as delta, round(100.0 * (greatest(" + ", ".join(f"avg(case when h_scale = {h} then n_cells end)" for h in LEVELS) + ") / least(" + ", ".join(f"avg(case when h_scale = {h} then n_cells end)" for h in LEVELS) + ") - 1), 4) as spread from swept group by 1", **S1)
@@ -277,11 +306,16 @@ def rank_stability(spark, d):
     return m.groupBy("h_scale").agg(F.array_join(F.transform(ordered, lambda x: x["method"]), ">").alias("ranking"))
 
 
-@query("select dim, round(stddev_pop(m), 6) as sd, round(max(m) - min(m), 6) as spread from (" + " union all ".join(f"select '{c}' as dim, cast({c} as varchar) as level, avg(vm) as m from swept group by {c}" for c in ("load_case", "method", "h_scale")) + ") group by 1", **S1)
+TRIMMED = {v: "select dim, level, avg(v) as m from (select *, row_number() over (partition by dim, level order by v) as r, count(*) over (partition by dim, level) as c from (" + " union all ".join(f"select '{c}' as dim, cast({c} as varchar) as level, {v} as v from swept where {v} is not null" for c in ("load_case", "method", "h_scale")) + ")) where r > floor(0.05 * c) and r <= c - floor(0.05 * c) group by 1, 2" for v in ("vm", "en")}
+
+
+@query("select dim, levels, vm_sd, vm_range, en_sd, en_range from (select dim, count(*) as levels, round(stddev_pop(m), 6) as vm_sd, round(max(m) - min(m), 6) as vm_range from t_vm group by 1) join (select dim, round(stddev_pop(m), 6) as en_sd, round(max(m) - min(m), 6) as en_range from t_en group by 1) using (dim)", **S1, t_vm=TRIMMED["vm"], t_en=TRIMMED["en"])
 def dimension_sensitivity(spark, d):
+    """How far the trimmed means of the levels of each dimension lie apart."""
     dims = ["load_case", "method", "h_scale"]
-    flat = swept(spark, d).select("vm", F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).cast("string").alias("level")) for c in dims])).alias("x")).select("x.dim", "x.level", "vm")
-    return flat.groupBy("dim", "level").agg(F.avg("vm").alias("m")).groupBy("dim").agg(F.round(F.stddev_pop("m"), 6).alias("sd"), F.round(F.max("m") - F.min("m"), 6).alias("spread"))
+    flat = swept(spark, d).select("vm", "en", F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).cast("string").alias("level")) for c in dims])).alias("x")).select("x.dim", "x.level", "vm", "en")
+    t = R.summary(flat, ["dim", "level"], {}, {}, {"vm": ("vm", 0.05), "en": ("en", 0.05)})
+    return t.groupBy("dim").agg(F.count(F.lit(1)).alias("levels"), *[x for v in ("vm", "en") for x in (F.round(F.stddev_pop(v), 6).alias(f"{v}_sd"), F.round(F.max(v) - F.min(v), 6).alias(f"{v}_range"))])
 
 
 @query("select dim, level, round(tm, 6) as trimmed from (" + " union all ".join(f"select '{c}' as dim, k as level, avg(vm) as tm from (select cast({c} as varchar) as k, vm, row_number() over (partition by {c} order by vm) as r, count(*) over (partition by {c}) as c from swept where vm is not null) where r > floor(0.05 * c) and r <= c - floor(0.05 * c) group by k" for c in ("load_case", "method")) + ")", **S1)
@@ -346,9 +380,20 @@ def group_split(spark, d):
 
 @query("select shard, count(*) as n, min(object) as first from (select object, load_case, (row_number() over (partition by load_case order by object) - 1) % 8 as shard from (select distinct object, load_case from trials)) group by 1", trials=TRIALS)
 def modulo_shards(spark, d):
+    """Every eighth unit of a load case in one shard, by the ranks of the units."""
     units = trials(spark, d).select(*UNIT).distinct()
-    n = F.row_number().over(Window.partitionBy("load_case").orderBy("object")) - 1
-    return units.select("object", (n % 8).cast("long").alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("object").alias("first"))
+    ranked = R.range_ranks(units, ["load_case"], "object")
+    return ranked.groupBy((F.col("rank") % 8).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("object").alias("first"))
+
+
+@query("select f.object, f.load_case, f.seq from (select *, row_number() over (partition by object, load_case order by md5('3|' || cast(seq as varchar)), seq) as r from ok where method = 'heuristic_sub') f join (select object, load_case, count(*) as n from ok where method = 'proposed_max' group by 1, 2) c using (object, load_case) where r <= n", **V)
+def subsample_to_other(spark, d):
+    """Of each unit as many rows of one method as another has there, in random order that doesn't change; all where these are fewer."""
+    o = ok(spark, d)
+    n = o.where("method = 'proposed_max'").groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*UNIT).orderBy(F.md5(F.concat(F.lit("3|"), F.col("seq").cast("string")).cast("binary")), "seq")
+    own = o.where("method = 'heuristic_sub'").join(n, UNIT).withColumn("r", F.row_number().over(w))
+    return own.where("r <= n").select(*UNIT, "seq")
 
 
 @query("select object from (select distinct object from trials except select object from complete) order by md5(object) limit 20", **F1, complete=COMPLETE)
@@ -372,12 +417,17 @@ def pooled_scopes(spark, d):
 @query("select method, round(quantile_cont(n_cells, 0.5), 6) as median_cells, round(quantile_cont(n_cells / m, 0.5), 6) as median_share from (select *, max(n_cells) over (partition by object, load_case) as m from firsts) group by 1", **F1)
 def concentration(spark, d):
     top = F.max("n_cells").over(Window.partitionBy(*UNIT))
-    return firsts(spark, d).withColumn("share", F.col("n_cells") / top).groupBy("method").agg(F.round(F.percentile("n_cells", F.lit(0.5)), 6).alias("median_cells"), F.round(F.percentile("share", F.lit(0.5)), 6).alias("median_share"))
+    f = firsts(spark, d).withColumn("share", F.col("n_cells") / top)
+    return rounded(R.summary(f, ["method"], {}, {"median_cells": ("n_cells", 0.5), "median_share": ("share", 0.5)}), "median_cells", "median_share")
 
 
-@query("select min(n_cells) / 1.25 as least, max(n_cells) * 1.25 as most, round(quantile_cont(n_cells, 0.5), 6) as middle, method from ok group by method", **V)
+@query("select min(n_cells) / 1.25 as least, max(n_cells) * 1.25 as most, ceil(max(n) * 1.5) as budget, round(quantile_cont(n_cells, 0.5), 6) as middle, o.method from ok o join (select method, max(n) as n from (select method, object, count(*) as n from ok group by 1, 2) group by 1) m on m.method = o.method group by o.method", **V)
 def sizing_bounds(spark, d):
-    return ok(spark, d).groupBy("method").agg((F.min("n_cells") / 1.25).alias("least"), (F.max("n_cells") * 1.25).alias("most"), F.round(F.percentile("n_cells", F.lit(0.5)), 6).alias("middle"))
+    """Limits of sizes with a margin, their middle, and the room for the largest number of rows of an object."""
+    o = ok(spark, d)
+    most = o.groupBy("method", "object").agg(F.count(F.lit(1)).alias("n")).groupBy("method").agg(F.ceil(F.max("n") * 1.5).cast("double").alias("budget"))
+    s = R.summary(o, ["method"], {"least": F.min("n_cells") / 1.25, "most": F.max("n_cells") * 1.25}, {"middle": ("n_cells", 0.5)})
+    return rounded(s.join(most, "method"), "middle")
 
 
 @query("select h_scale, method, round(m, 6) as mean_vm, m - min(m) over (partition by h_scale) < 5e-4 as best from (select h_scale, method, avg(vm) as m from ok group by 1, 2)", **V)

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.spatial import min_max
+
 _S, _L, _D = T.StringType(), T.LongType(), T.DoubleType()
 TRIAL_SCHEMA = T.StructType(
     [T.StructField(n, k) for n, k in [("object", _S), ("load_case", _S), ("candidate", _S), ("candidate_msh", _S), ("n_dofs", _L), ("n_cells", _L)]]
@@ -60,9 +62,7 @@ def read_points_text(spark: SparkSession, path: str) -> DataFrame:
 
 def write_points_text(df: DataFrame, path: str, unit: list[str]) -> None:
     """One directory per unit; values are scaled to 0..1 within their unit (0 where they are all equal)."""
-    w = Window.partitionBy(*unit)
-    lo, hi = F.min("val").over(w), F.max("val").over(w)
-    scaled = df.withColumn("val", F.when(hi > lo, (F.col("val") - lo) / (hi - lo)).otherwise(0.0))
+    scaled = min_max(df, unit, "val", "val")
     scaled.select(*unit, point_lines("x", "y", "z", "val").alias("value")).write.partitionBy(*unit).text(path)
 
 

@@ -28,6 +28,11 @@ def refresh(stream: DataFrame, keys: list[str], value: str, path: str, checkpoin
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_rows(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends the stream's rows to a table; the checkpoint tells what was read, so a restart goes on behind it."""
+    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def pending(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Tasks whose key isn't among those done with status ok; null keys are never done."""
     return tasks.join(done.where(F.col("status") == "ok").select(*keys).distinct(), keys, "left_anti")
