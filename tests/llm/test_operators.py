@@ -12,7 +12,7 @@ from tests.llm.test_brute import kept_by_pairs
 from tests.llm.test_tokens import plain_best_fit
 
 from trialforge.llm import attention, attribution, chat, decontam, extraction, langid, lm, packing, quality, simhash, urlfilter
-from trialforge.llm.common import connected_components, vocabulary_path
+from trialforge.llm.common import WordTokenizer, connected_components, splits_parts, vocabulary_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EXTRA = "n_words long, kept string, fp string, lang_pred int, __words int, rank int, bucket int, length int, score string, word int, host_ok int"
@@ -205,7 +205,7 @@ def test_unigram_scores(docs, hard, none):
         c = collections.Counter(w for i, t in data if not held(i) for w in t)
         n, v = sum(c.values()), len(c)
         want = sorted((str(i), held(i), len(t), sum(c[w] > 0 for w in t), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 4)) for i, t in data)
-        got = lm.score(df, most_frequent=50, sample_docs=40).collect()
+        got = lm.score(df, most_frequent=50, least_docs=40).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == want
         assert all(r.score < 0 and r.train_tokens == n for r in got)
     assert lm.score(none).count() == 0
@@ -376,12 +376,34 @@ def test_pipeline(spark, docs):
     assert len(bins) == len(plain_best_fit(pieces, 2048))
 
 
-def test_class_shares_add_up():
+def plain_subwords(words, final, kept):
+    """Subwords of a few words by plain loops; of pairs the `kept` most frequent ones."""
+    size = len(final)
+    first, inner, pairs = np.zeros(size), np.zeros(size), collections.Counter()
+    for w, n in words:
+        before = -1
+        for i in np.frombuffer(w, "<u4").tolist():
+            if before < 0:
+                first[i] += n
+            else:
+                inner[i] += n
+                pairs[before * size + i] += n
+            before = -1 if final[i] else i
+    total, kinds = np.zeros(size), np.zeros(size)
+    for key, n in pairs.items():
+        total[key // size] += n
+        kinds[key // size] += 1
+    return lm.Subwords(first, inner, dict(pairs.most_common(kept)), total, kinds)
+
+
+@pytest.mark.parametrize("kept", [1000, 20, 0])
+def test_class_shares_add_up(kept):
     rng = np.random.default_rng(6)
     size = 300
     class_of, final = rng.integers(0, attention.LAST, size).astype(np.uint8), rng.integers(0, 2, size)
     words = {bytes([65 + k]): rng.integers(0, size, rng.integers(0, 6)).astype("<u4").tobytes() for k in range(60)}
-    s = lm.class_shares({w: k + 1 for k, w in enumerate(words)}, words.get, class_of, final)
+    subwords = plain_subwords([(w, k + 1) for k, w in enumerate(words.values())], final, kept)
+    s = lm.class_shares({w: k + 1 for k, w in enumerate(words) if k % 2}, words.get, subwords, class_of, final)
     sums = np.bincount(class_of, weights=np.exp(s.first), minlength=attention.CLASSES)
     assert np.allclose(sums[np.bincount(class_of, minlength=attention.CLASSES) > 0], 1)
     pasts = [w[: 4 * k] for w in words.values() for k in (1, 2, 3) if len(w) > 4 * k] + [np.array([size - 1, 0], "<u4").tobytes()]
@@ -393,6 +415,73 @@ def test_class_shares_add_up():
         assert np.isclose(sum(np.exp(s.inside(begun, before, i)[1]) for i in range(size)), 1)
 
 
+def test_subword_counts(spark, docs):
+    path = vocabulary_path("word_bpe_49k.json")
+    tokenizer = WordTokenizer(path, splits_parts(path))
+    counts = collections.Counter(w for r in docs.limit(20).collect() for w in r.text.encode().lower().split())
+    df = spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n long").repartition(3)
+    final = np.array([int((tokenizer_name or "").endswith("</w>")) for tokenizer_name in vocabulary_names(path)])
+    got = lm.subword_counts(df, path, final, 10**6, flush=50)
+    want = plain_subwords([(tokenizer.fresh(w), n) for w, n in counts.items()], final, 10**6)
+    assert got.pairs == want.pairs and all((getattr(got, k) == getattr(want, k)).all() for k in ("first", "inner", "total", "kinds"))
+
+
+def vocabulary_names(path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    return [t.id_to_token(i) for i in range(t.get_vocab_size())]
+
+
+def test_scores_match_a_plain_scorer(spark, docs, monkeypatch):
+    """One token at a time, each once, with nothing but the weights and shares of the model."""
+    made = {}
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a, **k: made.setdefault("model", train(*a, **k)))
+    got = {r.doc_id: r.score for r in lm.score(docs, most_frequent=300, most_pairs=500, least_docs=60).collect()}
+    m = made["model"]
+    w, s, tokens = attention.unpack(m.weights), m.shares, WordTokenizer(m.path, m.splits)
+    targets = {attention.LAST: attention.INSIDE}
+    for r in docs.orderBy(F.length("text")).limit(40).collect():
+        codes, shares = [], 0.0
+        for word in (r.text or "").encode().lower().split():
+            begun, before, starts = -1, -1, True
+            for i in np.frombuffer(tokens.fresh(word), "<u4").tolist():
+                if starts:
+                    codes.append(int(m.class_of[i]))
+                    begun, log = i, s.first[i]
+                else:
+                    codes.append(attention.LAST if m.final[i] else attention.INSIDE)
+                    begun, log = s.inside(begun, before, i)
+                shares += log
+                before, starts = i, bool(m.final[i])
+        codes.append(attention.END)
+        total = 0.0
+        for k, code in enumerate(codes):
+            a = k // attention.STEP * attention.STEP  # where the step of this token begins
+            inputs = [codes[j - 1] if j > 0 else attention.END for j in range(a - attention.CONTEXT, k + 1)]
+            h = [w["embed"][x] + w["place"][p] for p, x in enumerate(inputs)]
+            q = h[-1] @ w["wq"]
+            weight = np.array([math.exp(float(q @ (x @ w["wk"])) / attention.ROOT) for x in h])
+            out = sum(p * (x @ w["wv"]) for p, x in zip(weight / weight.sum(), h, strict=True)) + h[-1]
+            z = out @ w["out"] + w["bias"]
+            total += float(z[targets.get(code, code)]) - math.log(sum(math.exp(float(x)) for x in z))
+        want = (total + shares) / math.log(10)
+        assert abs(got[r.doc_id] - want) < 1e-3 * max(1, abs(want))
+
+
+def test_the_model_learns_from_more_of_a_larger_corpus(spark, monkeypatch):
+    rows = [(i, f"w{i % 50} x{i % 7} y{i % 11} w{i % 50}") for i in range(600)]
+    df = spark.createDataFrame(rows, "key long, text string").select("key", F.col("text").cast("binary").alias("text"))
+    sizes = []
+    plain = lm.sample_counts
+    monkeypatch.setattr(lm, "sample_counts", lambda s, f: sizes.append(s.count()) or plain(s, f))
+    counts = lm.word_counts(df.select("text")).where(F.octet_length("word") > 0)
+    for n in (200, 600):
+        lm.train(df.where(F.col("key") < n), counts, {}, vocabulary_path("word_bpe_49k.json"), 0.5, 20, 100, rounds=1)
+    assert 60 < sizes[0] < 140 and 240 < sizes[1] < 360
+
+
 def test_codes_tell_beginnings_from_what_is_inside_words():
     class_of, final = np.array([4, 5, 6], np.uint8), np.array([0, 1, 0])
     ids = np.array([0, 2, 1, 1, 0, 1])

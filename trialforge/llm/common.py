@@ -101,7 +101,7 @@ class WordTokenizer:
     is dropped), the ids of a text are the ids of its words in order. Ids of words, and of parts of words where the
     tokenizer splits as PARTS does, are kept in two caches of `most` bytes."""
 
-    def __init__(self, path: str, splits: bool, most: int = 20 << 20):
+    def __init__(self, path: str, splits: bool, most: int = 12 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
