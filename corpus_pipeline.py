@@ -47,8 +47,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Whole texts go to Python in batches of so many rows, so that a worker holds a few megabytes of them.
+ROWS_PER_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    name, rows = ROWS_PER_BATCH
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        for _, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir))
+    finally:
+        spark.conf.set(name, before)
     return docs
