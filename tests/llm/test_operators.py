@@ -12,7 +12,7 @@ from tests.llm.test_brute import kept_by_pairs
 from tests.llm.test_tokens import plain_best_fit
 
 from trialforge.llm import attention, attribution, chat, decontam, extraction, langid, lm, packing, quality, simhash, urlfilter
-from trialforge.llm.common import WordTokenizer, connected_components, splits_parts, vocabulary_path
+from trialforge.llm.common import WordTokenizer, splits_parts, vocabulary_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EXTRA = "n_words long, kept string, fp string, lang_pred int, __words int, rank int, bucket int, length int, score string, word int, host_ok int"
@@ -83,7 +83,7 @@ def test_links_of_random_and_hot_fingerprints(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
     for blocks, page in ((6, 1024), (6, 40), (7, 64)):  # small pages split the hot group
-        roots = {r.node: r.root for r in connected_components(simhash.fingerprint_links(df, 4, blocks, page)).collect()}
+        roots = {r.node: r.root for r in simhash.fingerprint_components(df, 4, blocks, page).collect()}
         want = plain_components(fps)
         same = lambda label: {frozenset(i for i in range(len(fps)) if label[i] == x) for x in set(label)}
         assert same([roots.get(s, s) for s in signed]) == same(want)

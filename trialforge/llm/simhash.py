@@ -90,33 +90,6 @@ class BKTree:
         return found
 
 
-def page_links(tree_page: list[int], query_page: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """Links inside a page (query_page None) or between two, as a star for each group that they connect."""
-    tree, up = BKTree(), {}
-
-    def root(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
-
-    def link(x: int) -> None:
-        for i in tree.within(x, radius):
-            a, b = root(x), root(tree.items[i])
-            if a != b:
-                up[max(a, b)] = min(a, b)
-
-    if query_page is None:
-        for x in tree_page:
-            link(x)
-            tree.add(x)
-    else:
-        for x in tree_page:
-            tree.add(x)
-        for x in query_page:
-            link(x)
-    return [(x, root(x)) for x in list(up)]
-
-
 def block_masks(blocks: int, radius: int) -> list[int]:
     """Masks of which any two fingerprints at `radius` or fewer differing bits agree on at least one: the bits fall into
     `blocks` blocks, of which at least blocks - radius are equal."""
@@ -129,27 +102,45 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 4, blocks: int = 6, page: int = 1024) -> DataFrame:
-    """fps(fp), distinct -> (u, v): links that connect all fingerprints at `radius` or fewer differing bits.
+def fingerprint_components(fps: DataFrame, radius: int = 4, blocks: int = 6, page: int = 1024) -> DataFrame:
+    """fps(fp), distinct -> (node, root): components of fingerprints linked at `radius` or fewer differing bits.
 
     Fingerprints meet by the bits under each mask (no pair can miss all masks). What shares a mask's bits is dealt into
-    pages of about `page` fingerprints; each page is one BK-tree, and a tree is sent to each page of its group. So a
-    task holds two pages at most, however large a group is."""
+    pages of about `page` fingerprints, each a BK-tree: see components_in_pages."""
     masks = block_masks(blocks, radius)
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in enumerate(masks)])).alias("k")).select("fp", "k.mask", "k.part")
     sizes = keyed.groupBy("mask", "part").count().where("count > 1").select("mask", "part", F.ceil(F.col("count") / page).cast("int").alias("pages"))
-    dealt = (
-        keyed.join(sizes, ["mask", "part"])
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pages")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
-        .select("mask", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.struct("fp").alias("item"))
-    )
+    met = keyed.join(sizes, ["mask", "part"]).withColumn("own", F.pmod(F.xxhash64("fp", "mask"), F.col("pages")).cast("int"))
+    return components_in_pages(met.select("mask", "part", "pages", "own", F.col("fp").alias("node"), "fp"), None, radius, None)
+
+
+def components_in_pages(met: DataFrame, sets: DataFrame | None, radius: int, similarity: float | None) -> DataFrame:
+    """met(mask, part, pages, own, node, fp), sets(node, shingles) -> (node, root): components of what is linked inside the
+    groups of a mask and part, each dealt into pages.
+
+    First each page by itself, then the pages of a group with each other, but only in groups that aren't one component
+    yet: a hot group of copies costs as many pages as it has, not their square. A task holds two pages at most."""
 
     def find(first: list[tuple], second: list[tuple], same: bool) -> list[tuple[int, int]]:
-        first, second = ([x & (1 << 64) - 1 for (x,) in page] for page in (first, second))
-        return [(_signed(x), _signed(y)) for x, y in page_links(first, None if same else second, radius)]
+        return linked_in_pages(first, second, same, radius, similarity)
 
-    return paged(dealt, find)
+    def item(label: str) -> Column:
+        return F.struct("node", "fp", F.col(label).alias("label"), F.lit(None).cast("binary").alias("shingles") if sets is None else F.col("shingles")).alias("item")
+
+    met = cut(met)
+    if sets is not None:  # shingles move only of texts that meet another
+        sets = sets.join(cut(met.select("node").distinct()), "node", "left_semi")
+    carried = lambda rows: rows if sets is None else rows.join(sets, "node")
+    inside = carried(met)
+    links = cut(paged(inside.select("mask", "part", F.col("own").alias("i"), F.col("own").alias("j"), "own", item("node")), find))
+    roots = connected_components(links)
+    split = cut(met.where("pages > 1").join(roots, "node", "left").select("mask", "part", "pages", "own", "node", "fp", F.coalesce("root", "node").alias("label")))
+    if split.isEmpty():
+        return roots
+    open_groups = split.groupBy("mask", "part").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("mask", "part")
+    across = carried(split.join(open_groups, ["mask", "part"])).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).where("own <> other")
+    across = across.select("mask", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", item("label"))
+    return connected_components(links.unionByName(paged(across, find)))
 
 
 def paged(dealt: DataFrame, find: Callable[[list[tuple], list[tuple], bool], list[tuple[int, int]]]) -> DataFrame:
@@ -197,7 +188,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4
     # more blocks make longer keys: the groups that meet by chance stay small as the corpus grows, and no link is lost
     n = fps.count()
     blocks = radius + (2 if n < 20_000_000 else 3 if n < 500_000_000 else 4)
-    roots = connected_components(fingerprint_links(fps.select("fp"), radius, blocks))
+    roots = fingerprint_components(fps.select("fp"), radius, blocks)
     member = fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = member.where("fp <> root").groupBy("root").agg(F.min("least").alias("lower"))
     known = member.join(least, "root", "left").select("fp", F.least("least", "lower").alias("own"), "root")
@@ -254,10 +245,20 @@ def signatures(docs: DataFrame, words_per_shingle: int) -> DataFrame:
     return docs.select("uid", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"uid long, doc_id {kind}, same binary, fp long, keys array<long>, n long, shingles binary")
 
 
-def similar_in_pages(first: list[tuple], second: list[tuple], same: bool, similarity: float) -> list[tuple[int, int]]:
-    """Links that connect all texts of a page, or of two, whose fingerprints lie within RADIUS and that share `similarity`
-    of their shingles. Items are (node, fp, label, shingles); those of one label are connected already, and so is what a
-    link has connected: only texts that aren't are compared."""
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least `similarity` of what either has in common."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= similarity * (len(x) + len(y) - common)
+
+
+def linked_in_pages(first: list[tuple], second: list[tuple], same: bool, radius: int, similarity: float | None) -> list[tuple[int, int]]:
+    """Links that connect all items of a page, or of two, whose fingerprints lie within the radius and that share
+    `similarity` of their shingles (None: these aren't asked for). Items are (node, fp, label, shingles); those of one
+    label are connected already, and so is what a link has connected: only items that aren't are compared."""
+    if not first:
+        return []
     up, sets, out = {}, {}, []
     # between pages, the most frequent label has a tree of its own, which texts of that label needn't search
     common_label = None if same else Counter(item[2] for item in first).most_common(1)[0][0]
@@ -279,15 +280,11 @@ def similar_in_pages(first: list[tuple], second: list[tuple], same: bool, simila
         for own, (tree, at_fp) in trees.items():
             if own and label == common_label:
                 continue
-            for i in tree.within(fp & (1 << 64) - 1, RADIUS):
+            for i in tree.within(fp & (1 << 64) - 1, radius):
                 for other, other_label, other_raw in at_fp[tree.items[i]]:
                     if (theirs := root(other_label)) == mine:
                         continue
-                    x, y = shingles(node, raw), shingles(other, other_raw)
-                    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                        continue
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if common >= similarity * (len(x) + len(y) - common):
+                    if similarity is None or similar(shingles(node, raw), shingles(other, other_raw), similarity):
                         out.append((node, other))
                         up[mine] = mine = theirs
 
@@ -306,40 +303,17 @@ def similar_in_pages(first: list[tuple], second: list[tuple], same: bool, simila
     return out
 
 
-def near_links(contents: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """contents(node, fp, keys, n), sets(node, shingles) -> (node, root): components of different texts that are linked by a similarity
-    (Jaccard, of the sets of shingles) of `similarity` or more.
+def near_components(contents: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """contents(node, fp, keys, n), sets(node, shingles) -> (node, root): components of different texts that are linked by a
+    similarity (Jaccard, of the sets of shingles) of `similarity` or more.
 
-    Texts that agree on a band meet in pages, each a BK-tree of its fingerprints; what lies within RADIUS is compared.
-    Then the pages of a group meet each other, but only in groups that aren't one component yet: a hot group of copies
-    costs as many pages as it has, not their square."""
+    Texts that agree on a band meet in pages; what lies within RADIUS is compared."""
     keyed = contents.select("node", "fp", "n", F.posexplode("keys").alias("mask", "part"))
     pages = F.ceil(F.greatest(F.count(F.lit(1)) / PAGE, F.sum("n") / PAGE_SHINGLES)).cast("int")
     sizes = keyed.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("texts"), pages.alias("pages")).where("texts > 1").drop("texts")
     # a page's number differs by band: a group that meets in all of them is dealt in another way in each
     met = keyed.join(sizes, ["mask", "part"]).withColumn("own", F.pmod(F.xxhash64("node", "mask"), F.col("pages")).cast("int"))
-    met = cut(met.select("mask", "part", "pages", "own", "node", "fp"))
-    # shingles move only of texts that meet another
-    sets = sets.join(cut(met.select("node").distinct()), "node", "left_semi")
-
-    def find(first: list[tuple], second: list[tuple], same: bool) -> list[tuple[int, int]]:
-        return similar_in_pages(first, second, same, similarity)
-
-    inside = met.join(sets, "node").select("mask", "part", F.col("own").alias("i"), F.col("own").alias("j"), "own", F.struct("node", "fp", F.col("node").alias("label"), "shingles").alias("item"))
-    links = cut(paged(inside, find))
-    roots = connected_components(links)
-    split = cut(met.where("pages > 1").join(roots, "node", "left").select("mask", "part", "pages", "own", "node", "fp", F.coalesce("root", "node").alias("label")))
-    if split.isEmpty():
-        return roots
-    open_groups = split.groupBy("mask", "part").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("mask", "part")
-    across = (
-        split.join(open_groups, ["mask", "part"])
-        .join(sets, "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
-        .where("own <> other")
-        .select("mask", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.struct("node", "fp", "label", "shingles").alias("item"))
-    )
-    return connected_components(links.unionByName(paged(across, find)))
+    return components_in_pages(met.select("mask", "part", "pages", "own", "node", "fp"), sets, RADIUS, similarity)
 
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -354,7 +328,7 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.
     copies = cut(signed.groupBy("same").agg(F.min("uid").alias("node")))
     named = signed.withColumnRenamed("uid", "node")
     contents = named.select("node", "fp", "keys", "n").join(copies.select("node"), "node", "left_semi")
-    roots = near_links(contents, named.select("node", "shingles"), similarity)
+    roots = near_components(contents, named.select("node", "shingles"), similarity)
     group = copies.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("group"))
     placed = cut(signed.join(group, "same").select("uid", "doc_id", "group"))
     first = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("n"))
