@@ -92,7 +92,8 @@ def nearest(queries: DataFrame, targets: DataFrame, unit: str, first_radius: flo
     none. Targets with the query's own pid don't count; pid must tell the queries of a unit apart.
 
     A radius join with the minimum taken per query finds most; what it leaves goes into the next round at twice the
-    radius, until the radius covers the targets' and queries' common box. No group is gathered anywhere."""
+    radius, until the radius covers the targets' and queries' common box. From the second round on queries meet the boxes
+    of small cells first, and then only the points of those boxes that can hold the nearest one. No group is gathered."""
     q = cut(queries.select(F.col(unit).alias("u"), F.col("pid").alias("q"), *[F.col(k).alias(f"q{k}") for k in XYZ]))
     t = cut(targets.select(F.col(unit).alias("u"), "pid", *XYZ))
     box = q.select("u", *[F.col(f"q{k}").alias(k) for k in XYZ]).unionByName(t.select("u", *XYZ)).agg(*[(F.max(k) - F.min(k)) for k in XYZ]).first()
@@ -100,13 +101,9 @@ def nearest(queries: DataFrame, targets: DataFrame, unit: str, first_radius: flo
     r, left, found = first_radius, q, None
     while True:
         r = min(r, size + 1e-9)
-        cell = lambda k, r=r: F.floor(F.col(k) / F.lit(r))
-        near = t.select("u", "pid", *XYZ, *[cell(k).alias(f"c{k}") for k in XYZ])
-        for k in XYZ:
-            near = near.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + i for i in (-1, 0, 1)])))
-        own = left.select("*", *[cell(f"q{k}").alias(f"c{k}") for k in XYZ])
+        met = points_in_reach(left, t, r) if found is None else points_in_near_boxes(left, t, r)
         d2 = sum(((F.col(k) - F.col(f"q{k}")) * (F.col(k) - F.col(f"q{k}")) for k in XYZ), F.lit(0.0))
-        met = own.join(near, ["u", *[f"c{k}" for k in XYZ]]).where(F.col("pid") != F.col("q")).withColumn("d2", d2).where(F.col("d2") <= r * r)
+        met = met.where(F.col("pid") != F.col("q")).withColumn("d2", d2).where(F.col("d2") <= r * r)
         done = cut(met.groupBy("u", "q").agg(F.sqrt(F.min("d2")).alias("dist")))
         found = done if found is None else found.unionByName(done)
         left = cut(left.join(done.select("u", "q"), ["u", "q"], "left_anti"))
@@ -117,6 +114,41 @@ def nearest(queries: DataFrame, targets: DataFrame, unit: str, first_radius: flo
     return found.select(F.col("u").alias(unit), F.col("q").alias("pid"), "dist")
 
 
+def around(df: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """Each row in the 27 cells around its own."""
+    for c in cells:
+        df = df.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
+    return df
+
+
+def points_in_reach(queries: DataFrame, targets: DataFrame, r: float) -> DataFrame:
+    """queries(u, q, qx, qy, qz), targets(u, pid, x, y, z) -> pairs in neighbouring cells of size r."""
+    cells = [f"c{k}" for k in XYZ]
+    near = around(targets.select("*", *[F.floor(F.col(k) / F.lit(r)).alias(f"c{k}") for k in XYZ]), cells)
+    return queries.select("*", *[F.floor(F.col(f"q{k}") / F.lit(r)).alias(f"c{k}") for k in XYZ]).join(near, ["u", *cells])
+
+
+def points_in_near_boxes(queries: DataFrame, targets: DataFrame, r: float) -> DataFrame:
+    """The same pairs without targets that can't be the nearest: a quarter-cell's box of targets counts only if it begins no
+    farther away than the box with the nearest end ends."""
+    cells, fine = [f"c{k}" for k in XYZ], [f"f{k}" for k in XYZ]
+    part = lambda k: F.floor(F.col(k) / F.lit(r / 4))
+    t = targets.select("*", *[part(k).alias(f"f{k}") for k in XYZ])
+    ends = [f(k).alias(f"{n}{k}") for k in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
+    boxes = t.groupBy("u", *fine).agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("one"), *ends)
+    boxes = around(boxes.select("*", *[F.floor(F.col(f"f{k}") / 4).alias(f"c{k}") for k in XYZ]), cells)
+    own = queries.select("*", *[F.floor(part(f"q{k}") / 4).alias(f"c{k}") for k in XYZ])
+    gap = {k: F.greatest(F.lit(0.0), F.col(f"lo{k}") - F.col(f"q{k}"), F.col(f"q{k}") - F.col(f"hi{k}")) for k in XYZ}
+    far = {k: F.greatest(F.abs(F.col(f"q{k}") - F.col(f"lo{k}")), F.abs(F.col(f"q{k}") - F.col(f"hi{k}"))) for k in XYZ}
+    square = lambda d: sum((d[k] * d[k] for k in XYZ), F.lit(0.0))
+    # a box that holds nothing but the query itself is none
+    met = own.join(boxes, ["u", *cells]).where((F.col("n") > 1) | (F.col("one") != F.col("q"))).select(*queries.columns, *fine, square(gap).alias("least"), square(far).alias("most"))
+    met = cut(met)
+    bound = met.groupBy("u", "q").agg((F.min("most") * (1 + 1e-9)).alias("bound"))
+    close = met.join(bound, ["u", "q"]).where(F.col("least") <= F.col("bound")).drop("least", "most", "bound")
+    return close.join(t, ["u", *fine])
+
+
 def min_max(df: DataFrame, unit: Sequence[str], value: str, name: str) -> DataFrame:
     """Adds value scaled to 0..1 in its unit, 0 where the unit is flat. Limits are aggregated and joined: no unit is
     gathered in a task."""
