@@ -6,6 +6,7 @@ import functools
 import json
 import os
 import re
+from array import array
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +61,9 @@ def vocabulary_path(name: str) -> str:
 #: How the tokenizer file states its pre-tokeniser, and the parts of words for which that is done here:
 #: runs of lower-case Latin letters, single digits, and runs of ASCII signs without ' and < (contractions, control strings).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PARTS = re.compile(r"[a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĵķĺļľłńņňōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž]+|[0-9]|[!-&(-/:;=-@[-`{-~]+")
+LETTERS = "[a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĵķĺļľłńņňōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž]+"
+PARTS = re.compile(LETTERS + r"|[0-9]|[!-&(-/:;=-@[-`{-~]+")
+ONE_PART = re.compile(LETTERS)
 
 
 def byte_letters() -> list[str]:
@@ -79,20 +82,30 @@ def splits_parts(path: str) -> bool:
     return steps[0].get("pattern", {}).get("Regex") == SPLIT
 
 
-class Kept(dict):
-    """A cache of at most about `most` bytes: entries beyond that, and keys of over 48, are worked out each time."""
+class Recent:
+    """A cache of what was met lately, of at most about `most` bytes: when the newer half is full the older one goes, and
+    what is met again moves to the newer one. Keys of over 48 characters are worked out each time."""
 
     def __init__(self, most: int):
-        self.left = most
+        self.half = self.left = most // 2
+        self.new: dict = {}
+        self.old: dict = {}
 
-    def keep(self, key: bytes | str, value: bytes) -> bytes:
+    def keep(self, key: bytes | str, value, size: int):
         # an object's head is some 35 to 60 bytes, a dictionary's slot some 100 with its spare room
-        cost = len(key) + len(value) + 200
-        if cost <= self.left and len(key) <= 48:
+        cost = len(key) + size + 200
+        if len(key) <= 48:
+            if cost > self.left:
+                self.old, self.new, self.left = self.new, {}, self.half
             self.left -= cost
-            self[key] = value
+            self.new[key] = value
         return value
 
+    def again(self, key: bytes | str, size: int = 20):
+        """What isn't in the newer half but in the older one."""
+        value = self.old.get(key)
+        return None if value is None else self.keep(key, value, size)
+
 
 class WordTokenizer:
     """Subword ids of whole texts from ids of their words.
@@ -107,27 +120,47 @@ class WordTokenizer:
 
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.model, self.splits = tokenizer.encode, tokenizer.model, splits
-        self.known, self.parts = Kept(most), Kept(most)
+        self.known, self.parts = Recent(most), Recent(most)
         self.letters = byte_letters()
 
-    def part(self, part: str) -> bytes:
+    def part_ids(self, part: str) -> list[int]:
         text = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-        return self.parts.keep(part, b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)]))
+        return [t.id for t in self.model.tokenize(text)]
 
-    def fresh(self, word: bytes) -> bytes:
-        """Ids of a word as little-endian unsigned 32-bit numbers; only those of its parts are kept."""
-        text = word.decode("utf-8", "replace")
+    def part(self, part: str) -> bytes:
+        if (found := self.parts.again(part)) is None:
+            found = array("I", self.part_ids(part)).tobytes()
+            self.parts.keep(part, found, len(found))
+        return found
+
+    def parts_of(self, text: str) -> list[str] | None:
+        """The parts of a word; None where the tokenizer must split it itself."""
+        if self.splits and ONE_PART.fullmatch(text):
+            return [text]
         small = text.lower()
         if self.splits and len(small) == sum(map(len, parts := PARTS.findall(small))):
-            get, part = self.parts.get, self.part
-            return b"".join([get(p) or part(p) for p in parts])
-        return b"".join([i.to_bytes(4, "little") for i in self.encode(text, add_special_tokens=False).ids])
+            return parts
+        return None
+
+    def fresh(self, word: bytes) -> bytes:
+        """Ids of a word as unsigned 32-bit numbers; only those of its parts, where it has several, are kept."""
+        text = word.decode("utf-8", "replace")
+        parts = self.parts_of(text)
+        if parts is None:
+            return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(parts) == 1:
+            return array("I", self.part_ids(parts[0])).tobytes()
+        get, part = self.parts.new.get, self.part
+        return b"".join([get(p) or part(p) for p in parts])
 
     def word(self, word: bytes) -> bytes:
-        return self.known.keep(word, self.fresh(word))
+        if (found := self.known.again(word)) is None:
+            found = self.fresh(word)
+            self.known.keep(word, found, len(found))
+        return found
 
     def ids(self, text: bytes) -> bytes:
-        get, word = self.known.get, self.word
+        get, word = self.known.new.get, self.word
         return b"".join([x if (x := get(w)) is not None else word(w) for w in text.split()])
 
 
