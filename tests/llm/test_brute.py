@@ -432,6 +432,11 @@ def test_an_articles_own_header_stays():
     assert extraction.main_text(page) == "Head\n" + ("text " * 40).strip()
 
 
+def test_pages_with_clashing_columns_and_nothing_in_them(spark):
+    df = clashing(spark.createDataFrame([(1, "u", "<p>a</p>"), (None, None, None), (1, "u", "<p>a</p>")], "page_id long, url string, html string"), "text", "n_chars")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extraction.extract(df).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
+
+
 # --- chat
 
 

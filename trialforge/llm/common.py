@@ -112,15 +112,15 @@ class WordTokenizer:
 
     For a tokenizer whose normaliser and pre-tokeniser never join what ASCII white space parts (the white space itself
     is dropped), the ids of a text are the ids of its words in order. Ids of words, and of parts of words where the
-    tokenizer splits as PARTS does, are kept in two caches of `most` bytes."""
+    tokenizer splits as PARTS does, are kept in two caches of `most` and a third as many bytes."""
 
-    def __init__(self, path: str, splits: bool, most: int = 12 << 20):
+    def __init__(self, path: str, splits: bool, most: int = 40 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.model, self.splits = tokenizer.encode, tokenizer.model, splits
-        self.known, self.parts = Recent(most), Recent(most)
+        self.known, self.parts = Recent(most), Recent(most // 3)
         self.letters = byte_letters()
 
     def part_ids(self, part: str) -> list[int]:
