@@ -16,7 +16,7 @@ from ..sources.tables import cut
 from .meshes import T1, geometry, tets
 from .points import D2, G, P, anchors, points, r6
 from .registry import query
-from .trials import COMPLETE, F1, PAIRS, S1, TRIALS, UNIT, V, firsts, ok, pairs, rounded, swept, trials
+from .trials import COMPLETE, F1, PAIRS, S1, UNIT, V, firsts, ok, pairs, rounded, swept, trials
 from .viewsets import R as GRIDS
 from .viewsets import grid
 
