@@ -8,7 +8,7 @@ from trialforge.llm.common import WordTokenizer, splits_parts, vocabulary_path
 from trialforge.llm.packing import CapacityTree, best_fit_decreasing
 
 PATH = vocabulary_path("word_bpe_49k.json")
-TOKENS = WordTokenizer(PATH, splits_parts(PATH), most=20_000)
+TOKENS = WordTokenizer(PATH, splits_parts(PATH), most=40)
 LETTERS = st.one_of(st.text(), st.text("aeé ßñİſΣσ'\"<|>,.1٣ \t\n\x1c\xa0AbÀ́日"), st.sampled_from(["<|endoftext|>", "don't stop", "thtion, ÉTÉ!!", "x<|startoftext|>y"]))
 
 

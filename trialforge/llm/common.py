@@ -83,28 +83,21 @@ def splits_parts(path: str) -> bool:
 
 
 class Recent:
-    """A cache of what was met lately, of at most about `most` bytes: when the newer half is full the older one goes, and
-    what is met again moves to the newer one. Keys of over 48 characters are worked out each time."""
+    """A cache of what was met lately: when the newer half holds `most` entries the older one goes, and what is met again
+    moves to the newer one. Keys of over LONGEST characters are worked out each time, so its size has a bound."""
 
     def __init__(self, most: int):
-        self.half = self.left = most // 2
-        self.new: dict = {}
-        self.old: dict = {}
-
-    def keep(self, key: bytes | str, value, size: int):
-        # an object's head is some 35 to 60 bytes, a dictionary's slot some 100 with its spare room
-        cost = len(key) + size + 200
-        if len(key) <= 48:
-            if cost > self.left:
-                self.old, self.new, self.left = self.new, {}, self.half
-            self.left -= cost
+        self.most, self.new, self.old = most, {}, {}
+
+    def keep(self, key: bytes | str, value):
+        if len(key) <= LONGEST:
+            if len(self.new) >= self.most:
+                self.old, self.new = self.new, {}
             self.new[key] = value
         return value
 
-    def again(self, key: bytes | str, size: int = 20):
-        """What isn't in the newer half but in the older one."""
-        value = self.old.get(key)
-        return None if value is None else self.keep(key, value, size)
+
+LONGEST = 48
 
 
 class WordTokenizer:
@@ -112,15 +105,15 @@ class WordTokenizer:
 
     For a tokenizer whose normaliser and pre-tokeniser never join what ASCII white space parts (the white space itself
     is dropped), the ids of a text are the ids of its words in order. Ids of words, and of parts of words where the
-    tokenizer splits as PARTS does, are kept in two caches of `most` and a third as many bytes."""
+    tokenizer splits as PARTS does, are kept in two caches; an entry takes some 200 bytes, 500 at most."""
 
-    def __init__(self, path: str, splits: bool, most: int = 40 << 20):
+    def __init__(self, path: str, splits: bool, most: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.model, self.splits = tokenizer.encode, tokenizer.model, splits
-        self.known, self.parts = Recent(most), Recent(most // 3)
+        self.known, self.parts = Recent(most), Recent(most // 2)
         self.letters = byte_letters()
 
     def part_ids(self, part: str) -> list[int]:
@@ -128,10 +121,8 @@ class WordTokenizer:
         return [t.id for t in self.model.tokenize(text)]
 
     def part(self, part: str) -> bytes:
-        if (found := self.parts.again(part)) is None:
-            found = array("I", self.part_ids(part)).tobytes()
-            self.parts.keep(part, found, len(found))
-        return found
+        found = self.parts.old.get(part)
+        return self.parts.keep(part, array("I", self.part_ids(part)).tobytes() if found is None else found)
 
     def parts_of(self, text: str) -> list[str] | None:
         """The parts of a word; None where the tokenizer must split it itself."""
@@ -143,21 +134,17 @@ class WordTokenizer:
         return None
 
     def fresh(self, word: bytes) -> bytes:
-        """Ids of a word as unsigned 32-bit numbers; only those of its parts, where it has several, are kept."""
+        """Ids of a word as unsigned 32-bit numbers; only those of its parts are kept."""
         text = word.decode("utf-8", "replace")
         parts = self.parts_of(text)
         if parts is None:
             return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(parts) == 1:
-            return array("I", self.part_ids(parts[0])).tobytes()
         get, part = self.parts.new.get, self.part
         return b"".join([get(p) or part(p) for p in parts])
 
     def word(self, word: bytes) -> bytes:
-        if (found := self.known.again(word)) is None:
-            found = self.fresh(word)
-            self.known.keep(word, found, len(found))
-        return found
+        found = self.known.old.get(word)
+        return self.known.keep(word, self.fresh(word) if found is None else found)
 
     def ids(self, text: bytes) -> bytes:
         get, word = self.known.new.get, self.word
