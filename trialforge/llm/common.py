@@ -151,12 +151,25 @@ class WordTokenizer:
         return b"".join([x if (x := get(w)) is not None else word(w) for w in text.split()])
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple, WordTokenizer] = {}
 
 
-def word_tokenizer(path: str, splits: bool) -> WordTokenizer:
-    """One per Python worker; that of another file makes room for it. splits is splits_parts(path)."""
-    if path not in _TOKENIZERS:
+def word_tokenizer(path: str, splits: bool, most: int = 120_000) -> WordTokenizer:
+    """One per Python worker and file; that of another file makes room for it. splits is splits_parts(path), `most` the
+    entries of its caches' halves."""
+    if (path, most) not in _TOKENIZERS:
         _TOKENIZERS.clear()
-        _TOKENIZERS[path] = WordTokenizer(path, splits)
-    return _TOKENIZERS[path]
+        _TOKENIZERS[path, most] = WordTokenizer(path, splits, most)
+    return _TOKENIZERS[path, most]
+
+
+def give_back() -> None:
+    """Hands memory that this worker no longer uses back to the system: Spark keeps workers for the tasks to come."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

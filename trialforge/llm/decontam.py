@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut
+from .common import cut, give_back
 
 #: ASCII punctuation counts for nothing; words are lower-cased and split at ASCII white space.
 DROPPED = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -248,6 +248,7 @@ def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, likely
         if len(at):
             none = [pa.nulls(len(at), f.type) for f in last.schema]
             yield pa.RecordBatch.from_arrays([*none, pa.array(at.astype(np.int32)), pa.array(list(y[at].astype(np.float32)), pa.list_(pa.float32()))], names=names)
+        give_back()
 
     found = cut(numbered.mapInArrow(sketch, f"doc_id {kind}, words binary, word int, y array<float>"))
     add = F.array(*[F.sum(F.col("y")[i]) for i in range(rank)]).alias("y")
@@ -366,6 +367,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank: in
             for batch in batches:
                 texts = ((t.as_py() or "").encode("utf-8", "replace") for t in batch.column("text"))
                 yield batch.filter(pa.array([not leaks(b, b.numbers(t), COSINE, SURE) for t in texts], pa.bool_()))
+            give_back()
 
         left = left.mapInArrow(run, docs.schema)
     return left

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_crc
+from .common import cut, give_back, id_crc
 
 BITS = 15
 
@@ -157,5 +157,6 @@ def keep_identified(docs: DataFrame, folds: int = 5, held_fold: int = 0) -> Data
         for batch in batches:
             found = (m.decode(t.as_py()) for t in batch.column("text"))
             yield batch.filter(pa.array([lang != "und" and gap >= 0.05 for lang, _, gap in found], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

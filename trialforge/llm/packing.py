@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, splits_parts, vocabulary_path, word_tokenizer
+from .common import cut, give_back, splits_parts, vocabulary_path, word_tokenizer
 
 
 class CapacityTree:
@@ -89,16 +89,17 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
     return runs
 
 
-def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0, kept_words: int = 120_000) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, piece, start, length, ids_crc32): each document's ids and end_id, cut into pieces
-    of `capacity` tokens of which the last may be shorter. A null text is an empty one (one piece: the end)."""
+    of `capacity` tokens of which the last may be shorter. A null text is an empty one (one piece: the end). kept_words:
+    how many words' ids a worker keeps at hand, twice at most; fewer take more time."""
     path = vocabulary or vocabulary_path("word_bpe_49k.json")
     kind, splits = docs.schema["doc_id"].dataType.simpleString(), splits_parts(path)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        tokens, end, step = word_tokenizer(path, splits), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        tokens, end, step = word_tokenizer(path, splits, kept_words), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
@@ -114,12 +115,13 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None =
                 [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        give_back()
 
     # shorter columns are all that crosses to Python
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit_pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, rows_per_bucket: int = 20_000) -> DataFrame:
+def best_fit_pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, rows_per_bucket: int = 20_000, kept_words: int = 120_000) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` tokens by best-fit decreasing over the whole corpus.
 
     Only the histogram of lengths (at most `capacity` rows) reaches the driver, where the runs of the packing are found.
@@ -128,7 +130,7 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None
     neither do equal ids or null ones. Repeated rows are packed as often as they come; null texts are empty; null ids
     stay null; no rows give no rows. Ties (equal lengths) are ranked by bucket, doc_id, piece and place."""
     spark = docs.sparkSession
-    pieces = cut(token_pieces(docs, capacity, vocabulary).withColumn("uid", F.monotonically_increasing_id()))
+    pieces = cut(token_pieces(docs, capacity, vocabulary, kept_words=kept_words).withColumn("uid", F.monotonically_increasing_id()))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     runs = sorted(best_fit_decreasing(counts, capacity), key=lambda r: (r[0], r[1]))
     buckets = max(32, sum(counts.values()) // rows_per_bucket)

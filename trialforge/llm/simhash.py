@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, give_back
 
 
 def shingle_hashes(text: bytes, words_per_shingle: int) -> np.ndarray:
@@ -173,6 +173,7 @@ def paged(dealt: DataFrame, find: Callable[[list[tuple], list[tuple], bool], lis
         close()
         if found:
             yield flush()
+        give_back()
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "item").mapInArrow(search, "u long, v long")
 
@@ -241,6 +242,7 @@ def signatures(docs: DataFrame, words_per_shingle: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([len(x) // 4 for x in sets], pa.int64()), pa.array(sets, pa.binary())],
                 names=["uid", "doc_id", "same", "fp", "keys", "n", "shingles"],
             )
+        give_back()
 
     return docs.select("uid", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"uid long, doc_id {kind}, same binary, fp long, keys array<long>, n long, shingles binary")
 
