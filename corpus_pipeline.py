@@ -32,7 +32,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences: a row for each piece."""
-    return packing.best_fit_pack(docs)
+    return packing.best_fit_pack(docs, kept_words=30_000)  # workers of the stages before still hold memory
 
 
 STAGES = [
