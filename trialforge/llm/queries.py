@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chat, decontam, extraction, langid, lm, packing, quality, simhash, urlfilter
+from . import attribution, chat, decontam, extraction, langid, lm, middle, packing, quality, runs, simhash, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_language_id, op3_quality_rules, op4_url_filter, op5_token_counts, op6_lm_scores, op7_decontamination, op8_html_text, op9_chat_format, op10_best_fit_packing)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(table(spark, sf_dir, "documents"), prepare=runs.repeated_tail))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_language_id, op3_quality_rules, op4_url_filter, op5_token_counts, op6_lm_scores, op7_decontamination, op8_html_text, op9_chat_format, op10_best_fit_packing, op11_fill_in_middle, op12_periodic_runs, op13_toxicity)}
 
 OP9_SQL = r"""
 with t as (
@@ -74,4 +86,22 @@ select conv_id, count(*) as n_turns,
 from e group by conv_id
 """
 
-ORACLES = {"op9_chat_format": OP9_SQL}
+OP11_SQL = r"""
+with t as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+), u as (
+  select *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as units, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+    cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from t
+), c as (
+  select *, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from u
+), p as (
+  select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix from c
+)
+select doc_id, cast(len(units) as bigint) as n, form, cast(case when form <> 'plain' then length(prefix) end as bigint) as prefix_chars,
+  cast(case when form <> 'plain' then length(middle) end as bigint) as middle_chars,
+  sha256(case form when 'plain' then text when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else '<P>' || prefix || '<S>' || suffix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256 from p
+"""
+
+ORACLES = {"op9_chat_format": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
