@@ -3,11 +3,9 @@ import json
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trialforge.operators import cohort, robust, select, spatial
+from trialforge.operators import cohort, robust, spatial
 from trialforge.sources import files
 from trialforge.streaming import shards
 
@@ -71,54 +69,27 @@ def test_radius_and_nearest_match_brute_force(spark):
     assert hit == set(np.flatnonzero(near.any(1)).tolist())
     assert {r.pid for r in spatial.within_radius(da, db, ["u"], "r", anti=True).collect()} == set(range(150)) - hit
     other = np.where(same & (np.arange(150)[:, None] != np.arange(60)[None]), dist, np.inf).min(1)
-    got = {r.pid: r.dist for r in spatial.nearest(da, db, "u", 0.5).collect()}
+    got = {r.pid: r.dist for r in spatial.nearest(da, db, "u").collect()}
     assert all(abs(got[i] - other[i]) < 1e-9 for i in range(150))
     assert spatial.nearest(da, db.limit(0), "u").where("dist is null").count() == 150
 
 
-CLOUD = st.lists(st.tuples(*[st.integers(-9, 9)] * 3), min_size=1, max_size=60)
-
-
-@settings(max_examples=100, deadline=None)
-@given(CLOUD, st.sampled_from([1.0, 2.5, 4.0]))
-def test_greedy_spread(cloud, radius):
-    p = np.array(cloud, float)
-    want = []
-    for i in range(len(p)):
-        if all(((p[i] - p[j]) ** 2).sum() > radius**2 for j in want):
-            want.append(i)
-    assert select.greedy_spread(p, radius) == want and select.greedy_spread(p, radius, 3) == want[:3]
-
-
-@settings(max_examples=60, deadline=None)
-@given(CLOUD)
-def test_clusters(cloud):
-    cells = np.array(sorted(set(cloud)))
-    label = select.voxel_clusters(cells)
-    for i, j in itertools.combinations(range(len(cells)), 2):
-        if np.abs(cells[i] - cells[j]).max() <= 1:
-            assert label[i] == label[j]
-    dense = select.density_clusters(cells[:, :2].astype(float), 1.5, 3)
-    assert len(dense) == len(cells)
-
-
-def test_farthest_points_and_suppression():
-    p = np.array([[0.0, 0, 0], [1, 0, 0], [10, 0, 0], [5, 0, 0]])
-    assert select.farthest_points(p, 3) == [0, 2, 3]
-    v = np.array([[1.0, 0], [0.99, 0.1], [0, 1], [1, 0]])
-    near = lambda a, x: a @ x > 0.9
-    assert select.similar_suppressed(v, near) == [0, 2] and select.similar_suppressed(v, near, last_only=True) == [0, 2, 3]
-
-
 def test_sources(spark, tmp_path):
     d = tmp_path / "trials" / "hs1.25"
     d.mkdir(parents=True)
     names = [f.name for f in files.TRIAL_SCHEMA]
     line = lambda **v: ",".join(str(v.get(n, "")) for n in names)
     (d / "a.csv").write_text("\n".join([",".join(names), line(object="007", load_case="bending", n_cells=5, energy_total="NaN", status="ok"), "broken,line"]) + "\n")
+    (d / "b.csv").write_text("\ufeffstatus, extra,vm_p99_crit,candidate,load_case,object,status\nok,\"a, b\",2.5,c,torsion,008,bad\nok,,NaN,c,torsion,009,\n")
+    (tmp_path / "trials" / "c.csv").write_text("object,load_case,candidate\n1,bending,c\n")
+    (tmp_path / "trials" / "empty.csv").write_text("")
     (d / "x_aggregated.csv").write_text(",".join(names) + "\n" + line(object="9", status="ok") + "\n")
     rows = files.read_trials(spark, str(tmp_path / "trials")).where("status is not null").collect()
-    assert [(r.object, r.n_cells, r.energy_total, r.h_scale) for r in rows] == [("007", 5, None, 1.25)]
+    assert sorted((r.object, r.load_case, r.n_cells, r.vm_p99_crit, r.energy_total, r.status, r.h_scale) for r in rows) == [
+        ("007", "bending", 5, None, None, "ok", 1.25), ("008", "torsion", None, 2.5, None, "ok", 1.25), ("009", "torsion", None, None, None, "ok", 1.25)
+    ]
+    assert sorted((r.files, r.missing) for r in files.file_layouts(spark, str(tmp_path / "trials")).collect()) == [(1, []), (1, []), (1, ["status"])]
+    assert files.read_trials(spark, str(tmp_path / "trials" / "c.csv")).count() == 0
     p = spark.createDataFrame([("a", 1.0, 2.0, -3.5e-7, 4.0), ("a", 0.0, 0.0, 0.0, 8.0), ("b", 1.0, 1.0, 1.0, 2.0)], "u string, x double, y double, z double, val double")
     files.write_points_text(p, str(tmp_path / "pos"), ["u"])
     back = files.read_points_text(spark, str(tmp_path / "pos")).collect()

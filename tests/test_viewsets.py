@@ -3,7 +3,6 @@
 import numpy as np
 import pytest
 
-from trialforge.operators.select import similar_suppressed
 from trialforge.plans import viewsets as V
 
 NAMES = ["angle_nms", "last_kept_nms", "cosine_nms", "diverse_views"]
@@ -22,6 +21,16 @@ def many(spark, tmp_path_factory):
     return d
 
 
+def similar_suppressed(vectors, similar, last_only=False):
+    """Rows kept in input order: each that isn't similar to any kept before (last_only: to the last kept one)."""
+    kept = []
+    for i in range(len(vectors)):
+        against = vectors[kept[-1:] if last_only else kept]
+        if not len(against) or not similar(against, vectors[i]).any():
+            kept.append(i)
+    return kept
+
+
 def plain(spark, d, name):
     rows = sorted(V.views(spark, d).collect(), key=lambda r: (r.object, -r.score, r.view))
     a, e = (np.radians([r[c] for r in rows]) for c in ("az", "el"))

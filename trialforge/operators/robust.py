@@ -11,22 +11,24 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, bands: int = 32) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, bands: int | None = None) -> DataFrame:
     """(keys, value, same, below, total): for each distinct value of a group, how many rows have it, how many are
     smaller, and how many there are. Null values are left out; null keys are groups like any other.
 
-    Values are counted first; then each group is cut into bands at approximate quantiles, so that a group with as many
-    distinct values as rows is sorted by `bands` tasks and not by one. Where the cuts fall changes no result."""
+    Values are counted first, in the only pass over df; the counts are dealt by ranges of (group, value) over `bands` tasks
+    (as many as a shuffle has), so that a group with as many distinct values as rows is sorted by many tasks, and a range
+    needs no more of those before it than their sums. Where the ranges end changes no result."""
     # inside a struct nulls equal each other, so that groups with null keys meet themselves
     rows = df.where(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("__all"), *keys).alias("__k"), F.col(value).alias("__v"))
     counted = rows.groupBy("__k", "__v").agg(F.count(F.lit(1)).alias("same"))
-    cuts = rows.groupBy("__k").agg(F.percentile_approx("__v", [i / bands for i in range(1, bands)], 1000).alias("cuts"), F.count(F.lit(1)).alias("total"))
-    placed = counted.join(cuts, "__k").withColumn("band", F.size(F.filter("cuts", lambda c: c < F.col("__v")))).drop("cuts")
-    sums = placed.groupBy("__k", "band").agg(F.sum("same").alias("in_band"))
-    before = Window.partitionBy("__k").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__k", "band", F.coalesce(F.sum("in_band").over(before), F.lit(0)).alias("offset"))
+    ranges = counted.repartitionByRange(bands, "__k", "__v") if bands else counted.repartitionByRange("__k", "__v")
+    dealt = cut(ranges.withColumn("band", F.spark_partition_id()))
+    sums = dealt.groupBy("__k", "band").agg(F.sum("same").alias("in_band"))  # a row for each range
+    of = Window.partitionBy("__k")
+    before = of.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__k", "band", F.coalesce(F.sum("in_band").over(before), F.lit(0)).alias("offset"), F.sum("in_band").over(of).alias("total"))
     inside = Window.partitionBy("__k", "band").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("inside", F.coalesce(F.sum("same").over(inside), F.lit(0))).join(offsets, ["__k", "band"])
+    ranked = dealt.withColumn("inside", F.coalesce(F.sum("same").over(inside), F.lit(0))).join(offsets, ["__k", "band"])
     return ranked.select(*[F.col("__k")[k].alias(k) for k in keys], F.col("__v").alias(value), "same", (F.col("inside") + F.col("offset")).alias("below"), "total")
 
 
@@ -122,8 +124,11 @@ def signed_rank(diffs: DataFrame, keys: Sequence[str], diff: str = "d") -> DataF
     ranks = value_ranks(d, keys, "abs_d")
     signs = d.groupBy(*keys, "abs_d").agg(F.count_if(F.col(diff) > 0).alias("plus"), F.count_if(F.col(diff) < 0).alias("minus"))
     r = ranks.join(signs, [*keys, "abs_d"]).withColumn("rank", F.col("below") + (F.col("same") + 1) / 2)
+    # a third power passes the longs from two million equal values on
+    same = F.col("same").cast("decimal(13,0)")
+    ties = same * same * same - same
     out = r.groupBy(*keys).agg(
-        F.sum("same").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * F.col("minus")).alias("w_minus"), F.sum(F.col("same") * F.col("same") * F.col("same") - F.col("same")).alias("tie_term")
+        F.sum("same").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * F.col("minus")).alias("w_minus"), F.sum(ties).cast("double").alias("tie_term")
     )
     n = F.col("n").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48

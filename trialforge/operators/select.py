@@ -1,10 +1,11 @@
-"""Selections whose order is their meaning: thinning, spread, suppression of similar views, farthest points, clusters.
+"""Selections whose order is their meaning: spread, farthest points, matching, suppression of similar views; and clusters.
 
-Each is a small numpy helper on one group (a unit's or object's candidates), applied by Spark to all groups."""
+All but the suppression of views go in rounds of joins and aggregates over all groups at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,76 +14,139 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
-
-
-def greedy_spread(points: np.ndarray, radius: float, most: int | None = None) -> list[int]:
-    """Rows kept in input order: each that lies further than radius from all kept before, till `most` are kept."""
-    kept: list[int] = []
-    grid: dict[tuple, list[int]] = {}
-    for i, (p, c) in enumerate(zip(points, np.floor(points / radius).astype(np.int64), strict=True)):
-        near = [j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) for j in grid.get((c[0] + dx, c[1] + dy, c[2] + dz), ())]
-        if near and (((points[near] - p) ** 2).sum(1) <= radius * radius).any():
-            continue
-        kept.append(i)
-        grid.setdefault(tuple(c), []).append(i)
-        if most and len(kept) == most:
-            break
-    return kept
-
-
-def similar_suppressed(vectors: np.ndarray, similar: Callable[[np.ndarray, np.ndarray], np.ndarray], last_only: bool = False) -> list[int]:
-    """Rows kept in input order: each that isn't similar to any kept before (last_only: to the last kept one)."""
-    kept: list[int] = []
-    for i in range(len(vectors)):
-        against = vectors[kept[-1:] if last_only else kept]
-        if not len(against) or not similar(against, vectors[i]).any():
-            kept.append(i)
-    return kept
-
-
-def farthest_points(points: np.ndarray, n: int, start: int = 0) -> list[int]:
-    """Indices of n points, each the farthest from those before; ties go to the first."""
-    kept = [start]
-    best = ((points - points[start]) ** 2).sum(1)
-    while len(kept) < min(n, len(points)):
-        kept.append(int(best.argmax()))
-        best = np.minimum(best, ((points - points[kept[-1]]) ** 2).sum(1))
-    return kept
-
-
-def voxel_clusters(cells: np.ndarray) -> np.ndarray:
-    """Labels of 26-connected voxels: the smallest row number of each cluster."""
-    at = {tuple(c): i for i, c in enumerate(cells.tolist())}
-    label = np.full(len(cells), -1)
-    for i in range(len(cells)):
-        todo = [i] if label[i] < 0 else []
-        while todo:
-            j = todo.pop()
-            if label[j] >= 0:
-                continue
-            label[j] = i
-            x, y, z = cells[j]
-            todo += [k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (k := at.get((x + dx, y + dy, z + dz))) is not None and label[k] < 0]
-    return label
-
-
-def density_clusters(points: np.ndarray, radius: float, least: int) -> np.ndarray:
-    """Density clusters (a core point has `least` points within radius, itself included): labels from 0, -1 for noise."""
-    d2 = lambda i: ((points - points[i]) ** 2).sum(1) <= radius * radius
-    near = [np.flatnonzero(d2(i)) for i in range(len(points))]
-    label, n = np.full(len(points), -1), 0
-    for i in range(len(points)):
-        if label[i] >= 0 or len(near[i]) < least:
-            continue
-        todo = [i]
-        while todo:
-            j = todo.pop()
-            if label[j] < 0:
-                label[j] = n
-                if len(near[j]) >= least:
-                    todo += near[j].tolist()
-        n += 1
-    return label
+from .components import connected_components
+from .robust import range_ranks
+from .spatial import XYZ
+
+
+SQUARE = lambda a, b: sum(((F.col(f"{a}{k}") - F.col(f"{b}{k}")) * (F.col(f"{a}{k}") - F.col(f"{b}{k}")) for k in XYZ), F.lit(0.0))
+
+
+def spread(points: DataFrame, unit: Sequence[str], order: Sequence[Column], radius: str | float, most: DataFrame | None = None) -> DataFrame:
+    """The points that are kept when those of a unit are met in order, each that lies further than `radius` from all kept
+    before, with seq, their number from 1. `radius` is a number or a column that is fixed per unit; `order` must tell the
+    points of a unit apart. most(unit, n): a unit stops at n points; units that it lacks are not bounded.
+
+    In rounds: the first undecided point of each small cell (in which all points are neighbours) is kept if no undecided
+    neighbour comes before it, and the neighbours of kept ones go. That keeps just what the walk in order does. A round
+    costs a semi and an anti join on cells twice the radius wide, into which only those first points are dealt, up to
+    eight times each; the number of rounds is that of the longest chain of ever later neighbours. Crowded cells are cheap:
+    whatever lies in one, it has one candidate, and all else there goes with it."""
+    unit = list(unit)
+    fixed = isinstance(radius, (int, float))
+    rows = cut(points.withColumns({"__k": F.struct(F.lit(0).alias("all"), *unit), "__o": F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]), "__r": F.lit(float(radius)) if fixed else F.col(radius).cast("double")}))
+    small, wide = [f"s{k}" for k in XYZ], [f"w{k}" for k in XYZ]
+    r = F.col("__r")
+    place = rows.select("__k", "__o", "__r", *[F.col(k).alias(f"p{k}") for k in XYZ])
+    # a little less than the widest cell whose diagonal is the radius
+    place = place.select("*", *[F.floor(F.col(f"p{k}") / (r * (0.999999 / 3**0.5))).alias(f"s{k}") for k in XYZ], *[F.floor(F.col(f"p{k}") / (2 * r)).alias(f"w{k}") for k in XYZ])
+
+    def dealt(heads: DataFrame) -> DataFrame:
+        """Heads in all wide cells that their neighbourhood touches."""
+        h = heads.select("__k", F.col("head.__o").alias("head"), *[F.col(f"head.p{k}").alias(f"h{k}") for k in XYZ], F.col("head.__r").alias("__r"))
+        for k in XYZ:
+            ends = [F.floor((F.col(f"h{k}") + side * r * 1.000001) / (2 * r)) for side in (-1, 1)]
+            h = h.withColumn(f"w{k}", F.explode(F.sequence(*ends)))
+        return h.drop("__r")
+
+    left, kept = cut(place), None
+    while not left.isEmpty():
+        heads = left.groupBy("__k", *small).agg(F.min(F.struct("__o", *[f"p{k}" for k in XYZ], "__r")).alias("head"))
+        heads = cut(heads.select("__k", "head"))
+        near = dealt(heads).alias("near")
+        same = lambda of: [F.col(f"near.{c}") == F.col(f"{of}.{c}") for c in ("__k", *wide)]
+        earlier = left.alias("q")
+        on = (SQUARE("q.p", "near.h") <= F.col("q.__r") * F.col("q.__r")) & (F.col("q.__o") < F.col("near.head"))
+        for c in same("q"):
+            on = c & on
+        beaten = near.join(earlier, on, "left_semi").select("__k", "head").distinct().withColumnRenamed("head", "beaten")
+        won = cut(heads.alias("h").join(beaten.alias("b"), (F.col("h.__k") == F.col("b.__k")) & (F.col("h.head.__o") == F.col("b.beaten")), "left_anti"))
+        reach = dealt(won).alias("near")
+        on = SQUARE("q.p", "near.h") <= F.col("q.__r") * F.col("q.__r")
+        for c in same("q"):
+            on = c & on
+        left = left.alias("q").join(reach, on, "left_anti")
+        kept = won.select("__k", F.col("head.__o").alias("__o")) if kept is None else kept.unionByName(won.select("__k", F.col("head.__o").alias("__o")))
+        left = cut(left)
+        if most is not None:
+            # units whose kept points before all undecided ones are enough are done
+            first = left.groupBy("__k").agg(F.min("__o").alias("first"))
+            full = kept.join(first, "__k").where("__o < first").groupBy("__k").agg(F.count(F.lit(1)).alias("have"))
+            limit = most.select(F.struct(F.lit(0).alias("all"), *unit).alias("__k"), "n")
+            left = cut(left.join(full.join(limit, "__k").where("have >= n"), "__k", "left_anti"))
+    if kept is None:
+        return points.withColumn("seq", F.lit(0).cast("long")).limit(0)
+    # range_ranks numbers a unit over many tasks
+    numbered = range_ranks(kept, ["__k"], "__o", "seq").withColumn("seq", (F.col("seq") + 1).cast("long"))
+    if most is not None:
+        limit = most.select(F.struct(F.lit(0).alias("all"), *unit).alias("__k"), "n")
+        numbered = numbered.join(limit, "__k", "left").where("n is null or seq <= n").drop("n")
+    return rows.join(numbered, ["__k", "__o"]).select(*points.columns, "seq")
+
+
+def farthest(points: DataFrame, unit: Sequence[str], order: str, n: int) -> DataFrame:
+    """Of each unit n points, with seq from 1: the first by `order`, then each time the one farthest from those before; ties go
+    to the first by `order`, which must tell the points of a unit apart. Points that lie on chosen ones come last.
+
+    All units take a step together: the points, in one table that stays as it is, meet the few chosen ones of their unit
+    and one aggregate, partial in each task, finds the next. No task holds a unit, and n is the number of passes."""
+    at = F.struct(*[F.col(k).cast("double").alias(k) for k in XYZ])
+    rows = cut(points.select(F.struct(F.lit(0).alias("all"), *unit).alias("__k"), F.col(order).alias("__o"), at.alias("__p")))
+    chosen = cut(rows.groupBy("__k").agg(F.min(F.struct("__o", "__p")).alias("c")).select("__k", F.array("c").alias("chosen")))
+    d2 = lambda a, b: sum(((a[k] - b[k]) * (a[k] - b[k]) for k in XYZ), F.lit(0.0))
+    for _ in range(n - 1):
+        met = rows.join(chosen, "__k").where(~F.exists("chosen", lambda c: c["__o"] == F.col("__o")))
+        met = met.withColumn("far", F.array_min(F.transform("chosen", lambda c: d2(c["__p"], F.col("__p")))))
+        # of equal distances the first in order: the larger distance first, then the smaller order
+        best = met.groupBy("__k").agg(F.min(F.struct((-F.col("far")).alias("near"), "__o", "__p")).alias("best"))
+        grown = F.when(F.col("best").isNull(), F.col("chosen")).otherwise(F.concat("chosen", F.array(F.struct("best.__o", "best.__p"))))
+        chosen = cut(chosen.join(best, "__k", "left").select("__k", grown.alias("chosen")))
+    picked = chosen.select("__k", F.posexplode("chosen").alias("seq", "c")).select("__k", F.col("c.__o").alias(order), (F.col("seq") + 1).cast("long").alias("seq"))
+    keyed = points.withColumn("__k", F.struct(F.lit(0).alias("all"), *unit))
+    return keyed.join(picked, ["__k", order]).select(*points.columns, "seq")
+
+
+def touching_cells(cells: DataFrame, unit: str, axes: Sequence[str]) -> DataFrame:
+    """cells(unit, axes as longs) -> (unit, axes, root): of each cell the smallest cell, by axes in order, of those that it is
+    connected to by steps to neighbours, diagonal ones too. Each cell asks for half of its neighbours, by a join."""
+    one = cells.select(unit, *axes).distinct()
+    cell = F.struct(unit, *axes)
+    ahead = [d for d in itertools.product((-1, 0, 1), repeat=len(axes)) if d > (0,) * len(axes)]
+    asked = one.select(cell.alias("u"), F.explode(F.array(*[F.struct(unit, *[(F.col(a) + d).alias(a) for a, d in zip(axes, step, strict=True)]) for step in ahead])).alias("v"))
+    edges = asked.join(one.select(cell.alias("v")), "v")
+    found = connected_components(edges.select("u", "v"))
+    return one.select(cell.alias("node")).join(found, "node", "left").select("node.*", F.coalesce("root", "node").alias("root"))
+
+
+def density_clusters(pixels: DataFrame, unit: str, radius: float, least: int) -> DataFrame:
+    """pixels(unit, px, py) -> (unit, px, py, cluster): clusters by density. A pixel with `least` pixels within the radius,
+    itself included, is a core; cores within the radius of each other share a cluster, and other pixels within the radius
+    of a core join that of its smallest cluster. cluster is the smallest core, by (px, py); noise has no row. Repeated
+    pixels count once.
+
+    Pairs come from cells as wide as the radius; pixels have whole coordinates, so a cell holds radius ** 2 of them at most
+    and all joins grow with the pixels. Cores that share a cell half as wide (whose diagonal is under the radius) are one
+    node of the graph whose components are the clusters."""
+    p = cut(pixels.select(unit, F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py")).distinct())
+    grid = lambda k: F.floor(F.col(k) / F.lit(float(radius)))
+    own = p.select("*", grid("px").alias("ci"), grid("py").alias("cj"))
+    far = own.select(unit, F.col("px").alias("qx"), F.col("py").alias("qy"), "ci", "cj")
+    for c in ("ci", "cj"):
+        far = far.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
+    d2 = (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy"))
+    pairs = cut(own.join(far, [unit, "ci", "cj"]).where(d2 <= radius * radius).select(unit, "px", "py", "qx", "qy"))
+    cores = cut(pairs.groupBy(unit, "px", "py").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(unit, "px", "py"))
+    of = cores.select(unit, F.col("px").alias("qx"), F.col("py").alias("qy"))
+    near_core = pairs.join(of, [unit, "qx", "qy"], "left_semi")
+    part = lambda x, y: F.struct(unit, *[F.floor(F.col(k) / (radius / 2)).alias(n) for k, n in ((x, "i"), (y, "j"))])
+    links = near_core.join(cores, [unit, "px", "py"], "left_semi").select(part("px", "py").alias("u"), part("qx", "qy").alias("v"))
+    roots = connected_components(links)
+    held = cores.withColumn("node", part("px", "py")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = held.groupBy("root").agg(F.min(F.struct("px", "py")).alias("cluster"))
+    held = cut(held.join(named, "root").select(unit, F.col("px").alias("qx"), F.col("py").alias("qy"), "cluster"))
+    inner = held.select(unit, F.col("qx").alias("px"), F.col("qy").alias("py"), "cluster")
+    border = near_core.join(cores, [unit, "px", "py"], "left_anti").join(held, [unit, "qx", "qy"]).groupBy(unit, "px", "py").agg(F.min("cluster").alias("cluster"))
+    return inner.unionByName(border)
 
 
 def closest_first(pairs: DataFrame, unit: str) -> DataFrame:
@@ -100,23 +164,9 @@ def closest_first(pairs: DataFrame, unit: str) -> DataFrame:
     return left.select(unit, "dist", "a", "b") if taken is None else taken
 
 
-def per_group(df: DataFrame, keys: list[str], order: list[str], choose: Callable[[pd.DataFrame], list[int]]) -> DataFrame:
-    """Rows that `choose` keeps of each group, put in order first; the new column seq counts them from 1."""
-    by = [o.lstrip("-") for o in order]
-    up = [not o.startswith("-") for o in order]
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(by, ascending=up, kind="stable").reset_index(drop=True)
-        kept = g.iloc[choose(g)].copy()
-        kept["seq"] = np.arange(1, len(kept) + 1)
-        return kept
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", seq long"
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
 def suppressed(df: DataFrame, key: str, order: list[Column], vectors: Callable[[pd.DataFrame], np.ndarray], similar: Callable[[np.ndarray, np.ndarray], np.ndarray], last_only: bool = False, block: int = 256) -> DataFrame:
-    """Rows of each group that similar_suppressed keeps of all its rows, with seq. Rows come in order and are met in blocks:
+    """Rows of each group that are kept when they are met in order, each that isn't similar to any kept before (last_only: to
+    the last kept one), with seq. Rows come in order and are met in blocks:
     a task holds a block and the vectors kept so far, however large a group is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,3 +205,25 @@ def suppressed(df: DataFrame, key: str, order: list[Column], vectors: Callable[[
 def hash_order(*columns: str, seed: int = 0):
     """A key of random order that any engine can repeat: md5 of the seed and the columns."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
+
+
+def sample_rows(df: DataFrame, columns: Sequence[str], size: DataFrame, seed: int = 0) -> DataFrame:
+    """n rows of df, those that come first by hash_order of the columns (then by the columns); n is the only value of the
+    one-row table `size`. The columns should tell rows apart: of rows that are equal in them some are taken.
+
+    Hashes are even, so all that can be among the first n lies below a bound that is known from n and the number of rows,
+    six standard deviations and more; only rows below it are ranked, over ranges. No limit runs in one task."""
+    rows = df.withColumn("__h", hash_order(*columns, seed=seed))
+    total, n = df.select(F.count(F.lit(1)).alias("total")).join(size.toDF("n")).first()
+    n, spare = min(n or 0, total), 6.0
+    if n <= 0:
+        return df.limit(0)
+    first = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    while True:
+        bound = (n + spare * n**0.5 + spare) / total
+        some = cut(rows.where(first < bound)) if bound < 1 else rows
+        if bound >= 1 or some.count() >= n:
+            break
+        spare *= 4
+    some = some.withColumn("__o", F.struct("__h", *columns))
+    return range_ranks(some, [], "__o", "__rank").where(F.col("__rank") < n).select(*df.columns)

@@ -87,31 +87,70 @@ def prf(tp_a: Column, n_a: Column, tp_b: Column, n_b: Column) -> tuple[Column, C
     return p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
-def nearest(queries: DataFrame, targets: DataFrame, unit: str, first_radius: float = 4.0) -> DataFrame:
+def square_to(q: str, t: str) -> Column:
+    return sum(((F.col(f"{q}{k}") - F.col(f"{t}{k}")) * (F.col(f"{q}{k}") - F.col(f"{t}{k}")) for k in XYZ), F.lit(0.0))
+
+
+def cell_widths(queries: DataFrame, targets: DataFrame, crowded: float = 4.0) -> DataFrame:
+    """queries(u, q, qx, qy, qz), targets(u, pid, x, y, z) -> (u, w, size) of units with targets: a cell's width and the
+    diagonal of the box around all its points.
+
+    A cell of the width holds one target on the mean, were they even; where they are crowded (the targets that queries
+    find in their own cells are more than `crowded` for each query) the unit's width is halved, until they aren't. A flat
+    box counts by the axes along which it has a size."""
+    ends = [f(k).alias(f"{n}{k}") for k in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
+    box = targets.groupBy("u").agg(F.count(F.lit(1)).alias("n"), *ends)
+    around_all = queries.select("u", *[F.col(f"q{k}").alias(k) for k in XYZ]).unionByName(targets.select("u", *XYZ)).groupBy("u").agg(*[(F.max(k) - F.min(k)).alias(f"s{k}") for k in XYZ])
+    span = F.array(*[F.col(f"hi{k}") - F.col(f"lo{k}") for k in XYZ])
+    wide = F.filter(span, lambda s: s > 1e-9 * F.array_max(span))
+    mean = F.exp((F.aggregate(wide, F.lit(0.0), lambda a, s: a + F.log(s)) - F.log("n")) / F.size(wide))
+    size = F.sqrt(sum((F.col(f"s{k}") * F.col(f"s{k}") for k in XYZ), F.lit(0.0)))
+    w = box.join(around_all, "u").select("u", F.when(F.array_max(span) > 0, mean).otherwise(F.greatest(size, F.lit(1e-9))).alias("w"), size.alias("size"))
+    w = cut(w)
+    least = F.greatest(F.col("size") * 1e-9, F.lit(1e-12))
+    while True:
+        cell = lambda p: [F.floor(F.col(f"{p}{k}") / F.col("w")).alias(f"c{k}") for k in XYZ]
+        keys = ["u", "cx", "cy", "cz"]
+        there = targets.join(w, "u").select("u", *cell("")).groupBy(*keys).agg(F.count(F.lit(1)).alias("nt"))
+        asking = queries.join(w, "u").select("u", *cell("q")).groupBy(*keys).agg(F.count(F.lit(1)).alias("nq"))
+        met = asking.join(there, keys).groupBy("u").agg(F.sum(F.col("nt").cast("double") * F.col("nq")).alias("met"))
+        n = asking.groupBy("u").agg(F.sum("nq").alias("nq"))
+        dense = cut(w.join(met, "u").join(n, "u").where((F.col("met") > crowded * F.col("nq")) & (F.col("w") > least)).select("u"))
+        if dense.isEmpty():
+            return w
+        w = cut(w.join(dense.withColumn("dense", F.lit(True)), "u", "left").select("u", F.when(F.col("dense"), F.col("w") / 2).otherwise(F.col("w")).alias("w"), "size"))
+
+
+def nearest(queries: DataFrame, targets: DataFrame, unit: str) -> DataFrame:
     """(unit, pid, dist): for each query point the distance to the nearest other target of its unit, null if there is
     none. Targets with the query's own pid don't count; pid must tell the queries of a unit apart.
 
-    A radius join with the minimum taken per query finds most; what it leaves goes into the next round at twice the
-    radius, until the radius covers the targets' and queries' common box. From the second round on queries meet the boxes
-    of small cells first, and then only the points of those boxes that can hold the nearest one. No group is gathered."""
+    Cells are as wide as a unit's targets are dense (cell_widths), so that a query meets some tens of them at most in its own
+    cell and those around it. What has none within a cell's width goes into the next round at twice the width, until that
+    covers the unit; from the second round on queries meet the boxes of small cells first, and then only the points of
+    those boxes that can hold the nearest one. No group is gathered, and targets at one place count as two at most."""
     q = cut(queries.select(F.col(unit).alias("u"), F.col("pid").alias("q"), *[F.col(k).alias(f"q{k}") for k in XYZ]))
-    t = cut(targets.select(F.col(unit).alias("u"), "pid", *XYZ))
-    box = q.select("u", *[F.col(f"q{k}").alias(k) for k in XYZ]).unionByName(t.select("u", *XYZ)).agg(*[(F.max(k) - F.min(k)) for k in XYZ]).first()
-    size = sum((x or 0.0) ** 2 for x in box) ** 0.5
-    r, left, found = first_radius, q, None
+    ends = [F.min("pid").alias("a"), F.max("pid").alias("b")]
+    t = targets.groupBy(F.col(unit).alias("u"), *XYZ).agg(*ends).select("u", *XYZ, F.explode(F.array_distinct(F.array("a", "b"))).alias("pid"))
+    t = cut(t.select("u", "pid", *XYZ))
+    widths = cell_widths(q, t)
+    left, found, first = q.join(widths, "u", "left").withColumn("dist", F.lit(None).cast("double")), None, True
+    out = left.where("w is null").drop("w", "size")
+    left = left.where("w is not null")
     while True:
-        r = min(r, size + 1e-9)
-        met = points_in_reach(left, t, r) if found is None else points_in_near_boxes(left, t, r)
-        d2 = sum(((F.col(k) - F.col(f"q{k}")) * (F.col(k) - F.col(f"q{k}")) for k in XYZ), F.lit(0.0))
-        met = met.where(F.col("pid") != F.col("q")).withColumn("d2", d2).where(F.col("d2") <= r * r)
-        done = cut(met.groupBy("u", "q").agg(F.sqrt(F.min("d2")).alias("dist")))
-        found = done if found is None else found.unionByName(done)
-        left = cut(left.join(done.select("u", "q"), ["u", "q"], "left_anti"))
-        if r > size or left.isEmpty():
+        met = points_in_reach(left, t) if first else points_in_near_boxes(left, t)
+        d2 = square_to("q", "")
+        met = met.where(F.col("pid") != F.col("q")).withColumn("d2", d2).where(F.col("d2") <= F.col("w") * F.col("w"))
+        near = met.groupBy("u", "q").agg(F.sqrt(F.min("d2")).alias("dist"))
+        # who has met all of its unit is done, too
+        done = cut(left.drop("dist").join(near, ["u", "q"], "left"))
+        over = F.col("dist").isNotNull() | (F.col("w") > F.col("size"))
+        out = out.unionByName(done.where(over).drop("w", "size"))
+        left = done.where(~over).withColumn("w", F.least(2 * F.col("w"), F.col("size") * (1 + 1e-9) + 1e-12))
+        if left.isEmpty():
             break
-        r *= 2
-    found = found.unionByName(left.select("u", "q", F.lit(None).cast("double").alias("dist")))
-    return found.select(F.col("u").alias(unit), F.col("q").alias("pid"), "dist")
+        first = False
+    return out.select(F.col("u").alias(unit), F.col("q").alias("pid"), "dist")
 
 
 def around(df: DataFrame, cells: Sequence[str]) -> DataFrame:
@@ -121,19 +160,25 @@ def around(df: DataFrame, cells: Sequence[str]) -> DataFrame:
     return df
 
 
-def points_in_reach(queries: DataFrame, targets: DataFrame, r: float) -> DataFrame:
-    """queries(u, q, qx, qy, qz), targets(u, pid, x, y, z) -> pairs in neighbouring cells of size r."""
+def widths_of(queries: DataFrame) -> DataFrame:
+    return queries.select("u", "w").distinct()
+
+
+def points_in_reach(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """queries(u, q, qx, qy, qz, w), targets(u, pid, x, y, z) -> pairs in neighbouring cells of the width w, fixed per unit."""
     cells = [f"c{k}" for k in XYZ]
-    near = around(targets.select("*", *[F.floor(F.col(k) / F.lit(r)).alias(f"c{k}") for k in XYZ]), cells)
-    return queries.select("*", *[F.floor(F.col(f"q{k}") / F.lit(r)).alias(f"c{k}") for k in XYZ]).join(near, ["u", *cells])
+    own = targets.join(widths_of(queries), "u")
+    own = own.select(*targets.columns, *[F.floor(F.col(k) / F.col("w")).alias(f"c{k}") for k in XYZ])
+    near = around(queries.select("*", *[F.floor(F.col(f"q{k}") / F.col("w")).alias(f"c{k}") for k in XYZ]), cells)
+    return near.join(own, ["u", *cells])
 
 
-def points_in_near_boxes(queries: DataFrame, targets: DataFrame, r: float) -> DataFrame:
+def points_in_near_boxes(queries: DataFrame, targets: DataFrame) -> DataFrame:
     """The same pairs without targets that can't be the nearest: a quarter-cell's box of targets counts only if it begins no
     farther away than the box with the nearest end ends."""
     cells, fine = [f"c{k}" for k in XYZ], [f"f{k}" for k in XYZ]
-    part = lambda k: F.floor(F.col(k) / F.lit(r / 4))
-    t = targets.select("*", *[part(k).alias(f"f{k}") for k in XYZ])
+    part = lambda k: F.floor(F.col(k) / (F.col("w") / 4))
+    t = targets.join(widths_of(queries), "u").select(*targets.columns, *[part(k).alias(f"f{k}") for k in XYZ])
     ends = [f(k).alias(f"{n}{k}") for k in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
     boxes = t.groupBy("u", *fine).agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("one"), *ends)
     boxes = around(boxes.select("*", *[F.floor(F.col(f"f{k}") / 4).alias(f"c{k}") for k in XYZ]), cells)

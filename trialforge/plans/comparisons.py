@@ -159,10 +159,11 @@ def visible_views(spark, d):
     return v.where(F.col("seen") > 0.1 * F.col("rays"))
 
 
-@query("select object, load_case, method, seq from ok order by md5('11|' || cast(seq as varchar)), seq limit 300", **V)
+@query("select object, load_case, method, seq from ok order by md5('11|' || cast(seq as varchar)), seq limit (select count(*) // 3 from ok)", **V)
 def subsample_total(spark, d):
-    """300 rows of all groups together, in random order that doesn't change."""
-    return ok(spark, d).orderBy(K.hash_order("seq", seed=11), "seq").limit(300).select(*UNIT, "method", "seq")
+    """A third of all rows of all groups together, in random order that doesn't change."""
+    rows = ok(spark, d).select(*UNIT, "method", "seq")
+    return K.sample_rows(rows, ["seq"], rows.agg(F.floor(F.count(F.lit(1)) / 3).alias("n")), seed=11)
 
 
 @query("select model, prompt, view_type, k, round(avg(precision), 6) as mean, round(stddev_samp(precision), 6) as sd, count(precision) as n from grid group by 1, 2, 3, 4", **GRIDS)
@@ -192,13 +193,20 @@ def with_p(df: DataFrame) -> DataFrame:
 
 # the error function's power series, good to six digits up to 4; beyond that the rest is below what is kept
 ERF = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda n: (1 - 2 * (n % 2)) * exp((2 * n + 1) * ln(greatest(x, 1e-12)) - lgamma(n + 1)) / (2 * n + 1)))"
-SIGNED = """select method, count(*) as n, sum(case when d > 0 then r else 0 end) as w_plus, any_value(tt) as tt from (select *, rank() over (partition by method order by abs(d)) + (count(*) over (partition by method, abs(d)) - 1) / 2.0 as r from pairs where d <> 0)
-    join (select method, sum(c * c * c - c) as tt from (select method, abs(d), count(*) as c from pairs where d <> 0 group by 1, 2) group by 1) using (method) group by 1"""
-SCORES = f"select *, case when x > 4 then 1 else {ERF} end as e from (select *, abs(z) / sqrt(2) as x from (select *, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0) as z from signed where n > 50))"
-
-
-@query("select method, n, round(z, 6) as z, round(1 - e, 6) as p_two, round(case when z < 0 then (1 - e) / 2 else (1 + e) / 2 end, 6) as p_less, round(case when z > 0 then (1 - e) / 2 else (1 + e) / 2 end, 6) as p_greater from scores", **F1, pairs=PAIRS, signed=SIGNED, scores=SCORES)
+SIGNED = """select method, load_case, count(*) as n, sum(case when d > 0 then r else 0 end) as w_plus, any_value(tt) as tt from (select *, rank() over (partition by method, load_case order by abs(d)) + (count(*) over (partition by method, load_case, abs(d)) - 1) / 2.0 as r from pairs where d <> 0)
+    join (select method, load_case, sum(c * c * c - c) as tt from (select method, load_case, abs(d), count(*) as c from pairs where d <> 0 group by 1, 2, 3) group by 1, 2) using (method, load_case) group by 1, 2"""
+SCORES = f"select *, case when x > 4 then 1 else {ERF} end as e from (select *, abs(z) / sqrt(2) as x from (select *, (w_plus - n * (n + 1) / 4.0) / sqrt(nullif(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0, 0)) as z from signed))"
+# in how many of the 2 ** n ways of signs the ranks with a plus add up to each sum
+WAYS = "select 0 as n, [1::bigint] as w union all select n + 1, list_transform(range(0, (n + 1) * (n + 2) // 2 + 1), lambda s: coalesce(w[s + 1], 0) + case when s > n then coalesce(w[s - n], 0) else 0 end) from ways where n < 50"
+EXACT = "select s.*, list_sum(w[1:cast(w_plus as bigint) + 1]) / pow(2, s.n) as low, list_sum(w[cast(w_plus as bigint) + 1:]) / pow(2, s.n) as high from scores s left join ways on ways.n = s.n and s.tt = 0"
+
+
+@query(
+    "select method, load_case, n, round(z, 6) as z, round(case when low is not null then least(1, 2 * least(low, high)) else 1 - e end, 6) as p_two, round(case when low is not null then low when z < 0 then (1 - e) / 2 else (1 + e) / 2 end, 6) as p_less, "
+    "round(case when low is not null then high when z > 0 then (1 - e) / 2 else (1 + e) / 2 end, 6) as p_greater from exact",
+    True, **F1, pairs=PAIRS, signed=SIGNED, scores=SCORES, ways=WAYS, exact=EXACT,
+)
 def signed_rank_p(spark, d):
-    """p of the paired tests with over 50 units, by the normal distribution (fewer units are exact and in the tests)."""
-    r = with_p(R.signed_rank(pairs(spark, d), ["method"]).where("n > 50"))
-    return r.select("method", "n", *[r6(F.col(c), c) for c in ("z", "p_two", "p_less", "p_greater")])
+    """p of the paired tests of each load case: exact for 50 units or fewer without ties, else by the normal distribution."""
+    r = with_p(R.signed_rank(cut(pairs(spark, d).select("method", "load_case", "d")), ["method", "load_case"]))
+    return r.select("method", "load_case", "n", *[r6(F.col(c), c) for c in ("z", "p_two", "p_less", "p_greater")])

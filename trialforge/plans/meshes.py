@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import ranges as O
 from ..operators import robust as R
 from ..operators import spatial as S
 from ..sources.tables import cut
@@ -241,17 +242,24 @@ def edge_samples(spark, d):
     return points.groupBy("object").agg(F.count(F.lit(1)).alias("samples"))
 
 
-CHANCE = "cast(cast('0x' || substr(md5(cast(face as varchar) || '|' || cast(k as varchar) || '|{}'), 1, 7) as bigint) as double) / 268435456"
-AREAS = "select *, sqrt(pow((b_y - a_y) * (c_z - a_z) - (b_z - a_z) * (c_y - a_y), 2) + pow((b_z - a_z) * (c_x - a_x) - (b_x - a_x) * (c_z - a_z), 2) + pow((b_x - a_x) * (c_y - a_y) - (b_y - a_y) * (c_x - a_x), 2)) / 2 as area from corner"
-DRAWN = f"select *, sqrt({CHANCE.format(1)}) as r, {CHANCE.format(2)} as t from (select *, unnest(range(1, cast(ceil(area / 0.25) as bigint) + 1)) as k from areas)"
+CHANCE = "cast(cast('0x' || substr(md5(cast(object as varchar) || '|' || cast(k as varchar) || '|{}'), 1, 7) as bigint) as double) / 268435456"
+AREAS = "select *, cast(floor(sqrt(pow((b_y - a_y) * (c_z - a_z) - (b_z - a_z) * (c_y - a_y), 2) + pow((b_z - a_z) * (c_x - a_x) - (b_x - a_x) * (c_z - a_z), 2) + pow((b_x - a_x) * (c_y - a_y) - (b_y - a_y) * (c_x - a_x), 2)) / 2 * 1000000) as bigint) as units from corner where face in (select unnest([f1, f2]) from hinges where cosine < cos(radians(1)) and cosine >= cos(radians(5)) and inward > 0)"
+LAID = "select *, sum(units) over (partition by object order by face) - units as start, sum(units) over (partition by object) as total from areas"
+DRAWN = f"select object, k, cast(floor({CHANCE.format(0)} * total) as bigint) as place, sqrt({CHANCE.format(1)}) as r, {CHANCE.format(2)} as t from (select object, total, unnest(range(0, cast(ceil(total / 250000.0e0) as bigint))) as k from (select object, max(total) as total from laid group by 1))"
 
 
-@query("select object, face, k, " + ", ".join(f"round((1 - r) * a_{x} + r * (1 - t) * b_{x} + r * t * c_{x}, 6) as {x}" for x in "xyz") + " from drawn", **M1, corner=CORNER, areas=AREAS, drawn=DRAWN)
+@query("select d.object, face, k, " + ", ".join(f"round((1 - r) * a_{x} + r * (1 - t) * b_{x} + r * t * c_{x}, 6) as {x}" for x in "xyz") + " from drawn d join laid l on l.object = d.object and d.place >= l.start and d.place < l.start + l.units", **N1, areas=AREAS, laid=LAID, drawn=DRAWN)
 def area_samples(spark, d):
-    """Random points on triangles, ceil(area / spacing ** 2) each, by barycentric weights from a seeded hash of the face."""
-    t = with_normals(triangles(spark, d))
-    g = t.select("object", "face", "pa", "pb", "pc", F.explode(F.sequence(F.lit(1), F.ceil(F.col("area2") / 2 / 0.25).cast("int"))).alias("k"))
-    u = lambda seed: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("face").cast("string"), F.col("k").cast("string"), F.lit(str(seed))).cast("binary")), 1, 7), 16, 10).cast("double") / float(1 << 28)
-    r = g.withColumn("r", F.sqrt(u(1))).withColumn("t", u(2))
+    """Random points on an object's concave faces: ceil(area / spacing ** 2) draws, which fall on faces by their areas, at
+    barycentric weights; all chances are seeded hashes of the draw. Areas count in millionths, as whole numbers."""
+    h = hinges(spark, d).where(angle(1.0, 5.0) & (F.col("inward") > 0))
+    concave = h.select("object", F.explode(F.array("f1", "f2")).alias("face")).distinct()
+    t = with_normals(triangles(spark, d)).join(concave, ["object", "face"], "left_semi")
+    t = cut(t.select("object", "face", "pa", "pb", "pc", F.floor(F.col("area2") / 2 * 1000000).cast("long").alias("units")))
+    total = t.groupBy("object").agg(F.sum("units").alias("total"))
+    k = total.where("total > 0").select("object", "total", F.explode(F.sequence(F.lit(0), F.ceil(F.col("total") / 250000.0).cast("int") - 1)).alias("k"))
+    u = lambda seed: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("object").cast("string"), F.col("k").cast("string"), F.lit(str(seed))).cast("binary")), 1, 7), 16, 10).cast("double") / float(1 << 28)
+    draws = k.select("object", F.col("k").cast("long").alias("k"), F.floor(u(0) * F.col("total")).cast("long").alias("place"), F.sqrt(u(1)).alias("r"), u(2).alias("t"))
+    r = O.items_at(draws, t.select("object", "face", "units"), ["object"], "face", "units").join(t, ["object", "face"])
     w = {"a": 1 - F.col("r"), "b": F.col("r") * (1 - F.col("t")), "c": F.col("r") * F.col("t")}
-    return r.select("object", "face", F.col("k").cast("long").alias("k"), *[F.round(sum((w[q] * F.col(f"p{q}")[n] for q in "abc"), F.lit(0.0)), 6).alias("xyz"[n]) for n in range(3)])
+    return r.select("object", "face", "k", *[F.round(sum((w[q] * F.col(f"p{q}")[n] for q in "abc"), F.lit(0.0)), 6).alias("xyz"[n]) for n in range(3)])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranges as O
 from ..operators import robust as R
 from ..operators import select as K
 from ..operators import spatial as S
@@ -88,8 +88,8 @@ COUNTS = f"""select grp, unit, count(*) as n_a, count(*) filter (where exists (s
 def match_counts(spark, d) -> DataFrame:
     """(grp, unit, n_a, m_a, n_g, m_g): anchors, those that match, hot points, those that are matched. Groups without a
     match stay."""
-    p = points(spark, d)
-    gt, a = truth(p), anchors(p)
+    p = cut(points(spark, d).select("pid", "grp", "unit", "x", "y", "z", "val", "r"))
+    gt, a = cut(truth(p)), anchors(p)
     count = lambda df, keys, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     found_a = S.within_radius(a, gt, ["unit"], "r")
     # each group asks for all hot points of its unit, so hot points are dealt per group first
@@ -154,15 +154,24 @@ def nn_spacing(spark, d):
     return s.join(least, "unit").select("unit", r6(F.when(F.col("n") < 2, 0.01 * F.col("diagonal")).otherwise(F.greatest("s", 0.001 * F.col("diagonal"))), "spacing"))
 
 
-PITCH = 2160  # of the layers, in seconds of the day
+LAYERS = "select unit, bin as layer, avg(y) as y from (select unit, y, cast(floor(y / 7.3) as bigint) as bin from points where grp = 'error') group by 1, 2"
 
 
-@query("select pid, cast(floor((s + 1079) / 2160) as bigint) as layer, round(abs(s / 864.0e0 - 2.5 * floor((s + 1079) / 2160)), 6) as gap from (select event_id as pid, cast(floor(epoch(ts)) as bigint) % 86400 as s from events)")
+@query("select pid, arg_min(layer, struct_pack(gap := gap, layer := layer)) as layer, round(min(gap), 6) as gap from (select p.pid, l.layer, abs(p.y - l.y) as gap from points p join layers l using (unit)) group by 1", **P, layers=LAYERS)
 def nearest_layer(spark, d):
-    """Layers lie at a known pitch, so the nearest one is arithmetic on whole numbers; of two as near it is the first."""
-    s = F.round(F.col("y") * 864).cast("long")
-    layer = F.floor((s + (PITCH // 2 - 1)) / PITCH)
-    return points(spark, d).select("pid", layer.cast("long").alias("layer"), r6(F.abs(F.col("y") - PITCH / 864 * layer), "gap"))
+    """The nearest of each unit's layers, which lie at the mean heights of its hot points' bins: at no fixed pitch."""
+    p = points(spark, d)
+    layers = p.where("grp = 'error'").groupBy("unit", F.floor(F.col("y") / 7.3).cast("long").alias("layer")).agg(F.avg("y").alias("y"))
+    return O.nearest_key(p.select("pid", "unit", "y"), layers, ["unit"], "y", "layer").select("pid", "layer", r6(F.col("gap"), "gap"))
+
+
+@query("select pid, arg_min(layer, struct_pack(gap := gap, layer := layer)) as layer, min(gap) as gap from (select p.pid, l.layer, abs(p.s - l.s) as gap from (select event_id as pid, cast(floor(epoch(ts)) as bigint) % 86400 as s from events) p cross join (select layer, 2160 * layer + 360 * (layer % 3) as s from range(0, 41) t(layer)) l) group by 1")
+def nearest_step(spark, d):
+    """The nearest of 41 uneven steps in seconds of the day, for all points as one group: whole numbers, so that many points
+    lie half way between two steps and get the first."""
+    p = points(spark, d).select("pid", F.round(F.col("y") * 864).cast("long").alias("s"))
+    steps = spark.range(41).select(F.col("id").alias("layer"), (2160 * F.col("id") + 360 * (F.col("id") % 3)).alias("s"))
+    return O.nearest_key(p, steps, [], "s", "layer").select("pid", "layer", "gap")
 
 
 @query("select unit, layer, count(*) as area, round(avg(x), 6) as cx, round(avg(z), 6) as cz, round(var_pop(z) * count(*), 4) as iz, round((var_pop(x) + var_pop(z)) * count(*), 4) as j from (select *, cast(floor(y / 10) as bigint) as layer from points) group by 1, 2", **P)
@@ -270,29 +279,38 @@ def contrast_gamma(spark, d):
     return scores.groupBy("metric").agg(r6(F.max_by("g", "score"), "gamma"), r6(F.max("score"), "score"))
 
 
-def greedy_sql(order: str, near: str, most: int | None = None) -> dict[str, str]:
-    """Views that walk through each object's points in order and keep those that none kept before is near."""
-    full = f"len(w.kept) >= {most} or " if most else ""
+def greedy_sql(order: str, near: str, most: bool = False) -> dict[str, str]:
+    """Views that walk through each object's points in order and keep those that none kept before is near; with `most`, till
+    as many are kept as the view targets has for the object (300 where it has none)."""
+    full = "len(w.kept) >= o.most or " if most else ""
     point = "{'pid': o.pid, 'x': o.x, 'y': o.y, 'z': o.z, 'val': o.val}"
     walk = f"select object, place, [{point}] as kept from ordered o where place = 1 union all select w.object, o.place, case when {full}len(list_filter(w.kept, lambda k: {near})) > 0 then w.kept else list_append(w.kept, {point}) end from walk w join ordered o on o.object = w.object and o.place = w.place + 1"
-    return {"ordered": f"select *, row_number() over (partition by object order by {order}) as place from objects", "walk": walk, "ends": "select object, arg_max(kept, place) as kept from walk group by 1", "chosen": "select object, unnest(kept) as k, unnest(range(1, len(kept) + 1)) as seq from ends"}
+    ordered = f"select *, row_number() over (partition by object order by {order}) as place from objects"
+    if most:
+        ordered = f"select o.*, coalesce(n, 300) as most, row_number() over (partition by object order by {order}) as place from objects o left join targets using (object)"
+    return {"ordered": ordered, "walk": walk, "ends": "select object, arg_max(kept, place) as kept from walk group by 1", "chosen": "select object, unnest(kept) as k, unnest(range(1, len(kept) + 1)) as seq from ends"}
 
 
 OBJECTS = {"objects": POINTS.replace("select event_id as pid", "select user_id as object, event_id as pid")}
+TARGETS = "select object, cast(floor(quantile_cont(n, 0.5)) as bigint) as n from (select object, grp, count(*) as n from objects where grp <> 'error' group by 1, 2) group by 1"
 WITHIN = "(k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y) + (k.z - o.z) * (k.z - o.z) <= {}"
 
 
 @query("select object, k.pid as pid, k.x as x, k.y as y, k.z as z, seq from chosen", True, **OBJECTS, **greedy_sql("pid", WITHIN.format(25)))
 def density_thinning(spark, d):
-    """By object: what a task orders is one object's points."""
-    p = points(spark, d).select("object", "pid", "x", "y", "z")
-    return K.per_group(p, ["object"], ["pid"], lambda g: K.greedy_spread(g[["x", "y", "z"]].to_numpy(), 5.0))
+    """Each object's points in input order, without those near one that is kept."""
+    return K.spread(points(spark, d).select("object", "pid", "x", "y", "z"), ["object"], [F.col("pid")], 5.0)
 
 
-@query("select object, k.pid as pid, k.x as x, k.y as y, k.z as z, k.val as val, seq from chosen", True, **OBJECTS, **greedy_sql("val desc, pid", WITHIN.format(64), 50))
+@query("select object, k.pid as pid, k.x as x, k.y as y, k.z as z, k.val as val, seq from chosen", True, **OBJECTS, targets=TARGETS, **greedy_sql("val desc, pid", WITHIN.format(64), True))
 def spread_selection(spark, d):
-    p = points(spark, d).select("object", "pid", "x", "y", "z", "val")
-    return K.per_group(p, ["object"], ["-val", "pid"], lambda g: K.greedy_spread(g[["x", "y", "z"]].to_numpy(), 8.0, 50))
+    """The hottest points of each object at a distance from each other, as many as the median number of anchors that the
+    object's kinds of anchors have; 300 where it has none."""
+    p = points(spark, d).select("object", "grp", "pid", "x", "y", "z", "val")
+    counts = anchors(p).groupBy("object", "grp").agg(F.count(F.lit(1)).alias("c"))
+    n = R.quantiles(counts, ["object"], "c", {"m": 0.5}).select("object", F.floor("m").cast("long").alias("n"))
+    n = p.select("object").distinct().join(n, "object", "left").select("object", F.coalesce("n", F.lit(300)).alias("n"))
+    return K.spread(p.drop("grp"), ["object"], [-F.col("val"), F.col("pid")], 8.0, n)
 
 
 FAR = "(p[{0}].x - {1}.x) * (p[{0}].x - {1}.x) + (p[{0}].y - {1}.y) * (p[{0}].y - {1}.y) + (p[{0}].z - {1}.z) * (p[{0}].z - {1}.z)"
@@ -306,7 +324,7 @@ FARTHEST = {
 @query("select object, p[c].pid as pid, p[c].x as x, p[c].y as y, p[c].z as z, seq from (select object, p, unnest(chosen) as c, unnest(range(1, len(chosen) + 1)) as seq from ends)", True, **OBJECTS, **FARTHEST)
 def farthest_points(spark, d):
     hot = points(spark, d).where("val > 50").select("object", "pid", "x", "y", "z")
-    return K.per_group(hot, ["object"], ["pid"], lambda g: K.farthest_points(g[["x", "y", "z"]].to_numpy(), 20))
+    return K.farthest(hot, ["object"], "pid", 20)
 
 
 VOXELS = {
@@ -324,13 +342,9 @@ def voxel_clusters(spark, d):
     hot = points(spark, d).where("val > 100").select("unit", *[F.floor(F.col(k) / 12.5).cast("long").alias(v) for k, v in zip("xyz", "ijk", strict=True)], "x", "y", "z")
     cells = hot.groupBy("unit", "i", "j", "k").agg(F.count(F.lit(1)).alias("n"), *[F.sum(a).alias(f"s{a}") for a in "xyz"])
 
-    def label(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["i", "j", "k"]).reset_index(drop=True)
-        return g.assign(root=K.voxel_clusters(g[["i", "j", "k"]].to_numpy()))
-
-    # at most 9 x 8 x 8 voxels per unit
-    schema = "unit long, i long, j long, k long, n long, sx double, sy double, sz double, root long"
-    clusters = cells.groupBy("unit").applyInPandas(label, schema).groupBy("unit", "root").agg(F.sum("n").alias("points"), F.count(F.lit(1)).alias("voxels"), *[r6(F.sum(f"s{a}") / F.sum("n"), f"c{a}") for a in "xyz"])
+    cells = cut(cells)
+    parts = K.touching_cells(cells, "unit", ["i", "j", "k"])
+    clusters = cells.join(parts, ["unit", "i", "j", "k"]).groupBy("unit", "root").agg(F.sum("n").alias("points"), F.count(F.lit(1)).alias("voxels"), *[r6(F.sum(f"s{a}") / F.sum("n"), f"c{a}") for a in "xyz"])
     place = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("points"), "root")).cast("long")
     return clusters.withColumn("place", place).where("place <= 3").drop("root")
 
@@ -347,14 +361,10 @@ PIXELS = {
 
 @query("select m.unit, dense_rank() over (partition by m.unit order by m.root) - 1 as cluster, count(*) as n, round(avg(px), 6) as cx, round(avg(py), 6) as cy from members m join pixels p on p.unit = m.unit and p.id = m.id group by m.unit, m.root", True, **P, **PIXELS)
 def pixel_clusters(spark, d):
-    """Dense groups of an image's hot pixels: a task holds the different pixels of one image, at most 100 x 100."""
-    pixels = points(spark, d).where("val > 120").select("unit", F.floor("x").cast("double").alias("px"), F.floor("y").cast("double").alias("py")).distinct()
-
-    def label(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["px", "py"]).reset_index(drop=True)
-        return g.assign(cluster=K.density_clusters(g[["px", "py"]].to_numpy(), 6.0, 3))
-
-    return pixels.groupBy("unit").applyInPandas(label, "unit long, px double, py double, cluster long").where("cluster >= 0").groupBy("unit", "cluster").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("px"), "cx"), r6(F.avg("py"), "cy"))
+    """Dense groups of an image's hot pixels, numbered by their first cores."""
+    pixels = points(spark, d).where("val > 120").select("unit", F.floor("x").cast("long").alias("px"), F.floor("y").cast("long").alias("py"))
+    found = K.density_clusters(pixels, "unit", 6.0, 3).groupBy("unit", "cluster").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("px"), "cx"), r6(F.avg("py"), "cy"))
+    return R.range_ranks(found, ["unit"], "cluster", "place").select("unit", F.col("place").cast("long").alias("cluster"), "n", "cx", "cy")
 
 
 MATCHES = {

@@ -133,21 +133,29 @@ def scope_leaderboard(spark, d):
     return board(firsts(spark, d).withColumn("scope", F.explode(scope)), ["scope", "method"])
 
 
+TIME = "case when seq % 11 = 0 then null else 10 * en end"  # of a trial, where it was taken
 PAIRS = "select a.object, a.load_case, b.method, a.vm - b.vm as d from firsts a join firsts b on a.object = b.object and a.load_case = b.load_case where a.method = 'proposed_max' and b.method <> 'proposed_max' and a.vm is not null and b.vm is not null"
 ALL_PAIRS = " union all ".join(f"select '{v}' as metric, b.method, a.{v} - b.{v} as d from firsts a join firsts b on a.object = b.object and a.load_case = b.load_case where a.method = 'proposed_max' and b.method <> 'proposed_max' and a.{v} is not null and b.{v} is not null" for v in ("vm", "en"))
 
 
+def all_pairs(spark, d) -> DataFrame:
+    """(unit, method, metric, d): differences of proposed_max to each other method in both errors. A unit's methods, a handful,
+    meet in one aggregate; the trials are read once."""
+    of = F.struct("method", "vm", "en")
+    f = firsts(spark, d).groupBy(*UNIT).agg(F.max(F.when(F.col("method") == "proposed_max", F.struct("vm", "en"))).alias("own"), F.collect_list(of).alias("of"))
+    each = f.where("own is not null").select(*UNIT, "own", F.explode(F.filter("of", lambda x: x["method"] != "proposed_max")).alias("x"))
+    diff = F.array(*[F.struct(F.lit(v).alias("metric"), (F.col(f"own.{v}") - F.col(f"x.{v}")).alias("d")) for v in ("vm", "en")])
+    return each.select(*UNIT, "x.method", F.inline(diff)).where("d is not null")
+
+
 def pairs(spark, d, value: str = "vm") -> DataFrame:
-    """Differences of proposed_max to each other method, per unit: the proposed value is spread over the unit by a sum of one row."""
-    f = firsts(spark, d).where(F.col(value).isNotNull())
-    own = f.groupBy(*UNIT).agg(F.max(F.when(F.col("method") == "proposed_max", F.col(value))).alias("own"))
-    return f.where(F.col("method") != "proposed_max").join(own.where("own is not null"), UNIT).select(*UNIT, "method", (F.col("own") - F.col(value)).alias("d"))
+    return all_pairs(spark, d).where(F.col("metric") == value).drop("metric")
 
 
 @query("select metric, method, count(*) as n, round(avg(d), 6) as mean_d, round(case when count(*) > 10 then avg(case when r > floor(0.05 * c) and r <= c - floor(0.05 * c) then d end) else avg(d) end, 6) as trimmed_d, round(quantile_cont(d, 0.5), 6) as median_d, round(avg(case when d < -0.01 then 1.0 else 0.0 end), 6) as win, round(avg(case when d > 0.01 then 1.0 else 0.0 end), 6) as loss, round(avg(case when abs(d) <= 0.01 then 1.0 else 0.0 end), 6) as tie from (select *, row_number() over (partition by metric, method order by d) as r, count(*) over (partition by metric, method) as c from pairs) group by 1, 2", **F1, pairs=ALL_PAIRS)
 def paired_stats(spark, d):
     """Of both errors: the trimmed mean of the differences (the plain one of ten or less), their median, how often they win."""
-    p = pairs(spark, d).withColumn("metric", F.lit("vm")).unionByName(pairs(spark, d, "en").withColumn("metric", F.lit("en")))
+    p = cut(all_pairs(spark, d).select("metric", "method", "d"))
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     x = F.col("d")
     plain = {"n": F.count(F.lit(1)), "mean_d": F.avg(x), "win": share(x < -0.01), "loss": share(x > 0.01), "tie": share(F.abs(x) <= 0.01)}
@@ -155,14 +163,14 @@ def paired_stats(spark, d):
 
 
 @query(
-    """select method, cast(count(*) as bigint) as n, sum(case when d > 0 then r else 0 end) as w_plus, sum(case when d < 0 then r else 0 end) as w_minus, cast(any_value(tt) as bigint) as tie_term,
+    """select method, cast(count(*) as bigint) as n, sum(case when d > 0 then r else 0 end) as w_plus, sum(case when d < 0 then r else 0 end) as w_minus, cast(any_value(tt) as double) as tie_term,
     round((sum(case when d > 0 then r else 0 end) - count(*) * (count(*) + 1) / 4.0) / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0 - any_value(tt) / 48.0), 6) as z
     from (select *, rank() over (partition by method order by abs(d)) + (count(*) over (partition by method, abs(d)) - 1) / 2.0 as r, sum(1) over (partition by method) as nn from pairs where d <> 0)
     join (select method, sum(c * c * c - c) as tt from (select method, abs(d), count(*) as c from pairs where d <> 0 group by 1, 2) group by 1) using (method) group by 1""",
     **F1, pairs=PAIRS,
 )
 def signed_rank(spark, d):
-    return rounded(R.signed_rank(pairs(spark, d), ["method"]), "z")
+    return rounded(R.signed_rank(cut(pairs(spark, d).select("method", "d")), ["method"]), "z")
 
 
 BY_SCOPE = "select 'pooled' as scope, * from swept union all select cast(h_scale as varchar), * from swept"
@@ -196,11 +204,17 @@ def winner_split(spark, d):
     return firsts(spark, d).join(won, "object").groupBy("won", "method").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("vm"), 6).alias("mean_vm"))
 
 
-@query("select method, count(*) as n, quantile_cont(n_cells, 0.5) as median_cells, round(quantile_cont(en, 0.5), 6) as median_time from firsts join complete using (object, load_case) group by 1", **F1, complete=COMPLETE)
+TIMED = f"select object, load_case from firsts where {TIME} is not null group by 1, 2 having count(distinct method) = 6"
+
+
+@query(f"select method, n, median_vm, median_cells, coalesce(n_timed, 0) as n_timed, median_time from (select method, count(*) as n, round(quantile_cont(vm, 0.5), 6) as median_vm, quantile_cont(n_cells, 0.5) as median_cells from firsts group by 1) left join (select method, count(*) as n_timed, round(quantile_cont({TIME}, 0.5), 6) as median_time from firsts join timed using (object, load_case) group by 1) using (method)", **F1, timed=TIMED)
 def cost_table(spark, d):
-    f = firsts(spark, d)
-    costs = C.keep_units(f, C.complete_units(f, 6)).select("method", "n_cells", "en")
-    return rounded(R.summary(costs, ["method"], {"n": F.count(F.lit(1))}, {"median_cells": ("n_cells", 0.5), "median_time": ("en", 0.5)}), "median_time")
+    """Figures of all trials of a method, but times only of units that are timed for all methods."""
+    f = cut(firsts(spark, d).select(*UNIT, "method", "vm", "n_cells", F.expr(TIME).alias("t")))
+    timed = C.complete_units(f.where("t is not null"), len(METHODS)).withColumn("timed", F.lit(True))
+    f = f.join(timed, UNIT, "left").withColumn("t", F.when(F.col("timed"), F.col("t")))
+    s = R.summary(cut(f), ["method"], {"n": F.count(F.lit(1)), "n_timed": F.count("t")}, {"median_vm": ("vm", 0.5), "median_cells": ("n_cells", 0.5), "median_time": ("t", 0.5)})
+    return rounded(s, "median_vm", "median_time")
 
 
 @query("select method, cast(count(*) as bigint) as n, round(corr(rx, ry), 6) as rho from (select method, rank() over (partition by method order by vm) + (count(*) over (partition by method, vm) - 1) / 2.0 as rx, rank() over (partition by method order by n_cells) + (count(*) over (partition by method, n_cells) - 1) / 2.0 as ry from firsts where vm is not null and n_cells is not null) group by 1", **F1)
@@ -277,17 +291,17 @@ def strict_intersection(spark, d):
 
 
 KEPT = "select s.* from swept s join complete using (object, load_case)"
-PARETO = "select h_scale, method, count(*) as n, avg(vm) as vm_mean, quantile_cont(vm, 0.5) as vm_med, avg(en) as energy_mean, quantile_cont(en, 0.5) as energy_med, avg(n_cells) as cells, quantile_cont(n_cells, 0.5) as cells_med from kept group by 1, 2"
+PARETO = f"select h_scale, method, count(*) as n, avg(vm) as vm_mean, quantile_cont(vm, 0.5) as vm_med, avg(en) as energy_mean, quantile_cont(en, 0.5) as energy_med, avg(n_cells) as cells, quantile_cont(n_cells, 0.5) as cells_med, quantile_cont({TIME}, 0.5) as t_med from kept group by 1, 2"
 TRIMS = ", ".join(f"t_{v} as (select h_scale, method, avg({v}) as {n}_tmean from (select *, row_number() over (partition by h_scale, method order by {v}) as r, count(*) over (partition by h_scale, method) as c from kept where {v} is not null) where r > floor(0.05 * c) and r <= c - floor(0.05 * c) group by 1, 2)" for v, n in (("vm", "vm"), ("en", "energy")))
 
 
-@query(with_views(TRIMS + " select h_scale, method, n, " + ", ".join(f"round({c}, 6) as {c}" for c in ("vm_mean", "vm_tmean", "vm_med", "energy_mean", "energy_tmean", "energy_med", "cells", "cells_med")) + " from (select unnest([1.0e0, 1.25e0, 1.6e0, 2.0e0]) as h_scale) cross join (select unnest(" + str(METHODS) + ") as method) left join pareto using (h_scale, method) left join t_vm using (h_scale, method) left join t_en using (h_scale, method)", **S1, complete=ALL_LEVELS, kept=KEPT, pareto=PARETO))
+@query(with_views(TRIMS + " select h_scale, method, n, " + ", ".join(f"round({c}, 6) as {c}" for c in ("vm_mean", "vm_tmean", "vm_med", "energy_mean", "energy_tmean", "energy_med", "cells", "cells_med", "t_med")) + " from (select unnest([1.0e0, 1.25e0, 1.6e0, 2.0e0]) as h_scale) cross join (select unnest(" + str(METHODS) + ") as method) left join pareto using (h_scale, method) left join t_vm using (h_scale, method) left join t_en using (h_scale, method)", **S1, complete=ALL_LEVELS, kept=KEPT, pareto=PARETO))
 def pareto_agg(spark, d):
-    """Errors, cells and their trimmed means by level and method, over units that are complete; a row for each pair of the grid."""
-    s = swept(spark, d)
-    kept = cut(C.keep_units(s, C.units_at_all_levels(s, METHODS, LEVELS)).select("h_scale", "method", "vm", "en", "n_cells"))
+    """Errors, cells, times and trimmed means by level and method, over units that are complete; a row for each pair of the grid."""
+    s = cut(swept(spark, d).select(*UNIT, "method", "h_scale", "vm", "en", "n_cells", "seq"))
+    kept = cut(C.keep_units(s, C.units_at_all_levels(s, METHODS, LEVELS)).select("h_scale", "method", "vm", "en", "n_cells", F.expr(TIME).alias("t")))
     plain = {"n": F.count(F.lit(1)), "vm_mean": F.avg("vm"), "energy_mean": F.avg("en"), "cells": F.avg("n_cells")}
-    t = R.summary(kept, ["h_scale", "method"], plain, {"vm_med": ("vm", 0.5), "energy_med": ("en", 0.5), "cells_med": ("n_cells", 0.5)}, {"vm_tmean": ("vm", 0.05), "energy_tmean": ("en", 0.05)})
+    t = R.summary(kept, ["h_scale", "method"], plain, {"vm_med": ("vm", 0.5), "energy_med": ("en", 0.5), "cells_med": ("n_cells", 0.5), "t_med": ("t", 0.5)}, {"vm_tmean": ("vm", 0.05), "energy_tmean": ("en", 0.05)})
     grid = spark.createDataFrame([(h, m) for h in LEVELS for m in METHODS], "h_scale double, method string")
     return rounded(grid.join(t, ["h_scale", "method"], "left"), *[c for c in t.columns if c not in ("h_scale", "method", "n")])
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,14 +29,66 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
 
 
-def read_trials(spark: SparkSession, paths: str | list[str], schema: T.StructType = TRIAL_SCHEMA, skip: tuple[str, ...] = ("aggregated", "done_manifest")) -> DataFrame:
-    """Trial shards below the paths with the file and its load level: bad lines and files whose names hold one of `skip`
-    are left out, columns go by the header, ids stay strings, NaN and empty metrics are null."""
-    raw = spark.read.schema(T.StructType([*schema.fields])).options(header=True, mode="DROPMALFORMED", recursiveFileLookup=True, nanValue="NaN", enforceSchema=False, pathGlobFilter="*.csv").csv(paths)
-    df = raw.withColumn("file", F.col("_metadata.file_path"))
+#: Columns without which a file holds no trials.
+REQUIRED = ("object", "load_case", "candidate", "status")
+
+
+def file_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def header_census(spark: SparkSession, paths: str | list[str], skip: tuple[str, ...] = ("aggregated", "done_manifest")) -> DataFrame:
+    """(file, header): the first line of each CSV file below the paths; files whose names hold one of `skip`, and empty ones,
+    are left out. Lines are numbered where they are read, so only a line for each piece of a file is shuffled."""
+    lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.csv").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
     for s in skip:
-        df = df.where(~F.element_at(F.split("file", "/"), -1).contains(s))
-    return nan_to_null(df.withColumn("h_scale", level_of_directory(F.col("file"))))
+        lines = lines.where(~file_name(F.col("file")).contains(s))
+    # numbers grow in the order of a piece's lines; the filter is under the numbering, which it doesn't disturb
+    numbered = lines.where("at = 0").withColumn("n", F.monotonically_increasing_id())
+    first = numbered.groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    return first.select("file", F.regexp_replace("header", "^\ufeff", "").alias("header"))
+
+
+def header_columns(header: str) -> list[str]:
+    """The column names of a header line; a name that comes again gets a number, so that the first one counts."""
+    names: list[str] = []
+    for n in next(csv.reader([header]), []):
+        n = n.strip()
+        names.append(f"{n}__{len(names)}" if n in names or not n else n)
+    return names
+
+
+def file_layouts(spark: SparkSession, paths: str | list[str], required: Sequence[str] = REQUIRED, skip: tuple[str, ...] = ("aggregated", "done_manifest")) -> DataFrame:
+    """(header, files, missing): how many files have each header, and which required columns it lacks; read_trials leaves
+    files out that lack one."""
+    n = header_census(spark, paths, skip).groupBy("header").agg(F.count(F.lit(1)).alias("files"))
+    names = F.transform(F.split("header", ","), lambda c: F.trim(F.btrim(F.trim(c), F.lit('"'))))
+    return n.withColumn("missing", F.array_except(F.array(*[F.lit(c) for c in required]), names))
+
+
+def read_trials(spark: SparkSession, paths: str | list[str], schema: T.StructType = TRIAL_SCHEMA, required: Sequence[str] = REQUIRED, skip: tuple[str, ...] = ("aggregated", "done_manifest")) -> DataFrame:
+    """Trial shards below the paths with their columns of `schema`, the file and its load level.
+
+    Headers may differ from file to file: columns go by name in any order, those that schema doesn't name are passed over,
+    those that a file lacks are null, and files that lack one of `required` are left out (file_layouts counts them). Bad
+    lines, files whose names hold one of `skip` and empty files are left out; ids stay strings, NaN and empty metrics are
+    null. No file: no rows.
+
+    A first pass takes the headers; files of one header are then read together with its columns typed, so there are as many
+    reads as layouts, and Spark prunes columns in each. The driver holds what it lists for any read: the paths."""
+    census = header_census(spark, paths, skip).groupBy("header").agg(F.collect_list("file").alias("files"))
+    kinds = {f.name: f.dataType for f in schema}
+    out = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("file", _S)]))
+    for header, listed in sorted((r.header, sorted(r.files)) for r in census.collect()):
+        names = header_columns(header)
+        if not set(required) <= set(names):
+            continue
+        layout = T.StructType([T.StructField(n, kinds.get(n, _S)) for n in names])
+        # the layout states the header's own columns in its own order, so the header needs no check
+        raw = spark.read.schema(layout).options(header=True, mode="DROPMALFORMED", nanValue="NaN").csv(listed)
+        file = F.col("_metadata.file_path").alias("file")
+        out = out.unionByName(raw.select(*[F.col(f"`{n}`") for n in names if n in kinds], file), allowMissingColumns=True)
+    return nan_to_null(out.withColumn("h_scale", level_of_directory(F.col("file"))))
 
 
 def level_of_directory(path: Column) -> Column:
