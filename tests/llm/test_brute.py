@@ -389,6 +389,8 @@ def plain_main_text(root):
     while id(path[-1]) in paths:
         path.append(paths[id(path[-1])])
     least = min(map(density, path))
+    if least < density(best) / 2:  # diluted
+        least = math.sqrt(least * density(best))
     chosen = next((n for n in path[::-1] if density(n) > least and n is not root), best)
     chosen = chosen if chars(chosen) else root
     blocks = [""]

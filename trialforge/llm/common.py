@@ -1,4 +1,4 @@
-"""Shared helpers: intermediate tables in the shared folder, connected components, cached word tokenisation."""
+"""Shared helpers: intermediate tables in the shared folder, connected components (from the core), cached word tokenisation."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ import os
 import re
 from array import array
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut
+from ..operators.components import connected_components as connected_components
+from ..sources.tables import cut as cut
 
 #: ASCII white space as the contracts state it; the same set that bytes.split() splits at.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -23,34 +24,6 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """edges(u, v) as longs -> (node, root): root is the smallest node of node's component; roots have no row.
-
-    Alternating large-star and small-star rounds. Each round ends in a table in the shared folder; the number of rounds
-    grows with the logarithm of the longest path. Null or self edges are left out; an empty input gives no rows."""
-
-    def mark(e: DataFrame) -> tuple:
-        # bits above 2**40 are shifted away first so that the sum can't overflow
-        h = F.shiftrightunsigned(F.xxhash64("u", "v"), 24)
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(h)).first())
-
-    e = edges.where("u is not null and v is not null and u <> v")
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = mark(e)
-    while before[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(lower.withColumnRenamed("m", "v")).distinct())
-        after = mark(e)
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def vocabulary_path(name: str) -> str:
     """Where a public vocabulary file lies; the package that holds it must be on each machine."""
     import public_tokenizers

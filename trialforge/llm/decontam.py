@@ -66,6 +66,7 @@ class Benchmark:
     needs: np.ndarray = field(default_factory=lambda: np.zeros(0))
     reach: np.ndarray = field(default_factory=lambda: np.zeros(0))
     passage: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    rare: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of the index's (word, item) pairs: a rare word of the item
     checks: dict[int, tuple] = field(default_factory=dict)  # what check() worked out, by item
 
     def numbers(self, text: bytes | None) -> np.ndarray:
@@ -108,7 +109,8 @@ class Benchmark:
         return self.checks[item]
 
     def index(self, likely: float) -> None:
-        """Which items each word tells, for stretches(): a leak has at least `likely` of an item's telling words."""
+        """Which items each word tells, for stretches(): a leak has at least `likely` of an item's telling words. Of n telling
+        words, of which it needs k, it has one of the rarest n - k + 1: these are the item's rare words."""
         told = [self.telling(i) for i in range(len(self.words))]
         lengths = np.array([len(t) for t in told])
         self.needs = np.maximum(1, np.ceil(likely * lengths - 1e-9)).astype(np.int64)
@@ -117,18 +119,78 @@ class Benchmark:
         self.tells = each % len(told)
         self.first = np.searchsorted(each // len(told), np.arange(len(self.vocabulary) + 1))
         self.passage = np.searchsorted([p[0] for p in self.passages], np.arange(len(told) + 1))
-
-    def stretches(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(items, places, first): telling words of items in a text, sorted, and the numbers of those at which a stretch
-        of the item's reach begins that holds as many as a leak needs, each at most as often as the item does. A common
-        subsequence has no more words than that, and a stretch in which one is long enough needn't begin before its
-        first word: no other can pass the check."""
+        rare = [np.unique(t[np.lexsort((t, -self.idf[t]))][: len(t) - k + 1]) for t, k in zip(told, self.needs.tolist(), strict=True)]
+        self.rare = np.isin(each, np.concatenate(rare).astype(np.int64) * len(told) + np.repeat(np.arange(len(told)), [len(r) for r in rare]))
+
+    def pairs_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, pair): for each of the words the numbers of the (word, item) pairs of the index."""
+        n = self.first[words + 1] - self.first[words]
+        return np.repeat(np.arange(len(words)), n), np.repeat(self.first[words] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def told_pairs(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, pair) for the items of which a text with these words, so many times each, has a rare word and as many
+        telling words as a leak needs."""
+        word, pair = self.pairs_of(words)
+        there = np.zeros(len(self.needs), bool)
+        there[self.tells[pair[self.rare[pair]]]] = True
+        kept = there[self.tells[pair]]
+        word, pair = word[kept], pair[kept]
+        enough = np.bincount(self.tells[pair], np.minimum(self.times[pair], counts[word]), len(self.needs)) >= self.needs
+        kept = enough[self.tells[pair]]
+        return word[kept], pair[kept]
+
+    def stretches(self, w: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(items, places, first) for some items at a time: their telling words in a text, sorted, and the numbers of those at
+        which a stretch of the item's reach begins that holds as many as a leak needs, each at most as often as the item
+        does. A common subsequence has no more words than that, and a stretch in which one is long enough needn't begin
+        before its first word: no other can pass the check. Only places that have a rare word of the item within its reach
+        are listed, since each such stretch holds one; a text's common words are so met near rare ones alone. Items are
+        taken together as long as they have some `most` places."""
         at = np.flatnonzero(w >= 0)
-        u = w[at]
-        a, n = self.first[u], self.first[u + 1] - self.first[u]
-        pair = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, at = self.tells[pair], np.repeat(at, n)
-        order = np.argsort(item, kind="stable")
+        at = at[np.argsort(w[at], kind="stable")]
+        words, start, counts = np.unique(w[at], return_index=True, return_counts=True)
+        word, pair = self.told_pairs(words, counts)
+        if not len(pair):
+            return
+        order = np.argsort(self.tells[pair], kind="stable")
+        word, pair = word[order], pair[order]
+        item = self.tells[pair]
+        size = np.cumsum(counts[word])
+        low = 0
+        while low < len(pair):
+            high = int(np.searchsorted(size, (size[low - 1] if low else 0) + most, side="right"))
+            # whole items, one at least
+            high = int(np.searchsorted(item, item[high])) if high < len(item) else len(item)
+            if high <= low:
+                high = int(np.searchsorted(item, item[low], side="right"))
+            found = self.item_stretches(len(w), pair[low:high], start[word[low:high]], counts[word[low:high]], at)
+            if len(found[2]):
+                yield found
+            low = high
+
+    def item_stretches(self, n: int, pair: np.ndarray, start: np.ndarray, count: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """stretches() for pairs whose places in the text of n words lie in `at` from start on."""
+        span = n + 1
+
+        def laid(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            c = count[which]
+            place = at[np.repeat(start[which] - np.cumsum(c) + c, c) + np.arange(c.sum())]
+            p = np.repeat(pair[which], c)
+            return p, self.tells[p], place
+
+        rare = self.rare[pair]
+        _, items, places = laid(np.flatnonzero(rare))
+        near = np.sort(items * span + places)
+        pairs, items, places = laid(np.arange(len(pair)))
+        key = items * span + places
+        after = np.minimum(np.searchsorted(near, key), len(near) - 1)
+        before = np.maximum(after - 1, 0)
+        reach = self.reach[items]
+        close = np.zeros(len(key), bool)
+        for k in (after, before):
+            close |= (near[k] // span == items) & (np.abs(near[k] - key) < reach)
+        pair, item, at = pairs[close], items[close], places[close]
+        order = np.lexsort((at, item))
         pair, item, at = pair[order], item[order], at[order]
         last = np.arange(len(item)) + self.needs[item] - 1
         first = np.flatnonzero(last < len(item))
@@ -143,7 +205,6 @@ class Benchmark:
         before = np.full(len(same), -1)
         again = (back >= 0) & (same[back] == same)
         before[by_pair[again]] = at[by_pair[back[again]]]
-        span = len(w) + 1
         ends = np.searchsorted(item * span + at, item[first] * span + np.minimum(at[first] + self.reach[item[first]], span - 1))
         sizes = ends - first
         begin = np.cumsum(sizes) - sizes
@@ -214,7 +275,7 @@ def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, likely
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["word", "n"])
 
     df = np.zeros(size + 1)
-    for r in numbered.select("words").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for r in numbered.select("words").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
         df[r.word] = r.n
     block.idf = np.log((df[size] + 1) / (df + 1)) + 0.05
     block.content = block.idf[:size] > 1.0
@@ -232,7 +293,7 @@ def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, likely
             keep, rows = [], []
             for k, t in enumerate(batch.column(1)):
                 w = np.frombuffer(t.as_py(), np.int32)
-                if len(b.stretches(w)[2]):
+                if any(b.stretches(w)):
                     keep.append(k)
                 starts, sizes = b.near(w, share)
                 if len(starts):
@@ -273,10 +334,14 @@ def leaks(b: Benchmark, w: np.ndarray, cosine: float, sure: float) -> list[tuple
     least `cosine`. It is a leak if `sure` of the item's telling words are a common subsequence with it, or as many as a
     leak needs at least and three quarters of the answer. The share is that of the stretch with most, on ties with the
     answer."""
-    item_of, places, first = b.stretches(w)
-    if not len(first):
-        return []
     found: dict[int, tuple[float, float, bool]] = {}
+    for item_of, places, first in b.stretches(w):
+        check_stretches(b, w, item_of, places, first, cosine, sure, found)
+    return [(item, *found[item]) for item in sorted(found)]
+
+
+def check_stretches(b: Benchmark, w: np.ndarray, item_of: np.ndarray, places: np.ndarray, first: np.ndarray, cosine: float, sure: float, found: dict[int, tuple[float, float, bool]]) -> None:
+    """leaks() for the stretches of some items; adds to found."""
     grid, items, starts = b.windows(len(w)), item_of[first], places[first]
     # stretches of an item that overlap form a region
     edge = np.flatnonzero((np.diff(items) != 0) | (np.diff(starts) >= b.reach[items[1:]])) + 1
@@ -308,12 +373,11 @@ def leaks(b: Benchmark, w: np.ndarray, cosine: float, sure: float) -> list[tuple
             if len(meets) and (has_answer or n >= sure * len(words)):
                 best, *most = found.get(item, (0.0, 0.0, False))
                 found[item] = max(float(meets.max()), best), *max((n / len(words), has_answer), tuple(most))
-    return [(item, *found[item]) for item in sorted(found)]
 
 
 def fitted_blocks(docs: DataFrame, benchmark: DataFrame, window: int, rank: int, share: float, block_bytes: int) -> Iterator[tuple[Benchmark, DataFrame]]:
-    """Blocks of items of about `block_bytes` of text each, so that what is broadcast has a bound, each with the
-    documents that may leak some of it."""
+    """Blocks of items of about `block_bytes` of text each, each with the documents that may leak some of it. That bounds what
+    is broadcast: a block has at most one different word for each seven bytes or so, and for each word `rank` doubles."""
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
@@ -329,7 +393,7 @@ def fitted_blocks(docs: DataFrame, benchmark: DataFrame, window: int, rank: int,
 SHARE, COSINE, SURE, LIKELY = 0.4, 0.5, 0.7, 0.5
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank: int = 64, block_bytes: int = 16 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank: int = 64, block_bytes: int = 4 << 20) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, cosine, overlap, has_answer): a row for each
     leak in each row of docs, from whole texts.
 
@@ -356,7 +420,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank:
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank: int = 64, block_bytes: int = 16 << 20) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank: int = 64, block_bytes: int = 4 << 20) -> DataFrame:
     """docs without the documents that leak an item; all columns stay as they are. Verdicts are made next to the rows."""
     left = docs
     for block, _ in fitted_blocks(docs, benchmark, window, rank, SHARE, block_bytes):

@@ -23,11 +23,19 @@ BLOCK = {
 }
 #: What an opening tag closes, and the tags that such closing doesn't reach beyond.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Never part of an article: by tag, by ARIA role, or by a word of class or id.
+#: Never part of an article: by tag, by ARIA role, or, outside articles, by a word of class or id.
 NOT_CONTENT = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
 WORDS = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|newsletter|subscribe|comments?|disqus|respond|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|social|share|sharing|related|recommend\w*|popup|modal|pagination|login|signup)(?:$|[\s_-])")
-#: The same outside articles; an article's own header holds its headline.
+#: Inside articles only whole names of classes count, and of ids only those that name a thread of reader comments on a
+#: plain container: ids of headings and sections are anchors.
+THREADS, CONTAINERS = {"comments", "respond", "disqus_thread"}, {"div", "ul", "ol"}
+WIDGETS = frozenset(
+    "ad ads advert advertisement sponsored sponsor promo banner ad-banner cookie-banner cookie-notice newsletter newsletter-signup subscribe comments comment comment-list comment-form disqus sidebar side-bar "
+    "menu nav navbar navigation breadcrumb breadcrumbs footer social social-share share share-buttons sharing related related-posts related-articles recommended recommendations popup modal pagination login signup".split()
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Outside, too; an article's own header holds its headline.
 HEADER = re.compile(r"(?i)(?:^|[\s_-])header(?:$|[\s_-])")
 ATTRIBUTE = re.compile(r"""(?i)\s(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
@@ -48,7 +56,13 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
         value, name = value.strip("\"'"), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and (WORDS.search(value) or (not in_article and HEADER.search(value))):
+        if name not in ("class", "id") or tag in ("body", "html", "article", "main") or tag in HEADINGS:
+            continue
+        if in_article:
+            names = value.lower().split()
+            if not WIDGETS.isdisjoint(names) if name == "class" else tag in CONTAINERS and not THREADS.isdisjoint(names):
+                return True
+        elif WORDS.search(value) or HEADER.search(value):
             return True
     return False
 
@@ -131,8 +145,12 @@ def parse(page: str) -> Node:
     while (at := page.find("<", position)) >= 0:
         if page.startswith(("<!", "<?"), at):
             text(at)
-            end = page.find("-->", at + 4) + 3 if page.startswith("<!--", at) else page.find(">", at) + 1
-            position = texts_from = end if end > at else len(page)
+            if page.startswith(("<!-->", "<!--->"), at):  # comments without text
+                close = page.find(">", at)
+            else:
+                close = page.find("-->", at + 4) + 2 if page.startswith("<!--", at) else page.find(">", at)
+            # a comment that isn't closed goes on to the page's end
+            position = texts_from = close + 1 if close > at + 1 else len(page)
             continue
         name = NAME.match(page, at)
         end = tags.end(at) if name else -1
@@ -210,12 +228,20 @@ def measure(root: Node) -> list[Node]:
 
 def main_subtree(root: Node) -> Node:
     """The node of the largest sum of child densities (the first of equal ones, parents before children); of it and its
-    ancestors, the highest one below the body whose density is over the threshold, the least density on the path from
-    the body to that node."""
+    ancestors, the highest one below the body whose density is over the threshold.
+
+    The threshold is the least density on the path from the body to that node, or, where that is under half of the node's
+    own, their geometric mean: what is taken of a page that links dilute ends where the dilution begins, and one without
+    links keeps what stands beside the densest part, like headlines. Where an article element (else main) holds that
+    node, the outermost one is taken whole: an article with one long emphasised paragraph isn't that paragraph."""
     path = [max(measure(root), key=lambda x: x.sum)]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    threshold = min(x.density for x in path)
+    for tag in ("article", "main"):
+        if whole := [x for x in path if x.tag == tag and x.chars]:
+            return whole[-1]
+    least, own = min(x.density for x in path), path[0].density
+    threshold = math.sqrt(least * own) if least < own / 2 else least
     chosen = next((x for x in path[::-1] if x.density > threshold and x is not root), path[0])
     return chosen if chosen.chars else root
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import cut, give_back, id_crc
 
 BITS = 15
+#: A text is ambiguous if its second codeword costs less than this more per bit.
+UNCLEAR = 0.05
 
 
 def gram_buckets(text: str) -> np.ndarray:
@@ -121,7 +123,7 @@ def train(docs: DataFrame) -> LanguageModel:
     return LanguageModel(languages, codes, weights)
 
 
-def predict(docs: DataFrame, model: LanguageModel, unclear: float = 0.05) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, unclear: float = UNCLEAR) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, lang_pred, score, ambiguous), a row for each row. A text that is null or has no
     letters is `und` with score 0. ambiguous: the second codeword costs less than `unclear` more per bit."""
     kind, held = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(model)
@@ -156,7 +158,7 @@ def keep_identified(docs: DataFrame, folds: int = 5, held_fold: int = 0) -> Data
         m = held.value
         for batch in batches:
             found = (m.decode(t.as_py()) for t in batch.column("text"))
-            yield batch.filter(pa.array([lang != "und" and gap >= 0.05 for lang, _, gap in found], pa.bool_()))
+            yield batch.filter(pa.array([lang != "und" and gap >= UNCLEAR for lang, _, gap in found], pa.bool_()))
         give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,11 +15,13 @@ from .common import give_back, id_crc
 
 #: Bytes of a window, and how far back a window's end may move to a space. Literals of a window stay under the 64 bytes
 #: from which zstandard packs them, so that lengths differ by what the dictionaries match and nothing else.
-WINDOW, SNAP = 48, 14
+WINDOW, SNAP = 40, 14
 #: Both dictionaries end with these bytes and each window begins with them: a block that saves few bytes is stored as it
 #: is, which would hide short matches; with the preamble every block saves more than that. UTF-8 text holds no such run.
 PREAMBLE = bytes(range(128, 160))
-GRAM, BITS = 6, 20
+#: Windows end with these: no match begins in the last eight bytes of a block, so these must not be the window's own.
+TAIL = bytes(range(160, 168))
+GRAM, BITS, BESIDE = 6, 20, 4
 #: Gains in bytes over which windows are counted.
 STEPS = (2, 3, 4, 6)
 WHITE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -39,35 +41,51 @@ def windows(b: bytes) -> list[tuple[int, int]]:
     return [(a, min(e + 1, len(b))) for a, e in zip([0, *ends], ends)]
 
 
-def grams(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of the n-grams of b that no space parts."""
+def rolled(a: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the `width` bytes from each place on."""
+    h = np.zeros(max(0, len(a) - width + 1), np.uint64)
+    for i in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + a[i : len(a) - width + 1 + i] + np.uint64(1)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+def grams(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, start, surroundings) of the n-grams of b that no space parts; surroundings is a hash of BESIDE bytes on either
+    side, from 0 to 63."""
     a = np.frombuffer(b, np.uint8)
     if len(a) < GRAM:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.zeros(len(a) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + a[i : len(a) - GRAM + 1 + i] + np.uint64(1)
+        return (np.zeros(0, np.int64),) * 3
     spaces = np.concatenate(([0], np.cumsum(a == 32)))
-    at = np.flatnonzero(spaces[GRAM - 1 : GRAM - 1 + len(h)] == spaces[1 : 1 + len(h)])
-    return ((h[at] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64), at
-
-
-def telling_pieces(toxic: list[bytes], ordinary: list[bytes], least: float = 4.0) -> list[bytes]:
-    """The pieces of words in the toxic texts whose n-grams are in clearly more toxic than ordinary texts (`least` standard
-    errors of the difference of shares). Toxic texts are ordinary words for the most part; a dictionary of all of them
-    would hold what both classes share."""
-    seen = np.zeros((2, 1 << BITS))
-    for k, texts in enumerate((ordinary, toxic)):
-        for b in texts:
-            seen[k][np.unique(grams(b)[0])] += 1
-    n = np.array([max(1, len(ordinary)), max(1, len(toxic))], float)
-    share = seen / n[:, None]
-    z = (share[1] - share[0]) / np.sqrt((seen.sum(0) + 1) / n.sum() * (1 / n[0] + 1 / n[1]))
+    n = len(a) - GRAM + 1
+    at = np.flatnonzero(spaces[GRAM - 1 : GRAM - 1 + n] == spaces[1 : 1 + n])
+    bucket = (rolled(a, GRAM)[at] >> np.uint64(64 - BITS)).astype(np.int64)
+    around = rolled(np.pad(a, BESIDE), GRAM + 2 * BESIDE)[at] >> np.uint64(58)
+    return bucket, at, around.astype(np.int64)
+
+
+def settings_of(texts: list[bytes]) -> np.ndarray:
+    """For each n-gram's bucket in how many different surroundings it stands, by linear counting in 64 bits: near copies of a
+    text add nothing, and what stands in hundreds of them counts as some 270."""
+    seen = np.zeros(1 << BITS, np.uint64)
+    for b in texts:
+        bucket, _, around = grams(b)
+        np.bitwise_or.at(seen, bucket, np.uint64(1) << around.astype(np.uint64))
+    return -64 * np.log(np.maximum(1, 64 - np.bitwise_count(seen).astype(np.float64)) / 64)
+
+
+def telling_pieces(toxic: list[bytes], ordinary: list[bytes], least: float = 5.0, ratio: float = 8.0) -> list[bytes]:
+    """The pieces of words in the toxic texts whose n-grams stand in `least` different surroundings there and, for as much
+    text, in over `ratio` times as many as in ordinary texts. Toxic texts are ordinary words for the most part; a dictionary
+    of all of them would hold what both classes share."""
+    there, here = settings_of(ordinary), settings_of(toxic)
+    scale = sum(map(len, toxic)) / max(1, sum(map(len, ordinary)))
+    # counts near the most that can be counted may stand for any more
+    tells = (here >= least) & (here > ratio * scale * (there + 0.5)) & (there < 100)
     out = []
     for b in toxic:
-        h, at = grams(b)
+        bucket, at, _ = grams(b)
         inside = np.zeros(len(b) + 2, np.int8)
-        for i in at[z[h] > least]:
+        for i in at[tells[bucket]]:
             inside[i + 1 : i + 1 + GRAM] = 1
         edge = np.diff(inside)
         out += [b[i:j] for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
@@ -99,8 +117,8 @@ class Compressors:
         """By how many bytes each piece gets shorter with the toxic dictionary."""
         if not pieces:
             return np.zeros(0, np.int64)
-        n = np.array([len(p) + len(PREAMBLE) for p in pieces], np.uint64)
-        data = self.z.BufferWithSegments(PREAMBLE + PREAMBLE.join(pieces), np.stack([np.cumsum(n) - n, n], 1).tobytes())
+        n = np.array([len(p) + len(PREAMBLE) + len(TAIL) for p in pieces], np.uint64)
+        data = self.z.BufferWithSegments(PREAMBLE + (TAIL + PREAMBLE).join(pieces) + TAIL, np.stack([np.cumsum(n) - n, n], 1).tobytes())
         ordinary, toxic = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(data)), np.int64, len(pieces)) for c in self.both)
         return ordinary - toxic
 
@@ -172,7 +190,7 @@ def fit(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int, pa
         pieces = telling_pieces(bad, good)
         common = [b[a:e] for b in good for a, e in windows(b)]
         common = [common[i] for i in rng.permutation(len(common))[:20_000]]
-        return ToxicityModel(trained(common, 512, 64), trained(pieces, 4096, 16) if pieces else b"", np.zeros(len(STEPS) + 3))
+        return ToxicityModel(trained(common, 512, 64), trained(pieces, 8192, 16) if pieces else b"", np.zeros(len(STEPS) + 3))
 
     model, x, y = dictionaries(toxic, ordinary), [], []
     if min(len(toxic), len(ordinary)) < parts:

@@ -33,7 +33,8 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 def host_edges(pages: DataFrame) -> DataFrame:
     """pages(host, html) -> (src, dst, weight): how many links lead from one host to another. Links inside a host and
     pages without a host carry nothing over the graph and are left out."""
-    link = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+    # a link's tag ends at the next < at the latest, so that tags that never close cost no more than their length
+    link = r"""(?i)<a\s[^<>]*?(?<![\w-])href\s*+=\s*+["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
     out = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(link), 1)).alias("dst"))
     return out.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
