@@ -218,3 +218,98 @@ def test_resume_drops_done_keys_in_the_stream(spark, tmp_path):
         shards.resume(shards.read_shards(spark, source, df.schema, files_per_batch=1), ["k"], out, state).awaitTermination()
     done = spark.read.parquet(out)
     assert sorted(r.k for r in done.collect()) == list(range(10)) and {r.n for r in done.where("k < 5").collect()} == set(range(5))
+
+
+def test_few_within_radius_matches_the_other_way(spark):
+    rng = np.random.default_rng(11)
+    a = spark.createDataFrame(cloud(rng, 40, 9), POINT).withColumn("r", F.lit(2.0) + F.coalesce("u", F.lit(0)))
+    b = spark.createDataFrame(cloud(rng, 200, 9), POINT).withColumn("r", F.lit(2.0) + F.coalesce("u", F.lit(0)))
+    for radius in (3.0, "r"):
+        want = sorted(r.pid for r in spatial.within_radius(a, b, ["u"], radius).collect())
+        assert sorted(r.pid for r in spatial.few_within_radius(a, b, ["u"], radius, ["u", "pid"]).collect()) == want and want
+
+
+def block(cubes):
+    """The closed surface of unit cubes as triangles (a, b, c, corners), outward."""
+    cubes, corners, out = set(cubes), {}, []
+    for c in sorted(cubes):
+        for axis, side in itertools.product(range(3), (0, 1)):
+            if tuple(c[i] + (2 * side - 1) * (i == axis) for i in range(3)) in cubes:
+                continue
+            u, v = [i for i in range(3) if i != axis]
+            quad = [tuple(c[i] + (side if i == axis else du if i == u else dv) for i in range(3)) for du, dv in ((0, 0), (1, 0), (1, 1), (0, 1))]
+            if (side == 1) == (axis == 1):
+                quad.reverse()
+            out += [(quad[0], quad[1], quad[2]), (quad[0], quad[2], quad[3])]
+    return [(*[corners.setdefault(p, len(corners)) for p in f], *[list(map(float, p)) for p in f]) for f in out]
+
+
+def valley(n, slope):
+    """Strips along x that bend upwards by a few degrees from one to the next."""
+    height = [slope * (i * i) for i in range(n + 1)]
+    at = lambda i, j: [float(i), 4.0 * j, height[i]]
+    out = []
+    for i in range(n):
+        a, b, c, d = (i, 0), (i + 1, 0), (i + 1, 1), (i, 1)
+        out += [(a, b, c), (a, c, d)]
+    return [(*[2 * i + j for i, j in f], *[at(i, j) for i, j in f]) for f in out]
+
+
+def plain_screen(faces, sharp, smooth):
+    import hashlib
+    import math
+
+    p = [np.array(f[3:6]) for f in faces]
+    cross = [np.cross(x[1] - x[0], x[2] - x[0]) for x in p]
+    normal, middle = [c / np.linalg.norm(c) for c in cross], [x.sum(0) / 3 for x in p]
+    flat = np.concatenate(p)
+    spacing = float(np.linalg.norm(flat.max(0) - flat.min(0))) / (66.667 * 2)
+    sides = {}
+    for i, f in enumerate(faces):
+        for k in range(3):
+            sides.setdefault(tuple(sorted((f[k], f[(k + 1) % 3]))), []).append(i)
+    place = {f[k]: p[i][k] for i, f in enumerate(faces) for k in range(3)}
+    along, concave = [], set()
+    for (u, v), two in sides.items():
+        if len(two) != 2:
+            continue
+        i, j = sorted(two)
+        cosine = normal[i] @ normal[j]
+        if (middle[j] - middle[i]) @ normal[i] <= 0 or cosine >= math.cos(math.radians(smooth)):
+            continue
+        if cosine < math.cos(math.radians(sharp)):
+            n = max(2, math.ceil(float(np.linalg.norm(place[v] - place[u])) / spacing))
+            along += [((i, j, k), place[u] + (place[v] - place[u]) * k / (n - 1)) for k in range(n)]
+        else:
+            concave |= {i, j}
+    units = {i: math.floor(float(np.linalg.norm(cross[i])) / 2 * 1000000) for i in sorted(concave)}
+    total, on = sum(units.values()), []
+    for k in range(math.ceil(total / (1000000 * spacing * spacing)) if total else 0):
+        chance = [int(hashlib.md5(f"0|{k}|{s}".encode()).hexdigest()[:7], 16) / (1 << 28) for s in range(3)]
+        at = math.floor(chance[0] * total)
+        for i, w in units.items():
+            if at < w:
+                break
+            at -= w
+        r, t = math.sqrt(chance[1]), chance[2]
+        on.append(((k,), (1 - r) * p[i][0] + r * (1 - t) * p[i][1] + r * t * p[i][2]))
+    kept = set()
+    for points in (along, on):
+        chosen = []
+        for _, x in sorted(points, key=lambda y: y[0]):
+            if all(((x - y) ** 2).sum() > (0.75 * spacing) ** 2 for y in chosen):
+                chosen.append(x)
+        kept |= {tuple(np.round(x, 4) + 0.0) for x in chosen}
+    closed = all(len(x) == 2 for x in sides.values())
+    return len(kept), abs(sum(x[0] @ np.cross(x[1], x[2]) for x in p) / 6) if closed else -1.0
+
+
+@pytest.mark.parametrize(("faces", "least"), [(block([(0, 0, 0), (1, 0, 0), (0, 1, 0)]), 20), (valley(4, 0.02), 20), (block([(0, 0, 0)]), 0)])
+def test_screen_of_parts(spark, faces, least):
+    from trialforge.plans.meshes import screen_parts
+
+    shape = "object long, face long, a long, b long, c long, pa array<double>, pb array<double>, pc array<double>"
+    df = spark.createDataFrame([(0, i, *f) for i, f in enumerate(faces)], shape)
+    r = screen_parts(df, 8.0, 1.0, 30).first()
+    n, volume = plain_screen(faces, 8.0, 1.0)
+    assert (r.anchors, round(r.volume, 9), r.dense) == (n, round(volume, 9), n > 30) and n >= least

@@ -52,7 +52,7 @@ def spread(points: DataFrame, unit: Sequence[str], order: Sequence[Column], radi
     left, kept = cut(place), None
     while not left.isEmpty():
         heads = left.groupBy("__k", *small).agg(F.min(F.struct("__o", *[f"p{k}" for k in XYZ], "__r")).alias("head"))
-        heads = cut(heads.select("__k", "head"))
+        heads = heads.select("__k", "head")
         near = dealt(heads).alias("near")
         same = lambda of: [F.col(f"near.{c}") == F.col(f"{of}.{c}") for c in ("__k", *wide)]
         earlier = left.alias("q")

@@ -37,6 +37,21 @@ def within_radius(a: DataFrame, b: DataFrame, unit: Sequence[str], radius: str |
     return own.join(near, on, "left_anti" if anti else "left_semi").drop(*cells)
 
 
+def few_within_radius(a: DataFrame, b: DataFrame, unit: Sequence[str], radius: str | float, ids: Sequence[str]) -> DataFrame:
+    """within_radius for an a that is the smaller side: its rows, which `ids` tell apart, are dealt into the 27 cells around
+    them and b's stay in their own."""
+    r = F.lit(float(radius)) if isinstance(radius, (int, float)) else F.col(radius)
+    cells = {f"c{k}": F.floor(F.col(k) / r) for k in XYZ}
+    near = around(a.withColumns(cells), list(cells)).alias("near")
+    own = b.select(*unit, *[F.col(k).alias(f"b{k}") for k in XYZ], *[c.alias(n) for n, c in cells.items()]).alias("own")
+    d2 = sum(((F.col(f"near.{k}") - F.col(f"own.b{k}")) * (F.col(f"near.{k}") - F.col(f"own.b{k}")) for k in XYZ), F.lit(0.0))
+    r = r if isinstance(radius, (int, float)) else F.col(f"near.{radius}")
+    on = d2 <= r * r
+    for c in (*unit, *cells):
+        on = (F.col(f"near.{c}") == F.col(f"own.{c}")) & on
+    return near.join(own, on, "left_semi").drop(*cells).dropDuplicates(list(ids))
+
+
 def pairs_within(a: DataFrame, b: DataFrame, unit: Sequence[str], radius: float) -> DataFrame:
     """(unit, a, b, dist): the pids of all points of a and b of one unit at `radius` or less, found in cells of the radius."""
     cell = lambda k: F.floor(F.col(k) / F.lit(float(radius)))
@@ -91,19 +106,20 @@ def square_to(q: str, t: str) -> Column:
     return sum(((F.col(f"{q}{k}") - F.col(f"{t}{k}")) * (F.col(f"{q}{k}") - F.col(f"{t}{k}")) for k in XYZ), F.lit(0.0))
 
 
-def cell_widths(queries: DataFrame, targets: DataFrame, crowded: float = 4.0) -> DataFrame:
+def cell_widths(queries: DataFrame, targets: DataFrame, each: float = 3.0, crowded: float = 12.0) -> DataFrame:
     """queries(u, q, qx, qy, qz), targets(u, pid, x, y, z) -> (u, w, size) of units with targets: a cell's width and the
     diagonal of the box around all its points.
 
-    A cell of the width holds one target on the mean, were they even; where they are crowded (the targets that queries
-    find in their own cells are more than `crowded` for each query) the unit's width is halved, until they aren't. A flat
-    box counts by the axes along which it has a size."""
+    A cell of the width holds `each` targets on the mean, were they even (a query then meets 27 times as many, and one in
+    300,000 has none within the width); where they are crowded (the targets that queries find in their own cells are more
+    than `crowded` for each query) the unit's width is halved, until they aren't. A flat box counts by the axes along
+    which it has a size."""
     ends = [f(k).alias(f"{n}{k}") for k in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
     box = targets.groupBy("u").agg(F.count(F.lit(1)).alias("n"), *ends)
     around_all = queries.select("u", *[F.col(f"q{k}").alias(k) for k in XYZ]).unionByName(targets.select("u", *XYZ)).groupBy("u").agg(*[(F.max(k) - F.min(k)).alias(f"s{k}") for k in XYZ])
     span = F.array(*[F.col(f"hi{k}") - F.col(f"lo{k}") for k in XYZ])
     wide = F.filter(span, lambda s: s > 1e-9 * F.array_max(span))
-    mean = F.exp((F.aggregate(wide, F.lit(0.0), lambda a, s: a + F.log(s)) - F.log("n")) / F.size(wide))
+    mean = F.exp((F.aggregate(wide, F.lit(0.0), lambda a, s: a + F.log(s)) - F.log(F.col("n") / each)) / F.size(wide))
     size = F.sqrt(sum((F.col(f"s{k}") * F.col(f"s{k}") for k in XYZ), F.lit(0.0)))
     w = box.join(around_all, "u").select("u", F.when(F.array_max(span) > 0, mean).otherwise(F.greatest(size, F.lit(1e-9))).alias("w"), size.alias("size"))
     w = cut(w)
@@ -115,7 +131,7 @@ def cell_widths(queries: DataFrame, targets: DataFrame, crowded: float = 4.0) ->
         asking = queries.join(w, "u").select("u", *cell("q")).groupBy(*keys).agg(F.count(F.lit(1)).alias("nq"))
         met = asking.join(there, keys).groupBy("u").agg(F.sum(F.col("nt").cast("double") * F.col("nq")).alias("met"))
         n = asking.groupBy("u").agg(F.sum("nq").alias("nq"))
-        dense = cut(w.join(met, "u").join(n, "u").where((F.col("met") > crowded * F.col("nq")) & (F.col("w") > least)).select("u"))
+        dense = (w.join(met, "u").join(n, "u").where((F.col("met") > crowded * F.col("nq")) & (F.col("w") > least)).select("u"))
         if dense.isEmpty():
             return w
         w = cut(w.join(dense.withColumn("dense", F.lit(True)), "u", "left").select("u", F.when(F.col("dense"), F.col("w") / 2).otherwise(F.col("w")).alias("w"), "size"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranges as O
 from ..operators import robust as R
+from ..operators import select as K
 from ..operators import spatial as S
 from ..sources.tables import cut
 from .registry import query
@@ -91,7 +92,12 @@ def minus(a: str, b: str) -> Column:
 def hinges(spark, d) -> DataFrame:
     """Adjacent faces with the cosine between their normals, how far the second one's centre lies before the first, the
     length of their edge, its ends and both centres."""
-    t = with_normals(triangles(spark, d)).withColumn("at", F.array(*[F.struct(F.col(x).alias("id"), F.col(f"p{x}").alias("p")) for x in "abc"]))
+    return hinges_of(with_normals(triangles(spark, d)))
+
+
+def hinges_of(t: DataFrame) -> DataFrame:
+    """hinges() of triangles with normals."""
+    t = t.withColumn("at", F.array(*[F.struct(F.col(x).alias("id"), F.col(f"p{x}").alias("p")) for x in "abc"]))
     j = adjacency(t, ["n", "m", "at"])
     place = lambda v: F.get(F.filter("f1.at", lambda x: x["id"] == F.col(v)), F.lit(0))["p"]
     j = j.withColumn("pu", place("u")).withColumn("pv", place("v")).withColumn("side", minus("pu", "pv"))
@@ -178,6 +184,62 @@ def density_screen(spark, d):
     return p.groupBy("object").agg(F.count(F.lit(1)).alias("anchors")).withColumn("dense", F.col("anchors") > 1000)
 
 
+def anchors_along(h: DataFrame, spacing: DataFrame) -> DataFrame:
+    """(object, f1, f2, k, x, y, z): points along the edges of hinges, max(2, length / spacing) on each."""
+    h = h.join(spacing, "object")
+    n = F.greatest(F.lit(2), F.ceil(F.col("length") / F.col("spacing")).cast("int"))
+    along = h.select("object", "f1", "f2", "pu", "pv", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    at = lambda i: F.col("pu")[i] + (F.col("pv")[i] - F.col("pu")[i]) * F.col("k") / (F.col("n") - 1)
+    return along.select("object", "f1", "f2", "k", *[at(i).alias(a) for i, a in enumerate("xyz")])
+
+
+def anchors_on(t: DataFrame, faces: DataFrame, spacing: DataFrame) -> DataFrame:
+    """(object, k, face, x, y, z): area_samples of triangles with normals on the listed (object, face), ceil(area / spacing ** 2)
+    for each object."""
+    t = cut(t.join(faces.distinct(), ["object", "face"], "left_semi").select("object", "face", "pa", "pb", "pc", F.floor(F.col("area2") / 2 * 1000000).cast("long").alias("units")))
+    total = t.groupBy("object").agg(F.sum("units").alias("total")).where("total > 0").join(spacing, "object")
+    n = F.ceil(F.col("total") / (1000000 * F.col("spacing") * F.col("spacing"))).cast("int")
+    k = total.select("object", "total", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    u = lambda seed: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("object").cast("string"), F.col("k").cast("string"), F.lit(str(seed))).cast("binary")), 1, 7), 16, 10).cast("double") / float(1 << 28)
+    draws = k.select("object", F.col("k").cast("long").alias("k"), F.floor(u(0) * F.col("total")).cast("long").alias("place"), F.sqrt(u(1)).alias("r"), u(2).alias("t"))
+    r = O.items_at(draws, t.select("object", "face", "units"), ["object"], "face", "units").join(t, ["object", "face"])
+    w = {"a": 1 - F.col("r"), "b": F.col("r") * (1 - F.col("t")), "c": F.col("r") * F.col("t")}
+    return r.select("object", "k", "face", *[sum((w[q] * F.col(f"p{q}")[i] for q in "abc"), F.lit(0.0)).alias(a) for i, a in enumerate("xyz")])
+
+
+def screen_parts(t: DataFrame, sharp: float, smooth: float, most: int) -> DataFrame:
+    """triangles -> (object, anchors, volume, dense): how many anchors each object would get along its sharp concave edges and
+    on its smooth concave faces, at a spacing that follows from its diagonal, each set thinned in order, both together
+    without repeats (four decimals); its volume, -1 where it isn't closed; and whether the anchors are over `most`."""
+    t = cut(with_normals(t))
+    corner = F.explode(F.array("pa", "pb", "pc")).alias("p")
+    box = t.select("object", corner).groupBy("object").agg(*[f(F.col("p")[i]).alias(f"{n}{i}") for i in range(3) for n, f in (("lo", F.min), ("hi", F.max))])
+    diagonal = F.sqrt(sum(((F.col(f"hi{i}") - F.col(f"lo{i}")) * (F.col(f"hi{i}") - F.col(f"lo{i}")) for i in range(3)), F.lit(0.0)))
+    spacing = cut(box.select("object", (diagonal / (66.667 * 2)).alias("spacing")))
+    h = cut(hinges_of(t).where(F.col("inward") > 0))
+    near = spacing.select("object", (0.75 * F.col("spacing")).alias("near"))
+    thin = lambda p, *order: K.spread(p.join(near, "object"), ["object"], [F.col(c) for c in order], "near")
+    along = thin(anchors_along(h.where(angle(sharp, 180.0)), spacing), "f1", "f2", "k")
+    faces = h.where(angle(smooth, sharp)).select("object", F.explode(F.array("f1", "f2")).alias("face"))
+    on = thin(anchors_on(t, faces, spacing), "k")
+    places = [p.select("object", *[F.round(a, 4).alias(a) for a in "xyz"]) for p in (along, on)]
+    n = places[0].unionByName(places[1]).distinct().groupBy("object").agg(F.count(F.lit(1)).alias("anchors"))
+    sides = t.select("object", F.explode(F.array(*[F.struct(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")) for u, v in (("a", "b"), ("b", "c"), ("c", "a"))])).alias("e"))
+    open_edges = sides.groupBy("object", "e").agg(F.count(F.lit(1)).alias("n")).where("n <> 2").select("object").distinct()
+    # of each corner triple: a . (b x c) / 6
+    pa, pb, pc = (F.col(f"p{x}") for x in "abc")
+    six = sum((pa[i] * (pb[(i + 1) % 3] * pc[(i + 2) % 3] - pb[(i + 2) % 3] * pc[(i + 1) % 3]) for i in range(3)), F.lit(0.0))
+    volume = t.groupBy("object").agg((F.sum(six) / 6).alias("inside")).join(open_edges.withColumn("open", F.lit(True)), "object", "left")
+    out = volume.join(n, "object", "left").select("object", F.coalesce("anchors", F.lit(0)).alias("anchors"), F.when(F.col("open"), -1.0).otherwise(F.abs("inside")).alias("volume"))
+    return out.withColumn("dense", F.col("anchors") > most)
+
+
+@query()
+def dense_parts(spark, d):
+    """screen_parts of all objects; SQL would have to walk through each object's points, so a plain version is in the tests."""
+    return screen_parts(triangles(spark, d), 8.0, 1.0, 1000)
+
+
 @query("select object, count(distinct f) as n from (select object, unnest([f1, f2]) as f from hinges where cosine < cos(radians(1)) and cosine >= cos(radians(5)) and inward > 0) group by 1", **N1)
 def concave_faces(spark, d):
     h = hinges(spark, d).where(angle(1.0, 5.0) & (F.col("inward") > 0))
@@ -253,13 +315,7 @@ def area_samples(spark, d):
     """Random points on an object's concave faces: ceil(area / spacing ** 2) draws, which fall on faces by their areas, at
     barycentric weights; all chances are seeded hashes of the draw. Areas count in millionths, as whole numbers."""
     h = hinges(spark, d).where(angle(1.0, 5.0) & (F.col("inward") > 0))
-    concave = h.select("object", F.explode(F.array("f1", "f2")).alias("face")).distinct()
-    t = with_normals(triangles(spark, d)).join(concave, ["object", "face"], "left_semi")
-    t = cut(t.select("object", "face", "pa", "pb", "pc", F.floor(F.col("area2") / 2 * 1000000).cast("long").alias("units")))
-    total = t.groupBy("object").agg(F.sum("units").alias("total"))
-    k = total.where("total > 0").select("object", "total", F.explode(F.sequence(F.lit(0), F.ceil(F.col("total") / 250000.0).cast("int") - 1)).alias("k"))
-    u = lambda seed: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("object").cast("string"), F.col("k").cast("string"), F.lit(str(seed))).cast("binary")), 1, 7), 16, 10).cast("double") / float(1 << 28)
-    draws = k.select("object", F.col("k").cast("long").alias("k"), F.floor(u(0) * F.col("total")).cast("long").alias("place"), F.sqrt(u(1)).alias("r"), u(2).alias("t"))
-    r = O.items_at(draws, t.select("object", "face", "units"), ["object"], "face", "units").join(t, ["object", "face"])
-    w = {"a": 1 - F.col("r"), "b": F.col("r") * (1 - F.col("t")), "c": F.col("r") * F.col("t")}
-    return r.select("object", "face", "k", *[F.round(sum((w[q] * F.col(f"p{q}")[n] for q in "abc"), F.lit(0.0)), 6).alias("xyz"[n]) for n in range(3)])
+    concave = h.select("object", F.explode(F.array("f1", "f2")).alias("face"))
+    t = with_normals(triangles(spark, d))
+    r = anchors_on(t, concave, t.select("object").distinct().withColumn("spacing", F.lit(0.5)))
+    return r.select("object", "face", "k", *[F.round(a, 6).alias(a) for a in "xyz"])

@@ -94,7 +94,7 @@ def match_counts(spark, d) -> DataFrame:
     found_a = S.within_radius(a, gt, ["unit"], "r")
     # each group asks for all hot points of its unit, so hot points are dealt per group first
     per = gt.join(a.select("grp", "unit").distinct().withColumnRenamed("grp", "of"), "unit")
-    found_g = S.within_radius(per.drop("grp").withColumnRenamed("of", "grp"), a, ["grp", "unit"], "r")
+    found_g = S.few_within_radius(per.drop("grp").withColumnRenamed("of", "grp"), a, ["grp", "unit"], "r", ["grp", "unit", "pid"])
     out = count(a, ["grp", "unit"], "n_a").join(count(found_a, ["grp", "unit"], "m_a"), ["grp", "unit"], "left").join(count(gt, ["unit"], "n_g"), "unit", "left").join(count(found_g, ["grp", "unit"], "m_g"), ["grp", "unit"], "left")
     return out.fillna(0)
 
