@@ -79,3 +79,22 @@ def test_rounds_match_a_walk_in_order(spark):
             want.add((o, i, j))
     assert {(r.object, r.a, r.b) for r in K.closest_first(pairs, "object").collect()} == want
     assert K.closest_first(pairs.limit(0), "object").count() == 0
+
+
+#: Counts of a published table (matched and all predicted points, matched and all hot points) and its scores.
+PUBLISHED = [
+    (56355.0, 104980.0, 503814.0, 1423823.0, 0.4265372343410431),
+    (56165.0, 102860.0, 538831.0, 1423823.0, 0.44704532578244344),
+    (52599.0, 90312.0, 502691.0, 1423823.0, 0.4396191041032453),
+    (54135.0, 91513.0, 617646.0, 1423823.0, 0.5005380499320108),
+    (41819.0, 73176.0, 473983.0, 1408297.0, 0.4236369136936217),
+    (82730.0, 156093.0, 658907.0, 1423823.0, 0.494112355522886),
+    (79871.0, 137572.0, 723643.0, 1423823.0, 0.5420048372392612),
+    (74116.0, 123427.0, 709290.0, 1423823.0, 0.5445564490878572),
+]
+
+
+def test_micro_scores_of_published_counts(spark):
+    df = spark.createDataFrame(PUBLISHED, "a double, n_a double, b double, n_b double, want double")
+    rows = df.select(S.prf(F.col("a"), F.col("n_a"), F.col("b"), F.col("n_b"))[2].alias("f1"), "want").collect()
+    assert len(rows) == 8 and all(abs(r.f1 - r.want) < 1e-12 for r in rows)

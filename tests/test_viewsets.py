@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from trialforge.operators import select
 from trialforge.plans import viewsets as V
 
 NAMES = ["angle_nms", "last_kept_nms", "cosine_nms", "diverse_views"]
@@ -53,6 +54,8 @@ def plain(spark, d, name):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_all_views_are_met(name, spark, many):
+@pytest.mark.parametrize("block", [4096, 300])
+def test_all_views_are_met(name, block, spark, many, monkeypatch):
+    monkeypatch.setattr(select, "BLOCK", block)
     got = [(r.object, r.seq, r.view) for r in getattr(V, name)(spark, many).collect()]
     assert sorted(got) == sorted(plain(spark, many, name))

@@ -1,15 +1,14 @@
 """Selections whose order is their meaning: spread, farthest points, matching, suppression of similar views; and clusters.
 
-All but the suppression of views go in rounds of joins and aggregates over all groups at once."""
+They go in rounds of joins and aggregates, or of blocks, over all groups at once."""
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,42 +163,71 @@ def closest_first(pairs: DataFrame, unit: str) -> DataFrame:
     return left.select(unit, "dist", "a", "b") if taken is None else taken
 
 
-def suppressed(df: DataFrame, key: str, order: list[Column], vectors: Callable[[pd.DataFrame], np.ndarray], similar: Callable[[np.ndarray, np.ndarray], np.ndarray], last_only: bool = False, block: int = 256) -> DataFrame:
+#: Rows of a group that a task meets one after another.
+BLOCK = 4096
+
+Vectors = Callable[[pd.DataFrame], np.ndarray]
+Similar = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def first_unlike(x: np.ndarray, similar: Similar, last_only: bool, start: np.ndarray) -> list[int]:
+    """The rows of x that are kept when they are met in order, start being the vectors kept before them."""
+    kept, n, at = np.concatenate((start, np.zeros_like(x))), len(start), []
+    for j in range(len(x)):
+        against = kept[max(0, n - 1) : n] if last_only else kept[:n]
+        if not n or not similar(against, x[j]).any():
+            kept[n] = x[j]
+            n += 1
+            at.append(j)
+    return at
+
+
+def suppressed(df: DataFrame, key: str, order: Sequence[Column], vectors: Vectors, similar: Similar, last_only: bool = False) -> DataFrame:
     """Rows of each group that are kept when they are met in order, each that isn't similar to any kept before (last_only: to
-    the last kept one), with seq. Rows come in order and are met in blocks:
-    a task holds a block and the vectors kept so far, however large a group is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # kept grows by doubling, so that a row more costs no copy of all before
-        now, kept, n, seq = None, np.zeros((0, 0)), 0, 0
-        for whole in batches:
-            for a in range(0, whole.num_rows, block):
-                batch = whole.slice(a, block)
-                g = batch.to_pandas()
-                x, keys, at, numbers = vectors(g), batch.column(key).to_pylist(), [], []
-                starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-                for i, end in zip(starts, [*starts[1:], len(keys)], strict=True):
-                    if seq == 0 or keys[i] != now:
-                        now, kept, n, seq = keys[i], np.zeros((64, x.shape[1])), 0, 0
-                    free = np.arange(i, end)
-                    if n and not last_only:
-                        free = free[~similar(kept[:n], x[i:end].T).any(0)]
-                    first = n
-                    for j in free.tolist():
-                        against = kept[max(0, n - 1) : n] if last_only else kept[first:n]
-                        if len(against) and similar(against, x[j]).any():
-                            continue
-                        if n == len(kept) and not last_only:
-                            kept = np.concatenate((kept, np.zeros_like(kept)))
-                        n = 1 if last_only else n + 1
-                        kept[n - 1] = x[j]
-                        seq += 1
-                        at.append(j)
-                        numbers.append(seq)
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "seq"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", seq long"
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    the last kept one), with seq. vectors(rows) gives a row's vector, similar(kept, x) tells for each kept one whether it
+    is like x (or like each column of x). `order` must tell the rows of a group apart; null keys are a group.
+
+    In rounds of blocks of BLOCK rows: all groups' blocks of one number are walked through, a task for each, and the rows
+    that they keep are sent to all later blocks of their group, side by side in other tasks, to drop what is like them; so
+    a task holds two blocks at most, however large a group is. With last_only nothing but a group's last kept row goes on
+    to its next block. The number of rounds is that of the blocks of the largest group."""
+    names = df.columns
+    key_of_row = F.struct(F.lit(0).alias("all"), F.col(key)).alias("__k")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", __rank long, __block long"
+    rows = df.withColumns({"__k": key_of_row, "__o": F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])})
+    numbered = range_ranks(rows, ["__k"], "__o", "__rank").select(*names, F.col("__rank").cast("long").alias("__rank"), F.floor(F.col("__rank") / BLOCK).cast("long").alias("__block"))
+    left = cut(numbered)
+    last_block = left.agg(F.max("__block")).first()[0]
+
+    def walk(now: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        now = now.sort_values("__rank", kind="stable").reset_index(drop=True)
+        if not len(now):
+            return now
+        x = vectors(now)
+        return now.iloc[first_unlike(x, similar, last_only, vectors(before) if len(before) else x[:0])]
+
+    def drop(later: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        if not len(later) or not len(kept):
+            return later
+        return later[~similar(vectors(kept), vectors(later).T).any(0)]
+
+    keyed = lambda t: t.withColumn("__k", key_of_row)
+    kept = ends = left.limit(0)
+    for b in range(0 if last_block is None else last_block + 1):
+        now = keyed(left.where(F.col("__block") == b))
+        won = cut(now.groupBy("__k").cogroup(keyed(ends).groupBy("__k")).applyInPandas(lambda x, y: walk(x[[*names, "__rank", "__block"]], y), schema))
+        kept = won if b == 0 else kept.unionByName(won)
+        if b == last_block:
+            break
+        if last_only:
+            newest = keyed(ends.unionByName(won)).groupBy("__k").agg(F.max_by(F.struct(*names, "__rank", "__block"), "__rank").alias("r"))
+            ends = cut(newest.select("r.*"))
+            continue
+        later = keyed(left.where(F.col("__block") > b))
+        sent = keyed(won.drop("__block")).join(later.select("__k", F.col("__block").alias("__to")).distinct(), "__k")
+        left = cut(later.groupBy("__k", "__block").cogroup(sent.groupBy("__k", "__to")).applyInPandas(lambda x, y: drop(x[[*names, "__rank", "__block"]], y), schema))
+    out = range_ranks(keyed(kept), ["__k"], "__rank", "seq")
+    return out.select(*names, (F.col("seq") + 1).cast("long").alias("seq"))
 
 
 def hash_order(*columns: str, seed: int = 0):

@@ -63,7 +63,7 @@ def best_at_places(spark, d) -> DataFrame:
 
 
 def suppress(df: DataFrame, vectors, similar, last_only: bool = False) -> DataFrame:
-    return K.suppressed(df, "object", [ranked().desc_nulls_last(), F.col("view")], vectors, similar, last_only)
+    return K.suppressed(df, "object", [ranked().isNull(), -ranked(), F.col("view")], vectors, similar, last_only)
 
 
 def nms_sql(similar: str, columns: str, last_only: bool = False) -> dict[str, str]:
