@@ -48,7 +48,7 @@ ORACLE_SQL = None
 
 
 #: Whole texts go to Python in batches of so many rows, so that a worker holds a few megabytes of them.
-ROWS_PER_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+ROWS_PER_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

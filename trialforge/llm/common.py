@@ -146,3 +146,9 @@ def give_back() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
+
+
+def start_afresh() -> None:
+    """Drops the tokenizer and its caches that an earlier stage may have left in this worker."""
+    _TOKENIZERS.clear()
+    give_back()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, give_back
+from .common import cut, give_back, start_afresh
 
 #: ASCII punctuation counts for nothing; words are lower-cased and split at ASCII white space.
 DROPPED = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -230,6 +230,10 @@ def load_block(rows: list, window: int) -> Benchmark:
     return Benchmark(ids, words, answers, vocabulary, window, passages)
 
 
+#: Windows that are sketched together: each takes `window` x `rank` doubles a few times over.
+SKETCHED = 400
+
+
 def sketch_rows(b: Benchmark, rows: list[np.ndarray], omega: np.ndarray, out: np.ndarray) -> None:
     """Adds A'(A omega) to out; A has a TF-IDF row of unit length for each window of word numbers in rows."""
     if not rows:
@@ -258,6 +262,7 @@ def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, likely
     held = spark.sparkContext.broadcast(block)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_afresh()
         b = held.value
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.numbers(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["doc_id", "words"])
@@ -298,7 +303,7 @@ def fit_block(docs: DataFrame, block: Benchmark, rank: int, share: float, likely
                 starts, sizes = b.near(w, share)
                 if len(starts):
                     rows += [w[a : a + n] for a, n in zip(starts, sizes, strict=True)]
-                    if len(rows) > 2000:
+                    if len(rows) > SKETCHED:
                         sketch_rows(b, rows, o, y)
                         rows = []
             sketch_rows(b, rows, o, y)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, id_crc
+from .common import cut, give_back, id_crc, start_afresh
 
 BITS = 15
 #: A text is ambiguous if its second codeword costs less than this more per bit.
@@ -75,6 +75,7 @@ def train(docs: DataFrame) -> LanguageModel:
     as many weights as codewords have bits (some tens, by the logarithm of the number of languages)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_afresh()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
