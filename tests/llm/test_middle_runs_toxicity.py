@@ -58,6 +58,8 @@ def test_fill_in_middle_in_parts(spark, docs, monkeypatch):
 def test_separator_is_in_no_text():
     texts = pa.array(["".join(map(chr, range(1, 40))), "\x28", None])
     assert middle.separator(texts.fill_null("")) == "\x29"
+    ascii_text = "".join(map(chr, range(1, 92)))
+    assert middle.separator(pa.array([ascii_text])) == "]" and "".join(middle.units_of(pa.array([ascii_text])).to_pylist()[0]) == ascii_text
     assert middle.units_of(pa.array(["ab1\x01", ""])).to_pylist() == [["ab", "1", "\x01"], [""]]
 
 

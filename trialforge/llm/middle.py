@@ -21,9 +21,9 @@ NAMES = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
 
 
 def separator(texts: pa.Array) -> str:
-    """The first code point that none of the texts holds."""
+    """The first code point that none of the texts holds, but for the backslash, which the marking would read as its own."""
     code = 1
-    while pc.any(pc.match_substring(texts, chr(code))).as_py():
+    while chr(code) == "\\" or pc.any(pc.match_substring(texts, chr(code))).as_py():
         code = 0xE000 if code == 0xD7FF else code + 1
     return chr(code)
 
