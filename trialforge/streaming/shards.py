@@ -61,7 +61,7 @@ def resume(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> St
     def work(batch: DataFrame, number: int) -> None:
         rows = batch.dropDuplicates(keys) if keys else batch
         if number:
-            done = batch.sparkSession.read.schema(batch.schema.add("batch", "long")).parquet(path).where(F.col("batch") < number)
+            done = batch.sparkSession.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(path).where(F.col("batch") < number)
             rows = rows.join(done.select(*keys).distinct(), keys, "left_anti")
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
