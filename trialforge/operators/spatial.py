@@ -23,8 +23,7 @@ def within_radius(a: DataFrame, b: DataFrame, unit: Sequence[str], radius: str |
     r = F.lit(float(radius)) if isinstance(radius, (int, float)) else F.col(radius)
     cells = {f"c{k}": F.floor(F.col(k) / r) for k in XYZ}
     near = b.select(*unit, *[F.col(k).alias(f"b{k}") for k in XYZ], *[c.alias(n) for n, c in cells.items()]).distinct()
-    for k in XYZ:
-        near = near.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + i for i in (-1, 0, 1)])))
+    near = around(near, list(cells))
     own = a.withColumns(cells)
     d2 = sum(((F.col(k) - F.col(f"b{k}")) * (F.col(k) - F.col(f"b{k}")) for k in XYZ), F.lit(0.0))
     own, near = own.alias("own"), near.alias("near")
@@ -52,13 +51,38 @@ def few_within_radius(a: DataFrame, b: DataFrame, unit: Sequence[str], radius: s
     return near.join(own, on, "left_semi").drop(*cells).dropDuplicates(list(ids))
 
 
+def cross_hits(a: DataFrame, b: DataFrame, unit: Sequence[str], mine: Sequence[str], theirs: Sequence[str], radius: float, few: bool = False) -> DataFrame:
+    """a(unit, mine, x, y, z), b(unit, theirs, x, y, z) -> (unit, mine, theirs, n, hits): for each group of a and each group of
+    b in its unit, how many points a's group has and how many of them have a point of b's group at `radius` or less. few:
+    a is the smaller side.
+
+    Points are counted by cells whose diagonal is under the radius: what shares a cell with a point of the other group is
+    a hit without meeting it, so crowded cells cost as much as others. Only points in cells without one are dealt to the
+    other's groups and meet points around them. Coordinates must be numbers; others are no hits."""
+    unit, mine, theirs = list(unit), list(mine), list(theirs)
+    size, small = radius * (0.999999 / 3**0.5), [f"s{k}" for k in XYZ]
+    # what isn't finite has no cell
+    cell = lambda df: df.withColumns({f"s{k}": F.when(F.abs(k) < 1e15 * size, F.floor(F.col(k) / size)) for k in XYZ})
+    places = cut(cell(a.groupBy(*unit, *mine, *XYZ).agg(F.count(F.lit(1)).alias("n"))))
+    cells = cut(places.groupBy(*unit, *mine, *small).agg(F.sum("n").alias("n")))
+    there = cut(cell(b).select(*unit, *theirs, *small).distinct())
+    groups = there.select(*unit, *theirs).distinct()
+    keys = [*unit, *mine, *theirs]
+    total = cells.groupBy(*unit, *mine).agg(F.sum("n").alias("n")).join(groups, unit)
+    sure = cells.join(there, [*unit, *small]).select(*keys, F.col("n").alias("hits"))
+    open_cells = cells.select(*unit, *small).distinct().join(groups, unit).join(there, [*unit, *theirs, *small], "left_anti")
+    asked = places.join(open_cells, [*unit, *small]).select(*keys, *XYZ, "n")
+    met = few_within_radius(asked, b, [*unit, *theirs], radius, [*keys, *XYZ]) if few else within_radius(asked, b, [*unit, *theirs], radius)
+    hits = sure.unionByName(met.select(*keys, F.col("n").alias("hits"))).groupBy(*keys).agg(F.sum("hits").alias("hits"))
+    return total.join(hits, keys, "left").select(*keys, "n", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
 def pairs_within(a: DataFrame, b: DataFrame, unit: Sequence[str], radius: float) -> DataFrame:
     """(unit, a, b, dist): the pids of all points of a and b of one unit at `radius` or less, found in cells of the radius."""
     cell = lambda k: F.floor(F.col(k) / F.lit(float(radius)))
     own = a.select(*unit, F.col("pid").alias("a"), *[F.col(k).alias(f"a{k}") for k in XYZ], *[cell(k).alias(f"c{k}") for k in XYZ])
     near = b.select(*unit, F.col("pid").alias("b"), *[F.col(k).alias(f"b{k}") for k in XYZ], *[cell(k).alias(f"c{k}") for k in XYZ])
-    for k in XYZ:
-        near = near.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + i for i in (-1, 0, 1)])))
+    near = around(near, [f"c{k}" for k in XYZ])
     d2 = sum(((F.col(f"a{k}") - F.col(f"b{k}")) * (F.col(f"a{k}") - F.col(f"b{k}")) for k in XYZ), F.lit(0.0))
     met = own.join(near, [*unit, *[f"c{k}" for k in XYZ]])
     return met.select(*unit, "a", "b", F.sqrt(d2).alias("dist")).where(F.col("dist") <= radius)
@@ -170,10 +194,11 @@ def nearest(queries: DataFrame, targets: DataFrame, unit: str) -> DataFrame:
 
 
 def around(df: DataFrame, cells: Sequence[str]) -> DataFrame:
-    """Each row in the 27 cells around its own."""
+    """Each row in the 27 cells around its own, to be joined by sorting: Spark takes the rows for as few as they were before
+    and would send what is 27 times as large through the driver."""
     for c in cells:
         df = df.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
-    return df
+    return df.hint("merge")
 
 
 def widths_of(queries: DataFrame) -> DataFrame:

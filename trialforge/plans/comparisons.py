@@ -58,18 +58,14 @@ def pair_ratio(spark, d):
     return rounded(R.summary(p, ["load_case"], plain, {"median_ratio": ("ratio", 0.5)}), "win", "median_ratio")
 
 
-def crossed(spark, d) -> DataFrame:
-    """(object, load_case, of, method, n_a, m_a, n_g, m_g): anchors that a method placed for load case `of` of an object,
-    against the hot points of each load case of the same object."""
-    gt, a = cut(hot_points(spark, d)), cut(placed_anchors(spark, d))
-    keys = ["object", "load_case", "of", "method"]
-    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    cases = gt.select("object", "load_case").distinct()  # five load cases an object at most
-    dealt = a.join(cases, "object")
-    asked = gt.join(a.select("object", "of", "method").distinct(), "object")
-    hit_a = S.within_radius(dealt, gt, ["object", "load_case"], CROSS_RADIUS)
-    hit_g = S.within_radius(asked, a, ["object", "of", "method"], CROSS_RADIUS)
-    return count(dealt, "n_a").join(count(hit_a, "m_a"), keys, "left").join(count(asked, "n_g"), keys).join(count(hit_g, "m_g"), keys, "left").fillna(0)
+def crossed(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Anchors that a method placed for load case `of` of an object, and the hot points of each load case of the objects."""
+    return placed_anchors(spark, d), cut(hot_points(spark, d))
+
+
+def anchor_hits(a: DataFrame, gt: DataFrame) -> DataFrame:
+    """(object, load_case, of, method, n_a, m_a): anchors, and those near a hot point of the load case, of the same object."""
+    return S.cross_hits(a, gt, ["object"], ["of", "method"], ["load_case"], CROSS_RADIUS).withColumnsRenamed({"n": "n_a", "hits": "m_a"})
 
 
 CROSS_RADIUS = 25.0
@@ -92,7 +88,7 @@ def placed_anchors(spark, d) -> DataFrame:
 @query("select load_case, of, method, cast(sum(n_a) as bigint) as n, cast(sum(m_a) as bigint) as hits from crossed where load_case <> of group by 1, 2, 3", **X1)
 def load_discrimination(spark, d):
     """Anchors placed for one load case of an object against the hot points of its other load cases, by method."""
-    c = crossed(spark, d).where("load_case <> of")
+    c = anchor_hits(*crossed(spark, d)).where("load_case <> of")
     return c.groupBy("load_case", "of", "method").agg(F.sum("n_a").alias("n"), F.sum("m_a").alias("hits"))
 
 
@@ -101,7 +97,10 @@ def discrimination_gain(spark, d):
     """How much better a method's anchors fit the load case that they were placed for than those for its object's other load cases do."""
     values = dict(zip("prf", S.prf(F.col("m_a"), F.col("n_a"), F.col("m_g"), F.col("n_g")), strict=True))
     own = F.col("of") == F.col("load_case")
-    n = crossed(spark, d).select("object", "load_case", "method", "of", *[v.alias(k) for k, v in values.items()])
+    a, gt = crossed(spark, d)
+    a = cut(a)
+    back = S.cross_hits(gt, a, ["object"], ["load_case"], ["of", "method"], CROSS_RADIUS, few=True).withColumnsRenamed({"n": "n_g", "hits": "m_g"})
+    n = anchor_hits(a, gt).join(back, ["object", "load_case", "of", "method"]).select("object", "load_case", "method", "of", *[v.alias(k) for k, v in values.items()])
     g = n.groupBy("object", "load_case", "method").agg(F.count_if(~own).alias("n_mismatch"), *[x for k in "prf" for x in (F.max(F.when(own, F.col(k))).alias(k), F.avg(F.when(~own, F.col(k))).alias(f"{k}x"))])
     gain = {k: r6(F.col(k) - F.col(f"{k}x"), f"gain_{n}") for k, n in zip("prf", ("precision", "recall", "f1"), strict=True)}
     return g.where("p is not null and n_mismatch > 0").select("object", "load_case", "method", "n_mismatch", r6(F.col("p"), "precision_matched"), r6(F.col("r"), "recall_matched"), *gain.values())
