@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from trialforge.operators import spatial as S
 
@@ -42,3 +43,33 @@ def test_cross_hits_are_those_of_all_pairs(spark):
             if mine and theirs:
                 want[u, of, m, case] = len(mine), sum(any(near(p, q) for q in theirs) for p in mine)
         assert got == want
+
+
+def test_thinning_walks_small_units_and_goes_in_rounds_through_large_ones(spark, monkeypatch):
+    from trialforge.operators import select as K
+
+    _, p = scattered(spark, 400, {"u": 3}, 5)
+    p = p.unionByName(spark.createDataFrame([(1000 + i, 7, 1.0, 1.0, float(i)) for i in range(4)], p.schema))
+    most = spark.createDataFrame([(0, 7), (1, 0)], "u int, n long")
+    order = [F.col("z"), -F.col("pid")]
+    for limit in (None, most):
+        walked, rounds, mixed = (sorted(map(tuple, K.spread(p, ["u"], order, 9.0, limit, walk=w).collect())) for w in (1000, 0, 50))
+        assert walked == rounds == mixed and len(walked) > 20
+    monkeypatch.setattr(K, "spread_in_rounds", None)  # small units need no round
+    assert K.spread(p, ["u"], order, 9.0).count() > 20
+
+
+def test_points_apart_by_a_plain_walk():
+    from trialforge.operators.select import first_apart
+
+    rng = np.random.default_rng(4)
+    for radius in (0.0, 1.0, 7.5, -3.0):
+        p = np.round(rng.normal(0, 8, (400, 3)), 1)
+        p[::7] = p[1]
+        want: list[int] = []
+        for i in range(len(p)):
+            if all(((p[i] - p[j]) ** 2).sum() > radius * radius for j in want):
+                want.append(i)
+        assert first_apart(*p.T, radius, None) == want and first_apart(*p.T, radius, 5) == want[:5]
+    odd = np.array([[0, 0, np.nan], [0, 0, np.nan], [np.inf, 0, 0], [0, 0, 0], [0, 0, 0.5]], float)
+    assert first_apart(*odd.T, 1.0, None) == [0, 1, 2, 3] and first_apart(*odd.T, None, None) == [0, 1, 2, 3, 4]

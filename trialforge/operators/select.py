@@ -9,8 +9,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import cut
 from .components import connected_components
@@ -21,11 +23,68 @@ from .spatial import XYZ
 SQUARE = lambda a, b: sum(((F.col(f"{a}{k}") - F.col(f"{b}{k}")) * (F.col(f"{a}{k}") - F.col(f"{b}{k}")) for k in XYZ), F.lit(0.0))
 
 
-def spread(points: DataFrame, unit: Sequence[str], order: Sequence[Column], radius: str | float, most: DataFrame | None = None) -> DataFrame:
+#: Points of a unit up to which one task walks through it.
+WALK = 1 << 16
+
+
+def first_apart(x: np.ndarray, y: np.ndarray, z: np.ndarray, radius: float | None, most: int | None) -> list[int]:
+    """The points that are kept when they are met in order, each further than the radius from all kept before, `most` at
+    most. Kept ones lie in cells as wide as the radius, of which each holds a few, so a point costs the same in any crowd."""
+    n, kept, cells = len(x), [], {}
+    most = n if most is None else most
+    if radius is None:
+        return list(range(min(n, most)))
+    square, wide = radius * radius, abs(radius) * 1.000001 or 1.0
+    # different cells may share a number: distances tell
+    p, q = 1 << 42, 1 << 21
+    steps = sorted((a * p + b * q + c for a, b, c in itertools.product((-1, 0, 1), repeat=3)), key=abs)
+    inside = (np.isfinite(x) & np.isfinite(y) & np.isfinite(z)).tolist()
+    for i, (u, v, w, ok) in enumerate(zip(x.tolist(), y.tolist(), z.tolist(), inside, strict=True)):
+        if len(kept) >= most:
+            break
+        if ok:
+            cell = int(u // wide) * p + int(v // wide) * q + int(w // wide)
+            if any((u - a) * (u - a) + (v - b) * (v - b) + (w - c) * (w - c) <= square for s in steps if s + cell in cells for a, b, c in cells[s + cell]):
+                continue
+            cells.setdefault(cell, []).append((u, v, w))
+        kept.append(i)
+    return kept
+
+
+def spread(points: DataFrame, unit: Sequence[str], order: Sequence[Column], radius: str | float, most: DataFrame | None = None, walk: int = WALK) -> DataFrame:
     """The points that are kept when those of a unit are met in order, each that lies further than `radius` from all kept
     before, with seq, their number from 1. `radius` is a number or a column that is fixed per unit; `order` must tell the
     points of a unit apart. most(unit, n): a unit stops at n points; units that it lacks are not bounded.
 
+    Units of up to `walk` points are dealt over the tasks and walked through in order: one shuffle, and work that grows with
+    the points. Larger ones go in rounds (spread_in_rounds), so that no task holds one."""
+    unit = list(unit)
+    r = F.lit(float(radius)) if isinstance(radius, (int, float)) else F.col(radius).cast("double")
+    key = F.struct(F.lit(0).alias("all"), *unit).alias("__k")
+    rows = cut(points.select("*", key, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("__o")))
+    large = cut(rows.groupBy("__k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > walk).select("__k"))
+    some = not large.isEmpty()
+    small = rows.join(large, "__k", "left_anti") if some else rows
+    limit = F.lit(None).cast("long")
+    if most is not None:
+        small, limit = small.join(most.select(key, F.col("n").cast("long").alias("__n")), "__k", "left"), F.col("__n")
+    place = F.row_number().over(Window.partitionBy("__k").orderBy("__o"))
+    small = small.select("__k", place.alias("__place"), *[F.col(k).cast("double").alias(f"__{k}") for k in XYZ], r.alias("__r"), limit.alias("__most"), *points.columns)
+    names = points.columns
+
+    def kept(t: pa.Table) -> pa.Table:
+        t = t.sort_by("__place")
+        x, y, z = (t.column(f"__{k}").to_numpy().astype(float) for k in XYZ)
+        at = first_apart(x, y, z, t.column("__r")[0].as_py(), t.column("__most")[0].as_py())
+        return t.select(names).take(pa.array(at, pa.int64())).append_column("seq", pa.array(range(1, len(at) + 1), pa.int64()))
+
+    out = small.groupBy("__k").applyInArrow(kept, T.StructType([*points.schema.fields, T.StructField("seq", T.LongType())]))
+    return out.unionByName(spread_in_rounds(rows.join(large, "__k", "left_semi").select(*names), unit, order, radius, most)) if some else out
+
+
+def spread_in_rounds(points: DataFrame, unit: Sequence[str], order: Sequence[Column], radius: str | float, most: DataFrame | None = None) -> DataFrame:
+    """spread() of units of any size.
+
     In rounds: the first undecided point of each small cell (in which all points are neighbours) is kept if no undecided
     neighbour comes before it, and the neighbours of kept ones go. That keeps just what the walk in order does. A round
     costs a semi and an anti join on cells twice the radius wide, into which only those first points are dealt, up to
