@@ -73,3 +73,14 @@ def test_points_apart_by_a_plain_walk():
         assert first_apart(*p.T, radius, None) == want and first_apart(*p.T, radius, 5) == want[:5]
     odd = np.array([[0, 0, np.nan], [0, 0, np.nan], [np.inf, 0, 0], [0, 0, 0], [0, 0, 0.5]], float)
     assert first_apart(*odd.T, 1.0, None) == [0, 1, 2, 3] and first_apart(*odd.T, None, None) == [0, 1, 2, 3, 4]
+
+
+def test_faces_meet_at_their_edge_in_one_shuffle_of_their_corners(spark):
+    """What follows from the corners isn't shuffled, and a face is sent once for each edge."""
+    from tests.conftest import SF
+    from trialforge.plans import meshes as M
+
+    plan = plan_of(M.hinges_of(M.triangles(spark, SF)))
+    assert "SortAggregate" not in plan and "Window" in plan
+    carried = M.adjacency(M.triangles(spark, SF), ["a", "b", "c", "pa", "pb", "pc"])
+    assert [f.name for f in carried.schema["f1"].dataType.fields] == ["face", "a", "b", "c", "pa", "pb", "pc"]

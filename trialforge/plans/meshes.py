@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import ranges as O
@@ -66,18 +66,22 @@ def triangles(spark, d) -> DataFrame:
 
 def adjacency(f: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """(object, u, v, f1, f2): edges that two faces of an object share; f1 and f2 are structs of face and the columns in
-    carry. Faces meet at their edge with all they carry, so nothing is joined back to them."""
-    edge = lambda p, q: F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"), F.struct("face", *(carry or [])).alias("f"))
-    e = f.select("object", F.explode(F.array(edge("a", "b"), edge("b", "c"), edge("c", "a"))).alias("e")).select("object", "e.*")
-    return e.groupBy("object", "u", "v").agg(F.min("f").alias("f1"), F.max("f").alias("f2"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
-
-
-def with_normals(t: DataFrame) -> DataFrame:
-    """Triangles with their centre (m) and unit normal (n), by column algebra."""
-    s = lambda k, i: F.col(f"p{k}")[i] - F.col("pa")[i]
+    carry. Faces meet at their edge with all they carry, each once, so nothing is joined back to them."""
+    edge = lambda p, q: F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"))
+    e = f.select("object", F.struct("face", *(carry or [])).alias("f1"), F.explode(F.array(edge("a", "b"), edge("b", "c"), edge("c", "a"))).alias("e")).select("object", "e.*", "f1", F.col("f1.face").alias("face"))
+    edges = Window.partitionBy("object", "u", "v")
+    e = e.withColumns({"f2": F.lead("f1").over(edges.orderBy("face")), "k": F.row_number().over(edges.orderBy("face")), "n": F.count(F.lit(1)).over(edges)})
+    return e.where("k = 1 and n = 2").select("object", "u", "v", "f1", "f2")
+
+
+def with_normals(t: DataFrame, of: str = "", name: str = "") -> DataFrame:
+    """Triangles with their centre (m), unit normal (n) and twice their area (area2), by column algebra; `of` is the prefix of
+    the corners' places, `name` what the new columns' names end in."""
+    p = lambda k, i: F.col(f"{of}p{k}")[i]
+    s = lambda k, i: p(k, i) - p("a", i)
     cross = F.array(*[s("b", (i + 1) % 3) * s("c", (i + 2) % 3) - s("b", (i + 2) % 3) * s("c", (i + 1) % 3) for i in range(3)])
-    t = t.withColumn("m", F.array(*[(F.col("pa")[i] + F.col("pb")[i] + F.col("pc")[i]) / 3 for i in range(3)])).withColumn("n", cross)
-    return t.withColumn("area2", F.sqrt(dot("n", "n"))).withColumn("n", F.transform("n", lambda x: x / F.col("area2")))
+    t = t.withColumn(f"m{name}", F.array(*[(p("a", i) + p("b", i) + p("c", i)) / 3 for i in range(3)])).withColumn(f"n{name}", cross)
+    return t.withColumn(f"area2{name}", F.sqrt(dot(f"n{name}", f"n{name}"))).withColumn(f"n{name}", F.transform(f"n{name}", lambda x: x / F.col(f"area2{name}")))
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -91,17 +95,21 @@ def minus(a: str, b: str) -> Column:
 
 def hinges(spark, d) -> DataFrame:
     """Adjacent faces with the cosine between their normals, how far the second one's centre lies before the first, the
-    length of their edge, its ends and both centres."""
-    return hinges_of(with_normals(triangles(spark, d)))
+    length of their edge, its ends, both centres, and the faces' corners and areas (t1, t2)."""
+    return hinges_of(triangles(spark, d))
 
 
 def hinges_of(t: DataFrame) -> DataFrame:
-    """hinges() of triangles with normals."""
-    t = t.withColumn("at", F.array(*[F.struct(F.col(x).alias("id"), F.col(f"p{x}").alias("p")) for x in "abc"]))
-    j = adjacency(t, ["n", "m", "at"])
-    place = lambda v: F.get(F.filter("f1.at", lambda x: x["id"] == F.col(v)), F.lit(0))["p"]
+    """hinges() of triangles. Faces bring their corners alone; what follows from these is worked out where they meet."""
+    j = adjacency(t, ["a", "b", "c", "pa", "pb", "pc"])
+    j = with_normals(with_normals(j, "f1.", "_1"), "f2.", "_2")
+    place = lambda v: F.when(F.col("f1.a") == F.col(v), F.col("f1.pa")).when(F.col("f1.b") == F.col(v), F.col("f1.pb")).otherwise(F.col("f1.pc"))
     j = j.withColumn("pu", place("u")).withColumn("pv", place("v")).withColumn("side", minus("pu", "pv"))
-    return j.select("object", F.col("f1.face").alias("f1"), F.col("f2.face").alias("f2"), dot("f1.n", "f2.n").alias("cosine"), dot(minus("f2.m", "f1.m"), "f1.n").alias("inward"), F.sqrt(dot("side", "side")).alias("length"), "pu", "pv", F.col("f1.m").alias("m1"), F.col("f2.m").alias("m2"))
+    corners = [F.struct(*[F.col(f"f{k}.{c}").alias(c) for c in ("face", "pa", "pb", "pc")], F.col(f"area2_{k}").alias("area2")).alias(f"t{k}") for k in (1, 2)]
+    return j.select(
+        "object", F.col("f1.face").alias("f1"), F.col("f2.face").alias("f2"), dot("n_1", "n_2").alias("cosine"), dot(minus("m_2", "m_1"), "n_1").alias("inward"),
+        F.sqrt(dot("side", "side")).alias("length"), "pu", "pv", F.col("m_1").alias("m1"), F.col("m_2").alias("m2"), *corners,
+    )
 
 
 def angle(low: float, high: float) -> Column:
@@ -175,7 +183,7 @@ FACE_POINTS = "select object, (a_x + b_x + c_x) / 3.0 as x, (a_y + b_y + c_y) /
 def density_screen(spark, d):
     """How many different anchors an object would get along its sharp concave edges and on the faces beside them, and whether
     these are too many, before anything is worked out on them."""
-    h = cut(hinges(spark, d).where(angle(8.0, 180.0) & (F.col("inward") > 0)))
+    h = cut(hinges(spark, d).where(angle(8.0, 180.0) & (F.col("inward") > 0)).select("object", "pu", "pv", "length", "m1", "m2"))
     n = F.greatest(F.lit(2), F.ceil(F.col("length") / 0.5).cast("int"))
     along = h.select("object", "pu", "pv", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
     along = along.select("object", F.array(*[F.col("pu")[i] + (F.col("pv")[i] - F.col("pu")[i]) * F.col("k") / (F.col("n") - 1) for i in range(3)]).alias("p"))
@@ -193,10 +201,9 @@ def anchors_along(h: DataFrame, spacing: DataFrame) -> DataFrame:
     return along.select("object", "f1", "f2", "k", *[at(i).alias(a) for i, a in enumerate("xyz")])
 
 
-def anchors_on(t: DataFrame, faces: DataFrame, spacing: DataFrame) -> DataFrame:
-    """(object, k, face, x, y, z): area_samples of triangles with normals on the listed (object, face), ceil(area / spacing ** 2)
-    for each object."""
-    t = cut(t.join(faces.distinct(), ["object", "face"], "left_semi").select("object", "face", "pa", "pb", "pc", F.floor(F.col("area2") / 2 * 1000000).cast("long").alias("units")))
+def anchors_on(t: DataFrame, spacing: DataFrame) -> DataFrame:
+    """(object, k, face, x, y, z): area_samples of triangles with areas, ceil(area / spacing ** 2) for each object."""
+    t = cut(t.select("object", "face", "pa", "pb", "pc", F.floor(F.col("area2") / 2 * 1000000).cast("long").alias("units")))
     total = t.groupBy("object").agg(F.sum("units").alias("total")).where("total > 0").join(spacing, "object")
     n = F.ceil(F.col("total") / (1000000 * F.col("spacing") * F.col("spacing"))).cast("int")
     k = total.select("object", "total", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
@@ -216,12 +223,12 @@ def screen_parts(t: DataFrame, sharp: float, smooth: float, most: int) -> DataFr
     box = t.select("object", corner).groupBy("object").agg(*[f(F.col("p")[i]).alias(f"{n}{i}") for i in range(3) for n, f in (("lo", F.min), ("hi", F.max))])
     diagonal = F.sqrt(sum(((F.col(f"hi{i}") - F.col(f"lo{i}")) * (F.col(f"hi{i}") - F.col(f"lo{i}")) for i in range(3)), F.lit(0.0)))
     spacing = cut(box.select("object", (diagonal / (66.667 * 2)).alias("spacing")))
-    h = cut(hinges_of(t).where(F.col("inward") > 0))
+    h = cut(hinges_of(t).where(F.col("inward") > 0).drop("m1", "m2", "t1", "t2"))
     near = spacing.select("object", (0.75 * F.col("spacing")).alias("near"))
     thin = lambda p, *order: K.spread(p.join(near, "object"), ["object"], [F.col(c) for c in order], "near")
     along = thin(anchors_along(h.where(angle(sharp, 180.0)), spacing), "f1", "f2", "k")
     faces = h.where(angle(smooth, sharp)).select("object", F.explode(F.array("f1", "f2")).alias("face"))
-    on = thin(anchors_on(t, faces, spacing), "k")
+    on = thin(anchors_on(t.join(faces.distinct(), ["object", "face"], "left_semi"), spacing), "k")
     places = [p.select("object", *[F.round(a, 4).alias(a) for a in "xyz"]) for p in (along, on)]
     n = places[0].unionByName(places[1]).distinct().groupBy("object").agg(F.count(F.lit(1)).alias("anchors"))
     sides = t.select("object", F.explode(F.array(*[F.struct(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")) for u, v in (("a", "b"), ("b", "c"), ("c", "a"))])).alias("e"))
@@ -315,7 +322,7 @@ def area_samples(spark, d):
     """Random points on an object's concave faces: ceil(area / spacing ** 2) draws, which fall on faces by their areas, at
     barycentric weights; all chances are seeded hashes of the draw. Areas count in millionths, as whole numbers."""
     h = hinges(spark, d).where(angle(1.0, 5.0) & (F.col("inward") > 0))
-    concave = h.select("object", F.explode(F.array("f1", "f2")).alias("face"))
-    t = with_normals(triangles(spark, d))
-    r = anchors_on(t, concave, t.select("object").distinct().withColumn("spacing", F.lit(0.5)))
+    concave = h.select("object", F.explode(F.array("t1", "t2")).alias("t")).select("object", "t.*").dropDuplicates(["object", "face"])
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.floor(F.col("vec_id") / 50).cast("long").alias("object")).distinct()
+    r = anchors_on(concave, rows.withColumn("spacing", F.lit(0.5)))
     return r.select("object", "face", "k", *[F.round(a, 6).alias(a) for a in "xyz"])
