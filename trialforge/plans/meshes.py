@@ -100,9 +100,10 @@ def hinges(spark, d) -> DataFrame:
 
 
 def hinges_of(t: DataFrame) -> DataFrame:
-    """hinges() of triangles. Faces bring their corners alone; what follows from these is worked out where they meet."""
-    j = adjacency(t, ["a", "b", "c", "pa", "pb", "pc"])
-    j = with_normals(with_normals(j, "f1.", "_1"), "f2.", "_2")
+    """hinges() of triangles. Faces bring their corners and normals, which are worked out once for each, before they meet."""
+    carried = ["n", "m", "area2"]
+    j = adjacency(with_normals(t), ["a", "b", "c", "pa", "pb", "pc", *carried])
+    j = j.withColumns({f"{c}_{k}": F.col(f"f{k}.{c}") for c in carried for k in (1, 2)})
     place = lambda v: F.when(F.col("f1.a") == F.col(v), F.col("f1.pa")).when(F.col("f1.b") == F.col(v), F.col("f1.pb")).otherwise(F.col("f1.pc"))
     j = j.withColumn("pu", place("u")).withColumn("pv", place("v")).withColumn("side", minus("pu", "pv"))
     corners = [F.struct(*[F.col(f"f{k}.{c}").alias(c) for c in ("face", "pa", "pb", "pc")], F.col(f"area2_{k}").alias("area2")).alias(f"t{k}") for k in (1, 2)]
