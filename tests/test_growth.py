@@ -84,3 +84,35 @@ def test_faces_meet_at_their_edge_in_one_shuffle_of_their_corners(spark):
     assert "SortAggregate" not in plan and "Window" in plan
     carried = M.adjacency(M.triangles(spark, SF), ["a", "b", "c", "pa", "pb", "pc"])
     assert [f.name for f in carried.schema["f1"].dataType.fields] == ["face", "a", "b", "c", "pa", "pb", "pc"]
+
+
+def test_points_that_repeat_meet_no_cell_and_batches_share_a_walk():
+    from trialforge.operators.select import Walk
+
+    rng = np.random.default_rng(8)
+    p = np.round(rng.uniform(0, 20, (600, 3)), 0)
+    p[300:] = p[:300]
+    w = Walk(3.0, None)
+    parts = [w.meet(*p[a : a + 150].T) for a in range(0, 600, 150)]
+    assert [150 * n + i for n, part in enumerate(parts) for i in part] == Walk(3.0, None).meet(*p.T) and parts[2:] == [[], []]
+    assert w.kept == sum(map(len, parts)) and len(w.met) <= 300
+
+
+def test_thinning_shuffles_the_points_own_columns_once(spark, tmp_path):
+    from trialforge.operators import select as K
+
+    _, p = scattered(spark, 200, {"u": 3}, 6)
+    most = spark.createDataFrame([(0, 7)], "u int, n long")
+    plan = plan_of(K.spread(p, ["u"], [F.col("z"), F.col("pid")], 9.0, most))
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "Join" not in plan and plan.count("Exchange hash") == 1
+
+
+def test_faces_meet_without_what_hinges_do_not_ask_for(spark):
+    from tests.conftest import SF
+    from trialforge.plans import meshes as M
+
+    h = M.hinges_of(M.triangles(spark, SF))
+    sent = next(line for line in h._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line)
+    assert "t1" not in h.columns and "area2" not in sent
+    alone = M.hinges_of(M.triangles(spark, SF), alone=True)
+    assert alone.where("f2 is not null").count() == h.count() and alone.where("f2 is null").count() > 0

@@ -5,7 +5,7 @@ They go in rounds of joins and aggregates, or of blocks, over all groups at once
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,28 +27,62 @@ SQUARE = lambda a, b: sum(((F.col(f"{a}{k}") - F.col(f"{b}{k}")) * (F.col(f"{a}{
 WALK = 1 << 16
 
 
+class Walk:
+    """Points of a unit met in order, of which those are kept that lie further than the radius from all kept before, `most` at
+    most. Kept ones lie in cells twice the radius wide, of which each holds a few and eight can be near a point, so a point
+    costs the same in any crowd; one that repeats an earlier one costs a look-up."""
+
+    def __init__(self, radius: float | None, most: int | None):
+        self.radius, self.most, self.kept = radius, most, 0
+        self.cells: dict[int, list[tuple[float, float, float]]] = {}
+        self.met: set[tuple[float, float, float]] = set()
+
+    def meet(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> list[int]:
+        """Which of the next points are kept."""
+        room = len(x) if self.most is None else max(0, self.most - self.kept)
+        out = list(range(min(len(x), room))) if self.radius is None else self._apart(np.stack((x, y, z)), room)
+        self.kept += len(out)
+        return out
+
+    def _apart(self, p: np.ndarray, room: int) -> list[int]:
+        out: list[int] = []
+        cells, met, square, wide = self.cells, self.met, self.radius * self.radius, 2 * abs(self.radius) * 1.000001 or 1.0
+        inside = np.isfinite(p).all(0)
+        place = np.where(inside, p, 0.0) / wide
+        own = np.floor(place)
+        side = np.where(place - own < 0.5, -1, 1)
+        own = own.astype(np.int64) if np.abs(own).max(initial=0) < 1 << 20 else np.frompyfunc(int, 1, 1)(own)
+        # the own cell and those on the nearer side of each axis; different cells may share a number: distances tell
+        near = np.zeros((8, p.shape[1]), own.dtype)
+        for n, steps in enumerate(itertools.product((0, 1), repeat=3)):
+            for k, (step, weight) in enumerate(zip(steps, (1 << 42, 1 << 21, 1), strict=True)):
+                near[n] += (own[k] + step * side[k]) * weight
+        for n, (at, ok, around) in enumerate(zip(zip(*p.tolist(), strict=True), inside.tolist(), near.T.tolist(), strict=True)):
+            if len(out) >= room:
+                break
+            if ok:
+                if at in met:
+                    continue
+                met.add(at)
+                u, v, w = at
+                for s in around:
+                    for a, b, c in cells.get(s, ()):
+                        if (u - a) * (u - a) + (v - b) * (v - b) + (w - c) * (w - c) <= square:
+                            break
+                    else:
+                        continue
+                    break
+                else:
+                    cells.setdefault(around[0], []).append(at)
+                    out.append(n)
+            else:
+                out.append(n)
+        return out
+
+
 def first_apart(x: np.ndarray, y: np.ndarray, z: np.ndarray, radius: float | None, most: int | None) -> list[int]:
-    """The points that are kept when they are met in order, each further than the radius from all kept before, `most` at
-    most. Kept ones lie in cells as wide as the radius, of which each holds a few, so a point costs the same in any crowd."""
-    n, kept, cells = len(x), [], {}
-    most = n if most is None else most
-    if radius is None:
-        return list(range(min(n, most)))
-    square, wide = radius * radius, abs(radius) * 1.000001 or 1.0
-    # different cells may share a number: distances tell
-    p, q = 1 << 42, 1 << 21
-    steps = sorted((a * p + b * q + c for a, b, c in itertools.product((-1, 0, 1), repeat=3)), key=abs)
-    inside = (np.isfinite(x) & np.isfinite(y) & np.isfinite(z)).tolist()
-    for i, (u, v, w, ok) in enumerate(zip(x.tolist(), y.tolist(), z.tolist(), inside, strict=True)):
-        if len(kept) >= most:
-            break
-        if ok:
-            cell = int(u // wide) * p + int(v // wide) * q + int(w // wide)
-            if any((u - a) * (u - a) + (v - b) * (v - b) + (w - c) * (w - c) <= square for s in steps if s + cell in cells for a, b, c in cells[s + cell]):
-                continue
-            cells.setdefault(cell, []).append((u, v, w))
-        kept.append(i)
-    return kept
+    """The points that are kept when they are met in order, as of Walk."""
+    return Walk(radius, most).meet(x, y, z)
 
 
 def spread(points: DataFrame, unit: Sequence[str], order: Sequence[Column], radius: str | float, most: DataFrame | None = None, walk: int = WALK) -> DataFrame:
@@ -56,30 +90,51 @@ def spread(points: DataFrame, unit: Sequence[str], order: Sequence[Column], radi
     before, with seq, their number from 1. `radius` is a number or a column that is fixed per unit; `order` must tell the
     points of a unit apart. most(unit, n): a unit stops at n points; units that it lacks are not bounded.
 
-    Units of up to `walk` points are dealt over the tasks and walked through in order: one shuffle, and work that grows with
-    the points. Larger ones go in rounds (spread_in_rounds), so that no task holds one."""
-    unit = list(unit)
-    r = F.lit(float(radius)) if isinstance(radius, (int, float)) else F.col(radius).cast("double")
+    Units of up to `walk` points are dealt over the tasks, which walk through them as they come, sorted, batch by batch: one
+    shuffle of the points' own columns, and work that grows with the points. A unit's limit comes as a row before its
+    points. Larger units go in rounds (spread_in_rounds), so that no task walks through one."""
+    unit, names = list(unit), points.columns
+    fixed, bounded = float(radius) if isinstance(radius, (int, float)) else None, most is not None
     key = F.struct(F.lit(0).alias("all"), *unit).alias("__k")
-    rows = cut(points.select("*", key, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("__o")))
-    large = cut(rows.groupBy("__k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > walk).select("__k"))
+    rows = cut(points)
+    large = cut(rows.groupBy(*unit).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > walk).select(key))
     some = not large.isEmpty()
-    small = rows.join(large, "__k", "left_anti") if some else rows
-    limit = F.lit(None).cast("long")
-    if most is not None:
-        small, limit = small.join(most.select(key, F.col("n").cast("long").alias("__n")), "__k", "left"), F.col("__n")
-    place = F.row_number().over(Window.partitionBy("__k").orderBy("__o"))
-    small = small.select("__k", place.alias("__place"), *[F.col(k).cast("double").alias(f"__{k}") for k in XYZ], r.alias("__r"), limit.alias("__most"), *points.columns)
-    names = points.columns
-
-    def kept(t: pa.Table) -> pa.Table:
-        t = t.sort_by("__place")
-        x, y, z = (t.column(f"__{k}").to_numpy().astype(float) for k in XYZ)
-        at = first_apart(x, y, z, t.column("__r")[0].as_py(), t.column("__most")[0].as_py())
-        return t.select(names).take(pa.array(at, pa.int64())).append_column("seq", pa.array(range(1, len(at) + 1), pa.int64()))
-
-    out = small.groupBy("__k").applyInArrow(kept, T.StructType([*points.schema.fields, T.StructField("seq", T.LongType())]))
-    return out.unionByName(spread_in_rounds(rows.join(large, "__k", "left_semi").select(*names), unit, order, radius, most)) if some else out
+    small = rows.select("*", key).join(large, "__k", "left_anti").select(*names) if some else rows
+    place = F.row_number().over(Window.partitionBy(*unit).orderBy(*order))
+    if bounded:
+        types = {f.name: f.dataType for f in points.schema}
+        limits = most.select(*[F.col(c).cast(types[c]).alias(c) if c in unit else F.lit(None).cast(types[c]).alias(c) for c in names], F.col("n").cast("long").alias("__most"), F.lit(True).alias("__limit"))
+        small = small.withColumns({"__most": F.lit(None).cast("long"), "__limit": F.lit(False)}).unionByName(limits)
+        place = F.row_number().over(Window.partitionBy(*unit).orderBy(F.desc("__limit"), *order))
+    asked = [F.col(k).cast("double").alias(f"__{k}") for k in XYZ] + ([F.col(radius).cast("double").alias("__r")] if fixed is None else [])
+    small = small.select(*names, place.alias("__place"), *asked, *(["__most", "__limit"] if bounded else []))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = Walk(fixed, None)
+        for batch in batches:
+            at, seq = [], []
+            x, y, z = (batch.column(f"__{k}").to_numpy(zero_copy_only=False).astype(float) for k in XYZ)
+            starts = np.flatnonzero(batch.column("__place").to_numpy() == 1).tolist()
+            for a, b in itertools.pairwise([0, *starts, batch.num_rows]):
+                if a == b:
+                    continue
+                if batch.column("__place")[a].as_py() == 1:
+                    now, limit = Walk(fixed, None), bounded and batch.column("__limit")[a].as_py()
+                    if limit:
+                        now.most = batch.column("__most")[a].as_py()
+                        a += 1
+                        if a == b:
+                            continue
+                if now.kept == 0 and fixed is None:
+                    now.radius = batch.column("__r")[a].as_py()
+                found = now.meet(x[a:b], y[a:b], z[a:b])
+                at += [a + i for i in found]
+                seq += range(now.kept - len(found) + 1, now.kept + 1)
+            if at:
+                yield batch.select(names).take(pa.array(at, pa.int64())).append_column("seq", pa.array(seq, pa.int64()))
+
+    out = small.mapInArrow(kept, T.StructType([*points.schema.fields, T.StructField("seq", T.LongType())]))
+    return out.unionByName(spread_in_rounds(rows.select("*", key).join(large, "__k", "left_semi").select(*names), unit, order, radius, most)) if some else out
 
 
 def spread_in_rounds(points: DataFrame, unit: Sequence[str], order: Sequence[Column], radius: str | float, most: DataFrame | None = None) -> DataFrame:
