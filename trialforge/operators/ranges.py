@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import cut
 
@@ -38,11 +39,22 @@ def beside(rows: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, afte
     theirs = marks.where(F.col(at).isNotNull()).select(key_of(keys), F.col(at).alias("__at"), F.lit(0).alias("__tag"), "mark", F.lit(None).cast(mine.schema["__row"].dataType).alias("__row"))
     # a mark comes before the rows at its place
     dealt = cut(mine.unionByName(theirs).repartitionByRange("__k", "__at", "__tag").withColumn("__band", F.spark_partition_id()))
-    order = F.struct("__at", "__tag")
     held = F.when(F.col("mark").isNotNull(), F.struct(F.col("__at").alias("at"), "mark"))
-    ends = dealt.groupBy("__k", "__band").agg(F.max_by(held, F.when(held.isNotNull(), order)).alias("last"), F.min_by(held, F.when(held.isNotNull(), order)).alias("first"))
+    there = F.when(F.col("mark").isNotNull(), F.col("__at"))
+    # field by field, which needs no sort where fields have fixed sizes
+    fields = marks.schema["mark"].dataType.names if isinstance(marks.schema["mark"].dataType, T.StructType) else None
+
+    def end(best, by):
+        mark = by("mark", there) if fields is None else F.struct(*[by(F.col("mark")[f], there).alias(f) for f in fields])
+        return F.when(best(there).isNotNull(), F.struct(best(there).alias("at"), mark.alias("mark")))
+
+    ends = dealt.groupBy("__k", "__band").agg(end(F.max, F.max_by).alias("last"), *([end(F.min, F.min_by).alias("first")] if after else []))
     bands = Window.partitionBy("__k")
-    ends = ends.select("__k", "__band", F.last("last", True).over(bands.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.last("first", True).over(bands.orderBy(F.desc("__band")).rowsBetween(Window.unboundedPreceding, -1)).alias("coming"))
+    beyond = (Window.unboundedPreceding, -1)
+    carried = [F.last("last", True).over(bands.orderBy("__band").rowsBetween(*beyond)).alias("carried")]
+    if after:
+        carried.append(F.last("first", True).over(bands.orderBy(F.desc("__band")).rowsBetween(*beyond)).alias("coming"))
+    ends = ends.select("__k", "__band", *carried)
     inside = Window.partitionBy("__k", "__band")
     up_to_here = (Window.unboundedPreceding, Window.currentRow)
     out = dealt.withColumn("__before", F.last(held, True).over(inside.orderBy("__at", "__tag").rowsBetween(*up_to_here)))
@@ -71,6 +83,7 @@ def items_at(draws: DataFrame, items: DataFrame, keys: Sequence[str], item: str,
     `item`, each as long as its weight, a whole number, from place 0 on. Places beyond the end, and items of no weight, are
     left out. items(keys, item, weight)."""
     laid = running_sums(items.where(F.col(weight) > 0).select(*keys, item, weight), keys, item, weight, "__from")
-    marks = laid.select(*keys, F.col("__from").cast("long").alias(place), F.struct(item, (F.col("__from") + F.col(weight)).cast("long").alias("to")).alias("mark"))
+    # written once: it would be worked out again for the ranges, and in few tasks beside the draws
+    marks = cut(laid.select(*keys, F.col("__from").cast("long").alias(place), F.struct(item, (F.col("__from") + F.col(weight)).cast("long").alias("to")).alias("mark")))
     found = beside(draws, marks, keys, place, after=False)
     return found.where(F.col(place) < F.col("__before.mark.to")).select(*draws.columns, F.col(f"__before.mark.{item}").alias(item))

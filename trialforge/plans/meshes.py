@@ -51,37 +51,52 @@ def triangles(spark, d) -> DataFrame:
     """(object, face, a, b, c, pa, pb, pc): numbers and places of the corners. Each row of heights meets the next one once."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("i"), F.col("embedding").alias("h"))
     rows = e.join(e.select((F.col("i") - 1).alias("i"), F.col("h").alias("next")), "i")
-    g = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(62)))).withColumn("n", F.col("i") * 64 + F.col("j"))
+    g = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(125)))).withColumns({"j": F.shiftright("q", 1), "k": F.col("q") % 2})
+    i, j, k, n = F.col("i"), F.col("j"), F.col("k"), F.col("i") * 64 + F.shiftright("q", 1)
+    place = lambda x, y, z: F.array(*[v.cast("double") for v in (x, y, z)])
+    return g.select(
+        F.floor(i / 50).cast("long").alias("object"), (2 * n + k).alias("face"), (n + 64 * k).alias("a"), (n + 64 + k).alias("b"), (n + 1).alias("c"),
+        place(i + k, j, F.when(k == 0, F.get("h", j)).otherwise(F.get("next", j))).alias("pa"), place(i + 1, j + k, F.get("next", j + k)).alias("pb"), place(i, j + 1, F.get("h", j + 1)).alias("pc"),
+    )
 
-    def corner(di: int, dj: int) -> tuple[Column, Column]:
-        at = [(F.col("i") + di).cast("double"), (F.col("j") + dj).cast("double"), F.get("next" if di else "h", F.col("j") + dj).cast("double")]
-        return F.col("n") + 64 * di + dj, F.array(*at)
 
-    def face(k: int, *corners: tuple[Column, Column]) -> Column:
-        return F.struct((2 * F.col("n") + k).alias("face"), *[c[0].alias(x) for x, c in zip("abc", corners, strict=True)], *[c[1].alias(f"p{x}") for x, c in zip("abc", corners, strict=True)])
+#: The corners' places, a column for each coordinate: Spark shuffles and stores those with less than arrays.
+FLAT = [f"{q}{i}" for q in "abc" for i in range(3)]
 
-    two = F.array(face(0, corner(0, 0), corner(1, 0), corner(0, 1)), face(1, corner(1, 0), corner(1, 1), corner(0, 1)))
-    return g.select(F.floor(F.col("i") / 50).cast("long").alias("object"), F.explode(two).alias("f")).select("object", "f.*")
 
+def flat(t: DataFrame) -> DataFrame:
+    """Triangles with their corners' places as FLAT."""
+    return t.select("object", "face", "a", "b", "c", *[F.col(f"p{c[0]}")[int(c[1])].alias(c) for c in FLAT])
 
-def adjacency(f: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """(object, u, v, f1, f2): edges that two faces of an object share; f1 and f2 are structs of face and the columns in
-    carry. Faces meet at their edge with all they carry, each once, so nothing is joined back to them."""
-    edge = lambda p, q: F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"))
-    e = f.select("object", F.struct("face", *(carry or [])).alias("f1"), F.explode(F.array(edge("a", "b"), edge("b", "c"), edge("c", "a"))).alias("e")).select("object", "e.*", "f1", F.col("f1.face").alias("face"))
-    edges = Window.partitionBy("object", "u", "v")
-    e = e.withColumns({"f2": F.lead("f1").over(edges.orderBy("face")), "k": F.row_number().over(edges.orderBy("face")), "n": F.count(F.lit(1)).over(edges)})
-    return e.where("k = 1 and n = 2").select("object", "u", "v", "f1", "f2")
 
+def vector(name: str) -> Column:
+    """Columns of one name, numbered from 0 to 2, as an array; reading an item of it costs no array."""
+    return F.array(*[F.col(f"{name}{i}") for i in range(3)])
 
-def with_normals(t: DataFrame, of: str = "", name: str = "") -> DataFrame:
-    """Triangles with their centre (m), unit normal (n) and twice their area (area2), by column algebra; `of` is the prefix of
-    the corners' places, `name` what the new columns' names end in."""
-    p = lambda k, i: F.col(f"{of}p{k}")[i]
-    s = lambda k, i: p(k, i) - p("a", i)
-    cross = F.array(*[s("b", (i + 1) % 3) * s("c", (i + 2) % 3) - s("b", (i + 2) % 3) * s("c", (i + 1) % 3) for i in range(3)])
-    t = t.withColumn(f"m{name}", F.array(*[(p("a", i) + p("b", i) + p("c", i)) / 3 for i in range(3)])).withColumn(f"n{name}", cross)
-    return t.withColumn(f"area2{name}", F.sqrt(dot(f"n{name}", f"n{name}"))).withColumn(f"n{name}", F.transform(f"n{name}", lambda x: x / F.col(f"area2{name}")))
+
+def adjacency(f: DataFrame, carry: list[str] | None = None, ends: bool = False, alone: bool = False) -> DataFrame:
+    """(object, u, v, f1, f2): edges that two faces of an object share; f1 and f2 are structs of face and the columns in
+    carry. Faces meet at their edge with all they carry, each once, so nothing is joined back to them. ends: faces have
+    FLAT, and the edge's ends come as u0 to v2. alone: edges of other numbers of faces come, too, with a null f2."""
+    sides = [("a", "b"), ("b", "c"), ("c", "a")]
+    at = lambda p, q, end, i: F.when((F.col(p) <= F.col(q)) == F.lit(end == "u"), F.col(f"{p}{i}")).otherwise(F.col(f"{q}{i}"))
+    places = [f"{end}{i}" for end in "uv" for i in range(3)] if ends else []
+    edge = lambda p, q: F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"), *[at(p, q, x[0], int(x[1])).alias(x) for x in places])
+    carried = ["face", *(carry or [])]
+    e = f.select("object", *[F.col(c).alias(f"__{c}") for c in carried], F.explode(F.array(*[edge(*x) for x in sides])).alias("e")).select("object", "e.*", *[f"__{c}" for c in carried])
+    met = Window.partitionBy("object", "u", "v").orderBy("__face")
+    e = e.withColumns({"k": F.row_number().over(met), "third": F.lead("__face", 2).over(met), **{f"next__{c}": F.lead(f"__{c}").over(met) for c in carried}})
+    two = F.col("next__face").isNotNull() & F.col("third").isNull()
+    first, second = (F.struct(*[F.col(f"{x}__{c}").alias(c) for c in carried]) for x in ("", "next"))
+    e = e.where(F.col("k") == 1) if alone else e.where((F.col("k") == 1) & two)
+    return e.select("object", "u", "v", *places, first.alias("f1"), (F.when(two, second) if alone else second).alias("f2"))
+
+
+def with_normals(t: DataFrame) -> DataFrame:
+    """Triangles as of flat() with their centre (m0 to m2), unit normal (n0 to n2) and twice their area (area2)."""
+    s = lambda q, i: F.col(f"{q}{i % 3}") - F.col(f"a{i % 3}")
+    t = t.withColumns({f"n{i}": s("b", i + 1) * s("c", i + 2) - s("b", i + 2) * s("c", i + 1) for i in range(3)} | {f"m{i}": (F.col(f"a{i}") + F.col(f"b{i}") + F.col(f"c{i}")) / 3 for i in range(3)})
+    return t.withColumn("area2", F.sqrt(dot(vector("n"), vector("n")))).withColumns({f"n{i}": F.col(f"n{i}") / F.col("area2") for i in range(3)})
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -89,27 +104,29 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return sum((a[i] * b[i] for i in range(3)), F.lit(0.0))
 
 
-def minus(a: str, b: str) -> Column:
-    return F.array(*[F.col(a)[i] - F.col(b)[i] for i in range(3)])
+def minus(a: str | Column, b: str | Column) -> Column:
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.array(*[a[i] - b[i] for i in range(3)])
 
 
-def hinges(spark, d) -> DataFrame:
+def hinges(spark, d, corners: bool = False) -> DataFrame:
     """Adjacent faces with the cosine between their normals, how far the second one's centre lies before the first, the
-    length of their edge, its ends, both centres, and the faces' corners and areas (t1, t2)."""
-    return hinges_of(triangles(spark, d))
-
-
-def hinges_of(t: DataFrame) -> DataFrame:
-    """hinges() of triangles. Faces bring their corners and normals, which are worked out once for each, before they meet."""
-    carried = ["n", "m", "area2"]
-    j = adjacency(with_normals(t), ["a", "b", "c", "pa", "pb", "pc", *carried])
-    j = j.withColumns({f"{c}_{k}": F.col(f"f{k}.{c}") for c in carried for k in (1, 2)})
-    place = lambda v: F.when(F.col("f1.a") == F.col(v), F.col("f1.pa")).when(F.col("f1.b") == F.col(v), F.col("f1.pb")).otherwise(F.col("f1.pc"))
-    j = j.withColumn("pu", place("u")).withColumn("pv", place("v")).withColumn("side", minus("pu", "pv"))
-    corners = [F.struct(*[F.col(f"f{k}.{c}").alias(c) for c in ("face", "pa", "pb", "pc")], F.col(f"area2_{k}").alias("area2")).alias(f"t{k}") for k in (1, 2)]
+    length of their edge, its ends and both centres; corners: the faces' corners and areas (t1, t2), too."""
+    return hinges_of(triangles(spark, d), corners)
+
+
+def hinges_of(t: DataFrame, corners: bool = False, alone: bool = False) -> DataFrame:
+    """hinges() of triangles. Faces bring what is asked for, which is worked out once for each, before they meet; alone:
+    edges of other numbers of faces come, too, without f2."""
+    n, m = ([f"{x}{i}" for i in range(3)] for x in "nm")
+    more = [*FLAT, "area2"] if corners else []
+    j = adjacency(with_normals(flat(t)), [*n, *m, *more], ends=True, alone=alone)
+    part = lambda f, x: F.array(*[F.col(f"{f}.{x}{i}") for i in range(3)])
+    side = minus(vector("u"), vector("v"))
+    held = [F.struct(F.col(f"{f}.face").alias("face"), *[part(f, q).alias(f"p{q}") for q in "abc"], F.col(f"{f}.area2").alias("area2")).alias(f"t{f[1]}") for f in ("f1", "f2")] if corners else []
     return j.select(
-        "object", F.col("f1.face").alias("f1"), F.col("f2.face").alias("f2"), dot("n_1", "n_2").alias("cosine"), dot(minus("m_2", "m_1"), "n_1").alias("inward"),
-        F.sqrt(dot("side", "side")).alias("length"), "pu", "pv", F.col("m_1").alias("m1"), F.col("m_2").alias("m2"), *corners,
+        "object", F.col("f1.face").alias("f1"), F.col("f2.face").alias("f2"), dot(part("f1", "n"), part("f2", "n")).alias("cosine"), dot(minus(part("f2", "m"), part("f1", "m")), part("f1", "n")).alias("inward"),
+        F.sqrt(dot(side, side)).alias("length"), vector("u").alias("pu"), vector("v").alias("pv"), part("f1", "m").alias("m1"), part("f2", "m").alias("m2"), *held,
     )
 
 
@@ -194,18 +211,20 @@ def density_screen(spark, d):
 
 
 def anchors_along(h: DataFrame, spacing: DataFrame) -> DataFrame:
-    """(object, f1, f2, k, x, y, z): points along the edges of hinges, max(2, length / spacing) on each."""
+    """(object, f1, f2, k, x, y, z, near): points along the edges of hinges, max(2, length / spacing) on each; near is that
+    of spacing(object, spacing, near)."""
     h = h.join(spacing, "object")
     n = F.greatest(F.lit(2), F.ceil(F.col("length") / F.col("spacing")).cast("int"))
-    along = h.select("object", "f1", "f2", "pu", "pv", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-    at = lambda i: F.col("pu")[i] + (F.col("pv")[i] - F.col("pu")[i]) * F.col("k") / (F.col("n") - 1)
-    return along.select("object", "f1", "f2", "k", *[at(i).alias(a) for i, a in enumerate("xyz")])
+    ends = [F.col(f"p{end}")[i].alias(f"{end}{i}") for end in "uv" for i in range(3)]
+    along = h.select("object", "f1", "f2", "near", *ends, n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    at = lambda i: F.col(f"u{i}") + (F.col(f"v{i}") - F.col(f"u{i}")) * F.col("k") / (F.col("n") - 1)
+    return along.select("object", "f1", "f2", "k", *[at(i).alias(a) for i, a in enumerate("xyz")], "near")
 
 
 def anchors_on(t: DataFrame, spacing: DataFrame) -> DataFrame:
     """(object, k, face, x, y, z): area_samples of triangles with areas, ceil(area / spacing ** 2) for each object."""
     t = cut(t.select("object", "face", "pa", "pb", "pc", F.floor(F.col("area2") / 2 * 1000000).cast("long").alias("units")))
-    total = t.groupBy("object").agg(F.sum("units").alias("total")).where("total > 0").join(spacing, "object")
+    total = t.groupBy("object").agg(F.sum("units").alias("total")).where("total > 0").join(spacing.select("object", "spacing"), "object")
     n = F.ceil(F.col("total") / (1000000 * F.col("spacing") * F.col("spacing"))).cast("int")
     k = total.select("object", "total", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
     u = lambda seed: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("object").cast("string"), F.col("k").cast("string"), F.lit(str(seed))).cast("binary")), 1, 7), 16, 10).cast("double") / float(1 << 28)
@@ -219,25 +238,29 @@ def screen_parts(t: DataFrame, sharp: float, smooth: float, most: int) -> DataFr
     """triangles -> (object, anchors, volume, dense): how many anchors each object would get along its sharp concave edges and
     on its smooth concave faces, at a spacing that follows from its diagonal, each set thinned in order, both together
     without repeats (four decimals); its volume, -1 where it isn't closed; and whether the anchors are over `most`."""
-    t = cut(with_normals(t))
-    corner = F.explode(F.array("pa", "pb", "pc")).alias("p")
-    box = t.select("object", corner).groupBy("object").agg(*[f(F.col("p")[i]).alias(f"{n}{i}") for i in range(3) for n, f in (("lo", F.min), ("hi", F.max))])
-    diagonal = F.sqrt(sum(((F.col(f"hi{i}") - F.col(f"lo{i}")) * (F.col(f"hi{i}") - F.col(f"lo{i}")) for i in range(3)), F.lit(0.0)))
-    spacing = cut(box.select("object", (diagonal / (66.667 * 2)).alias("spacing")))
-    h = cut(hinges_of(t).where(F.col("inward") > 0).drop("m1", "m2", "t1", "t2"))
-    near = spacing.select("object", (0.75 * F.col("spacing")).alias("near"))
-    thin = lambda p, *order: K.spread(p.join(near, "object"), ["object"], [F.col(c) for c in order], "near")
-    along = thin(anchors_along(h.where(angle(sharp, 180.0)), spacing), "f1", "f2", "k")
-    faces = h.where(angle(smooth, sharp)).select("object", F.explode(F.array("f1", "f2")).alias("face"))
-    on = thin(anchors_on(t.join(faces.distinct(), ["object", "face"], "left_semi"), spacing), "k")
-    places = [p.select("object", *[F.round(a, 4).alias(a) for a in "xyz"]) for p in (along, on)]
-    n = places[0].unionByName(places[1]).distinct().groupBy("object").agg(F.count(F.lit(1)).alias("anchors"))
-    sides = t.select("object", F.explode(F.array(*[F.struct(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")) for u, v in (("a", "b"), ("b", "c"), ("c", "a"))])).alias("e"))
-    open_edges = sides.groupBy("object", "e").agg(F.count(F.lit(1)).alias("n")).where("n <> 2").select("object").distinct()
+    t = cut(flat(t))
+    pa, pb, pc = (vector(x) for x in "abc")
     # of each corner triple: a . (b x c) / 6
-    pa, pb, pc = (F.col(f"p{x}") for x in "abc")
     six = sum((pa[i] * (pb[(i + 1) % 3] * pc[(i + 2) % 3] - pb[(i + 2) % 3] * pc[(i + 1) % 3]) for i in range(3)), F.lit(0.0))
-    volume = t.groupBy("object").agg((F.sum(six) / 6).alias("inside")).join(open_edges.withColumn("open", F.lit(True)), "object", "left")
+    ends = [f(g(pa[i], pb[i], pc[i])).alias(f"{n}{i}") for i in range(3) for n, f, g in (("lo", F.min, F.least), ("hi", F.max, F.greatest))]
+    diagonal = F.sqrt(sum(((F.col(f"hi{i}") - F.col(f"lo{i}")) * (F.col(f"hi{i}") - F.col(f"lo{i}")) for i in range(3)), F.lit(0.0)))
+    whole = t.groupBy("object").agg((F.sum(six) / 6).alias("inside"), *ends)
+    whole = cut(whole.select("object", "inside", (diagonal / (66.667 * 2)).alias("spacing")).withColumn("near", 0.75 * F.col("spacing")))
+    spacing = whole.select("object", "spacing", "near")
+    t = t.select("object", "face", "a", "b", "c", *[vector(q).alias(f"p{q}") for q in "abc"])
+    # one pass over the edges: hinges that bend inwards, and edges that aren't those of two faces
+    places = [F.col(f"p{end}")[i].alias(f"{end}{i}") for end in "uv" for i in range(3)]
+    met = cut(hinges_of(t, alone=True).where((F.col("inward") > 0) | F.col("f2").isNull()).select("object", "f1", "f2", "cosine", "length", *places))
+    h = met.where(F.col("f2").isNotNull()).select("object", "f1", "f2", "cosine", "length", vector("u").alias("pu"), vector("v").alias("pv"))
+    thin = lambda p, *order: K.spread(p, ["object"], [F.col(c) for c in order], "near")
+    along = thin(anchors_along(h.where(angle(sharp, 180.0)), spacing), "f1", "f2", "k")
+    faces = h.where(angle(smooth, sharp)).select("object", F.explode(F.array("f1", "f2")).alias("face")).distinct()
+    beside = with_normals(flat(t.join(faces, ["object", "face"], "left_semi"))).select("object", "face", *[vector(q).alias(f"p{q}") for q in "abc"], "area2")
+    on = thin(anchors_on(beside, spacing).join(spacing.select("object", "near"), "object"), "k")
+    anchors = [p.select("object", *[F.round(a, 4).alias(a) for a in "xyz"]) for p in (along, on)]
+    n = anchors[0].unionByName(anchors[1]).distinct().groupBy("object").agg(F.count(F.lit(1)).alias("anchors"))
+    open_edges = met.where(F.col("f2").isNull()).select("object").distinct()
+    volume = whole.select("object", "inside").join(open_edges.withColumn("open", F.lit(True)), "object", "left")
     out = volume.join(n, "object", "left").select("object", F.coalesce("anchors", F.lit(0)).alias("anchors"), F.when(F.col("open"), -1.0).otherwise(F.abs("inside")).alias("volume"))
     return out.withColumn("dense", F.col("anchors") > most)
 
@@ -322,7 +345,7 @@ DRAWN = f"select object, k, cast(floor({CHANCE.format(0)} * total) as bigint) as
 def area_samples(spark, d):
     """Random points on an object's concave faces: ceil(area / spacing ** 2) draws, which fall on faces by their areas, at
     barycentric weights; all chances are seeded hashes of the draw. Areas count in millionths, as whole numbers."""
-    h = hinges(spark, d).where(angle(1.0, 5.0) & (F.col("inward") > 0))
+    h = hinges(spark, d, corners=True).where(angle(1.0, 5.0) & (F.col("inward") > 0))
     concave = h.select("object", F.explode(F.array("t1", "t2")).alias("t")).select("object", "t.*").dropDuplicates(["object", "face"])
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.floor(F.col("vec_id") / 50).cast("long").alias("object")).distinct()
     r = anchors_on(concave, rows.withColumn("spacing", F.lit(0.5)))
